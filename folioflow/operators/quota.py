@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.config import Quota
@@ -61,18 +61,22 @@ def with_verdicts(requests: DataFrame, quotas: Sequence[Quota]) -> DataFrame:
 
 
 def quota_report(requests: DataFrame, quotas: Sequence[Quota]) -> DataFrame:
-    """Per client: arrivals, arrivals beyond each quota, and arrivals admitted."""
+    """Per client: arrivals, arrivals beyond each quota, and arrivals admitted.
+
+    Each measure comes from counts per client and period, so only sums meet per client.
+    """
     shortest = min(quotas, key=lambda q: ("minute", "hour", "day").index(q.period))
     by_period = requests.groupBy("client", F.date_trunc(shortest.period, "ts").alias("period")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    counts = by_period.groupBy("client").agg(F.sum("n").alias("n_requests"))
+    measures = ["n_requests", *[f"over_{q.period}" for q in quotas], "n_admitted"]
+
+    def measure(df: DataFrame, name: str, value: Column) -> DataFrame:
+        return df.select("client", *[(value if m == name else F.lit(0)).cast("bigint").alias(m) for m in measures])
+
+    found = [measure(by_period, "n_requests", F.col("n"))]
     for q in quotas:
-        beyond = (
-            by_period.groupBy("client", F.date_trunc(q.period, "period").alias("p"))
-            .agg(F.greatest(F.sum("n") - q.limit, F.lit(0)).alias("over"))
-            .groupBy("client").agg(F.sum("over").alias(f"over_{q.period}"))
-        )
-        counts = counts.join(beyond, "client")
-    passed = admitted(requests, quotas).groupBy("client").agg(F.count(F.lit(1)).alias("n_admitted"))
-    return counts.join(passed, "client", "left").withColumn("n_admitted", F.coalesce("n_admitted", F.lit(0).cast("bigint")))
+        longer = by_period.groupBy("client", F.date_trunc(q.period, "period")).agg(F.sum("n").alias("n"))
+        found.append(measure(longer, f"over_{q.period}", F.greatest(F.col("n") - q.limit, F.lit(0))))
+    found.append(measure(admitted(requests, quotas), "n_admitted", F.lit(1)))
+    return reduce(DataFrame.unionByName, found).groupBy("client").agg(*[F.sum(m).alias(m) for m in measures])

@@ -78,8 +78,7 @@ def chunk_key(text: Column, source_lang: str, target_lang: str, model: str | Non
 
 def distinct_requests(chunks: DataFrame, key: Column) -> DataFrame:
     """Each text once, with the number of its copies; counted before the shuffle."""
-    once = chunks.groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
-    return once.select(key.alias("chunk_key"), "text", "copies")
+    return chunks.groupBy(key.alias("chunk_key"), "text").agg(F.count(F.lit(1)).alias("copies"))
 
 
 def missing_requests(requests: DataFrame, memory: DataFrame) -> DataFrame:
@@ -137,12 +136,14 @@ def translate_once(
 ) -> DataFrame:
     """All chunks with ``translated`` and ``status``; every distinct text is sent once.
 
-    The text itself crosses the network once, for the distinct; what is joined back is a
-    row of ordinals and a key on one side and the finished text on the other.
+    Chunks are cut once and written with their key. The texts then cross the network once,
+    for the distinct; the way back reads only ordinals and keys of the written chunks and
+    meets the finished texts.
     """
     key = chunk_key(F.col("text"), source_lang, target_lang, model)
-    answers = answered(distinct_requests(chunks, key), translator, max_tasks)
-    keyed = chunks.select(*[c for c in chunks.columns if c not in ("text", "over_limit")], key.alias("chunk_key"))
+    cut = materialise(chunks.withColumn("chunk_key", key), "chunks")
+    answers = answered(distinct_requests(cut, F.col("chunk_key")), translator, max_tasks)
+    keyed = cut.drop("text", "over_limit")
     return attach(keyed, answers, "chunk_key", "copies").drop("chunk_key")
 
 

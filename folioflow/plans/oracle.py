@@ -352,7 +352,7 @@ ORACLE = {
         {_edit('redact', 'no', text='NULL')} FROM numbered
         UNION ALL {_edit('insert', 'n')} FROM replaced JOIN totals USING ({_BK})""",
     "progress": f"WITH {_PROGRESS} SELECT * FROM progress",
-    "quota_verdicts": _VERDICTS,
+    "quota": _VERDICTS,
     "quota_admitted": f"WITH {_quota_ranks()} SELECT event_id, client FROM ranked WHERE in_hour <= 5 AND in_day <= 20",
     "quota_report": f"""WITH {_quota_ranks()} SELECT client, count(*) AS n_requests, count(*) FILTER (in_hour > 5) AS over_hour,
         count(*) FILTER (in_day > 20) AS over_day, count(*) FILTER (in_hour <= 5 AND in_day <= 20) AS n_admitted

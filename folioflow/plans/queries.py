@@ -21,7 +21,7 @@ QUERIES = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
+    QUERIES[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -381,7 +381,7 @@ def _arrivals(spark, sf):
 
 
 @query
-def quota_verdicts(spark, sf):
+def quota_(spark, sf):
     return quota.with_verdicts(_arrivals(spark, sf), TRANSLATE_QUOTAS).drop("ts")
 
 

@@ -1,5 +1,12 @@
 """Layout-aware translation of document corpora as ordinary Spark DataFrame jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from folioflow.config import AdmissionRules, Endpoint, Quota, TranslationConfig
 
+# Functions of this package travel with the job, so workers need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["AdmissionRules", "Endpoint", "Quota", "TranslationConfig"]

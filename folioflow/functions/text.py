@@ -42,8 +42,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def percent(done: Column, total: Column) -> Column:
     """Whole percent with half-even rounding, at most 100, and 0 where there is nothing to do."""
-    share = F.rint(done / F.nullif(total, F.lit(0)) * 100)
-    return F.coalesce(F.least(share, F.lit(100.0)), F.lit(0.0)).cast("int")
+    share = F.coalesce(F.rint(done / F.nullif(total, F.lit(0)) * 100), F.lit(0.0))
+    return F.least(share, F.lit(100.0)).cast("int")
 
 
 def megabytes(n_bytes: Column) -> Column:

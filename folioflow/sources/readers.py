@@ -32,17 +32,26 @@ def raw_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFra
     )
 
 
-def screen_files(files: DataFrame, rules: AdmissionRules) -> DataFrame:
+def screen_files(files: DataFrame, rules: AdmissionRules, manifest: DataFrame | None = None) -> DataFrame:
     """Verdict by size and first bytes. The size limit reaches the file listing, so
-    oversized files are judged without being read."""
+    oversized files are judged without being read.
+
+    Spark's file sources leave files of zero bytes out. A ``manifest(path)`` of all uploads
+    brings them back: what it names and the listing lacks is ``empty``.
+    """
     large = files.where(F.col("length") > rules.max_bytes).select("path", "length", F.lit("size").alias("verdict"))
     small = files.where(F.col("length") <= rules.max_bytes)
     verdict = (
-        F.when(F.col("length") == 0, "empty")
-        .when(~F.startswith("content", F.lit(rules.magic)), "magic")
+        F.when(~F.startswith("content", F.lit(rules.magic)), "magic")
         .otherwise("admitted")
     )
-    return small.select("path", "length", verdict.alias("verdict")).unionByName(large)
+    judged = small.select("path", "length", verdict.alias("verdict")).unionByName(large)
+    if manifest is None:
+        return judged
+    absent = manifest.select("path").join(files.select("path"), "path", "left_anti")
+    return judged.unionByName(
+        absent.select("path", F.lit(0).cast("bigint").alias("length"), F.lit("empty").alias("verdict"))
+    )
 
 
 def decode_layout(documents: DataFrame, decoder: Decoder) -> DataFrame:

@@ -22,15 +22,21 @@ BLOCK_KEY = ["doc_id", "page_num", "block_no"]
 
 def spans_of(layout: DataFrame) -> DataFrame:
     """Flatten layout trees to one row per span, with the position at every level."""
-    blocks = layout.select("doc_id", "page_num", F.posexplode("blocks").alias("block_no", "b"))
-    lines = blocks.select(
-        *BLOCK_KEY, F.col("b.type").alias("block_type"), F.posexplode("b.lines").alias("line_no", "l")
-    )
-    spans = lines.select(*BLOCK_KEY, "line_no", "block_type", F.posexplode("l.spans").alias("span_no", "s"))
-    return spans.select(
-        *BLOCK_KEY, "line_no", "span_no", "block_type", "s.text",
-        "s.bbox.x0", "s.bbox.y0", "s.bbox.x1", "s.bbox.y1", "s.font", "s.size",
-    )
+
+    def span(s: Column, no: Column, line_no: Column, block: Column, block_no: Column) -> Column:
+        return F.struct(
+            block_no.alias("block_no"), line_no.alias("line_no"), no.alias("span_no"),
+            block["type"].alias("block_type"), s["text"].alias("text"),
+            *[s["bbox"][k].alias(k) for k in ("x0", "y0", "x1", "y1")],
+            s["font"].alias("font"), s["size"].alias("size"),
+        )
+
+    def of_block(block: Column, block_no: Column) -> Column:
+        of_line = lambda line, i: F.transform(line["spans"], lambda s, no: span(s, no, i, block, block_no))
+        return F.flatten(F.transform(block["lines"], of_line))
+
+    spans = F.explode(F.flatten(F.transform("blocks", of_block)))
+    return layout.select("doc_id", "page_num", spans.alias("s")).select("doc_id", "page_num", "s.*")
 
 
 def common_font(fonts: Column) -> Column:
@@ -76,33 +82,34 @@ def _folded(block: Column, number: Column) -> Column:
     return let(F.flatten(F.transform(block["lines"], lambda line: line["spans"])), fields)
 
 
+def _kept_blocks() -> Column:
+    numbered = F.transform("blocks", lambda b, i: F.struct(b["type"].alias("type"), b["lines"].alias("lines"), i.alias("no")))
+    text_only = F.filter(numbered, lambda b: b["type"] == 0)
+    folded = F.transform(text_only, lambda b: _folded(b, b["no"]))
+    return F.filter(folded, lambda b: b["text"] != "")
+
+
 def page_blocks(layout: DataFrame) -> DataFrame:
     """One row per page with its non-blank text blocks as an ordered array.
 
     Image blocks and blank blocks are left out; ``block_no`` keeps the position the
     block has on the page.
     """
-    numbered = F.transform("blocks", lambda b, i: F.struct(b["type"].alias("type"), b["lines"].alias("lines"), i.alias("no")))
-    text_only = F.filter(numbered, lambda b: b["type"] == 0)
-    folded = F.transform(text_only, lambda b: _folded(b, b["no"]))
-    kept = F.filter(folded, lambda b: b["text"] != "")
-    return layout.select("doc_id", "page_num", "n_pages", kept.alias("text_blocks"))
+    return layout.select("doc_id", "page_num", "n_pages", _kept_blocks().alias("text_blocks"))
 
 
-def blocks_of(pages: DataFrame) -> DataFrame:
+def text_blocks(layout: DataFrame) -> DataFrame:
     """One row per text block. ``block_seq`` counts only the blocks that were kept."""
-    return pages.select(
-        "doc_id", "page_num", "n_pages", F.posexplode("text_blocks").alias("block_seq", "b")
+    # The array goes straight into the generator: exploding a column of an earlier select
+    # makes the optimiser add a "not empty" filter that folds every page once more.
+    return layout.select(
+        "doc_id", "page_num", "n_pages", F.posexplode(_kept_blocks()).alias("block_seq", "b")
     ).select(
         "doc_id", "page_num", "b.block_no", "n_pages", "block_seq",
         "b.text", "b.bboxes", "b.rect", "b.font", "b.size",
     )
 
 
-def text_blocks(layout: DataFrame) -> DataFrame:
-    return blocks_of(page_blocks(layout))
-
-
 def fold_spans(spans: DataFrame) -> DataFrame:
     """Blocks from a flat span table ``(…ordinals, block_type, text, x0…y1, font, size)``.
 

@@ -52,10 +52,15 @@ def layout_of(docs: DataFrame) -> DataFrame:
 
     def paged(lines: Column) -> Column:
         last = F.floor((F.size(lines) - 1) / LINES_PER_PAGE).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda p: F.slice(lines, p * LINES_PER_PAGE + 1, LINES_PER_PAGE))
+        return F.transform(
+            F.sequence(F.lit(0), last),
+            lambda p: F.struct(
+                (last + 1).alias("n_pages"), F.slice(lines, p * LINES_PER_PAGE + 1, LINES_PER_PAGE).alias("lines")
+            ),
+        )
 
-    pages = docs.select("doc_id", let(F.split("text", "\n"), paged).alias("pages"))
-    pages = pages.select("doc_id", F.size("pages").alias("n_pages"), F.posexplode("pages").alias("page_num", "lines"))
+    pages = docs.select("doc_id", F.posexplode(let(F.split("text", "\n"), paged)).alias("page_num", "page"))
+    pages = pages.select("doc_id", "page_num", "page.n_pages", "page.lines")
 
     def span(text: Column, no: Column, at: Column, mark: Column) -> Column:
         shown = F.when(mark % 13 == 0, F.left(text, F.lit(2))).when(mark % 17 == 0, " ").otherwise(text)

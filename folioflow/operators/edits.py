@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.config import ROUTE, TranslationConfig
-from folioflow.operators.layout import routed_blocks
+from folioflow.operators.layout import BLOCK_KEY, routed_blocks
 from folioflow.operators.translation import ColumnTranslator, translate_inline
 
 ALIGN_LEFT = 0
@@ -27,6 +27,11 @@ def translated_blocks(blocks: DataFrame, config: TranslationConfig, translator:
     return chosen.withColumn("translated", done["text"])
 
 
+def with_translations(blocks: DataFrame, translations: DataFrame) -> DataFrame:
+    """Blocks with texts that came back from a service; keys are single blocks."""
+    return blocks.join(translations.select(*BLOCK_KEY, "translated"), BLOCK_KEY)
+
+
 def edit_plan(blocks: DataFrame, config: TranslationConfig, fonts: Sequence[str]) -> DataFrame:
     """Ordered edits of blocks that carry ``translated``.
 

@@ -331,6 +331,7 @@ ORACLE = {
         GROUP BY text HAVING count(*) FILTER (lang = 'en') = 0""",
     "rejoin_blocks": f"WITH {_BLOCK_WORK} SELECT * FROM rejoined",
     "translated_docs": f"WITH {_DOCS} SELECT * FROM docs",
+    "translated_docs_service": f"WITH {_DOCS} SELECT * FROM docs",
     "translate_corpus": f"""WITH {_LANG_CHUNKS}, {_translated()}
         SELECT doc_id, lang, string_agg(translated, ' ' ORDER BY chunk_no) AS translated, CAST(count(*) AS INT) AS n_chunks,
           CAST(count(*) FILTER (status IN ('failed', 'empty')) AS INT) AS n_failed

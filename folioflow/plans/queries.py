@@ -12,7 +12,7 @@ from folioflow.functions.urls import screen_url
 from folioflow.operators import admission, assembly, edits, quota, reports, translation
 from folioflow.operators import layout as lay
 from folioflow.operators.shared import run_folder
-from folioflow.plans import inputs
+from folioflow.plans import corpus, inputs
 from folioflow.plans.inputs import CONFIG, FONTS, JOB_RULES, SKIP_PAGES, documents, stand_in, stand_in_batch, table
 from folioflow.sources import readers, sinks
 from folioflow.streaming import jobs
@@ -306,16 +306,19 @@ def memory_misses(spark, sf):
 @query
 def rejoin_blocks(spark, sf):
     """Blocks of the layout through the batch translator and back."""
-    found = lay.routed_blocks(lay.text_blocks(inputs.layout(spark, sf)), SKIP_PAGES).where("route = 'translate'")
-    pieces = translation.chunks_of(found, CONFIG.max_chunk_size, lay.BLOCK_KEY)
-    done = translation.translate_once(pieces, stand_in_batch, CONFIG.source_lang, CONFIG.target_lang, CONFIG.model)
-    return assembly.rejoin(done, lay.BLOCK_KEY)
+    found = lay.routed_blocks(lay.text_blocks(inputs.layout(spark, sf)), SKIP_PAGES)
+    return corpus.translate_blocks(found, CONFIG, stand_in_batch)
 
 
 @query
 def translated_docs(spark, sf):
-    pages = assembly.translated_pages(inputs.layout(spark, sf), CONFIG, stand_in)
-    return assembly.documents_of(pages)
+    return corpus.translate_documents(inputs.layout(spark, sf), CONFIG, column=stand_in)
+
+
+@query
+def translated_docs_service(spark, sf):
+    """The same documents through the batch translator."""
+    return corpus.translate_documents(inputs.layout(spark, sf), CONFIG, batch=stand_in_batch)
 
 
 @query

@@ -1,18 +1,19 @@
 """Continuous intake, translation, progress and quotas.
 
 Every job takes a streaming DataFrame and returns a started query. Offsets and state live
-below ``folder``, which must be reachable by all executors.
+below ``folder``, which must be reachable by all executors. Without a trigger a job works
+off what is there and stops; pass for instance ``processingTime="1 minute"`` to keep it going.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from folioflow.config import AdmissionRules, Quota
 from folioflow.operators.admission import with_verdict
@@ -41,23 +42,23 @@ def arriving(spark: SparkSession, path: str, schema: T.StructType, files_per_bat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def start_intake(jobs: DataFrame, rules: AdmissionRules, folder: str) -> StreamingQuery:
+def start_intake(jobs: DataFrame, rules: AdmissionRules, folder: str, **trigger) -> StreamingQuery:
     """Each arriving job gets its verdict; the payload is not carried along."""
     judged = with_verdict(jobs, rules).select("job_id", "verdict")
-    return _append(judged, folder, "parquet")
+    return _append(judged, folder, "parquet", trigger)
 
 
-def start_progress(layout: DataFrame, folder: str) -> StreamingQuery:
+def start_progress(layout: DataFrame, folder: str, **trigger) -> StreamingQuery:
     """Progress events as JSON lines."""
     page = page_progress(layout).select("doc_id", F.lit("progress").alias("type"), "page", "total", "percent")
-    return _append(page, folder, "json")
+    return _append(page, folder, "json", trigger)
 
 
-def _append(df: DataFrame, folder: str, fmt: str) -> StreamingQuery:
+def _append(df: DataFrame, folder: str, fmt: str, trigger: dict) -> StreamingQuery:
     return (
         df.writeStream.format(fmt).outputMode("append")
         .option("checkpointLocation", f"{folder}/offsets").option("path", f"{folder}/out")
-        .trigger(availableNow=True).start()
+        .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
@@ -70,17 +71,17 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def _each_batch(stream: DataFrame, folder: str, work) -> StreamingQuery:
+def _each_batch(stream: DataFrame, folder: str, work, trigger: dict) -> StreamingQuery:
     return (
         stream.writeStream.foreachBatch(work)
         .option("checkpointLocation", f"{folder}/offsets")
-        .trigger(availableNow=True).start()
+        .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
 def start_translation(
     texts: DataFrame, translator: BatchTranslator, source_lang: str, target_lang: str, size: int, folder: str,
-    model: str | None = None, max_tasks: int | None = None,
+    model: str | None = None, max_tasks: int | None = None, **trigger,
 ) -> StreamingQuery:
     """Fill the translation memory ``folder/memory`` with whatever arriving texts need.
 
@@ -99,14 +100,16 @@ def start_translation(
         _write_batch(resolve(answers), memory, batch_id)
         requests.unpersist()
 
-    return _each_batch(texts, folder, work)
+    return _each_batch(texts, folder, work, trigger)
 
 
 def read_memory(spark: SparkSession, folder: str) -> DataFrame:
     return _batch_table(spark, f"{folder}/memory", MEMORY)
 
 
-def start_quota(requests: DataFrame, quotas: Sequence[Quota], folder: str, keep_days: int = 2) -> StreamingQuery:
+def start_quota(
+    requests: DataFrame, quotas: Sequence[Quota], folder: str, keep_days: int = 2, **trigger
+) -> StreamingQuery:
     """Verdicts for arriving ``(event_id, client, ts)`` in ``folder/verdicts``.
 
     What earlier batches used up is a small table of counts per client and period. Within a
@@ -149,10 +152,12 @@ def start_quota(requests: DataFrame, quotas: Sequence[Quota], folder: str, keep_
         _write_batch(after, counts_at, batch_id)
         rows.unpersist()
 
-    return _each_batch(requests, folder, work)
+    return _each_batch(requests, folder, work, trigger)
 
 
-def start_over_limit(requests: DataFrame, quota: Quota, folder: str, delay: str = "1 hour") -> StreamingQuery:
+def start_over_limit(
+    requests: DataFrame, quota: Quota, folder: str, delay: str = "1 hour", **trigger
+) -> StreamingQuery:
     """Closed periods in which a client went over its quota, with the number of requests.
 
     Counts are pre-aggregated per task. Rows later than ``delay`` no longer count.
@@ -164,4 +169,23 @@ def start_over_limit(requests: DataFrame, quota: Quota, folder: str, delay: str
         .where(F.col("n") > quota.limit)
         .select("client", F.col("window.start").alias("period"), "n")
     )
-    return _append(over, folder, "parquet")
+    return _append(over, folder, "parquet", trigger)
+
+
+class BatchProgress(StreamingQueryListener):
+    """Calls ``callback(batch_id, input_rows)`` on the driver after every micro-batch."""
+
+    def __init__(self, callback: Callable[[int, int], None]) -> None:
+        self.callback = callback
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.callback(event.progress.batchId, event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

@@ -5,7 +5,8 @@ import pytest
 from folioflow.config import TranslationConfig
 from folioflow.operators import assembly, edits
 from folioflow.operators import layout as lay
-from folioflow.plans.inputs import stand_in
+from folioflow.plans.corpus import translate_blocks, translate_documents, translate_pages
+from folioflow.plans.inputs import stand_in, stand_in_batch
 from folioflow.schemas import LAYOUT
 
 
@@ -71,6 +72,8 @@ def test_document_keeps_untranslated_parts(layout):
     config = TranslationConfig("English", "Spanish", skip_pages=[1])
     pages = assembly.translated_pages(layout, config, stand_in)
     doc = assembly.documents_of(pages).first()
+    service = translate_documents(layout, config, batch=stand_in_batch, max_tasks=2).first()
+    assert service == doc
     assert doc.translated == "[es] Hillu bog wurld.\nab\n[es] x1 y2\nsecond page text\n"
     assert (doc.n_pages, doc.n_blocks, doc.n_chunks, doc.n_failed) == (3, 4, 2, 0)
 
@@ -87,3 +90,20 @@ def test_edit_plans(layout):
     assert [(r.block_no, r.op) for r in plan] == [(0, "redact")] * 3 + [(0, "insert")] + [(4, "redact")] * 2 + [(4, "insert")]
     assert plan[0].text is None and (plan[0].x0, plan[1].x0, plan[3].x0) == (5.0, 1.0, 1.0)
     assert plan[3].text == "[es] Hillu bog wurld."
+
+
+def test_edit_plan_from_a_service(layout):
+    config = TranslationConfig("English", "Spanish", skip_pages=[1])
+    blocks = lay.text_blocks(layout)
+    inline = edits.edit_plan(edits.translated_blocks(blocks, config, stand_in), config, ["A"])
+    answers = translate_blocks(lay.routed_blocks(blocks, config.skip_pages), config, stand_in_batch)
+    joined = edits.edit_plan(edits.with_translations(blocks, answers), config, ["A"])
+    assert sorted(map(str, inline.collect())) == sorted(map(str, joined.collect()))
+
+
+def test_one_translator_is_needed(layout):
+    config = TranslationConfig("English", "Spanish")
+    with pytest.raises(ValueError):
+        translate_pages(layout, config)
+    with pytest.raises(ValueError):
+        translate_pages(layout, config, column=stand_in, batch=stand_in_batch)

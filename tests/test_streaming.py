@@ -84,3 +84,32 @@ def test_counts_of_old_days_are_dropped(spark, parts, tmp_path):
     last = counts.where(F.col("batch_id") == counts.agg(F.max("batch_id")).scalar())
     span = last.agg((F.max("period").cast("long") - F.min("period").cast("long")).alias("s")).first().s
     assert 0 < span < 2 * 86_400
+
+
+def test_listener_reports_batches(spark, parts, tmp_path):
+    import time
+
+    seen = []
+    listener = jobs.BatchProgress(lambda batch, rows: seen.append((batch, rows)))
+    spark.streams.addListener(listener)
+    try:
+        jobs.start_progress(inputs.layout_of(arriving(spark, parts, "documents")), str(tmp_path), availableNow=True).awaitTermination()
+        for _ in range(50):
+            if sum(rows for _, rows in seen) >= 200:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert sum(rows for _, rows in seen) == 200 and len(seen) >= 4
+
+
+def test_over_limit_windows(spark, parts, tmp_path):
+    """Closed windows only: those that end before the newest arrival less the delay."""
+    one = arriving(spark, parts, "events").select("event_id", F.lit("all").alias("client"), F.col("ts").cast("timestamp").alias("ts"))
+    jobs.start_over_limit(one, TRANSLATE_QUOTAS[1], str(tmp_path)).awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out")
+    events = spark.read.parquet(str(parts / "events")).select(F.col("ts").cast("timestamp").alias("ts"))
+    newest = events.agg(F.max("ts")).first()[0]
+    days = events.groupBy(F.date_trunc("day", "ts").alias("period")).agg(F.count(F.lit(1)).alias("n")).where("n > 20")
+    closed = days.where(F.col("period") + F.expr("INTERVAL 1 DAY") <= F.lit(newest) - F.expr("INTERVAL 1 HOUR"))
+    assert closed.count() > 5 and same(got.select("period", "n"), closed)

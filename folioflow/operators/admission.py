@@ -56,6 +56,20 @@ def with_verdict(jobs: DataFrame, rules: AdmissionRules) -> DataFrame:
     return jobs.withColumn("verdict", F.coalesce(*picks, F.lit(ADMITTED)))
 
 
+def precheck_uploads(uploads: DataFrame, rules: AdmissionRules, mime: str = "application/pdf", suffix: str = ".pdf") -> DataFrame:
+    """Adds ``verdict`` to a listing ``(name, mime, length, n_pages)``, before any payload is sent.
+
+    Either the declared type or the name has to fit.
+    """
+    fits = F.coalesce(F.col("mime") == mime, F.lit(False)) | F.coalesce(F.lower("name").endswith(suffix), F.lit(False))
+    return uploads.withColumn(
+        "verdict",
+        F.when(~fits, "type").when(F.col("length") > rules.max_bytes, "size")
+        .when(F.col("n_pages").isNull(), "unreadable").when(F.col("n_pages") > rules.max_pages, "pages")
+        .otherwise(ADMITTED),
+    )
+
+
 def verdict_report(judged: DataFrame, column: str = "verdict") -> DataFrame:
     return judged.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 

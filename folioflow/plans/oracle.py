@@ -281,6 +281,10 @@ ORACLE = {
         || base64(encode(html)) || '"}' AS event, CAST(strlen(html) AS BIGINT) AS n_bytes FROM pages""",
     "admit": f"WITH {_ADMIT} SELECT job_id, verdict FROM judged",
     "admit_report": f"WITH {_ADMIT} SELECT verdict, count(*) AS n FROM judged GROUP BY verdict",
+    "upload_precheck": f"""SELECT page_id AS job_id, 'upload' || page_id || CASE WHEN page_id % 3 = 0 THEN '.PDF' ELSE '.html' END AS name,
+        CASE WHEN page_id % 3 <> 0 AND page_id % 4 <> 0 THEN 'type' WHEN strlen(html) > {JOB_RULES.max_bytes} THEN 'size'
+          WHEN page_id % 19 = 0 THEN 'unreadable' WHEN 1 + page_id % 5 > {JOB_RULES.max_pages} THEN 'pages' ELSE 'admitted' END AS verdict
+        FROM pages""",
     "lang_allowed": f"""SELECT doc_id, lang, CASE lang {' '.join(f"WHEN '{c}' THEN '{n}'" for c, n in LANGUAGE_CODES.items())} END AS language
         FROM documents WHERE lang IN ({_LANGS})""",
     "lang_rejected": f"SELECT doc_id, lang FROM documents WHERE lang NOT IN ({_LANGS})",

@@ -111,6 +111,19 @@ def admit_report(spark, sf):
     return admission.verdict_report(_judged(spark, sf))
 
 
+@query
+def upload_precheck(spark, sf):
+    page = F.col("page_id")
+    uploads = table(spark, sf, "pages").select(
+        page.alias("job_id"),
+        F.concat(F.lit("upload"), page.cast("string"), F.when(page % 3 == 0, ".PDF").otherwise(".html")).alias("name"),
+        F.when(page % 4 == 0, "application/pdf").when(page % 4 == 1, "text/html").alias("mime"),
+        F.octet_length("html").alias("length"),
+        F.when(page % 19 != 0, (1 + page % 5).cast("int")).alias("n_pages"),
+    )
+    return admission.precheck_uploads(uploads, JOB_RULES).select("job_id", "name", "verdict")
+
+
 @query
 def lang_allowed(spark, sf):
     docs = table(spark, sf, "documents").where(admission.language_allowed(F.col("lang"), JOB_RULES.languages))

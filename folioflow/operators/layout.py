@@ -159,9 +159,14 @@ def block_batches(blocks: DataFrame, batch_size: int) -> DataFrame:
     return blocks.withColumn("batch_no", F.floor(F.col("block_seq") / batch_size).cast("int"))
 
 
-def blank_pages(pages: DataFrame) -> DataFrame:
-    """Pages that pass through because no text was found on them."""
-    return pages.where(F.size("text_blocks") == 0).select("doc_id", "page_num")
+def blank_pages(layout: DataFrame) -> DataFrame:
+    """Pages that pass through because no text was found on them; stops at the first text."""
+
+    def has_text(block: Column) -> Column:
+        filled = lambda line: F.exists(line["spans"], lambda s: strip(s["text"]) != "")
+        return (block["type"] == 0) & F.exists(block["lines"], filled)
+
+    return layout.where(~F.exists("blocks", has_text)).select("doc_id", "page_num")
 
 
 def flagged_pages(layout: DataFrame, skip_pages: Sequence[int]) -> DataFrame:
@@ -171,5 +176,5 @@ def flagged_pages(layout: DataFrame, skip_pages: Sequence[int]) -> DataFrame:
 
 
 def page_counts(layout: DataFrame) -> DataFrame:
-    """Pages per document; pre-aggregated before the shuffle."""
-    return layout.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
+    """Pages per document. Each page carries the number, so the first one tells it without a shuffle."""
+    return layout.where("page_num = 0").select("doc_id", "n_pages")

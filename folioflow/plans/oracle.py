@@ -279,6 +279,7 @@ ORACLE = {
         '{{"type":"progress","page":' || page || ',"total":' || total || ',"percent":' || percent || '}}' AS event FROM progress""",
     "payload_b64": """SELECT page_id, '{"type":"done","filename":"page.' || page_id || '_translated.pdf","pdf_b64":"'
         || base64(encode(html)) || '"}' AS event, CAST(strlen(html) AS BIGINT) AS n_bytes FROM pages""",
+    "compacted_rows": "SELECT * FROM documents",
     "admit": f"WITH {_ADMIT} SELECT job_id, verdict FROM judged",
     "admit_report": f"WITH {_ADMIT} SELECT verdict, count(*) AS n FROM judged GROUP BY verdict",
     "upload_precheck": f"""SELECT page_id AS job_id, 'upload' || page_id || CASE WHEN page_id % 3 = 0 THEN '.PDF' ELSE '.html' END AS name,
@@ -307,7 +308,7 @@ ORACLE = {
         SELECT page_id, stem || '_translated' || suffix AS translated_name, stem || '_compressed' || suffix AS compressed_name,
           CASE WHEN name = '' THEN 'document' ELSE stem END || '_translated.pdf' AS download_name FROM s""",
     "doc_pages": f"WITH {SPANS} SELECT doc_id, page_num, n_pages FROM page_total",
-    "page_counts": f"WITH {SPANS} SELECT doc_id, count(*) AS n_pages FROM page_list GROUP BY doc_id",
+    "page_counts": f"WITH {SPANS} SELECT doc_id, CAST(count(*) AS INT) AS n_pages FROM page_list GROUP BY doc_id",
     "blocks": f"WITH {BLOCKS} SELECT {_BK}, text, bboxes, font, round(size, 6) AS size FROM blocks",
     "blocks_from_spans": f"WITH {BLOCKS} SELECT {_BK}, text, bboxes, font, round(size, 6) AS size FROM blocks",
     "block_bbox": f"WITH {BLOCKS} SELECT {_BK}, x0, y0, x1, y1 FROM blocks",

@@ -94,6 +94,14 @@ def compact_dataset(spark, sf):
     return sinks.compact_dataset(spark, f"{sf}/documents.parquet", out).drop("path")
 
 
+@query
+def compacted_rows(spark, sf):
+    """What the rewritten dataset holds: all rows, unchanged."""
+    out = run_folder(spark, "compacted")
+    sinks.compact_dataset(spark, f"{sf}/documents.parquet", out)
+    return readers.scan(spark, out, schemas.DOCUMENTS)
+
+
 # --- admission ---------------------------------------------------------------------------
 
 
@@ -235,7 +243,7 @@ def skip_pages(spark, sf):
 
 @query
 def blank_pages(spark, sf):
-    return lay.blank_pages(lay.page_blocks(inputs.layout(spark, sf)))
+    return lay.blank_pages(inputs.layout(spark, sf))
 
 
 @query
@@ -458,4 +466,5 @@ def stream_over_limit(spark, sf):
     events = quota.arrivals(inputs.arriving_table(spark, sf, "events"), "event_type")
     folder = run_folder(spark, "over-limit")
     _finish(jobs.start_over_limit(events, TRANSLATE_QUOTAS[0], folder))
-    return spark.read.schema("client STRING, period TIMESTAMP, n BIGINT").parquet(f"{folder}/out")
+    windows = spark.read.schema("client STRING, period TIMESTAMP, n BIGINT").parquet(f"{folder}/out")
+    return windows.withColumn("period", F.col("period").cast("timestamp_ntz"))

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from folioflow.config import AdmissionRules, Quota
 from folioflow.operators.admission import with_verdict
 from folioflow.operators.reports import page_progress
+from folioflow.operators.shared import spread
 from folioflow.operators.translation import (
     BatchTranslator, ask, chunk_key, chunks_of, distinct_requests, missing_requests, resolve,
 )
@@ -94,7 +95,7 @@ def start_translation(
     key = chunk_key(F.col("text"), source_lang, target_lang, model)
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        requests = distinct_requests(chunks_of(batch, size, []), key).persist()
+        requests = distinct_requests(chunks_of(spread(batch), size, []), key).persist()
         stored = read_memory(batch.sparkSession, folder).where(F.col("batch_id") != batch_id)
         answers = ask(missing_requests(requests, stored), translator, max_tasks)
         _write_batch(resolve(answers), memory, batch_id)

@@ -91,18 +91,34 @@ def missing_requests(requests: DataFrame, memory: DataFrame) -> DataFrame:
     return requests.join(known, "chunk_key", "left_anti")
 
 
-def ask(requests: DataFrame, translator: BatchTranslator, max_tasks: int | None = None) -> DataFrame:
+def ask(
+    requests: DataFrame, translator: BatchTranslator, max_tasks: int | None = None, per_call: int = 100
+) -> DataFrame:
     """Run a batch translator over ``(chunk_key, text, copies)``; blank texts are not sent.
 
-    ``max_tasks`` limits how many tasks call the service at the same time. The result is
-    lazy and would call again on every use: write it down before reading it (``answered``).
+    A call gets at most ``per_call`` texts. If it raises, or gives the wrong number of
+    answers, only its own texts fail. ``max_tasks`` limits how many tasks call the service
+    at the same time. The result is lazy and would call again on every use: write it down
+    before reading it (``answered``).
     """
 
+    def call(texts: list[str]) -> list:
+        try:
+            replies = list(translator(texts))
+            if len(replies) == len(texts):
+                return replies
+            failure: Exception = ValueError(f"{len(replies)} answers for {len(texts)} texts")
+        except Exception as raised:
+            failure = raised
+        return [failure] * len(texts)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sent = frame["text"].str.strip() != ""
-            replies = iter(translator(frame.loc[sent, "text"].tolist()) if sent.any() else [])
-            got = [next(replies) if s else None for s in sent]
+            got = pd.Series([None] * len(frame), index=frame.index, dtype=object)
+            sent = frame.index[frame["text"].str.strip() != ""]
+            for at in range(0, len(sent), per_call):
+                part = sent[at:at + per_call]
+                got[part] = pd.Series(call(frame.loc[part, "text"].tolist()), index=part, dtype=object)
             yield frame.assign(
                 answer=[g if isinstance(g, str) else None for g in got],
                 error=[repr(g) if isinstance(g, Exception) else None for g in got],
@@ -113,10 +129,20 @@ def ask(requests: DataFrame, translator: BatchTranslator, max_tasks: int | None
     return requests.select("chunk_key", "text", "copies").mapInPandas(run, ANSWERS)
 
 
-def answered(requests: DataFrame, translator: BatchTranslator, max_tasks: int | None = None) -> DataFrame:
-    """Answers on disk, one row per distinct text, with the fallback already in place."""
-    answers = materialise(ask(requests, translator, max_tasks), "answers")
-    return resolve(answers)
+def answered(
+    requests: DataFrame, translator: BatchTranslator, max_tasks: int | None = None, memory: DataFrame | None = None
+) -> DataFrame:
+    """A written table ``(chunk_key, copies, translated, status)``, one row per distinct text.
+
+    With a ``memory(chunk_key, translated, status)`` only what it has no answer for is sent.
+    """
+    if memory is None:
+        return resolve(materialise(ask(requests, translator, max_tasks), "answers"))
+    requests = materialise(requests, "requests")
+    usable = memory.where(F.col("status") == TRANSLATED)
+    sent = resolve(ask(missing_requests(requests, usable), translator, max_tasks))
+    known = requests.select("chunk_key", "copies").join(usable.select("chunk_key", "translated", "status"), "chunk_key")
+    return materialise(sent.unionByName(known), "answers")
 
 
 def resolve(answers: DataFrame) -> DataFrame:
@@ -133,6 +159,7 @@ def translate_once(
     target_lang: str,
     model: str | None = None,
     max_tasks: int | None = None,
+    memory: DataFrame | None = None,
 ) -> DataFrame:
     """All chunks with ``translated`` and ``status``; every distinct text is sent once.
 
@@ -142,7 +169,7 @@ def translate_once(
     """
     key = chunk_key(F.col("text"), source_lang, target_lang, model)
     cut = materialise(chunks.withColumn("chunk_key", key), "chunks")
-    answers = answered(distinct_requests(cut, F.col("chunk_key")), translator, max_tasks)
+    answers = answered(distinct_requests(cut, F.col("chunk_key")), translator, max_tasks, memory)
     keyed = cut.drop("text", "over_limit")
     return attach(keyed, answers, "chunk_key", "copies").drop("chunk_key")
 

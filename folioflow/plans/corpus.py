@@ -18,19 +18,20 @@ def translate_pages(
     column: ColumnTranslator | None = None,
     batch: BatchTranslator | None = None,
     max_tasks: int | None = None,
+    memory: DataFrame | None = None,
 ) -> DataFrame:
     """One row per page: ``doc_id, page_num, translated, n_blocks, n_chunks, n_failed``.
 
     Give either a ``column`` translator, which stays within each page's row, or a ``batch``
     translator, which is called once per distinct chunk of the corpus by at most
-    ``max_tasks`` tasks at a time.
+    ``max_tasks`` tasks at a time, and only for chunks that ``memory`` has no answer for.
     """
     if (column is None) == (batch is None):
         raise ValueError("give either a column or a batch translator")
     if column is not None:
         return assembly.translated_pages(layout, config, column).drop("n_pages")
     blocks = lay.routed_blocks(lay.text_blocks(layout), config.skip_pages)
-    done = translate_blocks(blocks, config, batch, max_tasks)
+    done = translate_blocks(blocks, config, batch, max_tasks, memory)
     shape = [*lay.BLOCK_KEY, "translated", "n_chunks", "n_failed"]
     none = F.lit(0)
     untouched = blocks.where(F.col("route") != ROUTE.translate).select(
@@ -51,12 +52,13 @@ def translate_pages(
 
 
 def translate_blocks(
-    blocks: DataFrame, config: TranslationConfig, batch: BatchTranslator, max_tasks: int | None = None
+    blocks: DataFrame, config: TranslationConfig, batch: BatchTranslator, max_tasks: int | None = None,
+    memory: DataFrame | None = None,
 ) -> DataFrame:
     """Blocks routed to translation, as ``(…block key, translated, n_chunks, n_failed)``."""
     chosen = blocks.where(F.col("route") == ROUTE.translate)
     pieces = chunks_of(chosen, config.max_chunk_size, lay.BLOCK_KEY)
-    done = translate_once(pieces, batch, config.source_lang, config.target_lang, config.model, max_tasks)
+    done = translate_once(pieces, batch, config.source_lang, config.target_lang, config.model, max_tasks, memory)
     return assembly.rejoin(done, lay.BLOCK_KEY)
 
 

@@ -450,7 +450,7 @@ def stream_translate(spark, sf):
     _finish(jobs.start_translation(
         docs, stand_in_batch, CONFIG.source_lang, CONFIG.target_lang, CONFIG.max_chunk_size, folder, CONFIG.model
     ))
-    return jobs.read_memory(spark, folder).drop("batch_id")
+    return jobs.read_memory(spark, folder)
 
 
 @query

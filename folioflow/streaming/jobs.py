@@ -20,7 +20,7 @@ from folioflow.operators.admission import with_verdict
 from folioflow.operators.reports import page_progress
 from folioflow.operators.shared import spread
 from folioflow.operators.translation import (
-    BatchTranslator, ask, chunk_key, chunks_of, distinct_requests, missing_requests, resolve,
+    EMPTY, FAILED, BatchTranslator, ask, chunk_key, chunks_of, distinct_requests, missing_requests, resolve,
 )
 
 MEMORY = T.StructType([
@@ -96,8 +96,10 @@ def start_translation(
 
     def work(batch: DataFrame, batch_id: int) -> None:
         requests = distinct_requests(chunks_of(spread(batch), size, []), key).persist()
-        stored = read_memory(batch.sparkSession, folder).where(F.col("batch_id") != batch_id)
-        answers = ask(missing_requests(requests, stored), translator, max_tasks)
+        stored = _batch_table(batch.sparkSession, memory, MEMORY).where(F.col("batch_id") != batch_id)
+        # what failed before is sent again when it comes up again
+        settled = stored.where(~F.col("status").isin(FAILED, EMPTY))
+        answers = ask(missing_requests(requests, settled), translator, max_tasks)
         _write_batch(resolve(answers), memory, batch_id)
         requests.unpersist()
 
@@ -105,7 +107,10 @@ def start_translation(
 
 
 def read_memory(spark: SparkSession, folder: str) -> DataFrame:
-    return _batch_table(spark, f"{folder}/memory", MEMORY)
+    """The newest answer per chunk."""
+    newest = F.max_by(F.struct("translated", "status"), "batch_id")
+    rows = _batch_table(spark, f"{folder}/memory", MEMORY).groupBy("chunk_key")
+    return rows.agg(F.sum("copies").alias("copies"), newest.alias("a")).select("chunk_key", "copies", "a.*")
 
 
 def start_quota(

@@ -55,7 +55,7 @@ def test_translation_memory(spark, parts, sf_dir, tmp_path):
         return jobs.read_memory(spark, str(tmp_path))
 
     memory = run()
-    assert memory.select("batch_id").distinct().count() > 1
+    assert spark.read.parquet(f"{tmp_path}/memory").select("batch_id").distinct().count() > 1
     key = tr.chunk_key(F.col("text"), "English", "Spanish", None)
     pieces = tr.chunks_of(inputs.documents(spark, sf_dir, "doc_id", "text"), 1000, ["doc_id"])
     want = pieces.select(key.alias("chunk_key"), tr.outcome(F.col("text"), inputs.stand_in(F.col("text")))["text"].alias("translated"))

@@ -141,3 +141,30 @@ def test_failures_can_be_observed_while_writing(spark):
     assert seen.get == {"n_chunks": 5, "n_failed": 2}
     counts = {r.status: r.n for r in reports.outcome_report(done, []).collect()}
     assert counts == {"translated": 2, "failed": 1, "empty": 1, "blank": 1}
+
+
+def test_a_call_that_raises_costs_only_its_own_texts(spark):
+    def shaky(texts):
+        if "bad" in texts:
+            raise ConnectionError("gone")
+        return [t.upper() for t in texts] if "short" not in texts else []
+
+    df = texts_df(spark, ["good", "bad", "short", "fine"]).withColumnRenamed("doc_id", "copies")
+    requests = df.select(F.col("text").alias("chunk_key"), "text", "copies")
+    rows = {r.text: r for r in tr.ask(requests, shaky, per_call=1).collect()}
+    assert {t: r.answer for t, r in rows.items()} == {"good": "GOOD", "bad": None, "short": None, "fine": "FINE"}
+    assert "gone" in rows["bad"].error and "0 answers" in rows["short"].error and rows["good"].error is None
+
+
+def test_memory_answers_are_not_sent_again(spark):
+    def refuse(texts):
+        raise AssertionError(texts)
+
+    def chunks(texts):
+        return tr.chunks_of(texts_df(spark, texts), 100, ["doc_id"])
+
+    key = tr.chunk_key(F.col("text"), "English", "Spanish", None)
+    first = tr.answered(tr.distinct_requests(chunks(["one", "two", "x" * 17]), key), stand_in_batch)
+    again = tr.translate_once(chunks(["two", "one", "one", "new", "x" * 17]), refuse, "English", "Spanish", memory=first)
+    got = [(r.translated, r.status) for r in again.orderBy("doc_id").collect()]
+    assert got == [final("two"), final("one"), final("one"), ("new", "failed"), ("x" * 17, "failed")]

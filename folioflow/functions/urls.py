@@ -46,8 +46,8 @@ _NUMBER = "(?:0x[0-9a-f]+|0[0-7]*|[1-9][0-9]*)"
 
 def _in_any(value: Column, networks: tuple[str, ...], literal) -> Column:
     nets = [ipaddress.ip_network(text) for text in networks]
-    bounds = F.array(*[F.struct(literal(n[0]).alias("low"), literal(n[-1]).alias("high")) for n in nets])
-    return F.exists(bounds, lambda n: value.between(n["low"], n["high"]))
+    bounds = ", ".join(f"struct({literal(n[0])} AS low, {literal(n[-1])} AS high)" for n in nets)
+    return F.exists(F.expr(f"array({bounds})"), lambda n: value.between(n["low"], n["high"]))
 
 
 def decode(url: Column) -> Column:
@@ -114,12 +114,12 @@ def _ipv6_hex(literal: Column) -> Column:
 
 
 def _v4_closed(number: Column) -> Column:
-    as_int = lambda a: F.lit(int(a)).cast("bigint")
+    as_int = lambda a: f"{int(a)}L"
     return _in_any(number, CLOSED_V4, as_int) & ~_in_any(number, OPEN_V4, as_int)
 
 
 def _v6_closed(digits: Column) -> Column:
-    as_hex = lambda a: F.lit(f"{int(a):032x}")
+    as_hex = lambda a: f"'{int(a):032x}'"
     # An address that only wraps an IPv4 address is judged by that one.
     mapped = digits.startswith("0" * 20 + "ffff")
     inner = F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint")

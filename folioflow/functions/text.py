@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 # The characters Python's str.strip and str.split treat as white space.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 WHITESPACE_RUN = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 
@@ -55,18 +55,19 @@ def reduction(before: Column, after: Column) -> Column:
     return (before - after) / F.nullif(before, F.lit(0)) * 100
 
 
-def file_stem(name: Column) -> Column:
-    """File name without its last suffix; a leading dot does not start a suffix."""
-    return F.regexp_extract(name, r"^(?s)(.+?)(?:\.[^.]+)?$", 1)
+def file_stem(path: Column) -> Column:
+    """Path without its last suffix; a leading dot of a name does not start a suffix."""
+    return F.regexp_extract(path, r"(?s)^(.*?[^/])(?:\.[^./]+)?$", 1)
 
 
-def suffixed_name(name: Column, suffix: str) -> Column:
-    """``a.b.pdf`` → ``a.b<suffix>.pdf``."""
-    stem = file_stem(name)
-    return F.concat(stem, F.lit(suffix), F.substring(name, F.length(stem) + 1, F.length(name)))
+def suffixed_name(path: Column, suffix: str) -> Column:
+    """``dir/a.b.pdf`` → ``dir/a.b<suffix>.pdf``."""
+    stem = file_stem(path)
+    return F.concat(stem, F.lit(suffix), F.substring(path, F.length(stem) + 1, F.length(path)))
 
 
 def download_name(name: Column) -> Column:
     """Name offered to the client: always a PDF, ``document`` where no name was sent."""
     given = F.coalesce(F.nullif(name, F.lit("")), F.lit("document.pdf"))
-    return F.concat(file_stem(given), F.lit("_translated.pdf"))
+    last = F.regexp_extract(given, "([^/]*)/*$", 1)
+    return F.concat(file_stem(last), F.lit("_translated.pdf"))

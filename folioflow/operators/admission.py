@@ -50,8 +50,10 @@ def with_verdict(jobs: DataFrame, rules: AdmissionRules) -> DataFrame:
         "pages": F.col("n_pages") > rules.max_pages,
     }
     if "has_key" in jobs.columns:
-        tests["credentials"] = ~F.col("has_key") & F.lit(rules.hosted and not rules.server_has_key)
-        tests["url"] = F.col("has_key") & F.lit(rules.hosted) & screen_url(F.col("base_url")).isNotNull()
+        own = F.coalesce("has_key", F.lit(False))
+        named = first_filled(F.col("base_url"))  # a caller who names no endpoint gets the default
+        tests["credentials"] = ~own & F.lit(rules.hosted and not rules.server_has_key)
+        tests["url"] = own & F.lit(rules.hosted) & named.isNotNull() & screen_url(named).isNotNull()
     picks = [F.when(tests[r], F.lit(r)) for r in REASONS if r in tests]
     return jobs.withColumn("verdict", F.coalesce(*picks, F.lit(ADMITTED)))
 
@@ -99,7 +101,7 @@ def route_jobs(jobs: DataFrame, defaults: ServerDefaults) -> DataFrame:
     A caller with a key may choose both; otherwise the server's own settings apply. Only
     the presence of a key is known here, never the key.
     """
-    own = F.col("has_key")
+    own = F.coalesce("has_key", F.lit(False))
     server = defaults.server if defaults.server_has_key else defaults.local
     stuck = ~own & F.lit(defaults.hosted and not defaults.server_has_key)
     return (

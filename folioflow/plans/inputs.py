@@ -130,7 +130,7 @@ def admission_jobs(pages: DataFrame) -> DataFrame:
         .otherwise(F.octet_length("html").cast("string")).alias("declared"),
         F.when(page % 19 != 0, (1 + page % 5).cast("int")).alias("n_pages"),
         (page % 12 != 5).alias("has_key"),
-        F.when(page % 4 == 0, F.col("url")).otherwise("https://llm.example.com/v1").alias("base_url"),
+        F.when(page % 4 == 0, F.col("url")).when(page % 4 == 1, " ").otherwise("https://llm.example.com/v1").alias("base_url"),
     )
 
 

@@ -176,7 +176,7 @@ jobs AS (
     CASE WHEN page_id % 10 = 0 THEN 'x' WHEN page_id % 11 = 0 THEN '200000' ELSE strlen(html)::VARCHAR END AS declared,
     CASE WHEN page_id % 19 <> 0 THEN 1 + page_id % 5 END AS n_pages,
     page_id % 12 <> 5 AS has_key,
-    CASE WHEN page_id % 4 = 0 THEN url ELSE 'https://llm.example.com/v1' END AS base_url
+    CASE WHEN page_id % 4 = 0 THEN url WHEN page_id % 4 = 1 THEN ' ' ELSE 'https://llm.example.com/v1' END AS base_url
   FROM pages)
 """
 
@@ -188,7 +188,7 @@ judged AS (
   SELECT job_id, CASE
     WHEN source_lang NOT IN ({_LANGS}) OR target_lang NOT IN ({_LANGS}) THEN 'language'
     WHEN NOT has_key THEN 'credentials'
-    WHEN has_key AND NOT starts_with(lower(base_url), 'https://') THEN 'url'
+    WHEN has_key AND trim(base_url) <> '' AND NOT starts_with(lower(base_url), 'https://') THEN 'url'
     WHEN regexp_full_match(declared, '[0-9]+') AND declared::HUGEINT > {JOB_RULES.max_declared} THEN 'declared_length'
     WHEN strlen(content) = 0 THEN 'empty'
     WHEN NOT starts_with(content, '<!DOCTYPE') THEN 'magic'

@@ -32,6 +32,10 @@ def test_first_broken_rule_names_the_verdict(spark):
         (dict(has_key=False, content=b""), "credentials"),
         (dict(base_url="http://x.example", declared="9" * 30), "url"),
         (dict(base_url="https://10.0.0.1/", content=b""), "url"),
+        (dict(base_url=" https://llm.example.com/v1\n"), "admitted"),
+        (dict(base_url=" "), "admitted"),
+        (dict(base_url=None), "admitted"),
+        (dict(has_key=None), "credentials"),
         (dict(declared=str(1_048_576 + 65_536)), "admitted"),
         (dict(declared=str(1_048_576 + 65_537), content=b""), "declared_length"),
         (dict(declared="9" * 40), "declared_length"),

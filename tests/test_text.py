@@ -31,6 +31,16 @@ def test_strip_and_words(spark):
     assert values(spark, filled, tx.words) == [r.split() for r in filled]
 
 
+def test_names_are_pathlibs(spark):
+    from pathlib import PurePosixPath as Path
+
+    names = ["a.pdf", "a.b.pdf", "noext", ".hidden", ".hidden.pdf", "a..pdf", "..pdf", "x/y.pdf", "x.y/z", "x/.h", "é 1.PDF", "d/e/f.tar.gz"]
+    got = values(spark, names, lambda c: tx.suffixed_name(c, "_translated"))
+    assert got == [str(Path(n).with_stem(Path(n).stem + "_translated")) for n in names]
+    got = values(spark, names + ["q/"], tx.download_name)
+    assert got == [Path(n).stem + "_translated.pdf" for n in names + ["q/"]]
+
+
 def test_names(spark):
     names = ["a.pdf", "a.b.pdf", "noext", ".hidden", "", None]
     assert values(spark, names, lambda c: tx.suffixed_name(c, "_translated")) == [

@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.files.ignoreCorruptFiles": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.speculation": "false",
+    # plans here have many small expressions; do not record a call site for each
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

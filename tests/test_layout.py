@@ -107,3 +107,21 @@ def test_one_translator_is_needed(layout):
         translate_pages(layout, config)
     with pytest.raises(ValueError):
         translate_pages(layout, config, column=stand_in, batch=stand_in_batch)
+
+
+def test_an_empty_corpus_gives_empty_results(spark, layout):
+    config = TranslationConfig("English", "Spanish")
+    nothing = layout.where("doc_id < 0")
+    for translator in ({"column": stand_in}, {"batch": stand_in_batch}):
+        assert translate_documents(nothing, config, **translator).collect() == []
+    without_text = layout.where("page_num = 2")
+    for translator in ({"column": stand_in}, {"batch": stand_in_batch}):
+        row = translate_documents(without_text, config, **translator).first()
+        assert (row.translated, row.n_pages, row.n_blocks, row.n_chunks, row.n_failed) == ("", 1, 0, 0, 0)
+
+
+def test_null_span_texts_and_missing_parts(spark):
+    rows = [(1, 0, 1, [block([span(None), span("kept text")]), {"type": 0, "lines": []}, {"type": 0, "lines": [{"spans": []}]}])]
+    layout = spark.createDataFrame(rows, LAYOUT)
+    assert [r.text for r in lay.text_blocks(layout).collect()] == ["kept text"]
+    assert lay.blank_pages(layout).count() == 0

@@ -335,6 +335,8 @@ ORACLE = {
     "memory_misses": f"""WITH {_LANG_CHUNKS} SELECT {_KEY} AS chunk_key, text, count(*) AS copies FROM chunks
         GROUP BY text HAVING count(*) FILTER (lang = 'en') = 0""",
     "rejoin_blocks": f"WITH {_BLOCK_WORK} SELECT * FROM rejoined",
+    "translated_pages": f"""WITH {_DOCS} SELECT doc_id, page_num, t AS translated, CAST(b AS INT) AS n_blocks,
+        CAST(c AS INT) AS n_chunks, CAST(f AS INT) AS n_failed FROM page_text""",
     "translated_docs": f"WITH {_DOCS} SELECT * FROM docs",
     "translated_docs_service": f"WITH {_DOCS} SELECT * FROM docs",
     "translate_corpus": f"""WITH {_LANG_CHUNKS}, {_translated()}
@@ -359,6 +361,10 @@ ORACLE = {
         UNION ALL {_edit('insert', 'n')} FROM replaced JOIN totals USING ({_BK})""",
     "progress": f"WITH {_PROGRESS} SELECT * FROM progress",
     "quota": _VERDICTS,
+    "quota_model_list": """WITH ranked AS (
+        SELECT event_id, event_type AS client,
+          row_number() OVER (PARTITION BY event_type, date_trunc('minute', ts) ORDER BY ts, event_id) AS in_minute FROM events)
+        SELECT event_id, client, in_minute <= 30 AS within_minute, in_minute <= 30 AS allowed FROM ranked""",
     "quota_admitted": f"WITH {_quota_ranks()} SELECT event_id, client FROM ranked WHERE in_hour <= 5 AND in_day <= 20",
     "quota_report": f"""WITH {_quota_ranks()} SELECT client, count(*) AS n_requests, count(*) FILTER (in_hour > 5) AS over_hour,
         count(*) FILTER (in_day > 20) AS over_day, count(*) FILTER (in_hour <= 5 AND in_day <= 20) AS n_admitted

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow import schemas
-from folioflow.config import TRANSLATE_QUOTAS, AdmissionRules
+from folioflow.config import MODEL_LIST_QUOTAS, TRANSLATE_QUOTAS, AdmissionRules
 from folioflow.functions import chat, text
 from folioflow.functions.urls import screen_url
 from folioflow.operators import admission, assembly, edits, quota, reports, translation
@@ -331,6 +331,11 @@ def rejoin_blocks(spark, sf):
     return corpus.translate_blocks(found, CONFIG, stand_in_batch)
 
 
+@query
+def translated_pages(spark, sf):
+    return corpus.translate_pages(inputs.layout(spark, sf), CONFIG, column=stand_in)
+
+
 @query
 def translated_docs(spark, sf):
     return corpus.translate_documents(inputs.layout(spark, sf), CONFIG, column=stand_in)
@@ -414,6 +419,11 @@ def quota_admitted(spark, sf):
     return quota.admitted(_arrivals(spark, sf), TRANSLATE_QUOTAS).select("event_id", "client")
 
 
+@query
+def quota_model_list(spark, sf):
+    return quota.with_verdicts(_arrivals(spark, sf), MODEL_LIST_QUOTAS).drop("ts")
+
+
 @query
 def quota_report(spark, sf):
     return quota.quota_report(_arrivals(spark, sf), TRANSLATE_QUOTAS)

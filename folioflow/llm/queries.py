@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioflow.llm import rules, warc
-from folioflow.llm.common import table
-from folioflow.operators.shared import run_folder
+from folioflow.llm import langid, packing, rules, warc
+from folioflow.llm.common import fold, table
+from folioflow.operators.shared import materialise, run_folder
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -46,3 +47,20 @@ def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     documents = table(spark, sf, "documents")
     trusted = table(spark, sf, "labels").where("quality = 1")
     return rules.judge(rules.measures(documents, rules.fit(documents, trusted)))
+
+
+@query
+def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    pieces = packing.token_pieces(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(materialise(pieces, "pieces"))
+
+
+@query
+def op4_langid(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document, learnt from three of four folds."""
+    documents = table(spark, sf, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    return langid.identify(documents, ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -25,7 +25,8 @@ from folioflow.functions.text import let
 from folioflow.llm.common import SPACE, words
 
 BUCKETS = 10_000
-THRESHOLD = -0.25
+PRIOR = 10.0  # counts per bucket
+THRESHOLD = -0.06
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 WINDOW = 3
@@ -51,14 +52,19 @@ def bucket_counts(texts: DataFrame, buckets: int) -> dict[int, int]:
 
 
 def log_ratios(target: dict[int, int], raw: dict[int, int], buckets: int) -> list[float]:
-    """``ln p_target - ln p_raw`` per bucket, both smoothed by half a count."""
+    """``ln p_target - ln p_raw`` per bucket.
+
+    The raw multinomial is smoothed by half a count, the target's by ``PRIOR`` counts per bucket
+    dealt out as the raw one has them, so that a bucket with little evidence has a ratio near 0.
+    """
     if not target or not raw:
         return [0.0] * buckets
-    n_target = math.log(sum(target.values()) + 0.5 * buckets)
-    n_raw = math.log(sum(raw.values()) + 0.5 * buckets)
-    return [
-        (math.log(target.get(b, 0) + 0.5) - n_target) - (math.log(raw.get(b, 0) + 0.5) - n_raw) for b in range(buckets)
-    ]
+    n_raw, n_target, prior = sum(raw.values()), sum(target.values()), PRIOR * buckets
+    out = []
+    for b in range(buckets):
+        p_raw = (raw.get(b, 0) + 0.5) / (n_raw + 0.5 * buckets)
+        out.append(math.log((target.get(b, 0) + prior * p_raw) / (n_target + prior)) - math.log(p_raw))
+    return out
 
 
 def fit(documents: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS) -> list[float]:

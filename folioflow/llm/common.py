@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,31 @@ def lowered_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lowered words of all texts, one after the other, and where each text begins.
+
+    n different words share a hash with odds of n * n / 2**65.
+    """
+    split = [lowered_words(t) for t in texts]
+    starts = np.zeros(len(split) + 1, np.int64)
+    np.cumsum([len(ws) for ws in split], out=starts[1:])
+    hashes = np.empty(int(starts[-1]), np.uint64)
+    for ws, at in zip(split, starts.tolist()):
+        hashes[at:at + len(ws)] = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
+    return hashes, starts
+
+
+def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
+    """One 64-bit hash per run of ``width`` words."""
+    n = len(hashes) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for k in range(width):
+        out = mix(out + hashes[k:k + n] + np.uint64(0x9E3779B97F4A7C15))
+    return out
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int, weight: str, most: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice has at most ``rows`` rows and about ``most`` bytes of ``weight``."""
     for batch in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import langid, packing, rules, warc
+from folioflow.llm import decontam, langid, packing, quality, rules, warc
 from folioflow.llm.common import fold, table
 from folioflow.operators.shared import materialise, run_folder
 
@@ -64,3 +64,18 @@ def op4_langid(spark: SparkSession, sf: str) -> DataFrame:
     documents = table(spark, sf, "documents")
     held_out = fold(F.col("doc_id"), 4) == 2
     return langid.identify(documents, ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of documents and the benchmark items that they hold."""
+    return decontam.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op10_pu_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of every document, learnt from positives of four of five folds."""
+    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    held_out = fold(F.col("doc_id"), 5) == 0
+    done = quality.classify(table(spark, sf, "documents"), labels, ~held_out)
+    return done.select("doc_id", held_out.alias("held_out"), "score", "predicted")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import decontam, langid, packing, quality, rules, warc
+from folioflow.llm import decontam, langid, packing, pii, quality, rules, warc
 from folioflow.llm.common import fold, table
 from folioflow.operators.shared import materialise, run_folder
 
@@ -79,3 +79,10 @@ def op10_pu_quality(spark: SparkSession, sf: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 5) == 0
     done = quality.classify(table(spark, sf, "documents"), labels, ~held_out)
     return done.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data in every document: base spans, and proposals that the classifier accepts."""
+    spans = materialise(pii.spans_of(table(spark, sf, "documents"), "doc_id"), "spans")
+    return pii.report(spans, pii.fit(spans))

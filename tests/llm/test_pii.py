@@ -1,0 +1,98 @@
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from folioflow.llm import pii
+
+KINDS = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def luhn(number: str) -> bool:
+    total = 0
+    for i, d in enumerate(reversed(number)):
+        n = int(d) * (2 if i % 2 else 1)
+        total += n - 9 if n > 9 else n
+    return total % 10 == 0
+
+
+def brute(text: str | None) -> list[str]:
+    out = []
+    for kind, pattern in KINDS.items():
+        for m in pattern.finditer(text or ""):
+            number = re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and any(int(p) > 255 for p in m.group().split(".")):
+                continue
+            if kind == "card" and not (16 <= len(number) <= 19 and luhn(number)):
+                continue
+            if kind == "phone" and not 8 <= len(number) <= 15:
+                continue
+            out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+TEXTS = [
+    None, "", " ", "a@b.com.x@y.org a@b.com_c@d.org", "é😀 mail x.y+z@mail-1.example.com, 10.0.0.255 and 1.2.3.4.5.6.7.8",
+    "256.1.1.1 001.2.3.4 1.2.3", "4111 1111 1111 1111 and 4111111111111112 4111-1111-1111-1111-0", "+1 (555) 123-4567 +12 +1234567",
+    "++1 234 567 890 12 34 56 78", "tel: (415) 555-0199 and ssn 123-45-6789", "write to jane.doe (at) example (dot) org now",
+    "1" * 3000, "a@" * 500 + "b.com", "+1" * 400, "x" * 20000 + "@y.zz", " ".join(["10.0.0.1"] * 900), "a@b.c\n" * 600,
+]
+
+
+@pytest.fixture(scope="module")
+def spans(spark):
+    rows = [(i, t, f"noise{i}") for i, t in enumerate(TEXTS)] + [(4, TEXTS[4], "again"), (None, TEXTS[9], None)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, base STRING")
+    return pii.spans_of(docs, "doc_id").cache()
+
+
+def test_base_spans_match_brute_force(spans):
+    model = pii.fit(spans)
+    done = pii.report(spans, model).collect()
+    assert len(done) == len(TEXTS) + 2
+    for row in done:
+        text = TEXTS[9] if row["doc_id"] is None else TEXTS[row["doc_id"]]
+        want = brute(text)
+        assert row["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), text
+        assert [row[f"n_{k}"] for k in KINDS] == [sum(w.startswith(k) for w in want) for k in KINDS]
+        assert set(want) <= set(row["spans"].split(",")) or not want
+
+
+def test_proposals_are_added_and_whole(spans):
+    got = {r["doc_id"]: r["spans"] for r in pii.report(spans, pii.fit(spans)).collect()}
+    assert got[9] == "phone:5:19,ssn:28:39"
+    assert got[10].startswith("email:9:")
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id BIGINT, text STRING")
+    spans = pii.spans_of(docs, "doc_id")
+    assert pii.report(spans, pii.fit(spans)).count() == 0
+
+
+def test_redaction_covers_all_spans(spark):
+    text = "é ab a@b.cd and 4111 1111 1111 1111 or +1 (415) 555-0199!"
+    docs = spark.createDataFrame([(1, text), (2, "clean"), (3, None)], "doc_id BIGINT, text STRING")
+    spans = pii.spans_of(docs, "doc_id", "text")
+    out = spans.select("doc_id", pii.redacted(F.col("text"), pii.accepted(pii.fit(spans))).alias("t"))
+    assert {r["doc_id"]: r["t"] for r in out.collect()} == {1: "é ab <EMAIL> and <CARD> or <PHONE>!", 2: "clean", 3: None}
+
+
+def test_overlapping_spans_are_one(spark):
+    spans = "array(named_struct('kind','a','start',0,'end',10), named_struct('kind','b','start',5,'end',20), named_struct('kind','c','start',15,'end',25))"
+    out = spark.range(1).select(pii.redacted(F.lit("0123456789" * 3), F.expr(spans)).alias("t")).first()
+    assert out["t"] == "<A>56789"
+
+
+def test_estimation_prefers_reliable_labelers():
+    good, bad = (1, 1, 1, 0, 1), (-1, -1, 0, -1, -1)
+    counts = [(good, ("phone", 1, 3, 0, 1, 0, 1), 80), (bad, ("phone", 1, 3, 0, 0, -1, -1), 40), ((0, 0, 0, 0, 0), ("phone", 2, 1, 0, 0, 0, 0), 5)]
+    belief, table = pii.reliabilities(counts)
+    assert belief[0] > 0.9 > 0.1 > belief[1]
+    assert table["shape"][1][1] > table["shape"][0][1]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import decontam, langid, packing, pii, quality, rules, warc
+from folioflow.llm import decontam, langid, neardup, packing, pii, quality, rules, warc
 from folioflow.llm.common import fold, table
 from folioflow.operators.shared import materialise, run_folder
 
@@ -86,3 +86,9 @@ def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
     """Personal data in every document: base spans, and proposals that the classifier accepts."""
     spans = materialise(pii.spans_of(table(spark, sf, "documents"), "doc_id"), "spans")
     return pii.report(spans, pii.fit(spans))
+
+
+@query
+def op3_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate classes of all documents by four-word shingles."""
+    return neardup.near_duplicates(table(spark, sf, "documents"), width=4)

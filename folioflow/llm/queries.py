@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import decontam, langid, neardup, packing, pii, quality, rules, warc
+from folioflow.llm import decontam, katz, langid, neardup, packing, pii, quality, rules, warc
 from folioflow.llm.common import fold, table
 from folioflow.operators.shared import materialise, run_folder
 
@@ -92,3 +92,11 @@ def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
 def op3_minhash(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate classes of all documents by four-word shingles."""
     return neardup.near_duplicates(table(spark, sf, "documents"), width=4)
+
+
+@query
+def op8_katz(spark: SparkSession, sf: str) -> DataFrame:
+    """Log probability of every document under a model of six of seven folds."""
+    held_out = fold(F.col("doc_id"), 7) == 2
+    done = katz.score(table(spark, sf, "documents"), ~held_out)
+    return done.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import decontam, katz, langid, neardup, packing, pii, quality, rules, warc
+from folioflow.llm import decontam, katz, langid, licenses, neardup, packing, pii, quality, rules, warc
 from folioflow.llm.common import fold, table
 from folioflow.operators.shared import materialise, run_folder
 
@@ -100,3 +100,12 @@ def op8_katz(spark: SparkSession, sf: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 7) == 2
     done = katz.score(table(spark, sf, "documents"), ~held_out)
     return done.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op5_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    """Licence notices in every document."""
+    return licenses.matches(table(spark, sf, "documents"))
+
+
+ORACLE["op5_licenses"] = licenses.oracle()

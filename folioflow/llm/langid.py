@@ -187,25 +187,33 @@ def learn(documents: DataFrame, max_languages: int = MAX_LANGUAGES) -> dict[str,
     return out
 
 
+def _judged(texts: list[str | None], names: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names and scores of texts; ``names`` has ``UNKNOWN`` after the names of the matrix' rows."""
+    rows, grams, counts, lettered = gram_counts(texts)
+    vectors = bundled(len(texts), rows, grams, counts)
+    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+    np.divide(vectors, norm, out=vectors, where=norm > 0)
+    if not len(matrix):
+        return np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+    cosine = np.round(vectors @ matrix.T, 5)  # names decide between equals
+    best = np.where(lettered, cosine.argmax(axis=1), len(matrix))
+    return names[best], np.where(lettered, np.clip(cosine.max(axis=1), 0.0, 1.0), 0.0)
+
+
+def _arrays(prototypes: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    names = np.array([*prototypes, UNKNOWN], object)
+    return names, np.stack(list(prototypes.values())) if prototypes else np.zeros((0, DIMENSIONS), np.float32)
+
+
 def predict(documents: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     """``doc_id, lang_pred, score`` per row; the score is the cosine, 0 where it is negative."""
-    names = np.array([*prototypes, UNKNOWN], object)
-    matrix = np.stack(list(prototypes.values())) if prototypes else np.zeros((0, DIMENSIONS), np.float32)
+    names, matrix = _arrays(prototypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS, "text", BYTES):
-            rows, grams, counts, lettered = gram_counts(batch.column(1).to_pylist())
-            vectors = bundled(batch.num_rows, rows, grams, counts)
-            norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-            np.divide(vectors, norm, out=vectors, where=norm > 0)
-            best = np.full(len(vectors), len(matrix))
-            score = np.zeros(len(vectors))
-            if len(matrix):
-                cosine = np.round(vectors @ matrix.T, 5)  # names decide between equals
-                best = np.where(lettered, cosine.argmax(axis=1), len(matrix))
-                score = np.where(lettered, np.clip(cosine.max(axis=1), 0.0, 1.0), 0.0)
+            found, score = _judged(batch.column(1).to_pylist(), names, matrix)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names[best], pa.string()), pa.array(score, pa.float64())],
+                [batch.column(0), pa.array(found, pa.string()), pa.array(score, pa.float64())],
                 ["doc_id", "lang_pred", "score"],
             )
 
@@ -214,6 +222,19 @@ def predict(documents: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFram
     )
 
 
+def recognised(documents: DataFrame, prototypes: dict[str, np.ndarray], least: float = 0.0) -> DataFrame:
+    """The rows of ``documents`` whose language is known with a score of ``least``; all columns, no shuffle."""
+    names, matrix = _arrays(prototypes)
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, ROWS, "text", BYTES):
+            found, score = _judged(batch.column(at).to_pylist(), names, matrix)
+            yield batch.filter(pa.array((found != UNKNOWN) & (score >= least), pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def identify(documents: DataFrame, train: Column) -> DataFrame:
     """Learn from the rows of ``documents(doc_id, text, lang)`` where ``train`` holds, predict all."""
     return predict(documents, learn(documents.where(train)))

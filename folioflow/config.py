@@ -97,7 +97,20 @@ class RouteLabels:
     short: str = "short"
 
 
+@dataclass(frozen=True)
+class StatusLabels:
+    """Values of the ``status`` column of pages and documents."""
+
+    translated: str = "translated"
+    unreadable: str = "unreadable"
+    no_pages: str = "no_pages"
+
+
 ROUTE = RouteLabels()
+STATUS = StatusLabels()
+# Messages of error events.
+TOO_LARGE_MESSAGE = "Translated PDF is too large to return."
+FAILED_MESSAGE = "Translation failed. Please try again."
 TRANSLATE_QUOTAS = (Quota("hour", 5), Quota("day", 20))
 MODEL_LIST_QUOTAS = (Quota("minute", 30),)
 

@@ -1,12 +1,10 @@
 """Cut a text into pieces of at most ``size`` characters, at sentence ends where possible.
 
-The rule is a greedy packing. Two ways lead to the same chunks:
-
-* Texts whose sentences all fit are packed by one regular expression: each match is the
-  longest stretch of whole sentences that still fits. This covers nearly every text.
-* Texts with an over-long sentence, whose words are packed one by one, take a fold over
-  tokens. It carries only integers (used length and the positions where a chunk starts);
-  the strings are put together afterwards, once per chunk.
+The rule is a greedy packing: tokens are sentences, or the words of a sentence that is too long,
+whose first word always opens a chunk. Tokens are marked off in the text and one regular
+expression then packs them: each match is the longest stretch of whole tokens that still fits,
+or a single word that never will. Its cost is linear in the text. A text that contains the marks
+themselves takes a fold over tokens, which needs no marks and is slower.
 """
 
 from __future__ import annotations
@@ -18,6 +16,7 @@ from folioflow.functions.text import let, strip, words
 
 # A space behind one of . ! ? ends a sentence; a bar is a cut of its own.
 SENTENCE_CUT = r"(?<=[.!?]) |\|"
+END_MARK, OPEN_MARK = "\x01", "\x02"
 
 
 def chunk_text(text: Column, size: int) -> Column:
@@ -34,13 +33,35 @@ def _pack_sentences(text: Column, size: int) -> Column:
     def checked(found: Column) -> Column:
         covered = F.aggregate(found, F.lit(0), lambda n, s: n + F.length(s) + 1)
         clean = F.transform(found, lambda s: strip(F.replace(s, F.lit("|"), F.lit(" "))))
-        return F.when(covered == F.length(text) + 1, clean).otherwise(fold_tokens(text, size))
+        marked = text.rlike(f"[{END_MARK}{OPEN_MARK}]")
+        return (
+            F.when(covered == F.length(text) + 1, clean)
+            .when(marked, fold_tokens(text, size))
+            .otherwise(_pack_marked(text, size))
+        )
 
     return let(stretches, checked)
 
 
+def _pack_marked(text: Column, size: int) -> Column:
+    """Every token followed by a mark, over-long sentences opened by another one, then one expression."""
+    end, opening = F.lit(END_MARK), F.lit(OPEN_MARK)
+
+    def parts(sentence: Column) -> Column:
+        return (
+            F.when(F.length(sentence) <= size, F.concat(sentence, end))
+            .when(strip(sentence) == "", opening)
+            .otherwise(F.concat(opening, F.array_join(words(sentence), END_MARK), end))
+        )
+
+    tokens = F.array_join(F.transform(F.split(text, SENTENCE_CUT), parts), "")
+    stretch = rf"\G{OPEN_MARK}*+([^{OPEN_MARK}]{{0,{size}}}(?={END_MARK})|[^{OPEN_MARK}{END_MARK}]++){END_MARK}"
+    found = F.regexp_extract_all(tokens, F.lit(stretch), F.lit(1))
+    return F.transform(found, lambda s: strip(F.replace(s, end, F.lit(" "))))
+
+
 def fold_tokens(text: Column, size: int) -> Column:
-    """The general packing; exact for every text, slower than the expression above."""
+    """The same packing without marks, by a fold that carries integers; for texts that hold the marks."""
     return _pack(_tokens(text, size), size)
 
 

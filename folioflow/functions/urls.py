@@ -9,6 +9,8 @@ check is a few range comparisons. Names are not resolved.
 from __future__ import annotations
 
 import ipaddress
+import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -134,6 +136,16 @@ def screen_url(url: Column) -> Column:
     return let(clean, _screen_decoded)
 
 
+@lru_cache(1)
+def _splitting() -> str:
+    """Characters that compatibility normalisation turns into a delimiter of URLs, as a character class.
+
+    A host with one of them is another host to whoever normalises it first.
+    """
+    found = (chr(c) for c in range(0x80, 0x110000) if set("/?#@:") & set(unicodedata.normalize("NFKC", chr(c))))
+    return f"[{''.join(found)}]"
+
+
 def _screen_decoded(clean: Column) -> Column:
     scheme = F.lower(F.regexp_extract(clean, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     authority = F.regexp_extract(clean, "^[^:]*://([^/?#]*)", 1)
@@ -144,7 +156,8 @@ def _screen_decoded(clean: Column) -> Column:
         inside = F.regexp_extract(endpoint, r"^\[([^\[\]]*)\](?::.*)?$", 1)
         outside = F.substring_index(endpoint, ":", 1)
         host = strip(F.lower(F.when(bracketed, inside).otherwise(outside)))
-        return let(F.struct(host.alias("host"), bracketed.alias("bracketed")), _judge_host)
+        named = let(F.struct(host.alias("host"), bracketed.alias("bracketed")), _judge_host)
+        return F.when(netloc.rlike(_splitting()), NOT_ALLOWED).otherwise(named)
 
     return F.when(F.coalesce(scheme, F.lit("")) != "https", NOT_HTTPS).otherwise(let(authority, judge))
 

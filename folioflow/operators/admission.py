@@ -16,6 +16,7 @@ from folioflow.functions.text import first_filled
 from folioflow.functions.urls import screen_url
 
 ADMITTED = "admitted"
+LANGUAGE = "language"
 
 # Order of the rules; the first one that applies names the verdict.
 REASONS = (

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.config import ROUTE, TranslationConfig
-from folioflow.operators.layout import page_blocks, route
+from folioflow.operators.layout import page_blocks, page_status, route
 from folioflow.operators.translation import EMPTY, FAILED, ColumnTranslator, translate_inline
 
 
@@ -31,7 +31,10 @@ def rejoin(chunks: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def translated_pages(layout: DataFrame, config: TranslationConfig, translator: ColumnTranslator) -> DataFrame:
-    """One row per page with its blocks translated in place; no shuffle."""
+    """One row per page with its blocks translated in place; no shuffle.
+
+    A document without pages has one row, without page number and text.
+    """
 
     def finish(block: Column) -> Column:
         way = route(F.col("page_num"), block["text"], config.skip_pages)
@@ -39,13 +42,13 @@ def translated_pages(layout: DataFrame, config: TranslationConfig, translator: C
         return F.when(way == ROUTE.translate, translate_inline(block["text"], translator, config.max_chunk_size)).otherwise(untouched)
 
     def total(field: str) -> Column:
-        return F.aggregate("done", F.lit(0), lambda acc, b: acc + b[field])
+        return F.coalesce(F.aggregate("done", F.lit(0), lambda acc, b: acc + b[field]), F.lit(0))
 
     pages = page_blocks(layout).withColumn("done", F.transform("text_blocks", finish))
     return pages.select(
-        "doc_id", "page_num", "n_pages",
+        "doc_id", "page_num", "n_pages", page_status().alias("status"),
         F.array_join(F.transform("done", lambda b: b["text"]), "\n").alias("translated"),
-        F.size("done").alias("n_blocks"),
+        F.when(F.col("done").isNotNull(), F.size("done")).otherwise(0).alias("n_blocks"),
         total("n_chunks").alias("n_chunks"),
         total("n_failed").alias("n_failed"),
     )
@@ -55,12 +58,15 @@ def documents_of(pages: DataFrame) -> DataFrame:
     """Pages to documents: one shuffle of finished page texts.
 
     A group is the pages of one document, whose result is one string. Sinks that do not
-    need that string should take the pages themselves.
+    need that string should take the pages themselves. ``status`` tells documents without
+    pages from those that could not be read; neither has a text.
     """
+    n_pages = F.count("page_num").cast("int")
     return pages.groupBy("doc_id").agg(
-        ordered_text("page_num", "translated", "\n").alias("translated"),
-        F.count(F.lit(1)).cast("int").alias("n_pages"),
+        F.when(n_pages > 0, ordered_text("page_num", "translated", "\n")).alias("translated"),
+        n_pages.alias("n_pages"),
         F.sum("n_blocks").cast("int").alias("n_blocks"),
         F.sum("n_chunks").cast("int").alias("n_chunks"),
         F.sum("n_failed").cast("int").alias("n_failed"),
+        F.max("status").alias("status"),
     )

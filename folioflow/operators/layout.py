@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.config import DEFAULT_FONT_SIZE, MIN_BLOCK_CHARS, ROUTE
+from folioflow.config import DEFAULT_FONT_SIZE, MIN_BLOCK_CHARS, ROUTE, STATUS
 from folioflow.functions.text import let, strip
 
 BLOCK_KEY = ["doc_id", "page_num", "block_no"]
@@ -102,14 +102,30 @@ def text_blocks(layout: DataFrame) -> DataFrame:
     """One row per text block. ``block_seq`` counts only the blocks that were kept."""
     # The array goes straight into the generator: exploding a column of an earlier select
     # makes the optimiser add a "not empty" filter that folds every page once more.
-    return layout.select(
-        "doc_id", "page_num", "n_pages", F.posexplode(_kept_blocks()).alias("block_seq", "b")
-    ).select(
+    return _block_rows(layout, _kept_blocks())
+
+
+def blocks_of(pages: DataFrame) -> DataFrame:
+    """The same rows from pages that are folded already (``page_blocks``)."""
+    return _block_rows(pages, F.col("text_blocks"))
+
+
+def _block_rows(rows: DataFrame, found: Column) -> DataFrame:
+    return rows.select("doc_id", "page_num", "n_pages", F.posexplode(found).alias("block_seq", "b")).select(
         "doc_id", "page_num", "b.block_no", "n_pages", "block_seq",
         "b.text", "b.bboxes", "b.rect", "b.font", "b.size",
     )
 
 
+def page_status() -> Column:
+    """What became of a page or, where a document has none, of the document."""
+    return (
+        F.when(F.col("n_pages").isNull(), STATUS.unreadable)
+        .when(F.col("n_pages") == 0, STATUS.no_pages)
+        .otherwise(STATUS.translated)
+    )
+
+
 def fold_spans(spans: DataFrame) -> DataFrame:
     """Blocks from a flat span table ``(…ordinals, block_type, text, x0…y1, font, size)``.
 
@@ -166,7 +182,7 @@ def blank_pages(layout: DataFrame) -> DataFrame:
         filled = lambda line: F.exists(line["spans"], lambda s: strip(s["text"]) != "")
         return (block["type"] == 0) & F.exists(block["lines"], filled)
 
-    return layout.where(~F.exists("blocks", has_text)).select("doc_id", "page_num")
+    return layout.where(F.col("page_num").isNotNull() & ~F.exists("blocks", has_text)).select("doc_id", "page_num")
 
 
 def flagged_pages(layout: DataFrame, skip_pages: Sequence[int]) -> DataFrame:
@@ -176,5 +192,8 @@ def flagged_pages(layout: DataFrame, skip_pages: Sequence[int]) -> DataFrame:
 
 
 def page_counts(layout: DataFrame) -> DataFrame:
-    """Pages per document. Each page carries the number, so the first one tells it without a shuffle."""
-    return layout.where("page_num = 0").select("doc_id", "n_pages")
+    """Pages per document: 0 without any, null if unreadable.
+
+    Each page carries the number, so the first one tells it without a shuffle.
+    """
+    return layout.where("page_num = 0 OR page_num IS NULL").select("doc_id", "n_pages")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from folioflow.config import FAILED_MESSAGE, STATUS, TOO_LARGE_MESSAGE
 from folioflow.functions.text import download_name, megabytes, percent, reduction
 from folioflow.operators.translation import EMPTY, FAILED
 
@@ -17,7 +18,7 @@ def page_progress(layout: DataFrame) -> DataFrame:
     The number of pages travels with each page, so nothing has to be counted or ranked.
     """
     page = F.col("page_num") + 1
-    return layout.select(
+    return layout.where("page_num IS NOT NULL").select(
         "doc_id", page.alias("page"), F.col("n_pages").alias("total"), percent(page, F.col("n_pages")).alias("percent")
     )
 
@@ -39,6 +40,16 @@ def error_event(message: Column) -> Column:
     return F.to_json(F.struct(F.lit("error").alias("type"), message.alias("message")))
 
 
+def final_event(filename: Column, max_output_bytes: int) -> Column:
+    """The one event that ends a job with ``status`` and ``translated``."""
+    payload = F.encode("translated", "utf-8")
+    return (
+        F.when(F.col("status") != STATUS.translated, error_event(F.lit(FAILED_MESSAGE)))
+        .when(F.octet_length(payload) > max_output_bytes, error_event(F.lit(TOO_LARGE_MESSAGE)))
+        .otherwise(done_event(filename, payload))
+    )
+
+
 def size_report(df: DataFrame, before: str, after: str, by: Sequence[str]) -> DataFrame:
     """Totals before and after, megabytes and reduction in percent, per group."""
     totals = df.groupBy(*by).agg(
@@ -64,6 +75,12 @@ def outcome_report(chunks: DataFrame, by: Sequence[str]) -> DataFrame:
     return chunks.groupBy(*by, "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def outcome_causes(chunks: DataFrame, by: Sequence[str]) -> DataFrame:
+    """How many chunks ended in which status for which reason: the kind of the service's error."""
+    cause = F.nullif(F.regexp_extract("error", "^([A-Za-z_.]+)", 1), F.lit(""))
+    return chunks.groupBy(*by, "status", cause.alias("cause")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def observed(chunks: DataFrame, observation: Observation) -> DataFrame:
     """Count chunks and failures while another action runs; read them from the observation."""
     return chunks.observe(

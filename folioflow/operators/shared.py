@@ -23,6 +23,17 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def file_system(spark: SparkSession, path: str):
+    """The store a path belongs to, and the path as that store knows it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = file_system(spark, path)
+    return fs.exists(at)
+
+
 def run_folder(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other run uses."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
@@ -42,21 +53,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores when the input has fewer splits than the cluster has cores.
 
-    Large inputs have far more splits than cores and are left as they are.
+    Large inputs have far more splits than cores and are left as they are. Rows are the same
+    either way; the number of splits is known once the scan is planned.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def attach(facts: DataFrame, lookup: DataFrame, key: str, weight: str, share: int = 1000) -> DataFrame:
+def attach(facts: DataFrame, lookup: DataFrame, key: str, weight: str, share: int | None = None) -> DataFrame:
     """Left join on ``key`` that stays even when one key carries a large part of ``facts``.
 
     ``lookup`` has one row per key and must be a written table; ``weight`` is the number
     of fact rows with that key. A key with more than 1/``share`` of all fact rows is split
     into pieces of at most that size. Fewer than ``share`` keys can be that heavy, so the
-    table of splits that is broadcast has fewer than ``share`` rows of (key, number).
+    table of splits that is broadcast has fewer than ``share`` rows of (key, number). By
+    default a piece is at most a quarter of an even shuffle partition.
     """
+    if share is None:
+        share = max(1000, 4 * int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     total = lookup.agg(F.sum(weight)).scalar()
     heavy = lookup.where(F.col(weight) * share > total).select(
         key, F.ceil(F.col(weight) * share / total).cast("int").alias("pieces")

@@ -11,6 +11,7 @@ Two kinds of translator are supported:
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.chunking import chunk_text
 from folioflow.functions.text import let, strip
-from folioflow.operators.shared import attach, materialise
-from folioflow.schemas import ANSWERS
+from folioflow.operators.shared import attach, exists, materialise, run_folder
+from folioflow.schemas import ANSWERED, ANSWERS
 
 ColumnTranslator = Callable[[Column], Column]
 BatchTranslator = Callable[[list[str]], Sequence["str | None | Exception"]]
@@ -129,26 +130,54 @@ def ask(
     return requests.select("chunk_key", "text", "copies").mapInPandas(run, ANSWERS)
 
 
+def usable_answers(memory: DataFrame) -> DataFrame:
+    """``chunk_key, translated, status``: one finished answer per key, the smallest of several."""
+    done = memory.where(F.col("status") == TRANSLATED)
+    return done.groupBy("chunk_key").agg(F.min("translated").alias("translated"), F.first("status").alias("status"))
+
+
 def answered(
-    requests: DataFrame, translator: BatchTranslator, max_tasks: int | None = None, memory: DataFrame | None = None
+    requests: DataFrame,
+    translator: BatchTranslator,
+    max_tasks: int | None = None,
+    memory: DataFrame | None = None,
+    answers_at: str | None = None,
+    per_commit: int = 100_000,
 ) -> DataFrame:
-    """A written table ``(chunk_key, copies, translated, status)``, one row per distinct text.
+    """A written table ``(chunk_key, copies, translated, status, error)``, one row per distinct text.
 
-    With a ``memory(chunk_key, translated, status)`` only what it has no answer for is sent.
+    Only what has no answer yet is sent: neither in ``memory(chunk_key, translated, status)`` nor
+    in ``answers_at``, a folder where answers are kept. Requests go out in hash buckets of about
+    ``per_commit`` texts, each written as soon as it is complete, so a job that breaks off loses
+    at most one bucket: run again with the same folder, it sends only what is missing.
+    ``max_tasks`` limits how many tasks call the service at the same time.
     """
-    if memory is None:
-        return resolve(materialise(ask(requests, translator, max_tasks), "answers"))
+    spark = requests.sparkSession
     requests = materialise(requests, "requests")
-    usable = memory.where(F.col("status") == TRANSLATED)
-    sent = resolve(ask(missing_requests(requests, usable), translator, max_tasks))
-    known = requests.select("chunk_key", "copies").join(usable.select("chunk_key", "translated", "status"), "chunk_key")
-    return materialise(sent.unionByName(known), "answers")
+    known = None if memory is None else memory.select("chunk_key", "translated", "status")
+    if answers_at is not None and exists(spark, answers_at):
+        kept = spark.read.schema(ANSWERED).option("recursiveFileLookup", "true").parquet(answers_at)
+        kept = kept.select("chunk_key", "translated", "status")
+        known = kept if known is None else known.unionByName(kept)
+    usable = None if known is None else usable_answers(known)
+    missing = requests if usable is None else materialise(missing_requests(requests, usable), "missing")
+    buckets = max(1, -(-missing.count() // per_commit))
+    run = f"{answers_at}/run-{uuid.uuid4().hex}" if answers_at else run_folder(spark, "answers")
+    for bucket in range(buckets):
+        # from the written requests: a bucket that is sent does not touch the others
+        part = missing.where(F.pmod(F.xxhash64("chunk_key"), F.lit(buckets)) == bucket) if buckets > 1 else missing
+        resolve(ask(part, translator, max_tasks)).write.parquet(f"{run}/bucket-{bucket}")
+    sent = spark.read.schema(ANSWERED).option("recursiveFileLookup", "true").parquet(run)
+    if usable is None:
+        return sent
+    found = requests.select("chunk_key", "copies").join(usable, "chunk_key").withColumn("error", F.lit(None).cast("string"))
+    return materialise(sent.unionByName(found), "answers")
 
 
 def resolve(answers: DataFrame) -> DataFrame:
     done = answers.withColumn("done", outcome(F.col("text"), F.col("answer")))
     return done.select(
-        "chunk_key", "copies", F.col("done.text").alias("translated"), F.col("done.status").alias("status")
+        "chunk_key", "copies", F.col("done.text").alias("translated"), F.col("done.status").alias("status"), "error"
     )
 
 
@@ -158,10 +187,10 @@ def translate_once(
     source_lang: str,
     target_lang: str,
     model: str | None = None,
-    max_tasks: int | None = None,
-    memory: DataFrame | None = None,
+    **service,
 ) -> DataFrame:
-    """All chunks with ``translated`` and ``status``; every distinct text is sent once.
+    """All chunks with ``translated``, ``status`` and ``error``; every distinct text is sent once.
+    ``service`` are the settings of ``answered``.
 
     Chunks are cut once and written with their key. The texts then cross the network once,
     for the distinct; the way back reads only ordinals and keys of the written chunks and
@@ -169,7 +198,7 @@ def translate_once(
     """
     key = chunk_key(F.col("text"), source_lang, target_lang, model)
     cut = materialise(chunks.withColumn("chunk_key", key), "chunks")
-    answers = answered(distinct_requests(cut, F.col("chunk_key")), translator, max_tasks, memory)
+    answers = answered(distinct_requests(cut, F.col("chunk_key")), translator, **service)
     keyed = cut.drop("text", "over_limit")
     return attach(keyed, answers, "chunk_key", "copies").drop("chunk_key")
 

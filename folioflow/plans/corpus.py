@@ -1,13 +1,16 @@
-"""The whole job: layout trees in, translated pages or documents out."""
+"""The whole job: layout trees in, translated pages, documents, edit plans or events out."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.config import ROUTE, TranslationConfig
-from folioflow.operators import assembly
+from folioflow.config import MAX_OUTPUT_BYTES, ROUTE, TranslationConfig
+from folioflow.operators import assembly, edits, reports
 from folioflow.operators import layout as lay
+from folioflow.operators.shared import materialise
 from folioflow.operators.translation import BatchTranslator, ColumnTranslator, chunks_of, translate_once
 
 
@@ -17,51 +20,90 @@ def translate_pages(
     *,
     column: ColumnTranslator | None = None,
     batch: BatchTranslator | None = None,
-    max_tasks: int | None = None,
-    memory: DataFrame | None = None,
+    **service,
 ) -> DataFrame:
-    """One row per page: ``doc_id, page_num, translated, n_blocks, n_chunks, n_failed``.
+    """One row per page: ``doc_id, page_num, status, translated, n_blocks, n_chunks, n_failed``.
 
     Give either a ``column`` translator, which stays within each page's row, or a ``batch``
-    translator, which is called once per distinct chunk of the corpus by at most
-    ``max_tasks`` tasks at a time, and only for chunks that ``memory`` has no answer for.
+    translator, which is called once per distinct chunk of the corpus; ``service`` are the
+    settings of ``translation.answered``. For the latter the layout is read once: folded pages
+    are written before anything else looks at them. A document without pages, or one that could
+    not be read, has one row without page number; ``status`` says which.
     """
     if (column is None) == (batch is None):
         raise ValueError("give either a column or a batch translator")
     if column is not None:
         return assembly.translated_pages(layout, config, column).drop("n_pages")
-    blocks = lay.routed_blocks(lay.text_blocks(layout), config.skip_pages)
-    done = translate_blocks(blocks, config, batch, max_tasks, memory)
+    pages = folded(layout)
+    blocks = lay.routed_blocks(lay.blocks_of(pages), config.skip_pages)
+    done = translate_blocks(blocks, config, batch, **service)
     shape = [*lay.BLOCK_KEY, "translated", "n_chunks", "n_failed"]
     none = F.lit(0)
     untouched = blocks.where(F.col("route") != ROUTE.translate).select(
         *lay.BLOCK_KEY, F.col("text").alias("translated"), none.alias("n_chunks"), none.alias("n_failed")
     )
     # every page once, so that pages without any text stay in
-    frames = layout.select(
+    frames = pages.select(
         "doc_id", "page_num", F.lit(None).cast("int").alias("block_no"), F.lit(None).cast("string").alias("translated"),
-        none.alias("n_chunks"), none.alias("n_failed"),
+        none.alias("n_chunks"), none.alias("n_failed"), lay.page_status().alias("status"),
     )
-    parts = done.select(shape).unionByName(untouched).unionByName(frames)
+    parts = done.select(shape).unionByName(untouched).unionByName(frames, allowMissingColumns=True)
     return parts.groupBy("doc_id", "page_num").agg(
-        assembly.ordered_text("block_no", "translated", "\n").alias("translated"),
+        F.max("status").alias("status"),
+        F.when(F.col("page_num").isNotNull(), assembly.ordered_text("block_no", "translated", "\n")).alias("translated"),
         F.count("block_no").cast("int").alias("n_blocks"),
         F.sum("n_chunks").cast("int").alias("n_chunks"),
         F.sum("n_failed").cast("int").alias("n_failed"),
     )
 
 
-def translate_blocks(
-    blocks: DataFrame, config: TranslationConfig, batch: BatchTranslator, max_tasks: int | None = None,
-    memory: DataFrame | None = None,
-) -> DataFrame:
+def folded(layout: DataFrame) -> DataFrame:
+    """Pages with their blocks folded, written: a decoder runs once, however many branches follow."""
+    return materialise(lay.page_blocks(layout), "folded")
+
+
+def translate_blocks(blocks: DataFrame, config: TranslationConfig, batch: BatchTranslator, **service) -> DataFrame:
     """Blocks routed to translation, as ``(…block key, translated, n_chunks, n_failed)``."""
     chosen = blocks.where(F.col("route") == ROUTE.translate)
     pieces = chunks_of(chosen, config.max_chunk_size, lay.BLOCK_KEY)
-    done = translate_once(pieces, batch, config.source_lang, config.target_lang, config.model, max_tasks, memory)
+    done = translate_once(pieces, batch, config.source_lang, config.target_lang, config.model, **service)
     return assembly.rejoin(done, lay.BLOCK_KEY)
 
 
 def translate_documents(layout: DataFrame, config: TranslationConfig, **translator) -> DataFrame:
     """Translated pages put together to one row per document."""
     return assembly.documents_of(translate_pages(layout, config, **translator))
+
+
+def translate_edits(
+    layout: DataFrame,
+    config: TranslationConfig,
+    fonts: Sequence[str],
+    *,
+    column: ColumnTranslator | None = None,
+    batch: BatchTranslator | None = None,
+    **service,
+) -> DataFrame:
+    """The edit plan of all pages, by either kind of translator; decoding happens once."""
+    if (column is None) == (batch is None):
+        raise ValueError("give either a column or a batch translator")
+    if column is not None:
+        return edits.edit_plan(edits.translated_blocks(lay.text_blocks(layout), config, column), config, fonts)
+    blocks = lay.routed_blocks(lay.blocks_of(folded(layout)), config.skip_pages)
+    done = translate_blocks(blocks, config, batch, **service)
+    return edits.edit_plan(edits.with_translations(blocks.drop("route"), done), config, fonts)
+
+
+def job_events(
+    layout: DataFrame, documents: DataFrame, name: Column, max_output_bytes: int = MAX_OUTPUT_BYTES
+) -> DataFrame:
+    """``doc_id, seq, event``: JSON lines of every job, in order of ``seq``.
+
+    A line of progress as each page starts, then exactly one ``done`` with the result, or one
+    ``error``: for a job that could not be read, or whose result is larger than
+    ``max_output_bytes``. ``documents`` come from ``translate_documents``; ``name`` is the
+    upload's name, an expression over them.
+    """
+    progress = reports.page_progress(layout).select("doc_id", F.col("page").alias("seq"), reports.progress_event().alias("event"))
+    last = documents.select("doc_id", (F.col("n_pages") + 1).alias("seq"), reports.final_event(name, max_output_bytes).alias("event"))
+    return progress.unionByName(last)

@@ -236,7 +236,7 @@ screened AS (
     WHEN ip // 16777216 IN (0, 10, 127) OR ip // 16777216 >= 224
       OR ip // 4194304 = 401 OR ip // 65536 IN (43518, 49320) OR ip // 1048576 = 2753
       OR (ip // 256 IN (12582912, 12582914, 12989284, 13303668) AND ip NOT IN (3221225481, 3221225482))
-      OR ip // 131072 = 25353 + 0 * 131072
+      OR ip // 131072 = 25353
       THEN 'not_allowed'
     ELSE 'allowed' END AS verdict
   FROM addressed)
@@ -341,8 +341,29 @@ ORACLE = {
     "translated_docs_service": f"WITH {_DOCS} SELECT * FROM docs",
     "translate_corpus": f"""WITH {_LANG_CHUNKS}, {_translated()}
         SELECT doc_id, lang, string_agg(translated, ' ' ORDER BY chunk_no) AS translated, CAST(count(*) AS INT) AS n_chunks,
-          CAST(count(*) FILTER (status IN ('failed', 'empty')) AS INT) AS n_failed
-        FROM done WHERE lang IN ({_LANGS}) GROUP BY doc_id, lang""",
+          CAST(count(*) FILTER (status IN ('failed', 'empty')) AS INT) AS n_failed, 'admitted' AS verdict
+        FROM done WHERE lang IN ({_LANGS}) GROUP BY doc_id, lang
+        UNION ALL SELECT doc_id, lang, NULL, 0, 0, 'language' FROM documents WHERE lang NOT IN ({_LANGS})""",
+    "decode_outcomes": """WITH d AS (
+        SELECT doc_id, strlen(text) % 7 AS r, CAST((len(string_split(text, chr(10))) + 19) // 20 AS INT) AS n FROM documents)
+        SELECT doc_id, CASE r WHEN 0 THEN 'unreadable' WHEN 1 THEN 'no_pages' ELSE 'translated' END AS status,
+          CASE WHEN r < 2 THEN 0 ELSE n END AS n_pages, r < 2 AS without_text FROM d""",
+    "outcome_causes": f"""WITH {_LANG_CHUNKS}, {_translated()} SELECT lang, status,
+        CASE WHEN status = 'failed' THEN 'RuntimeError' END AS cause, count(*) AS n FROM done GROUP BY ALL""",
+    "job_events": f"""WITH {_DOCS}, {_PROGRESS.replace(SPANS + ',', '')}
+        SELECT doc_id, page AS seq, '{{"type":"progress","page":' || page || ',"total":' || total || ',"percent":' || percent || '}}' AS event FROM progress
+        UNION ALL SELECT doc_id, n_pages + 1, CASE WHEN strlen(translated) > 6000
+          THEN '{{"type":"error","message":"Translated PDF is too large to return."}}'
+          ELSE '{{"type":"done","filename":"doc' || doc_id || '_translated.pdf","pdf_b64":"' || base64(encode(translated)) || '"}}' END
+        FROM docs""",
+    "intake_files": f"""SELECT 'up/' || page_id || CASE WHEN page_id % 9 = 4 THEN '.txt' ELSE '.html' END AS path,
+        CASE WHEN page_id % 9 = 2 THEN 'empty' WHEN page_id % 9 = 4 THEN 'magic' WHEN page_id % 9 = 5 THEN 'missing'
+          WHEN strlen(html) + CAST(page_id % 9 = 3 AS INT) > {JOB_RULES.max_bytes} THEN 'size' WHEN page_id % 9 = 3 THEN 'magic'
+          WHEN starts_with(html, '<!DOCTYPE') THEN 'admitted' ELSE 'magic' END AS verdict FROM pages""",
+    "quota_large": """WITH r AS (
+        SELECT event_id, event_type AS client,
+          row_number() OVER (PARTITION BY event_type, date_trunc('month', ts) ORDER BY event_id) <= 1500 AS ok FROM events)
+        SELECT event_id, client, ok AS within_day, ok AS allowed FROM r""",
     "outcome_report": f"WITH {_LANG_CHUNKS}, {_translated()} SELECT lang, status, count(*) AS n FROM done GROUP BY lang, status",
     "size_report": f"""WITH {_LANG_CHUNKS}, {_translated()},
         outs AS (SELECT doc_id, string_agg(translated, ' ' ORDER BY chunk_no) AS o FROM done GROUP BY doc_id),
@@ -375,6 +396,7 @@ ORACLE = {
         SELECT {_KEY} AS chunk_key, count(*) AS copies, translated, status FROM done GROUP BY text, translated, status""",
     "stream_quota": _VERDICTS,
     "stream_over_limit": """SELECT event_type AS client, date_trunc('hour', ts) AS period, count(*) AS n FROM events
-        GROUP BY ALL HAVING count(*) > 5 AND date_trunc('hour', any_value(ts)) + INTERVAL 1 HOUR
-          <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+        GROUP BY ALL HAVING count(*) > 5""",
 }
+for _name in ("preserve", "free"):
+    ORACLE[f"edit_plan_service_{_name}"] = ORACLE[f"edit_plan_{_name}"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow import schemas
-from folioflow.config import MODEL_LIST_QUOTAS, TRANSLATE_QUOTAS, AdmissionRules
+from folioflow.config import MODEL_LIST_QUOTAS, TRANSLATE_QUOTAS, AdmissionRules, Quota
 from folioflow.functions import chat, text
 from folioflow.functions.urls import screen_url
 from folioflow.operators import admission, assembly, edits, quota, reports, translation
@@ -94,6 +94,23 @@ def compact_dataset(spark, sf):
     return sinks.compact_dataset(spark, f"{sf}/documents.parquet", out).drop("path")
 
 
+@query
+def intake_files(spark, sf):
+    """Pages as uploads, some not listed: empty, of another kind, or never arrived."""
+    page = F.col("page_id")
+    path = F.concat(F.lit("up/"), page.cast("string"), F.when(page % 9 == 4, ".txt").otherwise(".html"))
+    content = F.when(page % 9 == 2, "").when(page % 9 == 3, F.concat(F.lit(" "), "html")).otherwise(F.col("html"))
+    uploads = table(spark, sf, "pages").select(path.alias("path"), F.encode(content, "utf-8").alias("content"), page.alias("id"))
+    sized = uploads.withColumn("length", F.octet_length("content").cast("bigint"))
+    manifest = sized.select("path", F.when(page_is(5), None).otherwise(F.col("length")).alias("length"))
+    listed = sized.where((F.col("length") > 0) & ~page_is(4) & ~page_is(5)).drop("id")
+    return readers.screen_files(listed, JOB_RULES, manifest).select("path", "verdict")
+
+
+def page_is(rest: int):
+    return F.col("id") % 9 == rest
+
+
 @query
 def compacted_rows(spark, sf):
     """What the rewritten dataset holds: all rows, unchanged."""
@@ -311,7 +328,7 @@ def translate_fallback(spark, sf):
 def translate_distinct(spark, sf):
     return translation.translate_once(
         _doc_chunks(spark, sf), stand_in_batch, CONFIG.source_lang, CONFIG.target_lang, CONFIG.model
-    )
+    ).drop("error")
 
 
 @query
@@ -333,29 +350,59 @@ def rejoin_blocks(spark, sf):
 
 @query
 def translated_pages(spark, sf):
-    return corpus.translate_pages(inputs.layout(spark, sf), CONFIG, column=stand_in)
+    return corpus.translate_pages(inputs.layout(spark, sf), CONFIG, column=stand_in).drop("status")
 
 
 @query
 def translated_docs(spark, sf):
-    return corpus.translate_documents(inputs.layout(spark, sf), CONFIG, column=stand_in)
+    return corpus.translate_documents(inputs.layout(spark, sf), CONFIG, column=stand_in).drop("status")
 
 
 @query
 def translated_docs_service(spark, sf):
     """The same documents through the batch translator."""
-    return corpus.translate_documents(inputs.layout(spark, sf), CONFIG, batch=stand_in_batch)
+    return corpus.translate_documents(inputs.layout(spark, sf), CONFIG, batch=stand_in_batch).drop("status")
+
+
+@query
+def decode_outcomes(spark, sf):
+    """Every document through a decoder that fails on some and finds no pages in others."""
+    docs = documents(spark, sf, "doc_id", F.encode("text", "utf-8").alias("content"))
+    done = corpus.translate_documents(readers.decode_layout(docs, _moody_decoder), CONFIG, batch=stand_in_batch)
+    return done.select("doc_id", "status", "n_pages", F.col("translated").isNull().alias("without_text"))
+
+
+def _moody_decoder(content: bytes):
+    if len(content) % 7 == 0:
+        raise ValueError("not readable")
+    return [] if len(content) % 7 == 1 else list(_lines_as_layout(content))
 
 
 @query
 def translate_corpus(spark, sf):
-    """Admission by language, chunks, each distinct chunk once, fallback, documents."""
-    docs = documents(spark, sf, "doc_id", "lang", "text").where(
-        admission.language_allowed(F.col("lang"), JOB_RULES.languages)
+    """Admission by language, chunks, each distinct chunk once, fallback, documents.
+
+    Documents in other languages stay, with the verdict that says why they have no translation.
+    """
+    docs = documents(spark, sf, "doc_id", "lang", "text")
+    allowed = F.coalesce(admission.language_allowed(F.col("lang"), JOB_RULES.languages), F.lit(False))
+    pieces = translation.chunks_of(docs.where(allowed), CONFIG.max_chunk_size, ["doc_id", "lang"])
+    done = translation.translate_once(pieces, stand_in_batch, CONFIG.source_lang, CONFIG.target_lang, CONFIG.model)
+    translated = assembly.rejoin(done, ["doc_id", "lang"]).withColumn("verdict", F.lit(admission.ADMITTED))
+    none = F.lit(0)
+    refused = docs.where(~allowed).select(
+        "doc_id", "lang", F.lit(None).cast("string").alias("translated"), none.alias("n_chunks"), none.alias("n_failed"),
+        F.lit(admission.LANGUAGE).alias("verdict"),
     )
-    pieces = translation.chunks_of(docs, CONFIG.max_chunk_size, ["doc_id", "lang"])
+    return translated.unionByName(refused)
+
+
+@query
+def outcome_causes(spark, sf):
+    """Chunks by outcome, and by the kind of error where the service failed."""
+    pieces = translation.chunks_of(documents(spark, sf, "doc_id", "lang", "text"), CONFIG.max_chunk_size, ["doc_id", "lang"])
     done = translation.translate_once(pieces, stand_in_batch, CONFIG.source_lang, CONFIG.target_lang, CONFIG.model)
-    return assembly.rejoin(done, ["doc_id", "lang"])
+    return reports.outcome_causes(done, ["lang"])
 
 
 @query
@@ -378,23 +425,41 @@ def size_report(spark, sf):
 # --- edit plans --------------------------------------------------------------------------
 
 
-def _plan(spark, sf, preserve: bool):
+def _plan(spark, sf, preserve: bool, **translator):
     config = inputs.TranslationConfig(
         CONFIG.source_lang, CONFIG.target_lang, skip_pages=SKIP_PAGES, preserve_layout=preserve
     )
-    done = edits.translated_blocks(lay.text_blocks(inputs.layout(spark, sf)), config, stand_in)
-    plan = edits.edit_plan(done, config, FONTS)
+    plan = corpus.translate_edits(inputs.layout(spark, sf), config, FONTS, **translator)
     return plan.withColumns({"size": F.round("size", 6), "align": F.col("align").cast("string")})
 
 
 @query
 def edit_plan_preserve(spark, sf):
-    return _plan(spark, sf, True)
+    return _plan(spark, sf, True, column=stand_in)
 
 
 @query
 def edit_plan_free(spark, sf):
-    return _plan(spark, sf, False)
+    return _plan(spark, sf, False, column=stand_in)
+
+
+@query
+def edit_plan_service_preserve(spark, sf):
+    return _plan(spark, sf, True, batch=stand_in_batch)
+
+
+@query
+def edit_plan_service_free(spark, sf):
+    return _plan(spark, sf, False, batch=stand_in_batch)
+
+
+@query
+def job_events(spark, sf):
+    """All events of every job as JSON lines, with a limit on the size of results."""
+    layout = inputs.layout(spark, sf)
+    docs = corpus.translate_documents(layout, CONFIG, column=stand_in)
+    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    return corpus.job_events(layout, docs, name, max_output_bytes=6_000)
 
 
 # --- progress and quotas -----------------------------------------------------------------
@@ -429,6 +494,13 @@ def quota_report(spark, sf):
     return quota.quota_report(_arrivals(spark, sf), TRANSLATE_QUOTAS)
 
 
+@query
+def quota_large(spark, sf):
+    """A limit beyond the optimiser's threshold for group limits."""
+    month = quota.arrivals(table(spark, sf, "events").withColumn("ts", F.date_trunc("month", "ts").cast("timestamp_ntz")), "event_type")
+    return quota.with_verdicts(month, (Quota("day", 1_500),)).drop("ts")
+
+
 # --- streaming ---------------------------------------------------------------------------
 
 
@@ -468,7 +540,7 @@ def stream_quota(spark, sf):
     events = quota.arrivals(inputs.arriving_table(spark, sf, "events"), "event_type")
     folder = run_folder(spark, "quota")
     _finish(jobs.start_quota(events, TRANSLATE_QUOTAS, folder))
-    return spark.read.parquet(f"{folder}/verdicts").drop("ts", "batch_id")
+    return spark.read.parquet(f"{folder}/verdicts").drop("ts", "batch_id", "late")
 
 
 @query
@@ -476,5 +548,5 @@ def stream_over_limit(spark, sf):
     events = quota.arrivals(inputs.arriving_table(spark, sf, "events"), "event_type")
     folder = run_folder(spark, "over-limit")
     _finish(jobs.start_over_limit(events, TRANSLATE_QUOTAS[0], folder))
-    windows = spark.read.schema("client STRING, period TIMESTAMP, n BIGINT").parquet(f"{folder}/out")
-    return windows.withColumn("period", F.col("period").cast("timestamp_ntz"))
+    over = jobs.read_over_limit(spark, folder, TRANSLATE_QUOTAS[0])
+    return over.withColumn("period", F.col("period").cast("timestamp_ntz"))

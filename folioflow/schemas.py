@@ -91,3 +91,12 @@ ANSWERS = T.StructType([
     T.StructField("answer", T.StringType()),
     T.StructField("error", T.StringType()),
 ])
+
+# Answers as they are kept: the text to use, and why the source had to stand in.
+ANSWERED = T.StructType([
+    T.StructField("chunk_key", T.StringType()),
+    T.StructField("copies", T.LongType()),
+    T.StructField("translated", T.StringType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("error", T.StringType()),
+])

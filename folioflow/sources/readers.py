@@ -36,29 +36,34 @@ def screen_files(files: DataFrame, rules: AdmissionRules, manifest: DataFrame |
     """Verdict by size and first bytes. The size limit reaches the file listing, so
     oversized files are judged without being read.
 
-    Spark's file sources leave files of zero bytes out. A ``manifest(path)`` of all uploads
-    brings them back: what it names and the listing lacks is ``empty``.
+    ``files`` is any ``(path, length, content)``. Spark's file sources leave files of zero bytes
+    out; a ``manifest(path, length)`` of all uploads brings them back. What it names and the
+    listing lacks is ``empty`` if the manifest says 0 bytes, ``missing`` if its length is null,
+    and else ``magic``: the file is there, but its name is of another kind.
     """
     large = files.where(F.col("length") > rules.max_bytes).select("path", "length", F.lit("size").alias("verdict"))
     small = files.where(F.col("length") <= rules.max_bytes)
     verdict = (
-        F.when(~F.startswith("content", F.lit(rules.magic)), "magic")
-        .otherwise("admitted")
+        F.when(F.col("length") == 0, "empty")
+        .when(F.startswith("content", F.lit(rules.magic)), "admitted")
+        .otherwise("magic")
     )
     judged = small.select("path", "length", verdict.alias("verdict")).unionByName(large)
     if manifest is None:
         return judged
-    absent = manifest.select("path").join(files.select("path"), "path", "left_anti")
-    return judged.unionByName(
-        absent.select("path", F.lit(0).cast("bigint").alias("length"), F.lit("empty").alias("verdict"))
+    absent = manifest.select("path", F.col("length").cast("bigint").alias("length")).join(
+        files.select("path"), "path", "left_anti"
     )
+    reason = F.when(F.col("length") == 0, "empty").when(F.col("length").isNull(), "missing").otherwise("magic")
+    return judged.unionByName(absent.select("path", "length", reason.alias("verdict")))
 
 
 def decode_layout(documents: DataFrame, decoder: Decoder) -> DataFrame:
     """Layout rows of ``documents(doc_id, content)``, one per page.
 
-    A document the decoder cannot read yields one row without pages, which the intake
-    reports as ``unreadable``. Pages leave the worker document by document.
+    A document the decoder cannot read yields one row without page number and page count,
+    which the intake reports as ``unreadable``; one without pages yields a row with 0 pages.
+    Pages leave the worker document by document.
     """
     out = to_arrow_schema(LAYOUT)
 
@@ -67,6 +72,8 @@ def decode_layout(documents: DataFrame, decoder: Decoder) -> DataFrame:
             pages = list(decoder(content))
         except Exception:
             return [{"doc_id": doc_id, "page_num": None, "n_pages": None, "blocks": None}]
+        if not pages:
+            return [{"doc_id": doc_id, "page_num": None, "n_pages": 0, "blocks": None}]
         return [
             {"doc_id": doc_id, "page_num": n, "n_pages": len(pages), "blocks": blocks}
             for n, blocks in enumerate(pages)
@@ -75,8 +82,6 @@ def decode_layout(documents: DataFrame, decoder: Decoder) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, content in zip(batch["doc_id"], batch["content"]):
-                rows = pages_of(doc_id.as_py(), content.as_py())
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=out)
+                yield pa.RecordBatch.from_pylist(pages_of(doc_id.as_py(), content.as_py()), schema=out)
 
     return documents.select("doc_id", "content").mapInArrow(run, LAYOUT)

@@ -8,23 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.operators.reports import with_sizes
+from folioflow.operators.shared import exists, file_system
 from folioflow.schemas import PROGRESS_EVENT
 
 log = logging.getLogger(__name__)
 
 
-def _file_system(spark: SparkSession, path: str):
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, at = _file_system(spark, path)
-    return fs.exists(at)
-
-
 def _rename(spark: SparkSession, old: str, new: str) -> None:
-    fs, at = _file_system(spark, old)
+    fs, at = file_system(spark, old)
     if not fs.rename(at, spark._jvm.org.apache.hadoop.fs.Path(new)):
         raise OSError(f"could not rename {old} to {new}")
 
@@ -59,30 +50,67 @@ def compacted_path(path: str, suffix: str = "_compressed") -> str:
     return folder + slash + (f"{stem}{suffix}{dot}{extension}" if stem else f"{name}{suffix}")
 
 
+def _partition_columns(df: DataFrame) -> list[str]:
+    """Columns a dataset keeps in its folder names."""
+    plan = df._jdf.queryExecution().analyzed()
+    return list(plan.relation().partitionSchema().fieldNames())
+
+
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    """All files of a Parquet dataset with the union of their columns; folder names stay as they are."""
+    setting = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, "false")  # 007 must not become 7
+        return spark.read.option("mergeSchema", "true").parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, at = file_system(spark, path)
+    fs.delete(at, True)
+
+
 def compact_dataset(
-    spark: SparkSession, path: str, target: str | None = None, replace: bool = False, codec: str = "zstd"
+    spark: SparkSession, path: str, target: str | None = None, replace: bool = False, codec: str = "zstd",
+    file_bytes: int = 256 << 20,
 ) -> DataFrame:
-    """Rewrite a Parquet dataset with a stronger codec and report the sizes.
+    """Rewrite a Parquet dataset with a stronger codec into fewer files and report the sizes.
 
-    With ``replace`` the copy takes the place of the original by two renames once it is
-    complete; until then, and whenever writing fails, the original is untouched.
+    Columns of all files and partition folders are kept. With ``replace`` the copy takes the
+    place of the original by two renames, once its rows are counted; whatever fails, the
+    original is at its path afterwards. It is deleted last.
     """
     before = dataset_bytes(spark, path)
     out = compacted_path(path, ".tmp") if replace else target or compacted_path(path)
+    source = _whole(spark, path)
+    folders = _partition_columns(source)
+    if folders:
+        # even parts: a folder that holds most of the rows is written by many tasks
+        even = source.hint("rebalance", *folders)
+    else:
+        even = source.coalesce(max(1, -(-before // file_bytes)))
     try:
-        spark.read.parquet(path).write.mode("overwrite").option("compression", codec).parquet(out)
+        even.write.mode("overwrite").option("compression", codec).partitionBy(*folders).parquet(out)
+        copied, kept = _whole(spark, out).count(), source.count()
+        if copied != kept:
+            raise OSError(f"the copy has {copied} rows, the original {kept}")
     except Exception:
         if replace and exists(spark, out):
-            fs, at = _file_system(spark, out)
-            fs.delete(at, True)
+            _delete(spark, out)
         raise
     after = dataset_bytes(spark, out)
     if replace:
         old = compacted_path(path, ".old")
         _rename(spark, path, old)
-        _rename(spark, out, path)
-        fs, at = _file_system(spark, old)
-        fs.delete(at, True)
+        try:
+            _rename(spark, out, path)
+        except Exception:
+            _rename(spark, old, path)
+            _delete(spark, out)
+            raise
+        _delete(spark, old)
         out = path
     sizes = spark.range(1).select(
         F.lit(out).alias("path"), F.lit(before).cast("bigint").alias("in_bytes"), F.lit(after).cast("bigint").alias("out_bytes")

@@ -8,17 +8,19 @@ off what is there and stops; pass for instance ``processingTime="1 minute"`` to
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from folioflow.config import AdmissionRules, Quota
 from folioflow.operators.admission import with_verdict
+from folioflow.operators.quota import first_arrivals, period_of
 from folioflow.operators.reports import page_progress
-from folioflow.operators.shared import spread
+from folioflow.operators.shared import exists, file_system, materialise, spread
 from folioflow.operators.translation import (
     EMPTY, FAILED, BatchTranslator, ask, chunk_key, chunks_of, distinct_requests, missing_requests, resolve,
 )
@@ -35,9 +37,14 @@ COUNTS = T.StructType([
     T.StructField("unit", T.StringType()),
     T.StructField("period", T.TimestampType()),
     T.StructField("n", T.LongType()),
+    T.StructField("updated", T.TimestampType()),
 ])
 
 
+def _utc_now() -> datetime:
+    return datetime.now(UTC)
+
+
 def arriving(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
     """New Parquet files of a folder as a stream."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
@@ -100,7 +107,7 @@ def start_translation(
         # what failed before is sent again when it comes up again
         settled = stored.where(~F.col("status").isin(FAILED, EMPTY))
         answers = ask(missing_requests(requests, settled), translator, max_tasks)
-        _write_batch(resolve(answers), memory, batch_id)
+        _write_batch(resolve(answers).drop("error"), memory, batch_id)
         requests.unpersist()
 
     return _each_batch(texts, folder, work, trigger)
@@ -113,69 +120,125 @@ def read_memory(spark: SparkSession, folder: str) -> DataFrame:
     return rows.agg(F.sum("copies").alias("copies"), newest.alias("a")).select("chunk_key", "copies", "a.*")
 
 
+def _previous(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """Counts as the batch before left them; only that folder is read."""
+    return spark.read.schema(COUNTS).parquet(f"{path}/batch_id={batch_id - 1}")
+
+
+def _hand_over(counts: DataFrame, path: str, batch_id: int) -> None:
+    """Write the counts of a batch, then let go of those that no repeated batch can need."""
+    spark = counts.sparkSession
+    counts.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    fs, old = file_system(spark, f"{path}/batch_id={batch_id - 2}")
+    fs.delete(old, True)
+
+
+def _merged(before: DataFrame, used: Sequence[DataFrame], now: datetime) -> DataFrame:
+    """Counts with those of a batch added; ``updated`` is when a count last changed."""
+    fresh = reduce(DataFrame.unionByName, used).withColumn("updated", F.lit(now).cast("timestamp"))
+    keys = ["client", "unit", "period"]
+    return before.unionByName(fresh).groupBy(*keys).agg(F.sum("n").alias("n"), F.max("updated").alias("updated"))
+
+
+def _retired(counts: DataFrame, now: datetime, keep_days: int) -> Column:
+    """Counts that have not changed for ``keep_days`` by the clock, of periods that are over by the clock."""
+    at = F.lit(now).cast("timestamp")
+    return F.col("client").isNotNull() & (F.col("updated") < at - F.expr(f"INTERVAL {keep_days} DAYS")) & (F.col("period") < at)
+
+
 def start_quota(
-    requests: DataFrame, quotas: Sequence[Quota], folder: str, keep_days: int = 2, **trigger
+    requests: DataFrame, quotas: Sequence[Quota], folder: str, keep_days: int = 2,
+    clock: Callable[[], datetime] = _utc_now, **trigger,
 ) -> StreamingQuery:
     """Verdicts for arriving ``(event_id, client, ts)`` in ``folder/verdicts``.
 
     What earlier batches used up is a small table of counts per client and period. Within a
-    batch each task forwards at most *n* rows per client and period, as in the batch job;
-    those meet the counts, so a client that floods the service costs no more than others.
-    Counts of periods more than ``keep_days`` before the newest arrival are dropped.
+    batch arrivals are ranked as in the batch job; their ranks meet the counts, so a client
+    that floods the service costs no more than others. Counts are let go ``keep_days`` after
+    they last changed by ``clock``, never by what arrivals claim; of each unit the latest such
+    period is remembered, and arrivals of that period or an earlier one that have no count any
+    more are ``late``: refused, not given a fresh quota. A period in the future is kept until
+    the clock has passed it.
     """
     counts_at, verdicts_at = f"{folder}/counts", f"{folder}/verdicts"
     spark = requests.sparkSession
-    _write_batch(spark.createDataFrame([], COUNTS), counts_at, -1)
+    if not exists(spark, counts_at):
+        _write_batch(spark.createDataFrame([], COUNTS), counts_at, -1)
 
     def work(batch: DataFrame, batch_id: int) -> None:
+        now = clock()
         rows = batch.persist()
-        before = (
-            _batch_table(batch.sparkSession, counts_at, COUNTS)
-            .where(F.col("batch_id") == batch_id - 1).drop("batch_id")
-        )
+        before = _previous(batch.sparkSession, counts_at, batch_id)
+        marks = {r["unit"]: r["period"] for r in before.where("client IS NULL").collect()}  # one per unit
+        live = before.where("client IS NOT NULL")
         flags = [f"within_{q.period}" for q in quotas]
         passing, used = [], []
         for q, flag in zip(quotas, flags):
-            timed = rows.withColumn("period", F.date_trunc(q.period, "ts"))
-            order = Window.partitionBy("client", "period").orderBy("ts", "event_id")
-            first = timed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= q.limit)
-            prior = before.where(F.col("unit") == q.period).select("client", "period", "n")
-            ok = first.join(prior, ["client", "period"], "left").where(
+            timed = rows.withColumn("period", period_of(F.col("ts"), q.period))
+            prior = live.where(F.col("unit") == q.period).select("client", "period", "n")
+            if q.period in marks:
+                # counted again from nothing they would get a second quota
+                old = F.col("period") <= F.lit(marks[q.period]).cast("timestamp")
+                gone = timed.where(old).join(prior, ["client", "period"], "left_anti")
+                passing.append(gone.select("event_id", *[F.lit(False).alias(f) for f in flags], F.lit(True).alias("late")))
+                timed = timed.where(~old).unionByName(timed.where(old).join(prior, ["client", "period"], "left_semi"))
+            ok = first_arrivals(timed, q.limit).join(prior, ["client", "period"], "left").where(
                 F.col("rank") + F.coalesce("n", F.lit(0)) <= q.limit
             )
-            passing.append(ok.select("event_id", *[F.lit(f == flag).alias(f) for f in flags]))
+            passing.append(ok.select("event_id", *[F.lit(f == flag).alias(f) for f in flags], F.lit(False).alias("late")))
             used.append(timed.groupBy("client", F.lit(q.period).alias("unit"), "period").agg(F.count(F.lit(1)).alias("n")))
-        merged = reduce(DataFrame.unionByName, passing).groupBy("event_id").agg(*[F.bool_or(f).alias(f) for f in flags])
-        verdicts = rows.join(merged, "event_id", "left").withColumns({f: F.coalesce(f, F.lit(False)) for f in flags})
-        verdicts = verdicts.withColumn("allowed", reduce(lambda a, b: a & b, [F.col(f) for f in flags]))
+        each = [*flags, "late"]
+        merged = reduce(DataFrame.unionByName, passing).groupBy("event_id").agg(*[F.bool_or(f).alias(f) for f in each])
+        verdicts = rows.join(merged, "event_id", "left").withColumns({f: F.coalesce(f, F.lit(False)) for f in each})
+        verdicts = verdicts.withColumn("allowed", reduce(lambda a, b: a & b, [F.col(f) for f in flags]) & ~F.col("late"))
         _write_batch(verdicts, verdicts_at, batch_id)
-        newest = rows.agg(F.date_trunc("day", F.max("ts"))).scalar()
-        after = (
-            reduce(DataFrame.unionByName, used, before)
-            .groupBy("client", "unit", "period").agg(F.sum("n").alias("n"))
-            .where(F.coalesce(F.col("period") >= newest - F.expr(f"INTERVAL {keep_days} DAYS"), F.lit(True)))
-        )
-        _write_batch(after, counts_at, batch_id)
+        after = _merged(live, used, now)
+        gone = _retired(after, now, keep_days)
+        latest = after.where(gone).unionByName(before.where("client IS NULL")).groupBy("unit").agg(
+            F.max("period").alias("period"), F.max("updated").alias("updated"))
+        kept = after.where(~gone).unionByName(latest.select(
+            F.lit(None).cast("string").alias("client"), "unit", "period", F.lit(0).cast("bigint").alias("n"), "updated"))
+        _hand_over(kept, counts_at, batch_id)
         rows.unpersist()
 
     return _each_batch(requests, folder, work, trigger)
 
 
 def start_over_limit(
-    requests: DataFrame, quota: Quota, folder: str, delay: str = "1 hour", **trigger
+    requests: DataFrame, quota: Quota, folder: str, keep_days: int = 2,
+    clock: Callable[[], datetime] = _utc_now, **trigger,
 ) -> StreamingQuery:
-    """Closed periods in which a client went over its quota, with the number of requests.
+    """Periods in which a client went over its quota; read them with ``read_over_limit``.
 
-    Counts are pre-aggregated per task. Rows later than ``delay`` no longer count.
+    Every arrival counts, however late, and open periods are reported too. Counts that have
+    not changed for ``keep_days`` by the clock are moved to ``folder/closed``; the reader adds
+    what arrives for such a period afterwards.
     """
-    over = (
-        requests.withWatermark("ts", delay)
-        .groupBy(F.window("ts", f"1 {quota.period}"), "client")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > quota.limit)
-        .select("client", F.col("window.start").alias("period"), "n")
-    )
-    return _append(over, folder, "parquet", trigger)
+    counts_at, closed_at = f"{folder}/counts", f"{folder}/closed"
+    spark = requests.sparkSession
+    if not exists(spark, counts_at):
+        _write_batch(spark.createDataFrame([], COUNTS), counts_at, -1)
+        _write_batch(spark.createDataFrame([], COUNTS), closed_at, -1)
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        now = clock()
+        before = _previous(batch.sparkSession, counts_at, batch_id)
+        period = period_of(F.col("ts"), quota.period).alias("period")
+        used = batch.groupBy("client", F.lit(quota.period).alias("unit"), period).agg(F.count(F.lit(1)).alias("n"))
+        after = materialise(_merged(before, [used], now), "counts")
+        gone = F.coalesce(_retired(after, now, keep_days), F.lit(False))
+        _write_batch(after.where(gone), closed_at, batch_id)
+        _hand_over(after.where(~gone), counts_at, batch_id)
+
+    return _each_batch(requests, folder, work, trigger)
+
+
+def read_over_limit(spark: SparkSession, folder: str, quota: Quota) -> DataFrame:
+    """``client, period, n`` of all periods over the quota, open ones included."""
+    live = _batch_table(spark, f"{folder}/counts", COUNTS)
+    newest = live.join(F.broadcast(live.agg(F.max("batch_id").alias("batch_id"))), "batch_id")
+    rows = newest.drop("batch_id").unionByName(_batch_table(spark, f"{folder}/closed", COUNTS).drop("batch_id"))
+    return rows.groupBy("client", "period").agg(F.sum("n").alias("n")).where(F.col("n") > quota.limit)
 
 
 class BatchProgress(StreamingQueryListener):

@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 
 from folioflow.config import AdmissionRules
 from folioflow.operators import admission, layout as lay, reports
+from folioflow.plans import corpus, inputs
 from folioflow.sources import readers, sinks
 
 
@@ -23,11 +24,12 @@ def folder(tmp_path):
 
 
 def test_raw_files_are_screened(spark, folder):
-    names = ["ok.pdf", "sub/empty.pdf", "bad.pdf", "big.pdf"]
-    manifest = spark.createDataFrame([(f"file:{folder}/{n}",) for n in names], "path STRING")
+    sizes = {"ok.pdf": 13, "sub/empty.pdf": 0, "bad.pdf": 6, "big.pdf": 105, "note.txt": 5, "never.pdf": None}
+    manifest = spark.createDataFrame([(f"file:{folder}/{n}", k) for n, k in sizes.items()], "path STRING, length BIGINT")
     rows = readers.screen_files(readers.raw_files(spark, folder), AdmissionRules(max_bytes=50), manifest).collect()
     assert {r.path.rsplit("/", 1)[1]: r.verdict for r in rows} == {
         "ok.pdf": "admitted", "empty.pdf": "empty", "bad.pdf": "magic", "big.pdf": "size",
+        "note.txt": "magic", "never.pdf": "missing",
     }
     plan = readers.raw_files(spark, folder).where("length <= 50")._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length,50)" in plan
@@ -94,3 +96,68 @@ def test_compaction(spark, tmp_path):
     assert kept.path == source and sinks.dataset_bytes(spark, source) == kept.out_bytes
     assert spark.read.parquet(source).count() == 20_000
     assert sorted(p.name for p in tmp_path.iterdir()) == ["data.parquet", "data_compressed.parquet"]
+
+
+def test_compaction_keeps_all_columns_and_folders(spark, tmp_path):
+    plain = str(tmp_path / "evolved.parquet")
+    spark.range(10).select("id", F.lit(1).alias("a")).write.parquet(plain)
+    spark.range(10, 20).select("id", F.lit(2).alias("a"), F.lit("x").alias("b")).write.mode("append").parquet(plain)
+    sinks.compact_dataset(spark, plain, replace=True).collect()
+    rows = spark.read.parquet(plain)
+    assert set(rows.columns) == {"id", "a", "b"} and rows.count() == 20 and rows.where("b = 'x'").count() == 10
+
+    parted = str(tmp_path / "parted")
+    source = spark.range(300).select("id", F.format_string("%03d", F.col("id") % 3).alias("lang"))
+    source.repartition(6).write.partitionBy("lang").parquet(parted)
+    before = len(list((tmp_path / "parted").rglob("*.parquet")))
+    sinks.compact_dataset(spark, parted, replace=True).collect()
+    assert sorted(p.name for p in (tmp_path / "parted").iterdir() if p.is_dir()) == ["lang=000", "lang=001", "lang=002"]
+    assert len(list((tmp_path / "parted").rglob("*.parquet"))) < before
+    assert spark.read.parquet(parted).count() == 300
+
+
+def test_compaction_survives_a_failing_rename(spark, tmp_path, monkeypatch):
+    source = str(tmp_path / "data")
+    spark.range(50).write.parquet(source)
+    real, calls = sinks._rename, []
+
+    def second_fails(session, old, new):
+        calls.append((old, new))
+        if len(calls) == 2:
+            raise OSError("no")
+        real(session, old, new)
+
+    monkeypatch.setattr(sinks, "_rename", second_fails)
+    with pytest.raises(OSError):
+        sinks.compact_dataset(spark, source, replace=True)
+    assert spark.read.parquet(source).count() == 50
+    assert [p.name for p in tmp_path.iterdir()] == ["data"]
+
+
+def test_documents_without_pages_stay_and_decoding_happens_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def decoder(content: bytes):
+        import uuid
+
+        (calls / uuid.uuid4().hex).write_bytes(content)
+        if content == b"bad":
+            raise ValueError("unreadable")
+        box = {"x0": 0.0, "y0": 0.0, "x1": 1.0, "y1": 1.0}
+        return [
+            [{"type": 0, "lines": [{"spans": [{"text": t, "bbox": box, "font": "f", "size": 9.0}]}]}]
+            for t in content.decode().split("|") if t
+        ]
+
+    rows = [(1, b"one text|another one"), (2, b"bad"), (3, b""), (4, b"a third text")]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, content BINARY")
+    config = inputs.TranslationConfig("English", "Spanish")
+    done = corpus.translate_documents(readers.decode_layout(docs, decoder), config, batch=inputs.stand_in_batch)
+    got = {r.doc_id: (r.status, r.n_pages, r.translated is None, r.n_failed) for r in done.collect()}
+    assert {i: v[:3] for i, v in got.items()} == {
+        1: ("translated", 2, False), 2: ("unreadable", 0, True), 3: ("no_pages", 0, True), 4: ("translated", 1, False),
+    }
+    assert len(list(calls.iterdir())) == 4, "each document is decoded once"
+    inline = corpus.translate_documents(readers.decode_layout(docs, decoder), config, column=inputs.stand_in)
+    assert {r.doc_id: (r.status, r.n_pages, r.translated is None, r.n_failed) for r in inline.collect()} == got

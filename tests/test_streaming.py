@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,16 +76,40 @@ def test_quota_over_batches(spark, parts, sf_dir, tmp_path):
     assert got.select("batch_id").distinct().count() > 2
     want = quota.with_verdicts(one_client(spark.read.parquet(f"{sf_dir}/events.parquet")), TRANSLATE_QUOTAS)
     assert want.where("NOT allowed").count() > 100
-    assert same(got.drop("batch_id"), want)
-
-
-def test_counts_of_old_days_are_dropped(spark, parts, tmp_path):
-    events = quota.arrivals(arriving(spark, parts, "events"), "event_type")
-    jobs.start_quota(events, TRANSLATE_QUOTAS, str(tmp_path), keep_days=1).awaitTermination()
-    counts = spark.read.parquet(f"{tmp_path}/counts")
-    last = counts.where(F.col("batch_id") == counts.agg(F.max("batch_id")).scalar())
-    span = last.agg((F.max("period").cast("long") - F.min("period").cast("long")).alias("s")).first().s
-    assert 0 < span < 2 * 86_400
+    assert same(got.drop("batch_id", "late"), want)
+
+
+def _run_quota(spark, tmp_path, waves, clocks, quotas, **settings):
+    """Arrivals ``(event_id, client, ts)`` in waves, each at its own time of the clock."""
+    source = tmp_path / "in"
+    for n, (wave, at) in enumerate(zip(waves, clocks)):
+        df = spark.createDataFrame(wave, "event_id BIGINT, client STRING, ts STRING").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.parquet(str(source / f"n={n}"))
+        stream = spark.readStream.schema("event_id BIGINT, client STRING, ts TIMESTAMP, n INT").parquet(str(source)).drop("n")
+        jobs.start_quota(stream, quotas, str(tmp_path / "q"), clock=lambda at=at: at, **settings).awaitTermination()
+    return {r["event_id"]: r for r in spark.read.parquet(f"{tmp_path}/q/verdicts").collect()}
+
+
+def test_one_future_arrival_changes_nothing(spark, tmp_path):
+    day = [(i, "c", f"2024-03-01 10:{i:02d}:00") for i in range(20)]
+    waves = [day[:8], [(99, "c", "2031-01-01 00:00:00")], day[8:]]
+    got = _run_quota(spark, tmp_path, waves, [datetime(2024, 3, 1, 11, tzinfo=UTC)] * 3, TRANSLATE_QUOTAS[:1])
+    assert sorted(i for i, r in got.items() if r["allowed"]) == [0, 1, 2, 3, 4, 99]
+    assert not any(r["late"] for r in got.values())
+
+
+def test_arrivals_of_a_retired_period_get_no_fresh_quota(spark, tmp_path):
+    waves = [
+        [(i, "c", "2024-03-01 10:00:00") for i in range(6)],
+        [(10, "c", "2024-03-06 10:00:00"), (11, "c", "2031-01-01 00:00:00")],
+        [(20, "c", "2024-03-01 10:30:00"), (21, "c", "2024-03-06 10:30:00"), (22, "d", "2024-03-07 09:00:00")],
+    ]
+    clocks = [datetime(2024, 3, d, 12, tzinfo=UTC) for d in (1, 6, 7)]
+    got = _run_quota(spark, tmp_path, waves, clocks, TRANSLATE_QUOTAS[:1], keep_days=2)
+    assert (got[20]["late"], got[20]["allowed"]) == (True, False)
+    assert got[21]["allowed"] and got[22]["allowed"] and got[11]["allowed"]
+    folders = sorted(p.name for p in (tmp_path / "q" / "counts").iterdir() if p.is_dir())
+    assert folders == ["batch_id=1", "batch_id=2"], "older counts are removed"
 
 
 def test_listener_reports_batches(spark, parts, tmp_path):
@@ -103,13 +129,11 @@ def test_listener_reports_batches(spark, parts, tmp_path):
     assert sum(rows for _, rows in seen) == 200 and len(seen) >= 4
 
 
-def test_over_limit_windows(spark, parts, tmp_path):
-    """Closed windows only: those that end before the newest arrival less the delay."""
+def test_over_limit_periods(spark, parts, tmp_path):
+    """Every arrival counts, and open periods are reported too."""
     one = arriving(spark, parts, "events").select("event_id", F.lit("all").alias("client"), F.col("ts").cast("timestamp").alias("ts"))
     jobs.start_over_limit(one, TRANSLATE_QUOTAS[1], str(tmp_path)).awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/out")
+    got = jobs.read_over_limit(spark, str(tmp_path), TRANSLATE_QUOTAS[1])
     events = spark.read.parquet(str(parts / "events")).select(F.col("ts").cast("timestamp").alias("ts"))
-    newest = events.agg(F.max("ts")).first()[0]
     days = events.groupBy(F.date_trunc("day", "ts").alias("period")).agg(F.count(F.lit(1)).alias("n")).where("n > 20")
-    closed = days.where(F.col("period") + F.expr("INTERVAL 1 DAY") <= F.lit(newest) - F.expr("INTERVAL 1 HOUR"))
-    assert closed.count() > 5 and same(got.select("period", "n"), closed)
+    assert days.count() > 5 and same(got.select("period", "n"), days)

@@ -146,3 +146,28 @@ def test_chunk_properties(spark, rows):
         if len(text) > 100:
             assert " ".join(chunks).split() == text.replace("|", " ").split()
         assert all(len(c) <= 100 or " " not in c for c in chunks)
+
+
+def test_long_sentences_in_the_middle_and_marks_in_the_text(spark):
+    rng = random.Random(11)
+    pieces = ["short one. ", "ok! ", "w" * 30 + " ", "", "|", " " * 120 + ". ", "many plain words without an end " * 6 + ". ", "z" * 150 + " "]
+    rows = ["".join(rng.choices(pieces, k=rng.randint(5, 40))) for _ in range(120)]
+    rows += [r.replace("ok!", "o\x01k\x02!") for r in rows[:40]]
+    want = [expected_chunks(r, 100) for r in rows]
+    assert values(spark, rows, lambda c: chunk_text(c, 100)) == want
+
+
+def test_cost_is_linear_with_long_sentences(spark):
+    import time
+
+    text = "a plain sentence of some words. " * 60_000 + "word without end " * 100
+    df = spark.createDataFrame([(text,), (text[:1_900_000],)], "t STRING").repartition(1)
+
+    def seconds(rows):
+        start = time.perf_counter()
+        rows.select(F.size(chunk_text(F.col("t"), 1000)).alias("n")).collect()
+        return time.perf_counter() - start
+
+    seconds(df)
+    plain, with_long = seconds(df.where(F.length("t") == 1_900_000)), seconds(df.where(F.length("t") > 1_900_000))
+    assert with_long < 4 * plain + 2

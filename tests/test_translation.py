@@ -168,3 +168,44 @@ def test_memory_answers_are_not_sent_again(spark):
     again = tr.translate_once(chunks(["two", "one", "one", "new", "x" * 17]), refuse, "English", "Spanish", memory=first)
     got = [(r.translated, r.status) for r in again.orderBy("doc_id").collect()]
     assert got == [final("two"), final("one"), final("one"), ("new", "failed"), ("x" * 17, "failed")]
+
+
+def test_a_memory_with_repeated_keys_multiplies_nothing(spark):
+    pieces = tr.chunks_of(texts_df(spark, ["same text"] * 4), 100, ["doc_id"])
+    key = tr.chunk_key(F.lit("same text"), "English", "Spanish", None)
+    memory = spark.range(2).select(key.alias("chunk_key"), F.concat(F.lit("v"), F.col("id")).alias("translated"), F.lit("translated").alias("status"))
+    done = tr.translate_once(pieces, lambda texts: ["never"] * len(texts), "English", "Spanish", memory=memory)
+    assert [r.translated for r in done.collect()] == ["v0"] * 4
+
+
+def test_a_job_that_broke_off_sends_only_what_is_missing(spark, tmp_path):
+    sent_at, answers = tmp_path / "sent", str(tmp_path / "answers")
+    sent_at.mkdir()
+
+    def service(texts, broken=False):
+        import uuid
+
+        if broken and len(list(sent_at.iterdir())) >= 2:
+            raise SystemExit("the worker is gone")
+        (sent_at / uuid.uuid4().hex).write_text(json.dumps(list(texts)))
+        return [t.upper() for t in texts]
+
+    texts = [f"text number {i}" for i in range(60)]
+    requests = tr.distinct_requests(texts_df(spark, texts), tr.chunk_key(F.col("text"), "English", "Spanish", None)).coalesce(1)
+    settings = {"max_tasks": 1, "answers_at": answers, "per_commit": 12}
+    try:
+        tr.answered(requests, lambda t: service(t, broken=True), **settings)
+        raise AssertionError("the first run must fail")
+    except Exception as failure:
+        assert "first run must fail" not in str(failure)
+    done = tr.answered(requests, service, **settings)
+    assert {r.translated for r in done.collect()} == {t.upper() for t in texts}
+    sent = [t for f in sent_at.iterdir() for t in json.loads(f.read_text())]
+    assert sorted(sent) == sorted(texts), "each text is sent once over both runs"
+
+
+def test_causes_of_failures_are_reported(spark):
+    pieces = tr.chunks_of(texts_df(spark, TEXTS[:5]), 1000, ["doc_id"])
+    done = tr.translate_once(pieces, stand_in_batch, "English", "Spanish")
+    found = {(r.status, r.cause): r.n for r in reports.outcome_causes(done, []).collect()}
+    assert found == {("translated", None): 2, ("failed", "RuntimeError"): 1, ("empty", None): 1, ("blank", None): 1}

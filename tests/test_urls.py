@@ -56,3 +56,10 @@ def test_screen(spark):
 
 def test_missing_url_is_refused(spark):
     assert spark.range(1).select(screen_url(F.lit(None).cast("string"))).first()[0] == NOT_HTTPS
+
+
+def test_hosts_that_normalise_to_delimiters_are_refused(spark):
+    urls = ["https://a\u2100.example.com/", "https://a\uff03b.example.com", "https://a\u00e9.example.com/"]
+    df = spark.createDataFrame([(u,) for u in urls], "u STRING")
+    got = [r[0] for r in df.select(screen_url(F.col("u"))).collect()]
+    assert got == ["not_allowed", "not_allowed", None]

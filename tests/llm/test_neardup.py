@@ -58,9 +58,9 @@ def texts():
     return out + [out[0], (out[5][0], out[60][1]), (None, rows[0]), (None, None)]
 
 
-@pytest.mark.parametrize(("width", "block"), [(4, 1000), (5, 7)])
-def test_components_match_brute_force(spark, width, block):
-    rows = texts()
+@pytest.mark.parametrize(("width", "block", "repeats"), [(4, 1000, True), (4, 1000, False), (5, 7, True), (5, 7, False)])
+def test_components_match_brute_force(spark, width, block, repeats):
+    rows = texts() if repeats else [*dict(texts()[:-4]).items(), (None, None)]
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id BIGINT, text STRING, band STRING, root INT")
     got = {r["doc_id"]: r for r in neardup.near_duplicates(docs, width, block=block).collect()}
     assert got.pop(None)["kept"] is True

@@ -14,8 +14,9 @@ from folioflow.plans.queries import QUERIES
 from folioflow.session import session
 
 HEADLINE = (
-    "chunks", "blocks", "block_bbox", "translate_distinct", "translate_fallback", "translated_docs", "translate_corpus",
-    "rejoin_blocks", "edit_plan_preserve", "edit_plan_free", "size_report", "progress", "admit", "url_screen",
+    "chunks", "blocks", "block_bbox", "translate_distinct", "translate_fallback", "translated_docs", "translated_docs_service",
+    "translate_corpus", "rejoin_blocks", "edit_plan_preserve", "edit_plan_free", "edit_plan_service_preserve", "size_report",
+    "progress", "admit", "url_screen",
     "quota", "quota_report", "stream_translate", "stream_quota",
 )
 

@@ -12,6 +12,7 @@ from folioflow.operators.layout import BLOCK_KEY, routed_blocks
 from folioflow.operators.translation import ColumnTranslator, translate_inline
 
 ALIGN_LEFT = 0
+CHAR_WIDTH, LINE_HEIGHT = 0.5, 1.2
 
 
 def resolved_font(font: Column, available: Sequence[str], fallback: str) -> Column:
@@ -57,3 +58,15 @@ def edit_plan(blocks: DataFrame, config: TranslationConfig, fonts: Sequence[str]
         edits = F.concat(clears, F.array(edit("insert", F.col("rect"), True)))
     rows = blocks.select("doc_id", "page_num", "block_no", F.posexplode(edits).alias("edit_no", "e"))
     return rows.select("doc_id", "page_num", "block_no", "edit_no", "e.*")
+
+
+def overflows(text: Column, size: Column, rect: Column) -> Column:
+    """Whether a text is likely not to fit its box: its width at ``CHAR_WIDTH`` of the font size
+    per character, broken into lines of ``LINE_HEIGHT`` of the font size."""
+    lines = F.ceil(F.length(text) * size * CHAR_WIDTH / F.nullif(rect["x1"] - rect["x0"], F.lit(0.0)))
+    return F.coalesce(lines * size * LINE_HEIGHT > rect["y1"] - rect["y0"], F.lit(True))
+
+
+def overflow_report(translated: DataFrame) -> DataFrame:
+    """Blocks that carry ``translated``, with ``overflow``: a renderer would lose part of their text."""
+    return translated.select(*BLOCK_KEY, overflows(F.col("translated"), F.col("size"), F.col("rect")).alias("overflow"))

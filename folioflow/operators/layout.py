@@ -126,6 +126,25 @@ def page_status() -> Column:
     )
 
 
+def overlaps(a: Column, b: Column) -> Column:
+    """Whether two boxes share an area."""
+    return (a["x0"] < b["x1"]) & (b["x0"] < a["x1"]) & (a["y0"] < b["y1"]) & (b["y0"] < a["y1"])
+
+
+def collisions(layout: DataFrame) -> DataFrame:
+    """Per text block, how many earlier blocks of its page it overlaps.
+
+    Edits are applied block by block, so clearing such a block wipes out what was written
+    before it. Counted within the page's own row.
+    """
+    earlier = F.transform("text_blocks", lambda b, i: F.struct(
+        b["block_no"].alias("block_no"),
+        F.size(F.filter(F.slice("text_blocks", F.lit(1), i), lambda e: overlaps(e["rect"], b["rect"]))).alias("n_earlier"),
+    ))
+    pages = page_blocks(layout).select("doc_id", "page_num", F.explode(earlier).alias("b"))
+    return pages.select("doc_id", "page_num", "b.block_no", "b.n_earlier")
+
+
 def fold_spans(spans: DataFrame) -> DataFrame:
     """Blocks from a flat span table ``(…ordinals, block_type, text, x0…y1, font, size)``.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from folioflow.config import FAILED_MESSAGE, STATUS, TOO_LARGE_MESSAGE
-from folioflow.functions.text import download_name, megabytes, percent, reduction
+from folioflow.functions.text import download_name, let, megabytes, percent, reduction
 from folioflow.operators.translation import EMPTY, FAILED
 
 
@@ -70,6 +70,41 @@ def with_sizes(totals: DataFrame) -> DataFrame:
     })
 
 
+# What a translation has to leave as it is.
+KEPT_KINDS = {
+    "number": "[0-9]+",
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "url": r"https?://[^ \n<>]+",
+    "placeholder": r"\[[A-Z_]+\]",
+}
+
+
+def preservation_audit(df: DataFrame, before: str, after: str, by: Sequence[str]) -> DataFrame:
+    """Per group and kind: pieces of the source that must survive, and how many did not.
+
+    Copies count: each row compares its own two lists as multisets, then only counts meet.
+    """
+    def lost(kind: str, pattern: str) -> Column:
+        def compare(both: Column) -> Column:
+            count = lambda xs, t: F.size(F.filter(xs, lambda x: x == t))
+            missing = F.transform(
+                F.array_distinct(both["s"]), lambda t: F.greatest(count(both["s"], t) - count(both["t"], t), F.lit(0))
+            )
+            return F.struct(
+                F.lit(kind).alias("kind"), F.size(both["s"]).alias("n"),
+                F.aggregate(missing, F.lit(0), lambda a, x: a + x).alias("lost"),
+            )
+
+        found = lambda c: F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+        return let(F.struct(found(before).alias("s"), found(after).alias("t")), compare)
+
+    each = df.select(*by, F.explode(F.array(*[lost(k, p) for k, p in KEPT_KINDS.items()])).alias("k"))
+    return each.groupBy(*by, F.col("k.kind").alias("kind")).agg(
+        F.sum(F.col("k.n").cast("bigint")).alias("n_pieces"), F.sum(F.col("k.lost").cast("bigint")).alias("n_lost"),
+        F.count_if(F.col("k.lost") > 0).alias("n_rows_with_loss"),
+    )
+
+
 def outcome_report(chunks: DataFrame, by: Sequence[str]) -> DataFrame:
     """How many chunks ended in which status."""
     return chunks.groupBy(*by, "status").agg(F.count(F.lit(1)).alias("n"))

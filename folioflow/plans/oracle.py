@@ -7,6 +7,7 @@ fold, blocks are groups of spans, and quotas are window functions.
 from __future__ import annotations
 
 from folioflow.functions.chat import instruction
+from folioflow.operators.reports import KEPT_KINDS
 from folioflow.plans.inputs import CONFIG, DEFAULTS, JOB_RULES, LANGUAGE_CODES
 
 # Same characters as the strip helper, spelled for DuckDB.
@@ -364,6 +365,32 @@ ORACLE = {
         SELECT event_id, event_type AS client,
           row_number() OVER (PARTITION BY event_type, date_trunc('month', ts) ORDER BY event_id) <= 1500 AS ok FROM events)
         SELECT event_id, client, ok AS within_day, ok AS allowed FROM r""",
+    "html_blocks": """WITH c AS (
+        SELECT page_id, regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g') AS h FROM pages),
+        b AS (SELECT page_id, unnest(regexp_extract_all(h, '(?is)<(h1|p|li)(?:\\s[^>]*)?>(.*?)</(?:h1|p|li)>', 1)) AS tag,
+          unnest(regexp_extract_all(h, '(?is)<(h1|p|li)(?:\\s[^>]*)?>(.*?)</(?:h1|p|li)>', 2)) AS t,
+          generate_subscripts(regexp_extract_all(h, '(?is)<(h1|p|li)(?:\\s[^>]*)?>(.*?)</(?:h1|p|li)>', 1), 1) - 1 AS n FROM c),
+        x AS (SELECT page_id, CAST(n AS INT) AS block_no, lower(tag) AS tag, trim(regexp_replace(
+          replace(replace(replace(replace(replace(replace(regexp_replace(t, '(?s)<[^>]*>', '', 'g'),
+            '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM b)
+        SELECT * FROM x WHERE text <> ''""",
+    "layout_collisions": f"""WITH {BLOCKS} SELECT b.doc_id, b.page_num, b.block_no, CAST(count(e.block_no) AS INT) AS n_earlier
+        FROM blocks b LEFT JOIN blocks e ON e.doc_id = b.doc_id AND e.page_num = b.page_num AND e.block_no < b.block_no
+          AND e.x0 < b.x1 AND b.x0 < e.x1 AND e.y0 < b.y1 AND b.y0 < e.y1 GROUP BY ALL""",
+    "overflow_report": f"""WITH {_REPLACED} SELECT {_BK},
+        coalesce(ceil(length(translated) * size * 0.5::DOUBLE / nullif(x1 - x0, 0)) * size * 1.2::DOUBLE > y1 - y0, true) AS overflow FROM replaced""",
+    "preservation_audit": f"""WITH {_LANG_CHUNKS}, {_translated()},
+        outs AS (SELECT doc_id, string_agg(translated, ' ' ORDER BY chunk_no) AS o FROM done GROUP BY doc_id),
+        p(kind, re) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in KEPT_KINDS.items())}),
+        s AS (SELECT doc_id, lang, kind, unnest(regexp_extract_all(text, re)) AS t FROM documents, p),
+        o AS (SELECT doc_id, kind, unnest(regexp_extract_all(o, re)) AS t FROM outs, p),
+        sc AS (SELECT doc_id, lang, kind, t, count(*) AS n FROM s GROUP BY ALL),
+        oc AS (SELECT doc_id, kind, t, count(*) AS n FROM o GROUP BY ALL),
+        l AS (SELECT sc.doc_id, sc.lang, kind, sum(sc.n) AS n, sum(greatest(sc.n - coalesce(oc.n, 0), 0)) AS lost
+          FROM sc LEFT JOIN oc USING (doc_id, kind, t) GROUP BY ALL)
+        SELECT d.lang, p.kind, CAST(coalesce(sum(l.n), 0) AS BIGINT) AS n_pieces, CAST(coalesce(sum(l.lost), 0) AS BIGINT) AS n_lost,
+          count(*) FILTER (l.lost > 0) AS n_rows_with_loss
+        FROM documents d CROSS JOIN p LEFT JOIN l ON l.doc_id = d.doc_id AND l.kind = p.kind GROUP BY d.lang, p.kind""",
     "outcome_report": f"WITH {_LANG_CHUNKS}, {_translated()} SELECT lang, status, count(*) AS n FROM done GROUP BY lang, status",
     "size_report": f"""WITH {_LANG_CHUNKS}, {_translated()},
         outs AS (SELECT doc_id, string_agg(translated, ' ' ORDER BY chunk_no) AS o FROM done GROUP BY doc_id),

@@ -275,6 +275,16 @@ def block_batches(spark, sf):
     return lay.block_batches(found, 2).select("doc_id", "page_num", "block_no", "batch_no")
 
 
+@query
+def html_blocks(spark, sf):
+    return readers.html_blocks(table(spark, sf, "pages"))
+
+
+@query
+def layout_collisions(spark, sf):
+    return lay.collisions(inputs.layout(spark, sf))
+
+
 # --- chunks and translation --------------------------------------------------------------
 
 
@@ -422,6 +432,13 @@ def size_report(spark, sf):
     return sizes.withColumns(shown)
 
 
+@query
+def preservation_audit(spark, sf):
+    docs = documents(spark, sf, "lang", "text")
+    done = translation.translate_inline(F.col("text"), stand_in, CONFIG.max_chunk_size)
+    return reports.preservation_audit(docs.withColumn("out", done["text"]), "text", "out", ["lang"])
+
+
 # --- edit plans --------------------------------------------------------------------------
 
 
@@ -453,6 +470,12 @@ def edit_plan_service_free(spark, sf):
     return _plan(spark, sf, False, batch=stand_in_batch)
 
 
+@query
+def overflow_report(spark, sf):
+    config = inputs.TranslationConfig(CONFIG.source_lang, CONFIG.target_lang, skip_pages=SKIP_PAGES)
+    return edits.overflow_report(edits.translated_blocks(lay.text_blocks(inputs.layout(spark, sf)), config, stand_in))
+
+
 @query
 def job_events(spark, sf):
     """All events of every job as JSON lines, with a limit on the size of results."""

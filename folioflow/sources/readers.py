@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from folioflow.config import AdmissionRules
+from folioflow.functions.text import let, strip
 from folioflow.schemas import LAYOUT
 
 # A decoder turns the bytes of one document into its pages, one list of layout blocks each.
@@ -58,6 +59,35 @@ def screen_files(files: DataFrame, rules: AdmissionRules, manifest: DataFrame |
     return judged.unionByName(absent.select("path", "length", reason.alias("verdict")))
 
 
+# Markup that carries no text of its own, block elements, and what is left of tags within them.
+HTML_SILENT = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
+HTML_BLOCK = r"(?is)<(h1|p|li)(?:\s[^>]*)?>(.*?)</(?:h1|p|li)>"
+HTML_TAG = r"(?s)<[^>]*>"
+HTML_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+
+
+def html_blocks(pages: DataFrame) -> DataFrame:
+    """``page_id, block_no, tag, text``: headings, paragraphs and list items of ``pages(page_id, html)``.
+
+    The same contract as layout blocks, for pages that come as HTML. Narrow: a page stays one row
+    until its blocks are numbered; blank blocks are left out and keep their number.
+    """
+    def cleaned(html: Column) -> Column:
+        text = F.regexp_replace(html, HTML_TAG, "")
+        for entity, char in HTML_ENTITIES.items():
+            text = F.replace(text, F.lit(entity), F.lit(char))
+        return strip(F.regexp_replace(text, r"\s+", " "))
+
+    def blocks(html: Column) -> Column:
+        tags = F.regexp_extract_all(html, F.lit(HTML_BLOCK), F.lit(1))
+        texts = F.regexp_extract_all(html, F.lit(HTML_BLOCK), F.lit(2))
+        return F.transform(F.arrays_zip(tags.alias("tag"), texts.alias("text")), lambda b, i: F.struct(
+            i.alias("block_no"), F.lower(b["tag"]).alias("tag"), cleaned(b["text"]).alias("text")))
+
+    found = let(F.regexp_replace("html", HTML_SILENT, " "), blocks)
+    return pages.select("page_id", F.explode(F.filter(found, lambda b: b["text"] != "")).alias("b")).select("page_id", "b.*")
+
+
 def decode_layout(documents: DataFrame, decoder: Decoder) -> DataFrame:
     """Layout rows of ``documents(doc_id, content)``, one per page.
 

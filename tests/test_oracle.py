@@ -26,4 +26,4 @@ def test_every_sql_has_a_query():
 
 
 def test_entry(spark):
-    assert contract.entry(spark).columns == ["doc_id", "lang", "translated", "n_chunks", "n_failed"]
+    assert contract.entry(spark).columns == ["doc_id", "lang", "translated", "n_chunks", "n_failed", "verdict"]

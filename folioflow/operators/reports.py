@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from folioflow.config import FAILED_MESSAGE, STATUS, TOO_LARGE_MESSAGE
+from folioflow.config import FAILED_MESSAGE, MAX_OUTPUT_BYTES, STATUS, TOO_LARGE_MESSAGE
 from folioflow.functions.text import download_name, let, megabytes, percent, reduction
 from folioflow.operators.translation import EMPTY, FAILED
 
@@ -50,6 +50,21 @@ def final_event(filename: Column, max_output_bytes: int) -> Column:
     )
 
 
+def job_events(
+    layout: DataFrame, documents: DataFrame, name: Column, max_output_bytes: int = MAX_OUTPUT_BYTES
+) -> DataFrame:
+    """``doc_id, seq, event``: JSON lines of every job, in order of ``seq``.
+
+    A line of progress as each page starts, then exactly one ``done`` with the result, or one
+    ``error``: for a job that could not be read, or whose result is larger than
+    ``max_output_bytes``. ``documents`` are translated ones with their ``status``; ``name`` is
+    the upload's name, an expression over them.
+    """
+    progress = page_progress(layout).select("doc_id", F.col("page").alias("seq"), progress_event().alias("event"))
+    last = documents.select("doc_id", (F.col("n_pages") + 1).alias("seq"), final_event(name, max_output_bytes).alias("event"))
+    return progress.unionByName(last)
+
+
 def size_report(df: DataFrame, before: str, after: str, by: Sequence[str]) -> DataFrame:
     """Totals before and after, megabytes and reduction in percent, per group."""
     totals = df.groupBy(*by).agg(

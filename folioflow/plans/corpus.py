@@ -1,14 +1,14 @@
-"""The whole job: layout trees in, translated pages, documents, edit plans or events out."""
+"""The whole job: layout trees in, translated pages, documents or edit plans out."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.config import MAX_OUTPUT_BYTES, ROUTE, TranslationConfig
-from folioflow.operators import assembly, edits, reports
+from folioflow.config import ROUTE, TranslationConfig
+from folioflow.operators import assembly, edits
 from folioflow.operators import layout as lay
 from folioflow.operators.shared import materialise
 from folioflow.operators.translation import BatchTranslator, ColumnTranslator, chunks_of, translate_once
@@ -92,18 +92,3 @@ def translate_edits(
     blocks = lay.routed_blocks(lay.blocks_of(folded(layout)), config.skip_pages)
     done = translate_blocks(blocks, config, batch, **service)
     return edits.edit_plan(edits.with_translations(blocks.drop("route"), done), config, fonts)
-
-
-def job_events(
-    layout: DataFrame, documents: DataFrame, name: Column, max_output_bytes: int = MAX_OUTPUT_BYTES
-) -> DataFrame:
-    """``doc_id, seq, event``: JSON lines of every job, in order of ``seq``.
-
-    A line of progress as each page starts, then exactly one ``done`` with the result, or one
-    ``error``: for a job that could not be read, or whose result is larger than
-    ``max_output_bytes``. ``documents`` come from ``translate_documents``; ``name`` is the
-    upload's name, an expression over them.
-    """
-    progress = reports.page_progress(layout).select("doc_id", F.col("page").alias("seq"), reports.progress_event().alias("event"))
-    last = documents.select("doc_id", (F.col("n_pages") + 1).alias("seq"), reports.final_event(name, max_output_bytes).alias("event"))
-    return progress.unionByName(last)

@@ -427,3 +427,5 @@ ORACLE = {
 }
 for _name in ("preserve", "free"):
     ORACLE[f"edit_plan_service_{_name}"] = ORACLE[f"edit_plan_{_name}"]
+ORACLE["stream_documents"] = ORACLE["translated_docs_service"]
+ORACLE["stream_events"] = ORACLE["job_events"]

@@ -482,7 +482,7 @@ def job_events(spark, sf):
     layout = inputs.layout(spark, sf)
     docs = corpus.translate_documents(layout, CONFIG, column=stand_in)
     name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".pdf"))
-    return corpus.job_events(layout, docs, name, max_output_bytes=6_000)
+    return reports.job_events(layout, docs, name, max_output_bytes=6_000)
 
 
 # --- progress and quotas -----------------------------------------------------------------
@@ -548,6 +548,26 @@ def stream_progress(spark, sf):
     return lines
 
 
+@query
+def stream_documents(spark, sf):
+    """Arriving documents through the batch translator, with a memory that all batches share."""
+    folder = run_folder(spark, "documents")
+    layout = inputs.layout_of(inputs.arriving_table(spark, sf, "documents"))
+    _finish(jobs.start_documents(layout, lambda pages: corpus.translate_documents(
+        pages, CONFIG, batch=stand_in_batch, answers_at=f"{folder}/answers"), folder))
+    return spark.read.parquet(f"{folder}/documents").drop("batch_id", "status")
+
+
+@query
+def stream_events(spark, sf):
+    folder = run_folder(spark, "events")
+    layout = inputs.layout_of(inputs.arriving_table(spark, sf, "documents"))
+    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    _finish(jobs.start_events(
+        layout, lambda pages: corpus.translate_documents(pages, CONFIG, column=stand_in), name, folder, max_output_bytes=6_000))
+    return spark.read.parquet(f"{folder}/events").drop("batch_id")
+
+
 @query
 def stream_translate(spark, sf):
     docs = inputs.arriving_table(spark, sf, "documents")

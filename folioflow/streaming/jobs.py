@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from folioflow.config import AdmissionRules, Quota
+from folioflow.config import MAX_OUTPUT_BYTES, AdmissionRules, Quota
 from folioflow.operators.admission import with_verdict
 from folioflow.operators.quota import first_arrivals, period_of
-from folioflow.operators.reports import page_progress
+from folioflow.operators.reports import job_events, page_progress
 from folioflow.operators.shared import exists, file_system, materialise, spread
 from folioflow.operators.translation import (
     EMPTY, FAILED, BatchTranslator, ask, chunk_key, chunks_of, distinct_requests, missing_requests, resolve,
@@ -146,6 +146,35 @@ def _retired(counts: DataFrame, now: datetime, keep_days: int) -> Column:
     return F.col("client").isNotNull() & (F.col("updated") < at - F.expr(f"INTERVAL {keep_days} DAYS")) & (F.col("period") < at)
 
 
+def start_documents(
+    layout: DataFrame, translate: Callable[[DataFrame], DataFrame], folder: str, **trigger
+) -> StreamingQuery:
+    """Translated documents of arriving layouts in ``folder/documents``, with their status.
+
+    All pages of a document arrive in one batch. ``translate`` is the batch job over layouts,
+    for instance ``lambda pages: translate_documents(pages, config, batch=service,
+    answers_at=f"{folder}/answers")``, whose answers then serve all later batches. A batch that
+    runs again replaces what it wrote.
+    """
+    def work(batch: DataFrame, batch_id: int) -> None:
+        _write_batch(translate(batch), f"{folder}/documents", batch_id)
+
+    return _each_batch(layout, folder, work, trigger)
+
+
+def start_events(
+    layout: DataFrame, translate: Callable[[DataFrame], DataFrame], name: Column, folder: str,
+    max_output_bytes: int = MAX_OUTPUT_BYTES, **trigger,
+) -> StreamingQuery:
+    """``doc_id, seq, event`` of arriving layouts in ``folder/events``: progress, then done or error."""
+    def work(batch: DataFrame, batch_id: int) -> None:
+        pages = batch.persist()
+        _write_batch(job_events(pages, translate(pages), name, max_output_bytes), f"{folder}/events", batch_id)
+        pages.unpersist()
+
+    return _each_batch(layout, folder, work, trigger)
+
+
 def start_quota(
     requests: DataFrame, quotas: Sequence[Quota], folder: str, keep_days: int = 2,
     clock: Callable[[], datetime] = _utc_now, **trigger,

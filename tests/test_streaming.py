@@ -9,7 +9,7 @@ from folioflow import schemas
 from folioflow.config import TRANSLATE_QUOTAS
 from folioflow.operators import quota, reports
 from folioflow.operators import translation as tr
-from folioflow.plans import inputs
+from folioflow.plans import corpus, inputs
 from folioflow.streaming import jobs
 
 
@@ -137,3 +137,32 @@ def test_over_limit_periods(spark, parts, tmp_path):
     events = spark.read.parquet(str(parts / "events")).select(F.col("ts").cast("timestamp").alias("ts"))
     days = events.groupBy(F.date_trunc("day", "ts").alias("period")).agg(F.count(F.lit(1)).alias("n")).where("n > 20")
     assert days.count() > 5 and same(got.select("period", "n"), days)
+
+
+def test_documents_and_events_over_batches(spark, parts, sf_dir, tmp_path):
+    """Batches share the answers: a text that comes up again is not sent again."""
+    import json
+    import uuid
+
+    sent_at = tmp_path / "sent"
+    sent_at.mkdir()
+
+    def service(texts):
+        (sent_at / uuid.uuid4().hex).write_text(json.dumps(list(texts)))
+        return ["[es] " + t for t in texts]
+
+    layout = inputs.layout_of(arriving(spark, parts, "documents"))
+    folder = str(tmp_path / "docs")
+    jobs.start_documents(layout, lambda pages: corpus.translate_documents(
+        pages, inputs.CONFIG, batch=service, answers_at=f"{folder}/answers"), folder).awaitTermination()
+    got = spark.read.parquet(f"{folder}/documents")
+    assert got.select("batch_id").distinct().count() > 1
+    sent = [t for f in sent_at.iterdir() for t in json.loads(f.read_text())]
+    assert len(sent) == len(set(sent)) > 100
+    want = corpus.translate_documents(inputs.layout(spark, sf_dir), inputs.CONFIG, batch=service)
+    assert same(got.drop("batch_id"), want)
+    events = str(tmp_path / "events")
+    jobs.start_events(layout, lambda pages: corpus.translate_documents(pages, inputs.CONFIG, column=inputs.stand_in), F.lit("a.pdf"), events).awaitTermination()
+    kinds = spark.read.parquet(f"{events}/events").groupBy("doc_id").agg(
+        F.count_if(F.col("event").contains('"done"')).alias("done"), F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"))
+    assert kinds.where("done <> 1 OR n <> last").count() == 0 and kinds.count() == 200

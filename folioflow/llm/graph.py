@@ -2,11 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.operators.shared import materialise
 
+EDGES = "u BIGINT, v BIGINT"
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node that is not its component's smallest one, and that smallest one."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[:len(u)], ends[len(u):]
+    label = np.arange(len(nodes))
+    while True:
+        # smallest label among neighbours, then labels of labels
+        low = np.minimum(label[a], label[b])
+        if (low == label[a]).all() and (low == label[b]).all():
+            break
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (deeper := label[label]).tobytes() != label.tobytes():
+            label = deeper
+    own = label != np.arange(len(nodes))
+    return nodes[own], nodes[label[own]]
+
+
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if parts:
+        u, v = forest(*(np.concatenate(x) for x in zip(*parts)))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -15,36 +46,22 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges(u, v)`` that is not its component's smallest one.
 
-    Alternates two steps until nothing changes: every node's larger neighbours, then its smaller
-    ones, are tied to the smallest node it knows. The number of rounds grows with the logarithm
-    of a component's size. A node's smallest neighbour is found by partial aggregation and joined
-    back on the node, where one side has a single row per node: a node with very many edges is
-    split like any skewed join. Every round is a written table, so a lost executor costs one
-    step at most.
+    Edges lead from the larger node to the smaller one. In a round the edges of a node meet by
+    their larger end, every task reduces its part to trees of depth one, and nodes then follow
+    their root's own edge: a join on the root, whose other side has a single row per node, so
+    a root with very many nodes is split like any skewed join. Rounds end when nothing changes;
+    their number grows with the logarithm of a component's size. A round is a written table, so
+    a lost executor costs one round at most.
     """
-    now = materialise(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
-    )
-    before = _state(now)
-    while before[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        # larger neighbours of u meet its smallest one
-        large = (
-            now.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        )
-        large = materialise(large, "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = (
-            joined.select("u", F.col("m").alias("v"))
-            .unionByName(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-            .distinct()
-        )
-        now = materialise(small, "edges")
+    now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    before = None
+    while True:
+        trees = now.repartition(F.col("u")).mapInArrow(_local, EDGES)
+        least = trees.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("root"))
+        jumped = trees.join(least, "v", "left").select("u", F.col("v").alias("old"), F.coalesce("root", "v").alias("v"))
+        # a root that has several edges must not lose the others: its own rows carry them
+        now = materialise(jumped.select("u", "v"), "edges")
         after = _state(now)
         if after == before:
-            break
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = after
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

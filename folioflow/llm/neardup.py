@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import hashed_words, mix, shingles, slices
-from folioflow.llm.graph import components
+from folioflow.llm.graph import EDGES, components
 from folioflow.operators.shared import materialise
 
 ROWS, BANDS = 3, 32
@@ -45,8 +45,8 @@ SAMPLES = ROWS * BANDS
 SKETCH_BITS = 512
 SCREEN = 0.5
 PERCENT = 80
-BLOCK = 1000  # classes compared with each other in one task
-BLOCK_SHINGLES = 1_000_000
+BLOCK = 8000  # classes compared with each other in one task
+BLOCK_SHINGLES = 4_000_000
 
 _seeds = mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FACTORS = (_seeds[:SAMPLES] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -93,8 +93,8 @@ def most_different(similarity: float = SCREEN) -> int:
     return int(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * SAMPLES * (1 - similarity))))
 
 
-def _ids(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _ids(documents: DataFrame, *more: str) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
 def signatures(documents: DataFrame, width: int) -> DataFrame:
@@ -122,47 +122,30 @@ def signatures(documents: DataFrame, width: int) -> DataFrame:
 
 
 def sets_of(documents: DataFrame, width: int) -> DataFrame:
-    """``doc_id, shingles, sketch`` per row with a set that is not empty; 64-bit numbers as bytes."""
+    """``doc_id, root, shingles, sketch`` per row of ``documents(doc_id, text, root)`` with a set that is not
+    empty; 64-bit numbers as bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1000, "text", 1 << 22):
             hashes, starts = hashed_words(batch.column(1).to_pylist())
             sets = [shingle_set(hashes[a:b], width) for a, b in zip(starts, starts[1:])]
             sketches = [odd_sketch(samples(s)).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(sketches, pa.binary()),
-            ], ["doc_id", "shingles", "sketch"])
+                batch.column(0), batch.column(2), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(sketches, pa.binary()),
+            ], ["doc_id", "root", "shingles", "sketch"])
 
-    return _ids(documents).mapInArrow(run, "doc_id BIGINT, shingles BINARY, sketch BINARY").where("sketch IS NOT NULL")
+    return _ids(documents, "root").mapInArrow(run, "doc_id BIGINT, root BIGINT, shingles BINARY, sketch BINARY").where("sketch IS NOT NULL")
 
 
-class Forest:
-    """Union of numbered members; keeps the ties that joined two groups."""
+def linked(sets: list[np.ndarray], sketches: np.ndarray, sides: np.ndarray, known: np.ndarray, percent: int) -> np.ndarray:
+    """Smallest member number each member is connected to.
 
-    def __init__(self, labels: list) -> None:
-        first: dict = {}
-        self.parent = [first.setdefault(x, i) if x is not None else i for i, x in enumerate(labels)]
-        self.ties: list[tuple[int, int]] = []
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def tie(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        if a != b:
-            self.parent[b] = a
-            self.ties.append((i, j))
-
-
-def linked(sets: list[np.ndarray], sketches: np.ndarray, sides: np.ndarray, known: list, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between members of different sides (of side 0 alone if there is one).
-
-    Exact: sketches turn away pairs that are far from the threshold, the others' sets are counted.
+    Members of different sides are compared (of side 0 alone if there is one), unless they are
+    connected already; ``known`` numbers what is. Exact: sketches turn away pairs that are far
+    from the threshold, the others' sets are counted.
     """
     n = len(sets)
-    forest = Forest(known)
+    _, first, label = np.unique(known, return_index=True, return_inverse=True)
+    label = first[label]
     sizes = np.array([len(s) for s in sets])
     starts = np.concatenate([[0], np.cumsum(sizes)])
     kinds, ids = np.unique(np.concatenate(sets), return_inverse=True)
@@ -170,39 +153,39 @@ def linked(sets: list[np.ndarray], sketches: np.ndarray, sides: np.ndarray, know
     limit = most_different()
     single = not sides.any()
     for i in range(n - 1):
-        rest = np.arange(i + 1, n)
+        near = label[i + 1:] != label[i]
         if not single:
-            rest = rest[sides[rest] != sides[i]]
-        # equal unions need sizes that are close
-        near = 100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i])
-        near &= np.bitwise_count(sketches[rest] ^ sketches[i]).sum(axis=1) <= limit
-        rest = rest[near]
-        own = forest.root(i)
-        rest = np.array([j for j in rest.tolist() if forest.root(j) != own], np.int64)
+            near &= sides[i + 1:] != sides[i]
+        # a large share of the union needs sizes that are close
+        near &= 100 * np.minimum(sizes[i + 1:], sizes[i]) >= percent * np.maximum(sizes[i + 1:], sizes[i])
+        rest = np.flatnonzero(near) + i + 1
+        if len(rest):
+            rest = rest[np.bitwise_count(sketches[rest] ^ sketches[i]).sum(axis=1) <= limit]
         if not len(rest):
             continue
         flag[ids[starts[i]:starts[i + 1]]] = True
-        for part in np.array_split(rest, max(1, int(sizes[rest].sum()) // 2_000_000 + 1)):
-            if not len(part):
-                continue
+        for part in np.array_split(rest, int(sizes[rest].sum()) // 2_000_000 + 1):
             hits = flag[np.concatenate([ids[starts[j]:starts[j + 1]] for j in part])]
             both = np.add.reduceat(hits.astype(np.int64), np.concatenate([[0], np.cumsum(sizes[part])[:-1]]))
-            for j in part[100 * both >= percent * (sizes[part] + sizes[i] - both)].tolist():
-                forest.tie(i, j)
+            met = part[100 * both >= percent * (sizes[part] + sizes[i] - both)]
+            if len(met):
+                joined = np.unique(np.append(label[met], label[i]))
+                label[np.isin(label, joined)] = joined[0]
         flag[ids[starts[i]:starts[i + 1]]] = False
-    return forest.ties
+    return label
 
 
 def _compare(percent: int):
+    """Every member of a group that is connected to a smaller one, and the smallest one."""
     def run(group: pa.Table) -> pa.Table:
-        ids = group.column("doc_id").to_pylist()
-        raw = group.column("shingles").to_pylist()
-        sides = group.column("side").to_numpy().astype(np.int64)
-        known = group.column("known").to_pylist()
+        group = group.sort_by("doc_id").combine_chunks()
+        ids = group.column("doc_id").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
         sketches = np.stack([np.frombuffer(x, np.uint64) for x in group.column("sketch").to_pylist()])
-        ties = linked([np.frombuffer(x, np.uint64) for x in raw], sketches, sides, known, percent)
-        u, v = [ids[i] for i, _ in ties], [ids[j] for _, j in ties]
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        label = linked(sets, sketches, group.column("side").to_numpy(), group.column("known").to_numpy(), percent)
+        found = ids[label]
+        # members of several rows may have several labels: all of them are kept
+        return pa.table({"u": pa.array(ids[found != ids]), "v": pa.array(found[found != ids])})
 
     return run
 
@@ -224,11 +207,10 @@ def _similar(percent: int):
     return run
 
 
-def links(documents: DataFrame, reps: DataFrame, width: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """``u, v``: a spanning forest of the links between classes.
+def links(documents: DataFrame, reps: DataFrame, width: int, percent: int, block: int = BLOCK) -> tuple[DataFrame, bool]:
+    """``u, v``: trees of the links between classes, and whether they are of depth one already.
 
-    ``reps(doc_id, n_shingles, bands)`` has the smallest document of every class, ``documents``
-    their texts.
+    ``reps(doc_id, bands)`` has the smallest document of every class, ``documents`` their texts.
     """
     keyed = reps.select("doc_id", F.explode("bands").alias("band"))
     pivots = keyed.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last")
@@ -236,71 +218,68 @@ def links(documents: DataFrame, reps: DataFrame, width: int, percent: int, block
         keyed.join(pivots.drop("last"), "band").where("doc_id <> pivot").select("doc_id", "pivot").distinct(), "stars"
     )
     found = components(stars.select(F.col("doc_id").alias("u"), F.col("pivot").alias("v")))
-    groups = materialise(found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct(), "groups")
-    sizes = (
-        groups.join(reps.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n_shingles").alias("n")), "node")
-        .groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
-        .select("root", F.ceil(F.greatest(
-            F.col("members") / block, F.least(F.col("members").cast("double"), F.col("shingles") / BLOCK_SHINGLES))).cast("int").alias("blocks"))
-    )
-    placed = materialise(
-        groups.join(sizes, "root").select(F.col("node").alias("doc_id"), "root", "blocks"), "placed"
-    )
-    # the texts of candidates only; one row per set of a document
-    sets = materialise(
-        sets_of(documents.join(placed.select("doc_id"), "doc_id", "left_semi"), width)
-        .distinct().join(placed, "doc_id"), "sets"
-    )
-    large = placed.where("blocks > 1")
-    ties = _star_links(stars, large, sets, percent) if large.take(1) else stars.limit(0).select(
-        F.col("doc_id").alias("u"), F.col("pivot").alias("v"))
-    ties = materialise(ties, "ties")
-    joined = components(ties)
-    # only large components have ties so far; the others are compared whole, in one block
-    labelled = sets.join(joined.select(F.col("node").alias("doc_id"), F.col("root").alias("known")), "doc_id", "left")
-    labelled = labelled.withColumn("known", F.when(F.col("blocks") > 1, F.coalesce("known", "doc_id")))
+    groups = found.select(F.col("node").alias("doc_id"), "root").unionByName(found.select(F.col("root").alias("doc_id"), "root").distinct())
+    # the texts of candidates only
+    sets = materialise(sets_of(_ids(documents).join(groups, "doc_id"), width), "sets")
+    sizes = sets.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum(F.length("shingles") / 8).alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("members") / block, F.least(F.col("members").cast("double"), F.col("shingles") / BLOCK_SHINGLES)))
+    large = materialise(sizes.select("root", blocks.cast("int").alias("blocks")).where("blocks > 1"), "large")
+    alone = [F.lit(0).alias("side"), F.col("doc_id").alias("known")]
+    if not large.take(1):
+        whole = sets.select("root", "doc_id", "shingles", "sketch", *alone)
+        return whole.groupBy("root").applyInArrow(_compare(percent), EDGES), True
+    small = sets.join(large.select("root"), "root", "left_anti").select("root", "doc_id", "shingles", "sketch", *alone)
+    compared = small.groupBy("root").applyInArrow(_compare(percent), EDGES)
+    wide = materialise(sets.join(large, "root"), "wide")
+    ties = materialise(_star_links(stars, wide, percent), "ties")
+    joined = components(ties).select(F.col("node").alias("doc_id"), F.col("root").alias("known"))
+    labelled = wide.join(joined, "doc_id", "left").withColumn("known", F.coalesce("known", "doc_id"))
     apart = (
-        labelled.where("blocks > 1").groupBy("root").agg(F.min("known").alias("a"), F.max("known").alias("b"))
-        .where("a < b").select("root", F.lit(True).alias("apart"))
+        labelled.groupBy("root").agg(F.min("known").alias("a"), F.max("known").alias("b"))
+        .where("a < b").select("root")
     )
-    open_ = labelled.join(apart, "root", "left").where("blocks = 1 OR apart")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("bigint")).cast("int")
-    tasks = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = labelled.join(apart, "root", "left_semi").withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = tasks.select(
         "root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
         F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "shingles", "sketch", "known",
     )
-    compared = tasks.groupBy("root", "a", "b").applyInArrow(_compare(percent), "u BIGINT, v BIGINT")
-    return ties.unionByName(compared)
+    across = tasks.groupBy("root", "a", "b").applyInArrow(_compare(percent), EDGES)
+    return compared.unionByName(ties).unionByName(across), False
 
 
-def _star_links(stars: DataFrame, large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _star_links(stars: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
     """Links between members of large components and the smallest ids of their bands.
 
     The set of a band's smallest id is dealt out in as many pieces as its component has blocks.
     """
-    own = sets.select("doc_id", F.col("shingles").alias("mine"), F.col("sketch").alias("my_sketch"), "blocks").withColumn(
-        "piece", F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("bigint")).cast("int"))
-    centres = stars.select("pivot").distinct().join(sets.where("blocks > 1").withColumnRenamed("doc_id", "pivot"), "pivot")
-    centres = centres.select("pivot", F.col("shingles").alias("theirs"), F.col("sketch").alias("their_sketch"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("piece"))
-    pairs = stars.join(large.select("doc_id"), "doc_id", "left_semi").join(own, "doc_id").join(centres, ["pivot", "piece"])
-    return pairs.select("doc_id", "pivot", "mine", "theirs", "my_sketch", "their_sketch").mapInArrow(_similar(percent), "u BIGINT, v BIGINT")
+    mine = wide.select("doc_id", F.col("shingles").alias("mine"), F.col("sketch").alias("my_sketch"), F.pmod(
+        F.xxhash64("doc_id"), F.col("blocks").cast("bigint")).cast("int").alias("piece"))
+    centres = stars.select("pivot").distinct().join(wide.withColumnRenamed("doc_id", "pivot"), "pivot").select(
+        "pivot", F.col("shingles").alias("theirs"), F.col("sketch").alias("their_sketch"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("piece"))
+    pairs = stars.join(mine, "doc_id").join(centres, ["pivot", "piece"])
+    return pairs.select("doc_id", "pivot", "mine", "theirs", "my_sketch", "their_sketch").mapInArrow(_similar(percent), EDGES)
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per document of ``documents(doc_id, text)``."""
     signed = materialise(signatures(documents, width), "signatures")
     owned = signed.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    classes = materialise(owned.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = owned.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").select(
-        "doc_id", "n_shingles", "bands")
-    ties = links(documents, reps, width, percent, block)
+    classes = materialise(
+        owned.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes"
+    )
+    ties, finished = links(documents, classes.select(F.col("rep").alias("doc_id"), "bands"), width, percent, block)
     # a document with several texts ties their classes
-    several = owned.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a <> b")
-    texts = owned.join(several.select("doc_id"), "doc_id", "left_semi").select("doc_id", "set_key").join(classes, "set_key")
-    tied = texts.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    found = components(ties.unionByName(tied))
-    named = classes.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
+    several = materialise(
+        owned.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a <> b"), "several"
+    )
+    if several.take(1):
+        texts = owned.join(several.select("doc_id"), "doc_id", "left_semi").select("doc_id", "set_key").join(classes, "set_key")
+        ties, finished = ties.unionByName(texts.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))), False
+    found = ties.select(F.col("u").alias("node"), F.col("v").alias("root")) if finished else components(ties)
+    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_key", F.coalesce("root", "rep").alias("component"))
     # one row of the right side per class: a class with very many copies is split as a skewed join
     rows = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")

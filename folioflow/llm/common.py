@@ -75,6 +75,30 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int, weight: str, most: int)
             yield batch.slice(start)
 
 
+FILTER_BITS = 24  # power of two: a filter has 2 MB, whatever goes into it
+
+
+def seed_filter(seeds: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """Bitmap of the low bits of ``seeds(seed BIGINT)``: at most ``2**bits / 64`` rows reach the driver.
+
+    Sorts out most of what is not among the seeds and nothing that is; a full bitmap sorts out less.
+    """
+    slot = F.col("seed").bitwiseAND(F.lit((1 << bits) - 1))
+    words = seeds.groupBy(F.shiftright(slot, 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(seed & 63 AS INT))")).alias("mask")
+    ).collect()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    for row in words:
+        out[row["word"]] = np.int64(row["mask"]).view(np.uint64)
+    return out
+
+
+def in_filter(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit ``keys`` may be among a filter's seeds."""
+    slot = keys & np.uint64(len(bitmap) * 64 - 1)
+    return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every input bit over the result."""
     x = x ^ (x >> np.uint64(30))

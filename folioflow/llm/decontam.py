@@ -29,12 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import hashed_words, shingles, slices
+from folioflow.llm.common import hashed_words, in_filter, seed_filter, shingles, slices
 from folioflow.operators.shared import materialise
 
 LEAST = 5  # words of a seed, and of the shortest tile
 COVERAGE = 0.5
-FILTER_BITS = 24  # power of two
 FIRST_LENGTH = 20  # where the search begins
 
 PAIRS = "doc_id BIGINT, item_id BIGINT, n_tokens BIGINT, matched BIGINT, n_tiles BIGINT, longest BIGINT"
@@ -150,33 +149,17 @@ def seeds_of(items: DataFrame, least: int = LEAST) -> DataFrame:
     )
 
 
-def seed_filter(seeds: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """Bitmap of the seeds' low bits: at most ``2**bits / 64`` rows reach the driver."""
-    slot = F.col("seed").bitwiseAND(F.lit((1 << bits) - 1))
-    words = seeds.groupBy(F.shiftright(slot, 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(seed & 63 AS INT))")).alias("mask")
-    ).collect()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    for row in words:
-        out[row["word"]] = np.int64(row["mask"]).view(np.uint64)
-    return out
-
-
 def stretches(documents: DataFrame, bitmap: np.ndarray, least: int = LEAST) -> DataFrame:
     """``doc_id, tokens, seeds`` of documents with possible seeds.
 
     ``tokens`` are the word hashes of all stretches that possible seeds cover, 0 between two
     stretches; ``seeds`` are the distinct possible seeds.
     """
-    bits = np.uint64(len(bitmap) * 64 - 1)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1000, "text", 1 << 22):
             hashes, starts = hashed_words(batch.column(1).to_pylist())
             keys = shingles(hashes, least)
-            slot = keys & bits
-            hit = (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
-            at = np.flatnonzero(hit)
+            at = np.flatnonzero(in_filter(bitmap, keys))
             owner = np.searchsorted(starts, at, "right") - 1
             at, owner = at[at + least <= starts[owner + 1]], owner[at + least <= starts[owner + 1]]
             ids = batch.column(0).to_pylist()

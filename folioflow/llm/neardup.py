@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import hashed_words, mix, shingles, slices
+from folioflow.llm.common import hashed_words, in_filter, mix, seed_filter, shingles, slices
 from folioflow.llm.graph import EDGES, components
 from folioflow.operators.shared import materialise
 
@@ -121,6 +121,19 @@ def signatures(documents: DataFrame, width: int) -> DataFrame:
     )
 
 
+def _possible(documents: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows that may be among ``groups(doc_id)``, by a filter of fixed size: the other texts are not shuffled."""
+    key = F.xxhash64("doc_id")
+    bitmap = seed_filter(groups.select(key.alias("seed")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch.select([0, 1]).filter(pa.array(in_filter(bitmap, keys)))
+
+    return _ids(documents).where("doc_id IS NOT NULL").withColumn("_key", key).mapInArrow(run, "doc_id BIGINT, text STRING")
+
+
 def sets_of(documents: DataFrame, width: int) -> DataFrame:
     """``doc_id, root, shingles, sketch`` per row of ``documents(doc_id, text, root)`` with a set that is not
     empty; 64-bit numbers as bytes."""
@@ -220,7 +233,8 @@ def links(documents: DataFrame, reps: DataFrame, width: int, percent: int, block
     found = components(stars.select(F.col("doc_id").alias("u"), F.col("pivot").alias("v")))
     groups = found.select(F.col("node").alias("doc_id"), "root").unionByName(found.select(F.col("root").alias("doc_id"), "root").distinct())
     # the texts of candidates only
-    sets = materialise(sets_of(_ids(documents).join(groups, "doc_id"), width), "sets")
+    groups = materialise(groups, "groups")
+    sets = materialise(sets_of(_possible(documents, groups).join(groups, "doc_id"), width), "sets")
     sizes = sets.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum(F.length("shingles") / 8).alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("members") / block, F.least(F.col("members").cast("double"), F.col("shingles") / BLOCK_SHINGLES)))
     large = materialise(sizes.select("root", blocks.cast("int").alias("blocks")).where("blocks > 1"), "large")

@@ -243,7 +243,9 @@ def _answered(grams: Order, answers: dict[int, list[bytes]], level: Level) -> tu
     bounds = np.flatnonzero(np.concatenate([[True], grams.buckets[1:] != grams.buckets[:-1], [True]])) if n else [0]
     for a, b in zip(bounds[:-1], bounds[1:]):
         c, g, *context = answers[int(grams.buckets[a])]
-        counts[a:b], ids[a:b] = unpacked(c, np.int64), unpacked(g, np.int64)
+        counts[a:b], own = unpacked(c, np.int64), unpacked(g, np.int64)
+        if len(own):
+            ids[a:b] = own
         new = np.ones(b - a, bool)
         new[1:] = grams.context[a + 1:b] != grams.context[a:b - 1]
         which = np.cumsum(new) - 1
@@ -294,7 +296,7 @@ def _count_words(group: pa.Table, buckets: int) -> pa.Table:
     return _table(rows)
 
 
-def _count_grams(group: pa.Table, buckets: int, hot: dict[int, int]) -> pa.Table:
+def _count_grams(group: pa.Table, buckets: int, hot: dict[int, int], last: bool) -> pa.Table:
     bucket = group.column("bucket")[0].as_py()
     parts = group.column("payload").to_pylist()
     contexts, words, counts, lower = [], [], [], []
@@ -307,7 +309,8 @@ def _count_grams(group: pa.Table, buckets: int, hot: dict[int, int]) -> pa.Table
     kinds, first, which = _distinct(pair)
     totals = np.bincount(which, np.concatenate(counts), len(kinds)).astype(np.int64)
     shorter = np.concatenate(lower)[first]
-    ids = np.arange(len(kinds), dtype=np.int64) * buckets + bucket
+    # ids are contexts of the next order; the longest n-grams need none
+    ids = np.arange(0 if last else len(kinds), dtype=np.int64) * buckets + bucket
     # sums by context
     new = np.ones(len(kinds), bool)
     new[1:] = kinds[1:, 0] != kinds[:-1, 0]
@@ -326,9 +329,12 @@ def _count_grams(group: pa.Table, buckets: int, hot: dict[int, int]) -> pa.Table
         context = of[own]
         context = context[np.concatenate([[True], context[1:] != context[:-1]])]
         rows.append(_row("answer", block, bucket, [
-            packed(totals[own]), packed(ids[own]), packed(total[context]), packed(mass[context]), packed(small[context].ravel()),
+            packed(totals[own]), packed(ids if last else ids[own]), packed(total[context]), packed(mass[context]),
+            packed(small[context].ravel()),
         ]))
-    rows.append(_row("model", 0, bucket, [packed(kinds[seen, 0]), packed(kinds[seen, 1]), packed(ids[seen]), packed(totals[seen])]))
+    rows.append(_row("model", 0, bucket, [
+        packed(kinds[seen, 0]), packed(kinds[seen, 1]), packed(ids if last else ids[seen]), packed(totals[seen]),
+    ]))
     rows.append(_row("sums", 0, bucket, None, None, _of_counts(totals).tolist()))
     for gram in set(hot).intersection(kinds[new, 0].tolist()):
         i = int(np.searchsorted(kinds[new, 0], gram))
@@ -397,7 +403,8 @@ class Katz:
                 return _gram_requests(left.column("block")[0].as_py(), block, grams, shorter)
 
             asked = self._with_answers(ask_grams, request)
-            done = asked.groupBy("bucket").applyInArrow(lambda g: _count_grams(g, buckets, hot), ANSWERS)
+            last = k == self.order
+            done = asked.groupBy("bucket").applyInArrow(lambda g: _count_grams(g, buckets, hot, last), ANSWERS)
         folder = run_folder(self.spark, f"ngrams-{k}")
         done.write.partitionBy("kind").parquet(folder)
         self.tables[k] = folder

@@ -249,10 +249,13 @@ def _answered(grams: Order, answers: dict[int, list[bytes]], level: Level) -> tu
         new = np.ones(b - a, bool)
         new[1:] = grams.context[a + 1:b] != grams.context[a:b - 1]
         which = np.cumsum(new) - 1
-        sums[a:b, 0] = unpacked(context[0], np.int64)[which]
-        sums[a:b, 1] = unpacked(context[1], np.float64)[which]
-        small = unpacked(context[2], np.int64).reshape(-1, DISCOUNTED)
-        sums[a:b, 2:] = small[which]
+        own = np.zeros((which[-1] + 1, 2 + DISCOUNTED))
+        own[:, 0] = unpacked(context[0], np.int64)
+        own[:, 2] = unpacked(context[1], np.uint8)  # seen words only need to know that something is taken off
+        open_ = np.bincount(which, counts[a:b] == 0) > 0
+        own[open_, 1] = unpacked(context[2], np.float64)
+        own[open_, 2:] = unpacked(context[3], np.int64).reshape(-1, DISCOUNTED)
+        sums[a:b] = own[which]
     for gram, whole in level.hot_sums.items():
         sums[grams.context == gram] = whole
     return counts, ids, sums
@@ -326,11 +329,14 @@ def _count_grams(group: pa.Table, buckets: int, hot: dict[int, int], last: bool)
     for block, word in zip(group.column("block").to_pylist(), words):
         own = which[at:at + len(word)]
         at += len(word)
-        context = of[own]
-        context = context[np.concatenate([[True], context[1:] != context[:-1]])]
+        head = np.concatenate([[True], of[own][1:] != of[own][:-1]])
+        context = of[own][head]
+        # what a context leaves over is asked for only where one of its words was not seen
+        open_ = np.bincount(np.cumsum(head) - 1, totals[own] == 0) > 0
         rows.append(_row("answer", block, bucket, [
-            packed(totals[own]), packed(ids if last else ids[own]), packed(total[context]), packed(mass[context]),
-            packed(small[context].ravel()),
+            packed(totals[own]), packed(ids if last else ids[own]), packed(total[context]),
+            packed((small[context].sum(axis=1) > 0).astype(np.uint8)),
+            packed(mass[context[open_]]), packed(small[context[open_]].ravel()),
         ]))
     rows.append(_row("model", 0, bucket, [
         packed(kinds[seen, 0]), packed(kinds[seen, 1]), packed(ids if last else ids[seen]), packed(totals[seen]),

@@ -25,6 +25,7 @@ from folioflow.functions.text import let
 from folioflow.llm.common import SPACE, words
 
 BUCKETS = 10_000
+MAX_TRUSTED = 50_000  # labelled rows that are learnt from
 PRIOR = 10.0  # counts per bucket
 THRESHOLD = -0.06
 MIN_WORDS = 50
@@ -45,10 +46,16 @@ def ngram_buckets(tokens: Column, buckets: int) -> Column:
     return let(tokens, all_of)
 
 
-def bucket_counts(texts: DataFrame, buckets: int) -> dict[int, int]:
-    """Counts by bucket over all rows of ``texts(text)``; at most ``buckets`` rows reach the driver."""
-    grams = texts.select(F.explode(ngram_buckets(words(F.col("text")), buckets)).alias("bucket"))
-    return {r["bucket"]: r["n"] for r in grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
+def bucket_counts(texts: DataFrame, buckets: int) -> dict[bool, dict[int, int]]:
+    """Counts by bucket over all rows of ``texts(text, trusted)``, of trusted rows and of others.
+
+    At most ``2 * buckets`` rows reach the driver.
+    """
+    grams = texts.select("trusted", F.explode(ngram_buckets(words(F.col("text")), buckets)).alias("bucket"))
+    out: dict[bool, dict[int, int]] = {True: {}, False: {}}
+    for row in grams.groupBy("trusted", "bucket").agg(F.count(F.lit(1)).alias("n")).collect():
+        out[row["trusted"]][row["bucket"]] = row["n"]
+    return out
 
 
 def log_ratios(target: dict[int, int], raw: dict[int, int], buckets: int) -> list[float]:
@@ -67,11 +74,23 @@ def log_ratios(target: dict[int, int], raw: dict[int, int], buckets: int) -> lis
     return out
 
 
-def fit(documents: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS) -> list[float]:
-    """Log ratios learnt from all of ``documents(doc_id, text)`` and the trusted part of it."""
-    texts = documents.select("doc_id", "text")
-    trusted = texts.join(trusted_ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    return log_ratios(bucket_counts(trusted, buckets), bucket_counts(texts, buckets), buckets)
+def fit(documents: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, most: int = MAX_TRUSTED) -> list[float]:
+    """Log ratios learnt from all of ``documents(doc_id, text)`` and the trusted part of it.
+
+    Of more than ``most`` trusted ids a sample of about that number is learnt from, chosen by the
+    hash of the id: their table is then small enough to travel to the texts. Texts are read
+    once and stay where they are.
+    """
+    ids = trusted_ids.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    n = ids.count()
+    if n > most:
+        ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit((1 << 30) * most // n))
+    marked = documents.select("doc_id", "text").join(F.broadcast(ids.withColumn("trusted", F.lit(True))), "doc_id", "left")
+    counts = bucket_counts(marked.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted")), buckets)
+    target, raw = counts[True], dict(counts[False])
+    for bucket, count in target.items():
+        raw[bucket] = raw.get(bucket, 0) + count
+    return log_ratios(target, raw, buckets)
 
 
 def ratio_score(tokens: Column, ratios: list[float]) -> Column:

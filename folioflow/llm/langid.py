@@ -36,9 +36,10 @@ ORDER = 3
 SEED = 1
 MAX_LANGUAGES = 4096
 UNKNOWN = "und"
-ROWS = 1024
-BYTES = 1 << 22
-PIECE = 1 << 20  # code points counted at a time
+ROWS = 512
+BYTES = 1 << 21
+KINDS = 2048  # n-gram vectors held at a time
+PIECE = 1 << 18  # code points counted at a time
 BITS = np.uint64(21)  # of a code point
 
 
@@ -145,9 +146,9 @@ def bundled(
     out = np.zeros((n, dimensions), np.float32)
     if len(grams):
         kinds, which = np.unique(grams, return_inverse=True)
-        for at in range(0, len(kinds), 4096):
-            inside = (which >= at) & (which < at + 4096)
-            block = ngram_vectors(kinds[at:at + 4096], dimensions, order).astype(np.float32)
+        for at in range(0, len(kinds), KINDS):
+            inside = (which >= at) & (which < at + KINDS)
+            block = ngram_vectors(kinds[at:at + KINDS], dimensions, order).astype(np.float32)
             weights = np.zeros((n, len(block)), np.float32)
             np.add.at(weights, (rows[inside], which[inside] - at), counts[inside])
             out += weights @ block

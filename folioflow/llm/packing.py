@@ -36,7 +36,7 @@ from folioflow.operators.shared import materialise
 
 LIMIT = 2048
 PIECES = "doc_id BIGINT, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT"
-CACHED_WORDS = 400_000  # memory of a worker, not of the result
+CACHED_WORDS = 300_000  # memory of a worker, not of the result
 MAX_STEPS = 6_000
 SHARES = (1.0, 0.9, 0.75, 0.5, 0.25, 0.0)  # of the fitted repeats; 0 is best-fit alone
 ROWS_PER_BUCKET = 20_000
@@ -132,15 +132,20 @@ def token_pieces(documents: DataFrame, path: str, limit: int = LIMIT) -> DataFra
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokens(path)
-        for batch in slices(batches, 1000, "text", 1 << 22):
-            rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), model.ids(batch.column(1).to_pylist()), strict=True):
-                ids += b"\0\0\0\0"
-                for piece, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at:at + width]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        try:
+            for batch in slices(batches, 1000, "text", 1 << 22):
+                rows = []
+                for doc_id, ids in zip(batch.column(0).to_pylist(), model.ids(batch.column(1).to_pylist()), strict=True):
+                    ids += b"\0\0\0\0"
+                    for piece, at in enumerate(range(0, len(ids), width)):
+                        part = ids[at:at + width]
+                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+                columns = zip(*rows, strict=True) if rows else [[]] * 5
+                arrays = [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+        finally:
+            # the worker lives on and may serve other jobs: most words of a task are its own
+            model.words = {}
 
     return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 

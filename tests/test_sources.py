@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import base64
 import json
+import re
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,3 +163,59 @@ def test_documents_without_pages_stay_and_decoding_happens_once(spark, tmp_path)
     assert len(list(calls.iterdir())) == 4, "each document is decoded once"
     inline = corpus.translate_documents(readers.decode_layout(docs, decoder), config, column=inputs.stand_in)
     assert {r.doc_id: (r.status, r.n_pages, r.translated is None, r.n_failed) for r in inline.collect()} == got
+
+
+class PageText(HTMLParser):
+    """Blocks of a page by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.blocks, self.tag, self.text, self.silent = [], "#text", "", 0
+
+    def edge(self, tag, named):
+        if re.fullmatch(readers.HTML_BLOCKS, tag):
+            if self.text.strip():
+                self.blocks.append((self.tag, " ".join(self.text.split())))
+            self.tag, self.text = named, ""
+
+    def handle_starttag(self, tag, attrs):
+        self.silent += tag in ("script", "style")
+        self.edge(tag, "#text" if tag == "hr" else tag)
+
+    def handle_endtag(self, tag):
+        self.silent -= tag in ("script", "style")
+        self.edge(tag, "#text")
+
+    def handle_data(self, data):
+        self.text += "" if self.silent else data
+
+    def handle_entityref(self, name):
+        self.text += readers.HTML_ENTITIES.get(f"&{name};", f"&{name};")
+
+
+def parsed(html):
+    parser = PageText()
+    parser.feed(html + "<hr>")
+    return parser.blocks
+
+
+def test_html_blocks_take_all_text(spark, sf_dir):
+    odd = {
+        -1: "<p>one<p>two <b>bold</b><li>three",
+        -2: "loose<div class=x>in div<h2>head</h2>after<table><tr><td>cell</table>end",
+        -3: "<p>kept</p><!-- never closed <p>gone",
+        -4: "<P>up<hr/>down</P><param>x</param><blockquote>q</blockquote><pre>a\n b</pre><p>cut<p cla",
+        -5: "", -6: None,
+    }
+    extra = spark.createDataFrame([(k, "", v) for k, v in odd.items()], "page_id BIGINT, url STRING, html STRING")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").unionByName(extra.select("page_id", "html"))
+    got = {}
+    for r in readers.html_blocks(pages).orderBy("page_id", "block_no").collect():
+        got.setdefault(r.page_id, []).append((r.tag, r.text))
+    assert got[-1] == [("p", "one"), ("p", "two bold"), ("li", "three")]
+    assert got[-2] == [("#text", "loose"), ("div", "in div"), ("h2", "head"), ("#text", "after"), ("td", "cell"), ("#text", "end")]
+    assert got[-3] == [("p", "kept")] and not {-5, -6} & set(got)
+    assert got[-4] == [("p", "up"), ("#text", "down"), ("#text", "x"), ("blockquote", "q"), ("pre", "a b"), ("p", "cut")]
+    given = {r.page_id: r.html for r in pages.where("page_id >= 0").collect()}
+    cut = re.compile(r"</?[a-zA-Z][^>]*\Z")
+    assert {k: got.get(k, []) for k in given} == {k: parsed(cut.sub("", v)) for k, v in given.items()}

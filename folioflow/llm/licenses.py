@@ -5,8 +5,13 @@ every length class of templates a text is cut into windows of ``2 * step`` words
 ``step`` words, where ``step`` is at least the template's length: any occurrence lies whole in
 one window. Of a window only the shingles that occur in some template count, and windows without
 any cannot match. ``BANDS`` single-row MinHash bands lead from windows to templates of their
-class; at a similarity of 0.4 all bands miss with odds of 8e-8. A template matches a window that
-holds at least ``CONTAINED`` percent of its shingles.
+class. As a window can hold much besides a short notice, templates are looked up by shingles too: by
+one of the shingles that it must have, or else by so many that a match has one of them. No match is missed.
+
+A template matches a window that holds at least ``CONTAINED`` percent of its shingles, and all
+shingles of the phrases that tell it from its relatives (version, ShareAlike, Lesser ...).
+A notice of a licence without its version has a name of its own (``GPL``, ``LGPL``, ``AGPL``);
+one with a version has both names.
 
 The templates are a fixed list of bounded size, so their tables travel to the texts; texts are
 read once and never shuffled, only the places of template shingles are.
@@ -53,6 +58,71 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("reserved", "All rights reserved."),
 )
+
+
+def _gnu():
+    for name, word, versions in (
+        ("GPL", "GNU General", {"2": "June 1991", "3": "29 June 2007"}),
+        ("LGPL", "GNU Lesser General", {"2.1": "February 1999", "3": "29 June 2007"}),
+        ("AGPL", "GNU Affero General", {"3": "19 November 2007"}),
+    ):
+        terms = f"under the terms of the {word} Public License as published by the Free Software Foundation"
+        subject = "library" if name == "LGPL" else "program"
+        yield name, f"This {subject} is free software: you can redistribute it and/or modify it {terms}", f"terms of the {word} Public License"
+        for version, date in versions.items():
+            full, known = f"{name}-{version if '.' in version else version + '.0'}", f"{word} Public License version {version}"
+            yield full, f"This work is licensed under the {known}.", known
+            yield full, f"{known}, {date}", known
+            yield (full, f"is free software: you can redistribute it and/or modify it {terms}, either version {version} of the License",
+                   f"terms of the {word} Public License", f"version {version} of the License")
+
+
+def _creative_commons():
+    parts = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
+    spelled = {"ShareAlike": "Share-Alike", "NonCommercial": "Non-Commercial", "NoDerivatives": "NoDerivs"}
+    for code in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        long = [parts[p] for p in code.split("-")]
+        for version, area in (("4.0", "International"), ("3.0", "Unported")):
+            yield f"CC-{code}-{version}", f"Licensed under CC {code} {version}.", f"CC {code} {version}"
+            for name in sorted({"-".join(long), "-".join(spelled.get(x, x) for x in long)}):
+                yield (f"CC-{code}-{version}", f"This work is licensed under a Creative Commons {name} {version} {area} License.",
+                       f"Commons {name} {version}")
+
+
+# The templates above with the phrases that must be there word for word, and further licences.
+DECIDING = {
+    "Licensed under the Apache License, Version 2.0.": "Apache License Version 2.0",
+    "This work is licensed under the GNU General Public License, version 3.": "GNU General Public License version 3",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "Mozilla Public License v 2.0",
+    "Licensed under CC BY 4.0.": "CC BY 4.0",
+    "Licensed under CC BY-SA 4.0.": "CC BY-SA 4.0",
+    "Licensed under CC BY-NC 4.0.": "CC BY-NC 4.0",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": "Commons Attribution 4.0",
+}
+CATALOGUE = tuple(dict.fromkeys((
+    *((name, text, *([DECIDING[text]] if text in DECIDING else [])) for name, text in TEMPLATES if not text.startswith("This program is free")),
+    *_gnu(), *_creative_commons(),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004", "Apache License Version 2.0"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License.", "BSD 2 Clause"),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License.", "BSD 3 Clause"),
+    ("BSD-3-Clause", "the names of its contributors may be used to endorse or promote products derived from this software without specific prior "
+                     "written permission"),
+    ("ISC", "Licensed under the ISC License.", "the ISC License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
+            "that the above copyright notice and this permission notice appear in all copies", "hereby granted provided that the above"),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE "
+             "SOFTWARE IS PROVIDED \"AS IS\"", "hereby granted the software"),
+    *((f"EPL-{v}", text, f"Eclipse Public License {how}{v}") for v in ("1.0", "2.0") for how in ("", "v", "v ", "version ") for text in (
+        f"made available under the terms of the Eclipse Public License {how}{v}", f"Licensed under the Eclipse Public License {how}{v}")),
+    *((f"EPL-{v}", f"Eclipse Public License v {v}", f"Eclipse Public License v {v}") for v in ("1.0", "2.0")),
+    *((f"MPL-{v}", text, f"Mozilla Public License {how}{v}") for v in ("1.1", "2.0") for how in ("", "version ") for text in (
+        f"Mozilla Public License {how}{v}",)),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a "
+                  "compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("CC0-1.0", "CC0 1.0 Universal", "CC0 1.0 Universal"),
+)))
 SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -85,11 +155,21 @@ def signature(shingles: Column) -> Column:
     return F.array(*[F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, F.lit(band)))) for band in range(BANDS)])
 
 
-def templates(spark, listed=TEMPLATES) -> DataFrame:
-    """``template, license, step, known``: the distinct shingle hashes of each template."""
-    rows = [(i, name, step_of(len(ws)), ws) for i, (name, text) in enumerate(listed) if len(ws := template_words(text)) >= WIDTH]
-    made = spark.createDataFrame(rows, "template INT, license STRING, step INT, words ARRAY<STRING>")
-    return made.select("template", "license", "step", F.array_distinct(shingle_hashes(F.col("words"))).alias("known"))
+def templates(spark, listed=CATALOGUE, contained: int = CONTAINED) -> DataFrame:
+    """``template, license, step, known, must, sought``: the distinct shingle hashes of each template,
+    those that a match cannot lack, and some of which it has at least one."""
+    rows = [
+        (i, name, step_of(len(ws)), ws, [template_words(d) for d in deciding])
+        for i, (name, text, *deciding) in enumerate(listed) if len(ws := template_words(text)) >= WIDTH
+    ]
+    made = spark.createDataFrame(rows, "template INT, license STRING, step INT, words ARRAY<STRING>, phrases ARRAY<ARRAY<STRING>>")
+    hashed = made.select(
+        "template", "license", "step", F.array_distinct(shingle_hashes(F.col("words"))).alias("known"),
+        F.array_distinct(F.flatten(F.transform("phrases", shingle_hashes))).alias("must"),
+    )
+    lacking = F.floor(F.size("known") * (100 - contained) / 100).cast("int")
+    sought = F.when(F.size("must") > 0, F.slice("must", 1, 1)).otherwise(F.slice("known", F.lit(1), lacking + 1))
+    return hashed.withColumn("sought", sought)
 
 
 def windows(documents: DataFrame, table: DataFrame) -> DataFrame:
@@ -115,22 +195,30 @@ def windows(documents: DataFrame, table: DataFrame) -> DataFrame:
     ).withColumn("place", F.col("window") * F.col("step")).drop("window")
 
 
-def matches(documents: DataFrame, listed=TEMPLATES, contained: int = CONTAINED) -> DataFrame:
+def keys(shingles: Column, sought: Column) -> Column:
+    """``ARRAY<STRUCT<band, value>>``: bands of all shingles, and the sought ones themselves as band -1."""
+    bands = F.transform(signature(shingles), lambda v, i: F.struct(i.alias("band"), v.alias("value")))
+    return F.concat(bands, F.transform(sought, lambda s: F.struct(F.lit(-1).alias("band"), s.alias("value"))))
+
+
+def matches(documents: DataFrame, listed=CATALOGUE, contained: int = CONTAINED) -> DataFrame:
     """``doc_id, license, containment, place`` of ``documents(doc_id, text)``.
 
     ``containment`` is the best share of a template's shingles, ``place`` the first word of the
     first window that has it.
     """
-    table = templates(documents.sparkSession, listed)
-    banded = table.select("template", "license", F.col("step").alias("t_step"), "known", F.posexplode(signature(F.col("known"))).alias("band", "value"))
-    found = windows(documents, table).select("*", F.posexplode(signature(F.col("found"))).alias("band", "value"))
+    table = templates(documents.sparkSession, listed, contained)
+    banded = table.select("template", F.col("step").alias("t_step"), F.inline(keys(F.col("known"), F.col("sought"))))
+    found = windows(documents, table).select("*", F.inline(keys(F.col("found"), F.col("found"))))
     met = found.join(
         F.broadcast(banded.select("band", "value", "template", "t_step")),
         (found["band"] == banded["band"]) & (found["value"] == banded["value"]) & (found["step"] == banded["t_step"]),
     ).select("doc_id", "row_key", "step", "place", "found", "template").dropDuplicates(["doc_id", "row_key", "step", "place", "template"])
-    checked = met.join(F.broadcast(table.select("template", "license", "known")), "template")
+    checked = met.join(F.broadcast(table.select("template", "license", "known", "must")), "template")
+    decided = F.size(F.array_except("must", "found")) == 0
     share = F.size(F.array_intersect("found", "known")) / F.size("known")
-    best = checked.select("doc_id", "license", "place", share.alias("containment")).where(F.col("containment") >= contained / 100)
+    best = checked.withColumn("containment", share).where(
+        decided & (F.col("containment") >= contained / 100))
     return best.groupBy("doc_id", "license").agg(
         F.max(F.struct(F.col("containment"), (-F.col("place")).alias("back"))).alias("b")
     ).select("doc_id", "license", F.col("b.containment").alias("containment"), (-F.col("b.back")).cast("bigint").alias("place"))

@@ -40,3 +40,37 @@ def test_an_occurrence_lies_whole_in_a_window():
         step = licenses.step_of(n)
         assert all(any(w * step <= at and at + n <= (w + 2) * step for w in range(40)) for at in range(100))
     assert all(re.fullmatch("[ -~]+", text) for _, text in licenses.TEMPLATES)
+
+
+def test_relatives_are_told_apart(spark):
+    gnu = "you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation"
+    cc = "This work is licensed under a Creative Commons {} International License"
+    wanted = {
+        cc.format("Attribution-NonCommercial-NoDerivatives 4.0"): {"CC-BY-NC-ND-4.0"},
+        cc.format("Attribution-ShareAlike 4.0"): {"CC-BY-SA-4.0"}, cc.format("Attribution 4.0"): {"CC-BY-4.0"},
+        "This work is licensed under the GNU General Public License, version 2.": {"GPL-2.0"},
+        "This work is licensed under the GNU General Public License, version 3.": {"GPL-3.0"},
+        "This work is licensed under the GNU Lesser General Public License, version 3.": {"LGPL-3.0"},
+        f"This library is free software; {gnu.format('Lesser General')}; either version 2.1 of the License": {"LGPL", "LGPL-2.1"},
+        f"This program is free software: {gnu.format('General')}; either version 2 of the License": {"GPL", "GPL-2.0"},
+        f"Foo is free software: {gnu.format('Affero General')}, either version 3 of the License": {"AGPL", "AGPL-3.0"},
+        f"This program is free software: {gnu.format('General')}.": {"GPL"},
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007": {"GPL-3.0"},
+        "are made available under the terms of the Eclipse Public License v2.0": {"EPL-2.0"},
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies.": {"ISC"},
+        "This is free and unencumbered software released into the public domain.": {"Unlicense"},
+    }
+    rows = list(enumerate(wanted))
+    got = {}
+    for r in licenses.matches(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert {text: got.get(i, set()) for i, text in rows} == wanted
+
+
+def test_a_short_notice_among_much_else_is_found(spark):
+    others = [(f"L{i}", " ".join(f"w{i}x{k}" for k in range(6))) for i in range(300)]
+    short = [(f"S{i}", f"a{i} b{i} c{i}") for i in range(300)]
+    rows = [(i, f"{others[i][1]} {short[i][1]} {others[i - 1][1]}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    assert licenses.matches(docs, (*short, *others)).where("license LIKE 'S%'").count() == len(short)

@@ -14,7 +14,7 @@ patterns: at most ``3**5 * kinds * features`` rows, whatever the corpus.
 Defined results:
 
 * null or empty text: no spans;
-* a proposal that touches a base span, or an earlier proposal, is dropped;
+* a proposal that touches a base span, or overlaps an earlier proposal that stays, is dropped;
 * ties at the classifier's threshold are accepted; no proposals or an empty table: base spans only;
 * repeated rows get equal spans, one row each; null ids are kept; extra columns are not read;
 * whole texts of any length are read; positions are code points, ends exclusive.
@@ -142,6 +142,24 @@ def base_spans(text: Column) -> Column:
     )
 
 
+def thinned(spans: Column) -> Column:
+    """Spans in order without those that begin before the end of the last one kept; block by block, so many stay cheap."""
+    def block(at: Column, end: Column) -> Column:
+        return F.aggregate(
+            F.slice(spans, at * BLOCK + 1, F.lit(BLOCK)), F.struct(end.alias("end"), F.slice(spans, 1, 0).alias("kept")),
+            lambda done, s: F.when(s["start"] < done["end"], done).otherwise(
+                F.struct(s["end"].alias("end"), F.concat(done["kept"], F.array(s)).alias("kept"))),
+        )
+
+    return F.aggregate(
+        F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int")),
+        F.struct(F.lit(0).alias("end"), F.slice(F.array(spans), 1, 0).alias("kept")),
+        lambda done, at: let(block(at, done["end"]), lambda b: F.struct(
+            b["end"].alias("end"), F.concat(done["kept"], F.array(b["kept"])).alias("kept"))),
+        lambda done: F.flatten(done["kept"]),
+    )
+
+
 def proposed_spans(text: Column, base: Column) -> Column:
     """Spans of the looser patterns that touch no base span, by place; the earlier of two that meet."""
     def clear(m: Column) -> Column:
@@ -155,7 +173,8 @@ def proposed_spans(text: Column, base: Column) -> Column:
     found = [named(kind, matches(text, pattern, text.rlike(quick))) for kind, pattern, quick in PROPOSALS]
 
     def free(spans: Column) -> Column:
-        return F.filter(spans, lambda s, i: (i == 0) | (F.get(spans, i - 1)["end"] <= s["start"]))
+        apart = F.forall(F.sequence(F.lit(1), F.size(spans)), lambda i: F.coalesce(F.get(spans, i - 1)["end"] <= F.get(spans, i)["start"], F.lit(True)))
+        return F.when((F.size(spans) == 0) | apart, spans).otherwise(thinned(spans))
 
     return let(F.array_sort(F.concat(*found)), free)
 

@@ -96,3 +96,14 @@ def test_estimation_prefers_reliable_labelers():
     belief, table = pii.reliabilities(counts)
     assert belief[0] > 0.9 > 0.1 > belief[1]
     assert table["shape"][1][1] > table["shape"][0][1]
+
+
+def test_a_dropped_proposal_drops_no_other(spark):
+    one = "Dr. Jane Smith at example.415-555-0199"
+    texts = [one, " ; ".join([one] * 300), "", "Dr. Jane Smith, 415-555-0199"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id BIGINT, text STRING")
+    got = {r.doc_id: [(s["kind"], s["start"], s["end"]) for s in r.proposed] for r in pii.spans_of(docs, "doc_id").collect()}
+    pair = [("person", 0, 14), ("phone", 26, 38)]
+    assert got[0] == pair and got[2] == []
+    assert got[1] == [(k, i * (len(one) + 3) + a, i * (len(one) + 3) + b) for i in range(300) for k, a, b in pair]
+    assert got[3] == [("person", 0, 14), ("phone", 16, 28)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import decontam, katz, langid, licenses, neardup, packing, pii, quality, rules, warc
+from folioflow.llm import decontam, katz, langid, licenses, merkle, neardup, packing, pii, quality, rules, urlrules, warc
 from folioflow.llm.common import fold, table
 from folioflow.operators.shared import materialise, run_folder
 
@@ -109,3 +109,22 @@ def op5_licenses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ORACLE["op5_licenses"] = licenses.oracle()
+
+
+@query
+def op12_url_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts over the URLs of all pages: site rules, then patterns."""
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    return urlrules.report(urlrules.judged(pages, urlrules.rule_table(spark)))
+
+
+ORACLE["op12_url_rules"] = urlrules.oracle()
+
+
+@query
+def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    """Merkle proofs of all documents; one in five is presented with its text in lower case."""
+    return merkle.manifest(table(spark, sf, "documents"), fold(F.col("doc_id"), 5) == 0)
+
+
+ORACLE["op11_merkle"] = merkle.oracle()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import decontam, katz, langid, licenses, merkle, neardup, packing, pii, quality, rules, urlrules, warc
+from folioflow.llm import decontam, katz, langid, licenses, merkle, neardup, packing, periods, pii, quality, rules, urlrules, warc
 from folioflow.llm.common import fold, table
 from folioflow.operators.shared import materialise, run_folder
 
@@ -128,3 +128,9 @@ def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ORACLE["op11_merkle"] = merkle.oracle()
+
+
+@query
+def op13_periods(spark: SparkSession, sf: str) -> DataFrame:
+    """Periodic runs of all documents, a tenth of which loop."""
+    return periods.runs_of(table(spark, sf, "documents"), periods.looped)

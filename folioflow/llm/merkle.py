@@ -136,7 +136,9 @@ def manifest(documents: DataFrame, tampered: Column) -> DataFrame:
     source = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source"))  # null first
     leaves = documents.select(
         "doc_id", source.alias("tree"), leaf_of(fields).alias("leaf"), F.when(tampered, leaf_of(lowered)).alias("presented"))
-    levels = tree(ranked(leaves, "tree", ["doc_id", "leaf"]), "tree", "leaf", ["doc_id", "presented"])
+    # written first: a range partitioning reads its input twice, and texts are to be read and hashed once
+    placed = ranked(materialise(leaves, "leaves"), "tree", ["doc_id", "leaf"])
+    levels = tree(placed, "tree", "leaf", ["doc_id", "presented"])
     tops = [top.select("tree", F.col("digest").alias("subroot")) for top in roots(levels)]
     subroots = tops[0]
     for top in tops[1:]:

@@ -104,6 +104,7 @@ class StatusLabels:
     translated: str = "translated"
     unreadable: str = "unreadable"
     no_pages: str = "no_pages"
+    incomplete: str = "incomplete"  # pages that were announced did not arrive in time
 
 
 ROUTE = RouteLabels()
@@ -111,6 +112,18 @@ STATUS = StatusLabels()
 # Messages of error events.
 TOO_LARGE_MESSAGE = "Translated PDF is too large to return."
 FAILED_MESSAGE = "Translation failed. Please try again."
+REFUSED_MESSAGES = {
+    "language": "Unsupported language selection.",
+    "credentials": "Enter your API key to use the cloud demo.",
+    "url": "That endpoint is not allowed.",
+    "declared_length": "File too large — 1 MB max.",
+    "empty": "No file received.",
+    "magic": "Only PDF files are supported.",
+    "size": "File too large — 1 MB max.",
+    "unreadable": "Could not read this PDF.",
+    "pages": "PDF too long — 3 pages max for this demo.",
+}
+NOT_HTTPS_MESSAGE = "Only https:// endpoints are allowed."
 TRANSLATE_QUOTAS = (Quota("hour", 5), Quota("day", 20))
 MODEL_LIST_QUOTAS = (Quota("minute", 30),)
 

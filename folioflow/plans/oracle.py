@@ -6,6 +6,7 @@ fold, blocks are groups of spans, and quotas are window functions.
 
 from __future__ import annotations
 
+from folioflow.config import NOT_HTTPS_MESSAGE, REFUSED_MESSAGES
 from folioflow.functions.chat import instruction
 from folioflow.operators.reports import KEPT_KINDS
 from folioflow.plans.inputs import CONFIG, DEFAULTS, JOB_RULES, LANGUAGE_CODES
@@ -125,7 +126,7 @@ def _translated(source: str = "chunks", out: str = "done") -> str:
 _KEY = f"sha256('{CONFIG.source_lang}' || chr(31) || '{CONFIG.target_lang}' || chr(31) || '{CONFIG.model}' || chr(31) || text)"
 _BK = "doc_id, page_num, block_no"
 
-_BLOCK_WORK = f"""{BLOCKS},
+_WORK = f"""
 work AS (SELECT {_BK}, text FROM routed WHERE route = 'translate'),
 {_chunked('work', _BK)}, {_translated()},
 rejoined AS (
@@ -134,7 +135,7 @@ rejoined AS (
   FROM done GROUP BY ALL)
 """
 
-_DOCS = f"""{_BLOCK_WORK},
+_PARTS = f"""
 parts AS (
   SELECT doc_id, page_num, block_no, coalesce(j.translated, r.text) AS t, coalesce(n_chunks, 0) AS c, coalesce(n_failed, 0) AS f
   FROM routed r LEFT JOIN rejoined j USING ({_BK})),
@@ -148,6 +149,9 @@ docs AS (
   FROM page_text GROUP BY doc_id)
 """
 
+_BLOCK_WORK = f"{BLOCKS}, {_WORK}"
+_DOCS = f"{_BLOCK_WORK}, {_PARTS}"
+
 _FONT = "CASE WHEN font IN ('helvetica', 'Times-Bold') THEN font ELSE 'helvetica' END"
 
 _REPLACED = f"{_BLOCK_WORK}, replaced AS (SELECT b.*, j.translated FROM blocks b JOIN rejoined j USING ({_BK}))"
@@ -265,6 +269,31 @@ _LANG_CHUNKS = f"lang_text AS (SELECT doc_id, lang, source, text FROM documents)
 _NAME = "regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1)"
 
 
+def _events(limit: int) -> str:
+    """CTE and query of all events of ``docs`` and ``page_total``."""
+    return f"""{_PROGRESS.replace(SPANS + ',', '')}
+        SELECT doc_id, page AS seq, '{{"type":"progress","page":' || page || ',"total":' || total || ',"percent":' || percent || '}}' AS event FROM progress
+        UNION ALL SELECT doc_id, n_pages + 1, CASE WHEN strlen(translated) > {limit}
+          THEN '{{"type":"error","message":"Translated PDF is too large to return."}}'
+          ELSE '{{"type":"done","filename":"doc' || doc_id || '_translated.pdf","pdf_b64":"' || base64(encode(translated)) || '"}}' END
+        FROM docs"""
+
+
+# Uploads of the service: pages of 20 lines, a block per line, every seventh length is not readable.
+_SERVICE = f"""{_ADMIT.replace("WHEN n_pages IS NULL THEN 'unreadable'", "WHEN strlen(content) % 7 = 0 THEN 'unreadable'")
+    .replace(f"WHEN n_pages > {JOB_RULES.max_pages}", f"WHEN (len(string_split(content, chr(10))) + 19) // 20 > {JOB_RULES.max_pages}")},
+l AS (
+  SELECT job_id AS doc_id, unnest(string_split(content, chr(10))) AS line,
+    generate_subscripts(string_split(content, chr(10)), 1) - 1 AS line_idx FROM jobs JOIN judged USING (job_id) WHERE verdict = 'admitted'),
+page_list AS (SELECT doc_id, CAST(line_idx // 20 AS INT) AS page_num FROM l GROUP BY ALL),
+page_total AS (SELECT *, CAST(count(*) OVER (PARTITION BY doc_id) AS INT) AS n_pages FROM page_list),
+routed AS (
+  SELECT doc_id, CAST(line_idx // 20 AS INT) AS page_num, CAST(line_idx % 20 AS INT) AS block_no, {_strip('line')} AS text,
+    CASE WHEN line_idx // 20 = 1 THEN 'skipped_page' WHEN length({_strip('line')}) < 3 THEN 'short' ELSE 'translate' END AS route
+  FROM l WHERE {_strip('line')} <> ''),
+{_WORK}, {_PARTS}"""
+
+
 def _json_text(x: str) -> str:
     return f"CAST(to_json({x}) AS VARCHAR)"
 
@@ -351,12 +380,7 @@ ORACLE = {
           CASE WHEN r < 2 THEN 0 ELSE n END AS n_pages, r < 2 AS without_text FROM d""",
     "outcome_causes": f"""WITH {_LANG_CHUNKS}, {_translated()} SELECT lang, status,
         CASE WHEN status = 'failed' THEN 'RuntimeError' END AS cause, count(*) AS n FROM done GROUP BY ALL""",
-    "job_events": f"""WITH {_DOCS}, {_PROGRESS.replace(SPANS + ',', '')}
-        SELECT doc_id, page AS seq, '{{"type":"progress","page":' || page || ',"total":' || total || ',"percent":' || percent || '}}' AS event FROM progress
-        UNION ALL SELECT doc_id, n_pages + 1, CASE WHEN strlen(translated) > 6000
-          THEN '{{"type":"error","message":"Translated PDF is too large to return."}}'
-          ELSE '{{"type":"done","filename":"doc' || doc_id || '_translated.pdf","pdf_b64":"' || base64(encode(translated)) || '"}}' END
-        FROM docs""",
+    "job_events": f"WITH {_DOCS}, {_events(6000)}",
     "intake_files": f"""SELECT 'up/' || page_id || CASE WHEN page_id % 9 = 4 THEN '.txt' ELSE '.html' END AS path,
         CASE WHEN page_id % 9 = 2 THEN 'empty' WHEN page_id % 9 = 4 THEN 'magic' WHEN page_id % 9 = 5 THEN 'missing'
           WHEN strlen(html) + CAST(page_id % 9 = 3 AS INT) > {JOB_RULES.max_bytes} THEN 'size' WHEN page_id % 9 = 3 THEN 'magic'
@@ -428,4 +452,10 @@ ORACLE = {
 for _name in ("preserve", "free"):
     ORACLE[f"edit_plan_service_{_name}"] = ORACLE[f"edit_plan_{_name}"]
 ORACLE["stream_documents"] = ORACLE["translated_docs_service"]
+ORACLE["stream_documents_parts"] = f"WITH {_DOCS} SELECT *, 'translated' AS status FROM docs"
 ORACLE["stream_events"] = ORACLE["job_events"]
+ORACLE["stream_translate_parts"] = ORACLE["stream_translate"]
+_REFUSED = " ".join(f"WHEN '{v}' THEN '{m}'" for v, m in REFUSED_MESSAGES.items() if v != "url")
+ORACLE["stream_service"] = f"""WITH {_SERVICE}, {_events(2000)}
+    UNION ALL SELECT job_id, 1, '{{"type":"error","message":"' || CASE verdict WHEN 'url' THEN '{NOT_HTTPS_MESSAGE}' {_REFUSED} END || '"}}'
+    FROM judged WHERE verdict <> 'admitted'"""

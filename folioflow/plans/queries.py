@@ -15,7 +15,7 @@ from folioflow.operators.shared import run_folder
 from folioflow.plans import corpus, inputs
 from folioflow.plans.inputs import CONFIG, FONTS, JOB_RULES, SKIP_PAGES, documents, stand_in, stand_in_batch, table
 from folioflow.sources import readers, sinks
-from folioflow.streaming import jobs
+from folioflow.streaming import jobs, service
 
 QUERIES = {}
 
@@ -481,8 +481,7 @@ def job_events(spark, sf):
     """All events of every job as JSON lines, with a limit on the size of results."""
     layout = inputs.layout(spark, sf)
     docs = corpus.translate_documents(layout, CONFIG, column=stand_in)
-    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".pdf"))
-    return reports.job_events(layout, docs, name, max_output_bytes=6_000)
+    return reports.job_events(layout, docs, _doc_name(), max_output_bytes=6_000)
 
 
 # --- progress and quotas -----------------------------------------------------------------
@@ -548,26 +547,83 @@ def stream_progress(spark, sf):
     return lines
 
 
+def _dealt(spark, rows: DataFrame, schema, parts: int, key: str):
+    """``rows`` written in ``parts`` deliveries by a hash of ``key``; yields a stream over what is there after each."""
+    folder = run_folder(spark, "deliveries")
+    for part in range(parts):
+        rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part).write.parquet(f"{folder}/part-{part}")
+        yield spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
+
+
+def _doc_name():
+    return F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+
+
 @query
 def stream_documents(spark, sf):
     """Arriving documents through the batch translator, with a memory that all batches share."""
     folder = run_folder(spark, "documents")
     layout = inputs.layout_of(inputs.arriving_table(spark, sf, "documents"))
-    _finish(jobs.start_documents(layout, lambda pages: corpus.translate_documents(
+    _finish(service.start_documents(layout, lambda pages: corpus.translate_pages(
         pages, CONFIG, batch=stand_in_batch, answers_at=f"{folder}/answers"), folder))
     return spark.read.parquet(f"{folder}/documents").drop("batch_id", "status")
 
 
+@query
+def stream_documents_parts(spark, sf):
+    """Pages dealt over three deliveries, so that most long documents come in pieces."""
+    folder = run_folder(spark, "documents")
+    pages = inputs.layout(spark, sf).withColumn("at", F.concat_ws(":", "doc_id", "page_num"))
+    for layout in _dealt(spark, pages, pages.schema, 3, "at"):
+        _finish(service.start_documents(layout.drop("at"), lambda p: corpus.translate_pages(p, CONFIG, column=stand_in), folder))
+    return spark.read.parquet(f"{folder}/documents").drop("batch_id")
+
+
 @query
 def stream_events(spark, sf):
     folder = run_folder(spark, "events")
     layout = inputs.layout_of(inputs.arriving_table(spark, sf, "documents"))
-    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".pdf"))
-    _finish(jobs.start_events(
-        layout, lambda pages: corpus.translate_documents(pages, CONFIG, column=stand_in), name, folder, max_output_bytes=6_000))
+    _finish(service.start_documents(
+        layout, lambda pages: corpus.translate_pages(pages, CONFIG, column=stand_in), folder, _doc_name(), max_output_bytes=6_000))
     return spark.read.parquet(f"{folder}/events").drop("batch_id")
 
 
+@query
+def stream_service(spark, sf):
+    """Pages as uploads, in three deliveries: verdicts, decoding, translation and events in one job."""
+    folder = run_folder(spark, "service")
+    jobs_ = inputs.admission_jobs(table(spark, sf, "pages")).drop("n_pages").withColumnRenamed("job_id", "doc_id")
+    uploads = jobs_.withColumn("content", F.encode("content", "utf-8"))
+    for stream in _dealt(spark, uploads, uploads.schema, 3, "doc_id"):
+        _finish(service.start_service(
+            stream, JOB_RULES, _strict_decoder, lambda p: corpus.translate_pages(p, CONFIG, column=stand_in), folder, _doc_name(), max_output_bytes=2_000))
+    return spark.read.parquet(f"{folder}/events").drop("batch_id")
+
+
+def _strict_decoder(content: bytes):
+    if len(content) % 7 == 0:
+        raise ValueError("not readable")
+    return list(_lines_as_layout(content))
+
+
+@query
+def stream_raw_files(spark, sf):
+    """The table files themselves as arriving uploads, each content judged once."""
+    folder = run_folder(spark, "raw")
+    rules = AdmissionRules(magic=b"PAR1", max_bytes=1 << 20)
+    _finish(service.start_raw_intake(service.arriving_files(spark, sf, "*.parquet"), rules, _footers, folder))
+    return spark.read.schema("path STRING, length BIGINT, content_key STRING, verdict STRING, n_pages INT").parquet(f"{folder}/out")
+
+
+def _footers(content: bytes):
+    """Decoder of Parquet files: their row groups are the pages."""
+    import io
+
+    import pyarrow.parquet as pq
+
+    return [[] for _ in range(pq.ParquetFile(io.BytesIO(content)).num_row_groups)]
+
+
 @query
 def stream_translate(spark, sf):
     docs = inputs.arriving_table(spark, sf, "documents")
@@ -578,6 +634,17 @@ def stream_translate(spark, sf):
     return jobs.read_memory(spark, folder)
 
 
+@query
+def stream_translate_parts(spark, sf):
+    """Documents in four deliveries: chunks that come up again are found in the keyed memory and counted."""
+    folder = run_folder(spark, "memory")
+    docs = documents(spark, sf, "doc_id", "text")
+    for stream in _dealt(spark, docs, docs.schema, 4, "doc_id"):
+        _finish(jobs.start_translation(
+            stream, stand_in_batch, CONFIG.source_lang, CONFIG.target_lang, CONFIG.max_chunk_size, folder, CONFIG.model))
+    return jobs.read_memory(spark, folder)
+
+
 @query
 def stream_quota(spark, sf):
     events = quota.arrivals(inputs.arriving_table(spark, sf, "events"), "event_type")

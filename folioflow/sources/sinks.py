@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.operators.reports import with_sizes
-from folioflow.operators.shared import exists, file_system
+from folioflow.operators.shared import delete, exists, file_system
 from folioflow.schemas import PROGRESS_EVENT
 
 log = logging.getLogger(__name__)
@@ -67,11 +67,6 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
         spark.conf.set(setting, before)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    fs, at = file_system(spark, path)
-    fs.delete(at, True)
-
-
 def compact_dataset(
     spark: SparkSession, path: str, target: str | None = None, replace: bool = False, codec: str = "zstd",
     file_bytes: int = 256 << 20,
@@ -79,9 +74,14 @@ def compact_dataset(
     """Rewrite a Parquet dataset with a stronger codec into fewer files and report the sizes.
 
     Columns of all files and partition folders are kept. With ``replace`` the copy takes the
-    place of the original by two renames, once its rows are counted; whatever fails, the
-    original is at its path afterwards. It is deleted last.
+    place of the original by two renames, once its rows are counted; where one of them fails, the
+    original is put back. It is deleted last. If the driver dies between the two, the original is
+    at ``….old`` and nothing at its path: the next run puts it back before it starts.
     """
+    old = compacted_path(path, ".old")
+    if replace and not exists(spark, path) and exists(spark, old):
+        log.warning("%s was left by a run that broke off", old)
+        _rename(spark, old, path)
     before = dataset_bytes(spark, path)
     out = compacted_path(path, ".tmp") if replace else target or compacted_path(path)
     source = _whole(spark, path)
@@ -98,19 +98,20 @@ def compact_dataset(
             raise OSError(f"the copy has {copied} rows, the original {kept}")
     except Exception:
         if replace and exists(spark, out):
-            _delete(spark, out)
+            delete(spark, out)
         raise
     after = dataset_bytes(spark, out)
     if replace:
-        old = compacted_path(path, ".old")
+        if exists(spark, old):  # a run that broke off before its last step
+            delete(spark, old)
         _rename(spark, path, old)
         try:
             _rename(spark, out, path)
         except Exception:
             _rename(spark, old, path)
-            _delete(spark, out)
+            delete(spark, out)
             raise
-        _delete(spark, old)
+        delete(spark, old)
         out = path
     sizes = spark.range(1).select(
         F.lit(out).alias("path"), F.lit(before).cast("bigint").alias("in_bytes"), F.lit(after).cast("bigint").alias("out_bytes")

@@ -16,14 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from folioflow.config import MAX_OUTPUT_BYTES, AdmissionRules, Quota
+from folioflow.config import AdmissionRules, Quota
 from folioflow.operators.admission import with_verdict
 from folioflow.operators.quota import first_arrivals, period_of
-from folioflow.operators.reports import job_events, page_progress
-from folioflow.operators.shared import exists, file_system, materialise, spread
-from folioflow.operators.translation import (
-    EMPTY, FAILED, BatchTranslator, ask, chunk_key, chunks_of, distinct_requests, missing_requests, resolve,
-)
+from folioflow.operators.reports import page_progress
+from folioflow.operators.shared import exists, file_system, materialise, scratch, spread
+from folioflow.operators.translation import EMPTY, FAILED, BatchTranslator, ask, chunk_key, chunks_of, distinct_requests, resolve
+from folioflow.sources.keyed import KeyedTable
 
 MEMORY = T.StructType([
     T.StructField("chunk_key", T.StringType()),
@@ -87,37 +86,44 @@ def _each_batch(stream: DataFrame, folder: str, work, trigger: dict) -> Streamin
     )
 
 
+def memory_of(spark: SparkSession, folder: str) -> KeyedTable:
+    """The translation memory below ``folder``: an answer per chunk, and how often the chunk came up."""
+    return KeyedTable(spark, f"{folder}/memory", MEMORY, "chunk_key", add=["copies"])
+
+
 def start_translation(
     texts: DataFrame, translator: BatchTranslator, source_lang: str, target_lang: str, size: int, folder: str,
     model: str | None = None, max_tasks: int | None = None, **trigger,
 ) -> StreamingQuery:
     """Fill the translation memory ``folder/memory`` with whatever arriving texts need.
 
-    Only chunks the memory does not hold are sent. A batch writes its own folder, so a
-    batch that is run again after a failure replaces what it had written.
+    Only chunks the memory does not hold are sent, those that failed before again. The memory is a
+    keyed table: a batch reads the folders its own chunks belong to and adds what is new; chunks that
+    are known only have their copies counted. A batch that is run again after its rows were written
+    does nothing.
     """
     spark = texts.sparkSession
-    memory = f"{folder}/memory"
-    _write_batch(spark.createDataFrame([], MEMORY), memory, -1)
+    memory = memory_of(spark, folder)
     key = chunk_key(F.col("text"), source_lang, target_lang, model)
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        requests = distinct_requests(chunks_of(spread(batch), size, []), key).persist()
-        stored = _batch_table(batch.sparkSession, memory, MEMORY).where(F.col("batch_id") != batch_id)
-        # what failed before is sent again when it comes up again
-        settled = stored.where(~F.col("status").isin(FAILED, EMPTY))
-        answers = ask(missing_requests(requests, settled), translator, max_tasks)
-        _write_batch(resolve(answers).drop("error"), memory, batch_id)
-        requests.unpersist()
+        if memory.holds(batch_id):
+            return
+        with scratch(spark):
+            requests = materialise(distinct_requests(chunks_of(spread(batch), size, []), key), "requests")
+            known = materialise(memory.lookup(requests.select("chunk_key")), "known")
+            settled = known.where(~F.col("status").isin(FAILED, EMPTY)).select("chunk_key")
+            answers = resolve(ask(requests.join(settled, "chunk_key", "left_anti"), translator, max_tasks)).drop("error")
+            again = requests.join(settled, "chunk_key", "left_semi").select(
+                "chunk_key", "copies", *[F.lit(None).cast("string").alias(c) for c in ("translated", "status")])
+            memory.write(answers.select(MEMORY.names).unionByName(again), batch_id)
 
     return _each_batch(texts, folder, work, trigger)
 
 
 def read_memory(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest answer per chunk."""
-    newest = F.max_by(F.struct("translated", "status"), "batch_id")
-    rows = _batch_table(spark, f"{folder}/memory", MEMORY).groupBy("chunk_key")
-    return rows.agg(F.sum("copies").alias("copies"), newest.alias("a")).select("chunk_key", "copies", "a.*")
+    """The newest answer per chunk, and its copies in all batches."""
+    return memory_of(spark, folder).read()
 
 
 def _previous(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
@@ -146,35 +152,6 @@ def _retired(counts: DataFrame, now: datetime, keep_days: int) -> Column:
     return F.col("client").isNotNull() & (F.col("updated") < at - F.expr(f"INTERVAL {keep_days} DAYS")) & (F.col("period") < at)
 
 
-def start_documents(
-    layout: DataFrame, translate: Callable[[DataFrame], DataFrame], folder: str, **trigger
-) -> StreamingQuery:
-    """Translated documents of arriving layouts in ``folder/documents``, with their status.
-
-    All pages of a document arrive in one batch. ``translate`` is the batch job over layouts,
-    for instance ``lambda pages: translate_documents(pages, config, batch=service,
-    answers_at=f"{folder}/answers")``, whose answers then serve all later batches. A batch that
-    runs again replaces what it wrote.
-    """
-    def work(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(translate(batch), f"{folder}/documents", batch_id)
-
-    return _each_batch(layout, folder, work, trigger)
-
-
-def start_events(
-    layout: DataFrame, translate: Callable[[DataFrame], DataFrame], name: Column, folder: str,
-    max_output_bytes: int = MAX_OUTPUT_BYTES, **trigger,
-) -> StreamingQuery:
-    """``doc_id, seq, event`` of arriving layouts in ``folder/events``: progress, then done or error."""
-    def work(batch: DataFrame, batch_id: int) -> None:
-        pages = batch.persist()
-        _write_batch(job_events(pages, translate(pages), name, max_output_bytes), f"{folder}/events", batch_id)
-        pages.unpersist()
-
-    return _each_batch(layout, folder, work, trigger)
-
-
 def start_quota(
     requests: DataFrame, quotas: Sequence[Quota], folder: str, keep_days: int = 2,
     clock: Callable[[], datetime] = _utc_now, **trigger,

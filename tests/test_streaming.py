@@ -57,11 +57,12 @@ def test_translation_memory(spark, parts, sf_dir, tmp_path):
         return jobs.read_memory(spark, str(tmp_path))
 
     memory = run()
-    assert spark.read.parquet(f"{tmp_path}/memory").select("batch_id").distinct().count() > 1
+    assert len(jobs.memory_of(spark, str(tmp_path)).segments()) > 1
     key = tr.chunk_key(F.col("text"), "English", "Spanish", None)
     pieces = tr.chunks_of(inputs.documents(spark, sf_dir, "doc_id", "text"), 1000, ["doc_id"])
     want = pieces.select(key.alias("chunk_key"), tr.outcome(F.col("text"), inputs.stand_in(F.col("text")))["text"].alias("translated"))
     assert same(memory.select("chunk_key", "translated"), want.distinct())
+    assert same(memory.select("chunk_key", "copies"), want.groupBy("chunk_key").agg(F.count(F.lit(1)).alias("copies"))), "copies of all batches"
     before = memory.count()
     assert run().count() == before, "a restart without new files adds nothing"
 
@@ -139,30 +140,3 @@ def test_over_limit_periods(spark, parts, tmp_path):
     assert days.count() > 5 and same(got.select("period", "n"), days)
 
 
-def test_documents_and_events_over_batches(spark, parts, sf_dir, tmp_path):
-    """Batches share the answers: a text that comes up again is not sent again."""
-    import json
-    import uuid
-
-    sent_at = tmp_path / "sent"
-    sent_at.mkdir()
-
-    def service(texts):
-        (sent_at / uuid.uuid4().hex).write_text(json.dumps(list(texts)))
-        return ["[es] " + t for t in texts]
-
-    layout = inputs.layout_of(arriving(spark, parts, "documents"))
-    folder = str(tmp_path / "docs")
-    jobs.start_documents(layout, lambda pages: corpus.translate_documents(
-        pages, inputs.CONFIG, batch=service, answers_at=f"{folder}/answers"), folder).awaitTermination()
-    got = spark.read.parquet(f"{folder}/documents")
-    assert got.select("batch_id").distinct().count() > 1
-    sent = [t for f in sent_at.iterdir() for t in json.loads(f.read_text())]
-    assert len(sent) == len(set(sent)) > 100
-    want = corpus.translate_documents(inputs.layout(spark, sf_dir), inputs.CONFIG, batch=service)
-    assert same(got.drop("batch_id"), want)
-    events = str(tmp_path / "events")
-    jobs.start_events(layout, lambda pages: corpus.translate_documents(pages, inputs.CONFIG, column=inputs.stand_in), F.lit("a.pdf"), events).awaitTermination()
-    kinds = spark.read.parquet(f"{events}/events").groupBy("doc_id").agg(
-        F.count_if(F.col("event").contains('"done"')).alias("done"), F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"))
-    assert kinds.where("done <> 1 OR n <> last").count() == 0 and kinds.count() == 200

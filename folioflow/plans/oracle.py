@@ -6,10 +6,14 @@ fold, blocks are groups of spans, and quotas are window functions.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from folioflow.config import NOT_HTTPS_MESSAGE, REFUSED_MESSAGES
+from folioflow.functions import html
 from folioflow.functions.chat import instruction
 from folioflow.operators.reports import KEPT_KINDS
 from folioflow.plans.inputs import CONFIG, DEFAULTS, JOB_RULES, LANGUAGE_CODES
+from folioflow.sources.readers import HTML_LOOSE
 
 # Same characters as the strip helper, spelled for DuckDB.
 _SPACES = "||".join(
@@ -298,6 +302,28 @@ def _json_text(x: str) -> str:
     return f"CAST(to_json({x}) AS VARCHAR)"
 
 
+def _html_blocks() -> str:
+    """Pages cut at every edge of a block element: edges become marks, the text between two marks is a block."""
+    rest = r"""(\s([^>"'']|"[^"]*"|''[^'']*'')*|/)?>"""
+    marked = f"regexp_replace(h, '(?i)<(/?)({html.BLOCKS}){rest}', chr(1) || '\\1\\2' || chr(2), 'g')"
+    silent = "(?is)<script\\b.*?(</script\\s*>|\\z)|<style\\b.*?(</style\\s*>|\\z)|<!--.*?(-->|\\z)|<[!?][^>]*(>|\\z)"
+    names = "MAP {" + ", ".join(f"'{n}': '{t.replace(chr(39), chr(39) * 2)}'" for n, t in html5.items() if n.endswith(";")) + "}"
+    inline = f"regexp_replace(regexp_replace(t, '(?i)</?br{rest}', ' ', 'g'), '(?i)</?[a-z][a-z0-9:-]*{rest}', '', 'g')"
+    # a text is cut at "&": what begins a piece, up to ";", is looked up or taken as a number
+    meant = """CASE WHEN i = 1 THEN p
+      WHEN regexp_matches(p, '^#[0-9]+;') THEN chr(CAST(regexp_extract(p, '^#([0-9]+);', 1) AS INT)) || substr(p, strpos(p, ';') + 1)
+      WHEN names[substr(p, 1, strpos(p, ';'))] IS NOT NULL THEN names[substr(p, 1, strpos(p, ';'))] || substr(p, strpos(p, ';') + 1)
+      ELSE '&' || p END"""
+    return f"""WITH c AS (SELECT page_id, regexp_replace(regexp_replace(html, '{silent}', ' ', 'g'), '</?[A-Za-z][^>]*\\z', ' ') AS h FROM pages),
+        m AS (SELECT page_id, unnest(string_split({marked}, chr(1))) AS piece, generate_subscripts(string_split({marked}, chr(1)), 1) - 1 AS n FROM c),
+        b AS (SELECT page_id, n, CASE WHEN n = 0 OR starts_with(piece, '/') OR starts_with(lower(piece), 'hr' || chr(2)) THEN '{HTML_LOOSE}'
+            ELSE lower(split_part(piece, chr(2), 1)) END AS tag, CASE WHEN n = 0 THEN piece ELSE substr(piece, strpos(piece, chr(2)) + 1) END AS t FROM m),
+        e AS (SELECT {names} AS names),
+        x AS (SELECT page_id, CAST(n AS INT) AS block_no, tag, {_strip(f"regexp_replace(array_to_string(list_transform(string_split({inline}, '&'), lambda p, i: {meant}), ''), '{_SPACE_RUN}', ' ', 'g')")} AS text
+          FROM b, e)
+        SELECT * FROM x WHERE text <> ''"""
+
+
 ORACLE = {
     "scan_documents": "SELECT doc_id, lang, source, text FROM documents",
     "spans_flatten": f"WITH {SPANS} SELECT * FROM spans",
@@ -389,15 +415,7 @@ ORACLE = {
         SELECT event_id, event_type AS client,
           row_number() OVER (PARTITION BY event_type, date_trunc('month', ts) ORDER BY event_id) <= 1500 AS ok FROM events)
         SELECT event_id, client, ok AS within_day, ok AS allowed FROM r""",
-    "html_blocks": """WITH c AS (
-        SELECT page_id, regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g') AS h FROM pages),
-        b AS (SELECT page_id, unnest(regexp_extract_all(h, '(?is)<(h1|p|li)(?:\\s[^>]*)?>(.*?)</(?:h1|p|li)>', 1)) AS tag,
-          unnest(regexp_extract_all(h, '(?is)<(h1|p|li)(?:\\s[^>]*)?>(.*?)</(?:h1|p|li)>', 2)) AS t,
-          generate_subscripts(regexp_extract_all(h, '(?is)<(h1|p|li)(?:\\s[^>]*)?>(.*?)</(?:h1|p|li)>', 1), 1) - 1 AS n FROM c),
-        x AS (SELECT page_id, CAST(n AS INT) AS block_no, lower(tag) AS tag, trim(regexp_replace(
-          replace(replace(replace(replace(replace(replace(regexp_replace(t, '(?s)<[^>]*>', '', 'g'),
-            '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM b)
-        SELECT * FROM x WHERE text <> ''""",
+    "html_blocks": _html_blocks(),
     "layout_collisions": f"""WITH {BLOCKS} SELECT b.doc_id, b.page_num, b.block_no, CAST(count(e.block_no) AS INT) AS n_earlier
         FROM blocks b LEFT JOIN blocks e ON e.doc_id = b.doc_id AND e.page_num = b.page_num AND e.block_no < b.block_no
           AND e.x0 < b.x1 AND b.x0 < e.x1 AND e.y0 < b.y1 AND b.y0 < e.y1 GROUP BY ALL""",

@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from folioflow.config import AdmissionRules
-from folioflow.functions.text import let, strip
+from folioflow.functions import html
+from folioflow.functions.text import let
 from folioflow.schemas import LAYOUT
 
 # A decoder turns the bytes of one document into its pages, one list of layout blocks each.
@@ -59,19 +60,7 @@ def screen_files(files: DataFrame, rules: AdmissionRules, manifest: DataFrame |
     return judged.unionByName(absent.select("path", "length", reason.alias("verdict")))
 
 
-# Markup that carries no text of its own (unclosed, up to the end), block elements, and what is left of tags within them.
-HTML_SILENT = (
-    r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)|</?[a-z][^>]*\z"
-)
-HTML_BLOCKS = (
-    "address|article|aside|blockquote|body|caption|center|colgroup|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|"
-    "footer|form|h[1-6]|head|header|hgroup|hr|html|legend|li|listing|main|menu|nav|noscript|ol|optgroup|option|p|plaintext|pre|"
-    "search|section|select|summary|table|tbody|td|template|textarea|tfoot|th|thead|title|tr|ul|xmp"
-)
-HTML_EDGE = rf"(?is)<(/?)({HTML_BLOCKS})(?:[\s/][^>]*)?>"
 HTML_LOOSE = "#text"
-HTML_TAG = r"(?s)<[^>]*>"
-HTML_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:
@@ -79,26 +68,22 @@ def html_blocks(pages: DataFrame) -> DataFrame:
 
     The same contract as layout blocks, for pages that come as HTML. Every opening or closing tag
     of a block element ends a block, so elements need no closing tag of their own. What an opening
-    tag begins bears its name, text before the first tag or after a closing one is ``#text``.
+    tag begins bears its name, text before the first tag or after a closing one is ``#text``. ``br`` is
+    a space, other tags are nothing, character references are characters, and a ``<`` without a letter
+    behind it is text; an inline tag that is not closed before the next block edge stays as text.
     Narrow: a page stays one row until its blocks are numbered; blank blocks are left out and keep
     their number.
     """
-    def cleaned(html: Column) -> Column:
-        text = F.regexp_replace(html, HTML_TAG, "")
-        for entity, char in HTML_ENTITIES.items():
-            text = F.replace(text, F.lit(entity), F.lit(char))
-        return strip(F.regexp_replace(text, r"\s+", " "))
-
-    def blocks(html: Column) -> Column:
+    def blocks(page: Column) -> Column:
         def named(edges: Column) -> Column:
             return F.transform(edges, lambda e: F.when((e["close"] != "") | (F.lower(e["tag"]) == "hr"), HTML_LOOSE).otherwise(F.lower(e["tag"])))
 
-        closes, tags = (F.regexp_extract_all(html, F.lit(HTML_EDGE), F.lit(g)) for g in (1, 2))
+        closes, tags = (F.regexp_extract_all(page, F.lit(html.EDGE), F.lit(g)) for g in (1, 2))
         opened = F.concat(F.array(F.lit(HTML_LOOSE)), named(F.arrays_zip(closes.alias("close"), tags.alias("tag"))))
-        return F.transform(F.arrays_zip(opened.alias("tag"), F.split(html, HTML_EDGE, -1).alias("text")), lambda b, i: F.struct(
-            i.alias("block_no"), b["tag"].alias("tag"), cleaned(b["text"]).alias("text")))
+        return F.transform(F.arrays_zip(opened.alias("tag"), F.split(page, html.EDGE, -1).alias("text")), lambda b, i: F.struct(
+            i.alias("block_no"), b["tag"].alias("tag"), html.plain(b["text"]).alias("text")))
 
-    found = let(F.regexp_replace("html", HTML_SILENT, " "), blocks)
+    found = let(F.regexp_replace("html", html.SILENT, " "), blocks)
     return pages.select("page_id", F.explode(F.filter(found, lambda b: b["text"] != "")).alias("b")).select("page_id", "b.*")
 
 

@@ -39,6 +39,9 @@ COUNTS = T.StructType([
     T.StructField("updated", T.TimestampType()),
 ])
 
+# Of each unit the latest period whose counts were let go.
+MARKS = T.StructType([T.StructField("unit", T.StringType()), T.StructField("period", T.TimestampType())])
+
 
 def _utc_now() -> datetime:
     return datetime.now(UTC)
@@ -149,7 +152,7 @@ def _merged(before: DataFrame, used: Sequence[DataFrame], now: datetime) -> Data
 def _retired(counts: DataFrame, now: datetime, keep_days: int) -> Column:
     """Counts that have not changed for ``keep_days`` by the clock, of periods that are over by the clock."""
     at = F.lit(now).cast("timestamp")
-    return F.col("client").isNotNull() & (F.col("updated") < at - F.expr(f"INTERVAL {keep_days} DAYS")) & (F.col("period") < at)
+    return (F.col("updated") < at - F.expr(f"INTERVAL {keep_days} DAYS")) & (F.col("period") < at)
 
 
 def start_quota(
@@ -162,50 +165,49 @@ def start_quota(
     batch arrivals are ranked as in the batch job; their ranks meet the counts, so a client
     that floods the service costs no more than others. Counts are let go ``keep_days`` after
     they last changed by ``clock``, never by what arrivals claim; of each unit the latest such
-    period is remembered, and arrivals of that period or an earlier one that have no count any
+    period is remembered (``folder/marks``), and arrivals of that period or an earlier one that have no count any
     more are ``late``: refused, not given a fresh quota. A period in the future is kept until
     the clock has passed it.
     """
-    counts_at, verdicts_at = f"{folder}/counts", f"{folder}/verdicts"
+    counts_at, verdicts_at, marks_at = f"{folder}/counts", f"{folder}/verdicts", f"{folder}/marks"
     spark = requests.sparkSession
     if not exists(spark, counts_at):
         _write_batch(spark.createDataFrame([], COUNTS), counts_at, -1)
+        _write_batch(spark.createDataFrame([], MARKS), marks_at, -1)
 
     def work(batch: DataFrame, batch_id: int) -> None:
         now = clock()
-        rows = batch.persist()
-        before = _previous(batch.sparkSession, counts_at, batch_id)
-        marks = {r["unit"]: r["period"] for r in before.where("client IS NULL").collect()}  # one per unit
-        live = before.where("client IS NOT NULL")
-        flags = [f"within_{q.period}" for q in quotas]
-        passing, used = [], []
-        for q, flag in zip(quotas, flags):
-            timed = rows.withColumn("period", period_of(F.col("ts"), q.period))
-            prior = live.where(F.col("unit") == q.period).select("client", "period", "n")
-            if q.period in marks:
-                # counted again from nothing they would get a second quota
-                old = F.col("period") <= F.lit(marks[q.period]).cast("timestamp")
-                gone = timed.where(old).join(prior, ["client", "period"], "left_anti")
-                passing.append(gone.select("event_id", *[F.lit(False).alias(f) for f in flags], F.lit(True).alias("late")))
-                timed = timed.where(~old).unionByName(timed.where(old).join(prior, ["client", "period"], "left_semi"))
-            ok = first_arrivals(timed, q.limit).join(prior, ["client", "period"], "left").where(
-                F.col("rank") + F.coalesce("n", F.lit(0)) <= q.limit
-            )
-            passing.append(ok.select("event_id", *[F.lit(f == flag).alias(f) for f in flags], F.lit(False).alias("late")))
-            used.append(timed.groupBy("client", F.lit(q.period).alias("unit"), "period").agg(F.count(F.lit(1)).alias("n")))
-        each = [*flags, "late"]
-        merged = reduce(DataFrame.unionByName, passing).groupBy("event_id").agg(*[F.bool_or(f).alias(f) for f in each])
-        verdicts = rows.join(merged, "event_id", "left").withColumns({f: F.coalesce(f, F.lit(False)) for f in each})
-        verdicts = verdicts.withColumn("allowed", reduce(lambda a, b: a & b, [F.col(f) for f in flags]) & ~F.col("late"))
-        _write_batch(verdicts, verdicts_at, batch_id)
-        after = _merged(live, used, now)
-        gone = _retired(after, now, keep_days)
-        latest = after.where(gone).unionByName(before.where("client IS NULL")).groupBy("unit").agg(
-            F.max("period").alias("period"), F.max("updated").alias("updated"))
-        kept = after.where(~gone).unionByName(latest.select(
-            F.lit(None).cast("string").alias("client"), "unit", "period", F.lit(0).cast("bigint").alias("n"), "updated"))
-        _hand_over(kept, counts_at, batch_id)
-        rows.unpersist()
+        with scratch(spark):
+            rows = materialise(batch, "arrivals")
+            before = _previous(spark, counts_at, batch_id)
+            marks = spark.read.schema(MARKS).parquet(f"{marks_at}/batch_id={batch_id - 1}")
+            newest = {r["unit"]: r["period"] for r in marks.collect()}  # one per unit
+            flags = [f"within_{q.period}" for q in quotas]
+            passing, used = [], []
+            for q, flag in zip(quotas, flags):
+                timed = rows.withColumn("period", period_of(F.col("ts"), q.period))
+                prior = before.where(F.col("unit") == q.period).select(
+                    F.col("client").alias("_client"), F.col("period").alias("_period"), "n")
+                # arrivals without client are a client of their own, as in the batch job
+                same = F.col("client").eqNullSafe(F.col("_client")) & F.col("period").eqNullSafe(F.col("_period"))
+                if q.period in newest:
+                    # counted again from nothing they would get a second quota
+                    old = F.coalesce(F.col("period") <= F.lit(newest[q.period]).cast("timestamp"), F.lit(False))
+                    gone = timed.where(old).join(prior, same, "left_anti")
+                    passing.append(gone.select("event_id", *[F.lit(False).alias(f) for f in flags], F.lit(True).alias("late")))
+                    timed = timed.where(~old).unionByName(timed.where(old).join(prior, same, "left_semi"))
+                ok = first_arrivals(timed, q.limit).join(prior, same, "left").where(F.col("rank") + F.coalesce("n", F.lit(0)) <= q.limit)
+                passing.append(ok.select("event_id", *[F.lit(f == flag).alias(f) for f in flags], F.lit(False).alias("late")))
+                used.append(timed.groupBy("client", F.lit(q.period).alias("unit"), "period").agg(F.count(F.lit(1)).alias("n")))
+            each = [*flags, "late"]
+            merged = reduce(DataFrame.unionByName, passing).groupBy("event_id").agg(*[F.bool_or(f).alias(f) for f in each])
+            verdicts = rows.join(merged, "event_id", "left").withColumns({f: F.coalesce(f, F.lit(False)) for f in each})
+            verdicts = verdicts.withColumn("allowed", reduce(lambda a, b: a & b, [F.col(f) for f in flags]) & ~F.col("late"))
+            _write_batch(verdicts, verdicts_at, batch_id)
+            after = materialise(_merged(before, used, now), "counts")
+            gone = F.coalesce(_retired(after, now, keep_days), F.lit(False))
+            _hand_over(after.where(gone).select("unit", "period").unionByName(marks).groupBy("unit").agg(F.max("period").alias("period")), marks_at, batch_id)
+            _hand_over(after.where(~gone), counts_at, batch_id)
 
     return _each_batch(requests, folder, work, trigger)
 
@@ -228,13 +230,14 @@ def start_over_limit(
 
     def work(batch: DataFrame, batch_id: int) -> None:
         now = clock()
-        before = _previous(batch.sparkSession, counts_at, batch_id)
-        period = period_of(F.col("ts"), quota.period).alias("period")
-        used = batch.groupBy("client", F.lit(quota.period).alias("unit"), period).agg(F.count(F.lit(1)).alias("n"))
-        after = materialise(_merged(before, [used], now), "counts")
-        gone = F.coalesce(_retired(after, now, keep_days), F.lit(False))
-        _write_batch(after.where(gone), closed_at, batch_id)
-        _hand_over(after.where(~gone), counts_at, batch_id)
+        with scratch(spark):
+            before = _previous(spark, counts_at, batch_id)
+            period = period_of(F.col("ts"), quota.period).alias("period")
+            used = batch.groupBy("client", F.lit(quota.period).alias("unit"), period).agg(F.count(F.lit(1)).alias("n"))
+            after = materialise(_merged(before, [used], now), "counts")
+            gone = F.coalesce(_retired(after, now, keep_days), F.lit(False))
+            _write_batch(after.where(gone), closed_at, batch_id)
+            _hand_over(after.where(~gone), counts_at, batch_id)
 
     return _each_batch(requests, folder, work, trigger)
 

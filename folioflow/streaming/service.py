@@ -95,8 +95,9 @@ def _settle(
     finished = documents_of(pool.join(state.where("whole"), "doc_id", "left_semi"))
     partial = documents_of(pool.join(state.where("NOT whole"), "doc_id", "left_semi")).withColumns(
         {"translated": F.lit(None).cast("string"), "status": F.lit(STATUS.incomplete)})
-    documents = materialise(finished.unionByName(partial), "documents")
+    documents = finished.unionByName(partial)
     _write_batch(documents, f"{folder}/documents", batch_id)
+    documents = spark.read.schema(documents.schema).parquet(f"{folder}/documents/batch_id={batch_id}")
     announced = F.coalesce("announced", F.lit(0))
     last = documents.join(state.select("doc_id", announced.alias("announced")), "doc_id").select(
         "doc_id", (F.greatest("announced", "n_pages") + 1).alias("seq"), final_event(name, max_output_bytes).alias("event"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioflow.config import AdmissionRules
 from folioflow.operators import reports
+from folioflow.operators.layout import page_status
 from folioflow.plans import corpus, inputs
 from folioflow.plans.queries import _strict_decoder
 from folioflow.schemas import LAYOUT
@@ -23,6 +24,13 @@ def translate(pages):
     return corpus.translate_pages(pages, inputs.CONFIG, column=inputs.stand_in)
 
 
+def light(pages):
+    """The cheapest job over pages, for tests that are not about translation."""
+    zero = F.lit(0)
+    return pages.select("doc_id", "page_num", page_status().alias("status"), F.col("blocks")[0]["lines"][0]["spans"][0]["text"].alias("translated"),
+                        zero.alias("n_blocks"), zero.alias("n_chunks"), zero.alias("n_failed"))
+
+
 def same(a, b):
     columns = sorted(a.columns)
     return sorted(map(str, a.select(columns).collect())) == sorted(map(str, b.select(columns).collect()))
@@ -40,12 +48,12 @@ class Desk:
     def __init__(self, spark, tmp_path, **settings):
         self.spark, self.source, self.folder, self.n, self.settings = spark, tmp_path / "in", str(tmp_path / "out"), 0, settings
 
-    def deliver(self, pages, now=NOON, work=translate):
+    def deliver(self, pages, now=NOON, work=light):
         self.spark.createDataFrame(pages, LAYOUT).coalesce(1).write.parquet(f"{self.source}/n{self.n}")
         self.n += 1
         self.run(now, work)
 
-    def run(self, now=NOON, work=translate):
+    def run(self, now=NOON, work=light):
         stream = self.spark.readStream.schema(LAYOUT).option("recursiveFileLookup", "true").parquet(str(self.source))
         service.start_documents(stream, work, self.folder, clock=lambda: now, **self.settings).awaitTermination()
 
@@ -59,18 +67,18 @@ class Desk:
 def test_pages_over_batches_give_the_documents_of_the_batch_job(spark, tmp_path):
     desk = Desk(spark, tmp_path)
     pages = [page(d, n, 3) for d in range(6) for n in range(3)]
-    desk.deliver([p for p in pages if (p["doc_id"] + p["page_num"]) % 3 == 0])
+    desk.deliver([p for p in pages if (p["doc_id"] + p["page_num"]) % 3 == 0], work=translate)
     assert desk.statuses() == {}
-    desk.deliver([p for p in pages if (p["doc_id"] + p["page_num"]) % 3 == 1] + [page(9, None, None), page(8, None, 0)])
+    desk.deliver([p for p in pages if (p["doc_id"] + p["page_num"]) % 3 == 1] + [page(9, None, None), page(8, None, 0)], work=translate)
     assert desk.statuses() == {8: "no_pages", 9: "unreadable"}, "they end at once"
     # the rest, with pages that were sent before, twice in one batch, and for documents that have ended
     rest = [p for p in pages if (p["doc_id"] + p["page_num"]) % 3 == 2]
-    desk.deliver(rest + rest[:2] + pages[:4] + [page(9, 0, 1), page(None, 0, 1)])
+    desk.deliver(rest + rest[:2] + pages[:4] + [page(9, 0, 1), page(None, 0, 1)], work=translate)
     layout = spark.createDataFrame(pages + [page(9, None, None), page(8, None, 0)], LAYOUT)
     want = corpus.translate_documents(layout, inputs.CONFIG, column=inputs.stand_in)
     assert same(desk.read("documents"), want)
     assert same(desk.read("events"), reports.job_events(layout, want, F.lit("document.pdf")))
-    desk.deliver(pages)
+    desk.deliver(pages, work=translate)
     assert same(desk.read("documents"), want), "a document ends once, whatever comes afterwards"
     assert desk.read("late").count() >= len(pages)
     ends = desk.read("events").where("event LIKE '%\"done\"%' OR event LIKE '%\"error\"%'").groupBy("doc_id").count()
@@ -168,8 +176,8 @@ def test_a_stop_between_verdict_and_translation(spark, tmp_path):
         serve(spark, tmp_path / "a", [rows], stops)
     assert spark.read.parquet(str(tmp_path / "a/out/verdicts")).count() == 22
     stream = spark.readStream.schema(UPLOAD).option("recursiveFileLookup", "true").parquet(str(tmp_path / "a/in"))
-    service.start_service(stream, RULES, _strict_decoder, translate, str(tmp_path / "a/out")).awaitTermination()
-    whole = serve(spark, tmp_path / "b", [rows])
+    service.start_service(stream, RULES, _strict_decoder, light, str(tmp_path / "a/out")).awaitTermination()
+    whole = serve(spark, tmp_path / "b", [rows], light)
     for name, want in zip(("verdicts", "events"), whole):
         assert same(spark.read.parquet(str(tmp_path / f"a/out/{name}")).drop("batch_id"), want)
 

@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 from folioflow.config import AdmissionRules
 from folioflow.operators import admission, layout as lay, reports
 from folioflow.plans import corpus, inputs
+from folioflow.functions import html
 from folioflow.sources import readers, sinks
 
 
@@ -169,16 +170,17 @@ class PageText(HTMLParser):
     """Blocks of a page by the standard library's parser."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=False)
+        super().__init__(convert_charrefs=True)
         self.blocks, self.tag, self.text, self.silent = [], "#text", "", 0
 
     def edge(self, tag, named):
-        if re.fullmatch(readers.HTML_BLOCKS, tag):
+        if re.fullmatch(html.BLOCKS, tag):
             if self.text.strip():
                 self.blocks.append((self.tag, " ".join(self.text.split())))
             self.tag, self.text = named, ""
 
     def handle_starttag(self, tag, attrs):
+        self.text += " " if tag == "br" else ""
         self.silent += tag in ("script", "style")
         self.edge(tag, "#text" if tag == "hr" else tag)
 
@@ -189,13 +191,10 @@ class PageText(HTMLParser):
     def handle_data(self, data):
         self.text += "" if self.silent else data
 
-    def handle_entityref(self, name):
-        self.text += readers.HTML_ENTITIES.get(f"&{name};", f"&{name};")
 
-
-def parsed(html):
+def parsed(page):
     parser = PageText()
-    parser.feed(html + "<hr>")
+    parser.feed(page + "<hr>")
     return parser.blocks
 
 
@@ -206,6 +205,9 @@ def test_html_blocks_take_all_text(spark, sf_dir):
         -3: "<p>kept</p><!-- never closed <p>gone",
         -4: "<P>up<hr/>down</P><param>x</param><blockquote>q</blockquote><pre>a\n b</pre><p>cut<p cla",
         -5: "", -6: None,
+        -7: "if 1 < 2 and 3 > 2 then", -8: "one<br>two<BR/>three", -9: '<p><a title="a>b" href=x>link</a> <i class=\'>\'>it</i>',
+        -10: "&eacute; &#233; &copy; &mdash; &#x2014; &nbsp;x&nbsp; &lt;b&gt; &amp;amp; &#128512; &#150; &#0; &#xD800; &#1; &#99999999999999; &nosuch; &notit; &copy2 & &#; &AMP",
+        -11: "<p>a = b</p><p x=1 y= 'p>q' z>c < d e</p>", -12: "<?xml v='1'?><!DOCTYPE html><p>x</p>" + "<span data=" + "'" + "y" * 50_000 + "'>z</span>",
     }
     extra = spark.createDataFrame([(k, "", v) for k, v in odd.items()], "page_id BIGINT, url STRING, html STRING")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html").unionByName(extra.select("page_id", "html"))
@@ -216,6 +218,10 @@ def test_html_blocks_take_all_text(spark, sf_dir):
     assert got[-2] == [("#text", "loose"), ("div", "in div"), ("h2", "head"), ("#text", "after"), ("td", "cell"), ("#text", "end")]
     assert got[-3] == [("p", "kept")] and not {-5, -6} & set(got)
     assert got[-4] == [("p", "up"), ("#text", "down"), ("#text", "x"), ("blockquote", "q"), ("pre", "a b"), ("p", "cut")]
+    assert got[-7] == [("#text", "if 1 < 2 and 3 > 2 then")] and got[-8] == [("#text", "one two three")]
+    assert got[-9] == [("p", "link it")]
+    for n in (-7, -8, -9, -10, -11, -12):
+        assert got[n] == parsed(odd[n]), n
     given = {r.page_id: r.html for r in pages.where("page_id >= 0").collect()}
     cut = re.compile(r"</?[a-zA-Z][^>]*\Z")
     assert {k: got.get(k, []) for k in given} == {k: parsed(cut.sub("", v)) for k, v in given.items()}

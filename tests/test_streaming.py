@@ -1,15 +1,17 @@
 from __future__ import annotations
 
+import random
+from collections import Counter
 from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioflow import schemas
-from folioflow.config import TRANSLATE_QUOTAS
+from folioflow.config import TRANSLATE_QUOTAS, Quota
 from folioflow.operators import quota, reports
 from folioflow.operators import translation as tr
-from folioflow.plans import corpus, inputs
+from folioflow.plans import inputs
 from folioflow.streaming import jobs
 
 
@@ -113,6 +115,29 @@ def test_arrivals_of_a_retired_period_get_no_fresh_quota(spark, tmp_path):
     assert folders == ["batch_id=1", "batch_id=2"], "older counts are removed"
 
 
+def test_arrivals_without_client_are_a_client_of_their_own(spark, tmp_path):
+    waves = [[(0, None, "2024-03-01 10:00:00")], [(1, "b", "2024-03-01 10:01:00"), (2, None, "2024-03-01 10:02:00"), (3, None, "2024-03-01 10:03:00")]]
+    got = _run_quota(spark, tmp_path, waves, [datetime(2024, 3, 1, 11, tzinfo=UTC)] * 2, (Quota("hour", 2),))
+    assert {i: (r["allowed"], r["late"]) for i, r in got.items()} == {0: (True, False), 1: (True, False), 2: (True, False), 3: (False, False)}
+
+
+def test_random_batches_get_the_verdicts_of_the_batch_job(spark, tmp_path):
+    """Clients with and without name, periods in the past and in the future, in three waves."""
+    rng = random.Random(7)
+    hours = ["2024-03-01 09", "2024-03-01 10", "2024-03-01 11", "2031-01-01 00"]
+    rows = [(i, rng.choice(["a", "b", None]), f"{rng.choice(hours)}:{i % 60:02d}:00") for i in range(90)]
+    quotas = (Quota("hour", 3), Quota("day", 8))
+    waves = [sorted(rows[at:at + 30], key=lambda r: (r[2], r[0])) for at in range(0, 90, 30)]
+    got = _run_quota(spark, tmp_path, waves, [datetime(2024, 3, 1, 12, tzinfo=UTC)] * 3, quotas)
+    seen, want = Counter(), {}
+    for wave in waves:  # in the stream, arrivals are ranked in order of the batches
+        for i, client, ts in wave:
+            keys = [("hour", client, ts[:13]), ("day", client, ts[:10])]
+            want[i] = all(seen[k] < q.limit for k, q in zip(keys, quotas))
+            seen.update(keys)
+    assert {i: r["allowed"] for i, r in got.items()} == want and not any(r["late"] for r in got.values())
+
+
 def test_listener_reports_batches(spark, parts, tmp_path):
     import time
 

@@ -61,6 +61,22 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+BATCH_ROWS = 1_000
+
+
+def in_arrow(rows: DataFrame, work, schema) -> DataFrame:
+    """``rows.mapInArrow(work, schema)`` in batches of at most ``BATCH_ROWS`` rows.
+
+    Spark bounds a batch by rows only, and both sides hold whole batches of texts: the session's setting
+    is lowered, never raised.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = rows.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return rows.mapInArrow(work, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int, weight: str, most: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice has at most ``rows`` rows and about ``most`` bytes of ``weight``."""
     for batch in batches:
@@ -76,20 +92,26 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int, weight: str, most: int)
 
 
 FILTER_BITS = 24  # power of two: a filter has 2 MB, whatever goes into it
+MOST_FILTER_BITS = 26
+
+
+def filter_bits(seeds: int) -> int | None:
+    """Bits of a filter that lets through about one key in sixteen beside its seeds; None beyond 8 MB."""
+    bits = max(16, (16 * seeds).bit_length())
+    return bits if bits <= MOST_FILTER_BITS else None
 
 
 def seed_filter(seeds: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """Bitmap of the low bits of ``seeds(seed BIGINT)``: at most ``2**bits / 64`` rows reach the driver.
+    """Bitmap of the low bits of ``seeds(seed BIGINT)``: at most ``2**bits / 64`` pairs of numbers reach the driver.
 
     Sorts out most of what is not among the seeds and nothing that is; a full bitmap sorts out less.
     """
     slot = F.col("seed").bitwiseAND(F.lit((1 << bits) - 1))
     words = seeds.groupBy(F.shiftright(slot, 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, CAST(seed & 63 AS INT))")).alias("mask")
-    ).collect()
+    ).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
-    for row in words:
-        out[row["word"]] = np.int64(row["mask"]).view(np.uint64)
+    out[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
     return out
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import hashed_words, in_filter, seed_filter, shingles, slices
+from folioflow.llm.common import hashed_words, in_arrow, in_filter, seed_filter, shingles, slices
 from folioflow.operators.shared import materialise
 
 LEAST = 5  # words of a seed, and of the shortest tile
@@ -180,7 +180,7 @@ def stretches(documents: DataFrame, bitmap: np.ndarray, least: int = LEAST) -> D
             )
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id BIGINT, tokens ARRAY<BIGINT>, seeds ARRAY<BIGINT>")
+    return in_arrow(rows, run, "doc_id BIGINT, tokens ARRAY<BIGINT>, seeds ARRAY<BIGINT>")
 
 
 def _tiled(least: int):

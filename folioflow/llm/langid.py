@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import slices
+from folioflow.llm.common import in_arrow, slices
 
 DIMENSIONS = 1024
 ORDER = 3
@@ -172,7 +172,7 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(documents: DataFrame, max_languages: int = MAX_LANGUAGES) -> dict[str, np.ndarray]:
     """Unit prototypes of all languages in ``documents(text, lang)``."""
     rows = documents.where(F.col("lang").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    parts = rows.mapInArrow(_bundles, "lang STRING, bundle ARRAY<DOUBLE>")
+    parts = in_arrow(rows, _bundles, "lang STRING, bundle ARRAY<DOUBLE>")
     # sums by place, so that what meets is numbers, not vectors of every task
     total = parts.select("lang", F.posexplode("bundle").alias("place", "x")).groupBy("lang", "place").agg(F.sum("x").alias("x"))
     whole = total.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "x"))).alias("bundle"))
@@ -218,9 +218,8 @@ def predict(documents: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFram
                 ["doc_id", "lang_pred", "score"],
             )
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id BIGINT, lang_pred STRING, score DOUBLE"
-    )
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return in_arrow(texts, run, "doc_id BIGINT, lang_pred STRING, score DOUBLE")
 
 
 def recognised(documents: DataFrame, prototypes: dict[str, np.ndarray], least: float = 0.0) -> DataFrame:
@@ -233,7 +232,7 @@ def recognised(documents: DataFrame, prototypes: dict[str, np.ndarray], least: f
             found, score = _judged(batch.column(at).to_pylist(), names, matrix)
             yield batch.filter(pa.array((found != UNKNOWN) & (score >= least), pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return in_arrow(documents, run, documents.schema)
 
 
 def identify(documents: DataFrame, train: Column) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import hashed_words, in_filter, mix, seed_filter, shingles, slices
+from folioflow.llm.common import filter_bits, hashed_words, in_arrow, in_filter, mix, seed_filter, shingles, slices
 from folioflow.llm.graph import EDGES, components
 from folioflow.operators.shared import materialise
 
@@ -46,7 +46,7 @@ SKETCH_BITS = 512
 SCREEN = 0.5
 PERCENT = 80
 BLOCK = 8000  # classes compared with each other in one task
-BLOCK_SHINGLES = 4_000_000
+BLOCK_SHINGLES = 1_000_000  # and their shingles: a task sorts those of two blocks
 
 _seeds = mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FACTORS = (_seeds[:SAMPLES] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -116,22 +116,26 @@ def signatures(documents: DataFrame, width: int) -> DataFrame:
                 pa.array(banded, pa.list_(pa.int64())),
             ], ["doc_id", "n_shingles", "set_key", "bands"])
 
-    return _ids(documents).mapInArrow(
-        run, "doc_id BIGINT, n_shingles BIGINT, set_key BINARY, bands ARRAY<BIGINT>"
-    )
+    return in_arrow(_ids(documents), run, "doc_id BIGINT, n_shingles BIGINT, set_key BINARY, bands ARRAY<BIGINT>")
 
 
 def _possible(documents: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows that may be among ``groups(doc_id)``, by a filter of fixed size: the other texts are not shuffled."""
+    """Rows that may be among ``groups(doc_id)``, by a filter of their size: most other texts are not shuffled.
+
+    Beyond some four million candidates there is no filter; the join alone then sorts out.
+    """
     key = F.xxhash64("doc_id")
-    bitmap = seed_filter(groups.select(key.alias("seed")))
+    bits = filter_bits(groups.count())
+    if bits is None:
+        return _ids(documents).where("doc_id IS NOT NULL")
+    bitmap = seed_filter(groups.select(key.alias("seed")), bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
             yield batch.select([0, 1]).filter(pa.array(in_filter(bitmap, keys)))
 
-    return _ids(documents).where("doc_id IS NOT NULL").withColumn("_key", key).mapInArrow(run, "doc_id BIGINT, text STRING")
+    return in_arrow(_ids(documents).where("doc_id IS NOT NULL").withColumn("_key", key), run, "doc_id BIGINT, text STRING")
 
 
 def sets_of(documents: DataFrame, width: int) -> DataFrame:
@@ -146,7 +150,7 @@ def sets_of(documents: DataFrame, width: int) -> DataFrame:
                 batch.column(0), batch.column(2), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(sketches, pa.binary()),
             ], ["doc_id", "root", "shingles", "sketch"])
 
-    return _ids(documents, "root").mapInArrow(run, "doc_id BIGINT, root BIGINT, shingles BINARY, sketch BINARY").where("sketch IS NOT NULL")
+    return in_arrow(_ids(documents, "root"), run, "doc_id BIGINT, root BIGINT, shingles BINARY, sketch BINARY").where("sketch IS NOT NULL")
 
 
 def linked(sets: list[np.ndarray], sketches: np.ndarray, sides: np.ndarray, known: np.ndarray, percent: int) -> np.ndarray:
@@ -274,7 +278,7 @@ def _star_links(stars: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
         "pivot", F.col("shingles").alias("theirs"), F.col("sketch").alias("their_sketch"),
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("piece"))
     pairs = stars.join(mine, "doc_id").join(centres, ["pivot", "piece"])
-    return pairs.select("doc_id", "pivot", "mine", "theirs", "my_sketch", "their_sketch").mapInArrow(_similar(percent), EDGES)
+    return in_arrow(pairs.select("doc_id", "pivot", "mine", "theirs", "my_sketch", "their_sketch"), _similar(percent), EDGES)
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from folioflow.llm.common import mix, slices
+from folioflow.llm.common import in_arrow, mix, slices
 from folioflow.operators.shared import attach, materialise
 
 LEAST = 24  # words of a run, at least
@@ -250,7 +250,7 @@ def fragments(strips: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), out.types)], schema=out)
 
-    return strips.select("key", "octave", "n", "base", "boundary", "n_tiles", "words").mapInArrow(run, FRAGMENTS)
+    return in_arrow(strips.select("key", "octave", "n", "base", "boundary", "n_tiles", "words"), run, FRAGMENTS)
 
 
 def stitched(found: DataFrame) -> DataFrame:
@@ -288,7 +288,7 @@ def runs_of(documents: DataFrame, order: Order = lambda doc_id, n: None) -> Data
     ones the first, then the one of the smallest period). ``order`` may rearrange a text's words.
     """
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.hex(F.xxhash64("text")))
-    scanned = documents.select("doc_id", "text", key.alias("key")).mapInArrow(lambda batches: scan(batches, order), SCANNED)
+    scanned = in_arrow(documents.select("doc_id", "text", key.alias("key")), lambda batches: scan(batches, order), SCANNED)
     scanned = materialise(scanned, "scanned")
     strips = scanned.where("octave IS NOT NULL")
     # dealt in turn, not by key: solving costs far more than reading, and one document may have most of the tiles
@@ -308,7 +308,7 @@ def runs_of(documents: DataFrame, order: Order = lambda doc_id, n: None) -> Data
                 rows.append((row["key"], row["copies"], *digest(row["text"], order(row["doc_id"], n), found)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), out.types)], schema=out)
 
-    digests = materialise(texts.join(listed, "key", "left").mapInArrow(finish, DIGESTS), "digests")
+    digests = materialise(in_arrow(texts.join(listed, "key", "left"), finish, DIGESTS), "digests")
     worked = attach(marked.select("doc_id", "key"), digests, "key", "copies").drop("key")
     none = F.lit(None).cast("bigint")
     plain = scanned.where("collapsed IS NOT NULL").select(

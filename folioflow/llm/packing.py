@@ -25,20 +25,23 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import slices
+from folioflow.llm.common import in_arrow, slices
 from folioflow.operators.shared import materialise
 
 LIMIT = 2048
 PIECES = "doc_id BIGINT, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT"
 CACHED_WORDS = 300_000  # memory of a worker, not of the result
-MAX_STEPS = 6_000
-SHARES = (1.0, 0.9, 0.75, 0.5, 0.25, 0.0)  # of the fitted repeats; 0 is best-fit alone
+KEPT_WORDS = 60_000  # of these, between tasks: the ones met first, so the frequent ones
+MAX_STEPS = 20_000
+SETTLED = 1e-5  # the fit ends when no step gains that share of the histogram
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.25)  # of the fitted repeats
 ROWS_PER_BUCKET = 20_000
 
 
@@ -104,6 +107,11 @@ class Tokens:
             for (word, _), got in zip(part, done, strict=True):
                 self.words[word] = np.array(got.ids, np.uint32).tobytes()
 
+    def forget(self) -> None:
+        """Keep the words that were met first."""
+        self.words = dict(islice(self.words.items(), KEPT_WORDS))
+        self.cores = dict(islice(self.cores.items(), KEPT_WORDS))
+
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
         wanted: set[bytes] = set()
@@ -111,7 +119,8 @@ class Tokens:
             wanted.update(ws)
         new = wanted.difference(self.words)
         if len(self.words) + len(new) > CACHED_WORDS:
-            self.words, self.cores, new = {}, {}, wanted
+            self.forget()
+            new = wanted.difference(self.words)
         if new:
             self.learn(new)
         for ws in split:
@@ -145,9 +154,9 @@ def token_pieces(documents: DataFrame, path: str, limit: int = LIMIT) -> DataFra
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
         finally:
             # the worker lives on and may serve other jobs: most words of a task are its own
-            model.words = {}
+            model.forget()
 
-    return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return in_arrow(documents.select("doc_id", F.col("text").cast("string").alias("text")), cut, PIECES)
 
 
 def patterns(limit: int) -> np.ndarray:
@@ -182,6 +191,7 @@ def fit_repeats(histogram: np.ndarray, limit: int, max_steps: int = MAX_STEPS) -
             square += (usable[:, a] == usable[:, b]) & (usable[:, a] > 0)
     rest = histogram.astype(float).copy()
     rest[0] = 0.0
+    least = max(0.5, SETTLED * float(np.linalg.norm(rest)))
     order = np.argsort(usable.ravel(), kind="stable")
     bounds = np.searchsorted(usable.ravel()[order], np.arange(limit + 2))
     scale = np.sqrt(square)
@@ -194,7 +204,7 @@ def fit_repeats(histogram: np.ndarray, limit: int, max_steps: int = MAX_STEPS) -
             if -gain[back] > gain[best]:
                 best = back
         step = max(gain[best] / scale[best], -repeats[best])
-        if abs(step) * scale[best] < 0.5:
+        if abs(step) * scale[best] < least:
             break
         if not repeats[best]:
             used.append(best)

@@ -13,7 +13,8 @@ Defined results:
 
 * null payload: empty payload; null url: empty target URI; null id: always a response;
 * equal payloads: the largest id is the response, the others revisit it;
-* repeated rows (same id, url and payload): one capture;
+* every row is a capture of its own, also where ids, urls and payloads repeat: a capture's name is its
+  id, payload digest, url hash and the number of the repeat;
 * empty table: no archive records, no captures;
 * extra columns are not read.
 """
@@ -30,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import slices
+from folioflow.llm.common import in_arrow, slices
+from folioflow.operators.shared import materialise
 
 END = "\r\n"
 CLOSE = END + END  # after every record
@@ -38,7 +40,8 @@ RECORDS = (
     "record_id STRING, record_type STRING, concurrent_to STRING, refers_to STRING, target_uri STRING, "
     "payload_digest STRING, payload_bytes BIGINT, content BINARY"
 )
-CAPTURE_ROWS_PER_FILE = 2000
+FILE_BYTES = 32 << 20  # of a file before it is compressed; a larger capture is a file of its own
+REPEATS = 1000  # equal rows written by one task at a time
 
 
 def _digest(payload: bytes) -> str:
@@ -56,64 +59,83 @@ def _one_line(text: str | None) -> str:
     return " ".join((text or "").split())
 
 
-def _name(page_id: int | None, digest: str, part: str) -> str:
-    return f"<urn:capture:{'' if page_id is None else page_id}:{digest}:{part}>"
-
-
-def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 2000, "html", 1 << 25):
-        out = []
-        for page_id, url, html, original in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            html = html or ""
-            payload = html.encode("utf-8", "surrogatepass")
-            digest, uri = _digest(payload), _one_line(url)
-            response = _name(page_id, digest, "response")
-            http = (
-                f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: {len(payload)}{CLOSE}"
-            )
-            shared = [("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest}")]
-            beside = [("WARC-Target-URI", uri), ("WARC-Concurrent-To", response)]
-            if original is None:
-                main = _record("response", response, http + html, shared)
-            else:
-                profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-                refers = ("WARC-Refers-To", _name(original, digest, "response"))
-                main = _record("revisit", response, http, [*shared, profile, refers])
-            asked = f"GET {uri} HTTP/1.1{CLOSE}"
-            facts = f"page_id: {'' if page_id is None else page_id}{END}payload_bytes: {len(payload)}{END}"
-            out.append(CLOSE.join((
-                _record("request", _name(page_id, digest, "request"), asked, beside),
-                main,
-                _record("metadata", _name(page_id, digest, "metadata"), facts, beside),
-            )))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+def _captures(file_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Captures in bundles of at most ``file_bytes``, a bundle a row."""
+        held: list[str] = []
+        size = 0
+        for batch in slices(batches, 1000, "html", 1 << 23):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                capture = _capture(*row)
+                more = len(capture.encode("utf-8", "surrogatepass"))
+                if held and size + more > file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([CLOSE.join(held)], pa.string())], ["value"])
+                    held, size = [], 0
+                held.append(capture)
+                size += more
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([CLOSE.join(held)], pa.string())], ["value"])
+
+    return run
+
+
+def _capture(name: str, page_id: int | None, url: str | None, html: str, original: str | None) -> str:
+    """The three records of a capture; ``original`` is the name of the one whose payload it repeats."""
+    payload = html.encode("utf-8", "surrogatepass")
+    digest, uri = _digest(payload), _one_line(url)
+    named = lambda capture, part: f"<urn:capture:{capture}:{part}>"
+    response = named(name, "response")
+    http = f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: {len(payload)}{CLOSE}"
+    shared = [("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest}")]
+    beside = [("WARC-Target-URI", uri), ("WARC-Concurrent-To", response)]
+    if original is None:
+        main = _record("response", response, http + html, shared)
+    else:
+        profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        main = _record("revisit", response, http, [*shared, profile, ("WARC-Refers-To", named(original, "response"))])
+    asked = f"GET {uri} HTTP/1.1{CLOSE}"
+    facts = f"page_id: {'' if page_id is None else page_id}{END}payload_bytes: {len(payload)}{END}"
+    return CLOSE.join((
+        _record("request", named(name, "request"), asked, beside), main, _record("metadata", named(name, "metadata"), facts, beside)))
 
 
 def with_originals(pages: DataFrame, least: int = 0) -> DataFrame:
-    """``page_id, url, html, original``: the id whose response holds an equal payload, if not the row's own.
+    """``name, page_id, url, html, original`` of every row, ``name`` its own and ``original`` that of the response with an equal payload.
 
-    Payloads shorter than ``least`` bytes are all kept. Only ids and digests are grouped and
-    joined by digest, and only those of digests that occur twice; the payloads themselves meet
-    the answer on their own id, so copies of one page do not meet in one task.
+    Of equal payloads of at least ``least`` bytes the largest id is the response (of several rows of that id
+    one of them); smaller ids revisit it. Only names and digests are grouped, and joined by digest only
+    those of digests that occur twice; the payloads meet the answer on their own name, so copies of one
+    page do not meet in one task. Rows equal in id, url and payload are counted, and written in portions
+    by many tasks.
     """
     keyed = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     ).withColumn("digest", F.sha2("html", 256))
-    ids = keyed.where(F.octet_length("html") >= least).select("page_id", "digest")
-    largest = ids.groupBy("digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    revisits = (
-        ids.join(largest.drop("n"), "digest").where("page_id < original").distinct()
-    )
-    return keyed.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "original")
-
-
-def write_archives(pages: DataFrame, folder: str, least: int = 0, rows_per_file: int = CAPTURE_ROWS_PER_FILE) -> None:
-    """Three records per row of ``pages(page_id, url, html)`` below ``folder``."""
-    rows = with_originals(pages, least).mapInArrow(_captures, "value STRING")
+    once = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.left("digest", F.lit(40)), F.coalesce(F.sha1("url"), F.lit("-")))
+    keyed = keyed.withColumn("name", once)
+    names = materialise(keyed.withColumn("long", F.octet_length("html") >= least).groupBy("name", "page_id", "digest", "long").agg(F.count(F.lit(1)).alias("n")), "names")
+    first = F.max(F.struct("page_id", "name")).alias("first")
+    largest = names.where("long AND page_id IS NOT NULL").groupBy("digest").agg(first, F.min("page_id").alias("least_id")).where("least_id < first.page_id")
+    revisits = names.where("long").join(largest, "digest").where("page_id < first.page_id").select("name", F.concat(F.col("first.name"), F.lit(":0")).alias("original"))
+    notes = names.where("n > 1").select("name", "n").join(revisits, "name", "full")
+    noted = keyed.join(notes, "name", "left")
+    columns = ["page_id", "url", "html", "original"]
+    single = noted.where("n IS NULL").select(F.concat("name", F.lit(":0")).alias("name"), *columns)
+    equal = noted.where("n > 1").groupBy("name").agg(*[F.first(c).alias(c) for c in [*columns, "n"]])
+    portions = equal.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {REPEATS}"))))
+    dealt = portions.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    number = F.explode(F.sequence(F.col("part") * REPEATS, F.least(F.col("n"), (F.col("part") + 1) * REPEATS) - 1))
+    repeats = dealt.withColumn("number", number).select(F.concat_ws(":", "name", F.col("number").cast("string")).alias("name"), *columns)
+    return single.unionByName(repeats)
+
+
+def write_archives(pages: DataFrame, folder: str, least: int = 0, file_bytes: int = FILE_BYTES) -> None:
+    """Three records per row of ``pages(page_id, url, html)`` below ``folder``, in files of about ``file_bytes``."""
+    rows = in_arrow(with_originals(pages, least), _captures(file_bytes), "value STRING")
     (
         rows.write.mode("overwrite").option("lineSep", CLOSE).option("compression", "gzip")
-        .option("maxRecordsPerFile", rows_per_file).text(folder)
+        .option("maxRecordsPerFile", 1).text(folder)
     )
 
 

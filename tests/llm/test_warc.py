@@ -1,5 +1,7 @@
 import base64
+import gzip
 import hashlib
+from collections import Counter
 
 from folioflow.llm import warc
 from folioflow.operators.shared import run_folder
@@ -11,17 +13,17 @@ PAGES = [
 ]
 
 
-def roundtrip(spark, rows, least=0, rows_per_file=3):
+def roundtrip(spark, rows, least=0, file_bytes=1000):
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id BIGINT, url STRING, html STRING, digest STRING")
     folder = run_folder(spark, "warc")
-    warc.write_archives(pages, folder, least, rows_per_file)
+    warc.write_archives(pages, folder, least, file_bytes)
     return warc.assemble(warc.read_archives(spark, folder))
 
 
 def test_captures_come_back_whole(spark):
     captures = roundtrip(spark, PAGES).cache()
     got = {r["page_id"]: r for r in warc.captures_report(captures).collect()}
-    assert len(got) == captures.count() == 8
+    assert len(got) == len({i for i, *_ in PAGES}) and captures.count() == len(PAGES)
     largest = {}
     for i, _, html in PAGES:
         if i is not None:
@@ -45,3 +47,28 @@ def test_short_payloads_are_kept_and_empty_tables(spark):
     kinds = [r["record_type"] for r in warc.captures_report(roundtrip(spark, PAGES, least=100)).collect()]
     assert set(kinds) == {"response"}
     assert roundtrip(spark, []).count() == 0
+
+
+def test_every_row_is_a_capture(spark):
+    rows = [(1, "http://a", "same"), (1, "http://b", "same"), (1, "http://a", "same"), (None, "n", "same"), (None, "n", "same"),
+            (0, "http://a", "same"), (0, None, "same")] + [(3, "z", "other")] * 2500
+    captures = roundtrip(spark, rows, file_bytes=4000).cache()
+    got = warc.captures_report(captures)
+    found = Counter(tuple(r) for r in got.select("page_id", "target_uri", "record_type", "refers_to").collect())
+    assert found == Counter({
+        (1, "http://a", "response", None): 2, (1, "http://b", "response", None): 1, (None, "n", "response", None): 2,
+        (0, "http://a", "revisit", 1): 1, (0, "", "revisit", 1): 1, (3, "z", "response", None): 2500})
+    assert captures.select("capture_id").distinct().count() == len(rows)
+    named = {r["capture_id"] for r in captures.collect()}
+    assert {r["response"]["refers_to"] for r in captures.where("response.record_type = 'revisit'").collect()} <= named
+
+
+def test_files_are_bounded_by_bytes(spark):
+    rows = [(i, "u", "x" * 1000 + str(i)) for i in range(200)] + [(900, "u", "y" * 50_000_000)]
+    pages = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")
+    folder = run_folder(spark, "warc")
+    warc.write_archives(pages, folder, file_bytes=100_000)
+    sizes = [len(gzip.decompress(bytes(r["content"]))) for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).collect()]
+    assert sum(s > 110_000 for s in sizes) == 1 and len(sizes) > 4
+    got = warc.captures_report(warc.assemble(warc.read_archives(spark, folder, with_content=False)))
+    assert got.count() == 201 and got.where("page_id = 900").first()["payload_bytes"] == 50_000_000

@@ -9,9 +9,11 @@ The corpus is cut once into written blocks of about ``BLOCK_TOKENS`` tokens. For
 blocks send their distinct n-grams with local counts to buckets, where counts are added up and
 answered; a block that has the answers of all shorter orders can compute, token by token, the
 probabilities that the next order backs off to. Each n-gram crosses the network once per block
-and order, however often it occurs, and a context that makes up a large part of all tokens is
-split over several buckets by the following word (fewer than ``HOT`` contexts can be that
-frequent; their sums are added on the driver). Counts are kept as tables partitioned by kind.
+and order, however often it occurs: contexts as their rank within the bucket that counted them, words
+by frequency, both as differences of ascending numbers. A context of more than a quarter of a bucket
+is split over several buckets by the following word; fewer than four times as many contexts as there
+are buckets can be that frequent, and a row of sums of each is added on the driver. Counts are kept
+as tables partitioned by kind.
 
 Defined results:
 
@@ -45,7 +47,7 @@ ORDER = 2
 DISCOUNTED = 5
 BLOCK_TOKENS = 1_000_000
 BUCKET_TOKENS = 1_000_000
-HOT = 200
+HOT = 4  # a context of more than that part of a bucket is split
 END = np.uint64(0x2545F4914F6CDD1D)  # hash of the end token
 START = -1  # id of the start symbol
 ANSWERS = "kind STRING, block BIGINT, bucket INT, payload ARRAY<BINARY>, context BIGINT, sums ARRAY<DOUBLE>"
@@ -134,14 +136,30 @@ def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
 class Level:
     """What the driver knows of an order: counts of counts, and the contexts that are very frequent.
 
-    ``hot[context]`` is the number of buckets it is split over, ``hot_sums`` its whole sums
-    ``[count, shorter mass, n_1 … n_DISCOUNTED]``; ``hot_next`` has the n-grams of this order that
-    are frequent as contexts of the next one.
+    ``hot_sums`` has their whole sums ``[count, shorter mass, n_1 … n_DISCOUNTED]``, ``hot_next`` the
+    n-grams of this order that are frequent as contexts of the next one, with the number of buckets
+    each is split over; both as ascending ids and what belongs to them.
     """
 
-    def __init__(self, of_counts: np.ndarray, total: int, hot: dict[int, int], hot_sums: dict[int, np.ndarray]) -> None:
-        self.d, self.total, self.hot, self.hot_sums = discounts(of_counts), total, hot, hot_sums
-        self.hot_next: dict[int, int] = {}
+    def __init__(self, of_counts: np.ndarray, total: int, hot_sums: dict[int, np.ndarray]) -> None:
+        self.d, self.total = discounts(of_counts), total
+        self.hot_sums = _ascending(hot_sums, (0, 2 + DISCOUNTED))
+        self.hot_next = _ascending({}, (0,))
+
+
+def _ascending(known: dict, empty: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.array(sorted(known), np.int64)
+    return ids, np.array([known[i] for i in ids.tolist()]) if known else np.zeros(empty)
+
+
+def _found(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``ids`` that the table knows, and what belongs to them."""
+    known, values = table
+    if not len(known):
+        return np.zeros(0, np.int64), values[:0]
+    at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+    hit = np.flatnonzero(known[at] == ids)
+    return hit, values[at[hit]]
 
 
 def word_probabilities(counts: np.ndarray, level: Level, mass: float) -> np.ndarray:
@@ -175,12 +193,12 @@ class Order:
         self.context, self.word, self.place, self.buckets = context, word, place, buckets
 
 
-def bucket_of(context: np.ndarray, word: np.ndarray, buckets: int, hot: dict[int, int]) -> np.ndarray:
-    spread = mix(context.view(np.uint64) + np.uint64(1))
-    for gram, pieces in hot.items():
-        own = context == gram
-        spread[own] += mix(word[own].view(np.uint64)) % np.uint64(pieces)
-    return (spread % np.uint64(buckets)).astype(np.int64)
+def bucket_of(context: np.ndarray, word: np.ndarray, buckets: int, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The bucket that counted the context, or for frequent contexts one of several behind it."""
+    spread = context % buckets
+    own, pieces = _found(context, hot)
+    spread[own] += (mix(word[own].view(np.uint64)) % pieces.astype(np.uint64)).astype(np.int64)
+    return spread % buckets
 
 
 def evaluated(block: Block, answers: dict[int, dict[int, list[bytes]]], levels: list[Level], mass: float, buckets: int):
@@ -256,8 +274,8 @@ def _answered(grams: Order, answers: dict[int, list[bytes]], level: Level) -> tu
         own[open_, 1] = unpacked(context[2], np.float64)
         own[open_, 2:] = unpacked(context[3], np.int64).reshape(-1, DISCOUNTED)
         sums[a:b] = own[which]
-    for gram, whole in level.hot_sums.items():
-        sums[grams.context == gram] = whole
+    hit, whole = _found(grams.context, level.hot_sums)
+    sums[hit] = whole
     return counts, ids, sums
 
 
@@ -287,7 +305,8 @@ def _count_words(group: pa.Table, buckets: int) -> pa.Table:
     keys = [unpacked(p[0], np.uint64) for p in parts]
     kinds, which = np.unique(np.concatenate(keys), return_inverse=True)
     totals = np.bincount(which, np.concatenate([unpacked(p[1], np.int64) for p in parts]), len(kinds)).astype(np.int64)
-    ids = np.arange(len(kinds), dtype=np.int64) * buckets + bucket
+    ids = np.empty(len(kinds), np.int64)
+    ids[np.argsort(-totals, kind="stable")] = np.arange(len(kinds)) * buckets + bucket  # frequent words have small numbers
     rows, at = [], 0
     for block, key in zip(group.column("block").to_pylist(), keys):
         own = which[at:at + len(key)]
@@ -299,15 +318,16 @@ def _count_words(group: pa.Table, buckets: int) -> pa.Table:
     return _table(rows)
 
 
-def _count_grams(group: pa.Table, buckets: int, hot: dict[int, int], last: bool) -> pa.Table:
+def _count_grams(group: pa.Table, buckets: int, hot: tuple[np.ndarray, np.ndarray], last: bool) -> pa.Table:
     bucket = group.column("bucket")[0].as_py()
     parts = group.column("payload").to_pylist()
     contexts, words, counts, lower = [], [], [], []
     for p in parts:
-        contexts.append(np.repeat(unpacked(p[0], np.int64), unpacked(p[1], np.int64)))
-        words.append(unpacked(p[2], np.int64))
-        counts.append(unpacked(p[3], np.int64))
-        lower.append(unpacked(p[4], np.float64)[unpacked(p[5], np.uint32)])
+        context, word = _opened(p, bucket, buckets)
+        contexts.append(context)
+        words.append(word)
+        counts.append(unpacked(p[2], np.int64))
+        lower.append(unpacked(p[3], np.float64)[unpacked(p[4], np.uint32)])
     pair = np.stack([np.concatenate(contexts), np.concatenate(words)], 1)
     kinds, first, which = _distinct(pair)
     totals = np.bincount(which, np.concatenate(counts), len(kinds)).astype(np.int64)
@@ -342,8 +362,8 @@ def _count_grams(group: pa.Table, buckets: int, hot: dict[int, int], last: bool)
         packed(kinds[seen, 0]), packed(kinds[seen, 1]), packed(ids if last else ids[seen]), packed(totals[seen]),
     ]))
     rows.append(_row("sums", 0, bucket, None, None, _of_counts(totals).tolist()))
-    for gram in set(hot).intersection(kinds[new, 0].tolist()):
-        i = int(np.searchsorted(kinds[new, 0], gram))
+    for i in _found(kinds[new, 0], hot)[0].tolist():
+        gram = int(kinds[new, 0][i])
         rows.append(_row("hot", 0, bucket, None, gram, [float(total[i]), float(mass[i]), *small[i].astype(float).tolist()]))
     return _table(rows)
 
@@ -372,8 +392,12 @@ class Katz:
         self.levels: list[Level] = []
         self.mass = 0.0
         self.distinct = 0
-        for k in range(1, order + 1):
-            self._count(k)
+        try:
+            for k in range(1, order + 1):
+                self._count(k)
+        except Exception:
+            self.close()
+            raise
 
     def _kind(self, k: int, kind: str) -> DataFrame:
         return self.spark.read.schema(ANSWERS).parquet(self.tables[k]).where(F.col("kind") == kind)
@@ -397,7 +421,7 @@ class Katz:
 
             asked = self.blocks.select("block", "payload").mapInArrow(ask, request)
             done = asked.groupBy("bucket").applyInArrow(lambda g: _count_words(g, buckets), ANSWERS)
-            hot: dict[int, int] = {}
+            hot = _ascending({}, (0,))
         else:
             hot = levels[-1].hot_next
 
@@ -406,7 +430,7 @@ class Katz:
                     return _requests([])
                 block = Block(left.column("payload")[0].as_py())
                 _, _, grams, shorter = evaluated(block, _by_order(right), levels, mass, buckets)
-                return _gram_requests(left.column("block")[0].as_py(), block, grams, shorter)
+                return _gram_requests(left.column("block")[0].as_py(), block, grams, shorter, buckets)
 
             asked = self._with_answers(ask_grams, request)
             last = k == self.order
@@ -416,10 +440,10 @@ class Katz:
         self.tables[k] = folder
         self._learn(k, hot)
 
-    def _learn(self, k: int, hot: dict[int, int]) -> None:
+    def _learn(self, k: int, hot: tuple[np.ndarray, np.ndarray]) -> None:
         """Sums of an order: a few numbers per order and per very frequent context."""
         found: dict[str, dict] = {"sums": {}, "hot": {}}
-        for kind in found if hot else ("sums",):
+        for kind in found if len(hot[0]) else ("sums",):
             each = self._kind(k, kind).select("context", F.posexplode("sums").alias("place", "v"))
             for row in each.groupBy("context", "place").agg(F.sum("v").alias("v")).collect():
                 found[kind].setdefault(row["context"], {})[row["place"]] = row["v"]
@@ -428,18 +452,20 @@ class Katz:
         of_counts = np.concatenate([[0], values[2:]])
         total = int(values[1])
         whole = {c: np.array([x.get(i, 0.0) for i in range(DISCOUNTED + 2)]) for c, x in found["hot"].items()}
-        level = Level(of_counts, total, hot, whole)
+        level = Level(of_counts, total, whole)
         self.levels.append(level)
         if k == 1:
             self.distinct = int(values[0])
             # r d(r) n_r for small r, and the whole of the rest
             small = of_counts[1:DISCOUNTED + 1] * np.arange(1, DISCOUNTED + 1)
             self.mass = float(total - (small * (1 - level.d[1:])).sum())
-        level.hot_next = self._frequent(k, total) if k < self.order else {}
+        if k < self.order:
+            level.hot_next = self._frequent(k, total)
 
-    def _frequent(self, k: int, total: int) -> dict[int, int]:
-        """N-grams with at least 1/``HOT`` of all tokens, and over how many buckets to split them."""
-        least, buckets = max(total / HOT, 1), self.buckets
+    def _frequent(self, k: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+        """N-grams of at least a quarter of a bucket, and over how many buckets to split them."""
+        buckets = self.buckets
+        least = max(total / (HOT * buckets), 1)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -453,7 +479,7 @@ class Katz:
         if k == 1:
             # as many texts may start as there are; a start may be frequent too
             out[START] = max(2, buckets // 8)
-        return {g: p for g, p in out.items() if buckets > 1}
+        return _ascending(out if buckets > 1 else {}, (0,))
 
     def scores(self) -> DataFrame:
         """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
@@ -518,18 +544,36 @@ def _word_requests(name: int, block: Block, buckets: int) -> pa.RecordBatch:
     return _requests(rows).combine_chunks().to_batches()[0]
 
 
-def _gram_requests(name: int, block: Block, grams: Order, shorter: np.ndarray) -> pa.Table:
+def _closed(context: np.ndarray, word: np.ndarray, bucket: int, buckets: int) -> list[bytes]:
+    """Ascending pairs as differences: ranks of the contexts in their own bucket, how far that is, runs, words."""
+    heads = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+    rank, own = np.divmod(context[heads], buckets)
+    steps = word.copy()
+    steps[1:] -= word[:-1]
+    steps[heads] = word[heads]
+    runs = np.diff(np.concatenate([heads, [len(context)]]))
+    return [packed(np.stack([np.diff(rank, prepend=-1), (bucket - own) % buckets, runs])), packed(steps)]
+
+
+def _opened(payload: list[bytes], bucket: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    steps, away, runs = unpacked(payload[0], np.int64).reshape(3, -1)
+    context = (np.cumsum(steps) - 1) * buckets + (bucket - away) % buckets
+    words = np.cumsum(unpacked(payload[1], np.int64))
+    heads = np.cumsum(runs) - runs
+    # a run's first word stands whole: what the runs before it came to is taken off
+    before = np.concatenate([[0], words])[heads]
+    return np.repeat(context, runs), words - np.repeat(before, runs)
+
+
+def _gram_requests(name: int, block: Block, grams: Order, shorter: np.ndarray, buckets: int) -> pa.Table:
     place = grams.place
     counted = np.bincount(place[block.learnt & (place >= 0)], minlength=len(grams.context)).astype(np.int64)
     rows = []
     bounds = np.flatnonzero(np.concatenate([[True], grams.buckets[1:] != grams.buckets[:-1], [True]])) if len(grams.context) else [0]
     for a, b in zip(bounds[:-1], bounds[1:]):
-        context = grams.context[a:b]
-        heads = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        runs = np.diff(np.concatenate([heads, [b - a]]))
         values, which = np.unique(shorter[a:b], return_inverse=True)
         rows.append((int(grams.buckets[a]), name, [
-            packed(context[heads]), packed(runs.astype(np.int64)), packed(grams.word[a:b]), packed(counted[a:b]),
+            *_closed(grams.context[a:b], grams.word[a:b], int(grams.buckets[a]), buckets), packed(counted[a:b]),
             packed(values), packed(which.astype(np.uint32)),
         ]))
     return _requests(rows)

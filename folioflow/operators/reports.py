@@ -91,33 +91,45 @@ KEPT_KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "url": r"https?://[^ \n<>]+",
     "placeholder": r"\[[A-Z_]+\]",
+    "phone": r"\+[0-9][0-9 ().-]{5,}[0-9]",
+    "path": r"(?:/[A-Za-z0-9._-]+){2,}/?|[A-Za-z]:(?:\\[A-Za-z0-9._-]+)+",
 }
 
 
 def preservation_audit(df: DataFrame, before: str, after: str, by: Sequence[str]) -> DataFrame:
     """Per group and kind: pieces of the source that must survive, and how many did not.
 
-    Copies count: each row compares its own two lists as multisets, then only counts meet.
+    Copies count: pieces are counted per row on both sides, one after the other, and rows then meet in
+    sums only. A text of very many pieces costs as much as the pieces it has. Grouping columns may have
+    any name.
     """
-    def lost(kind: str, pattern: str) -> Column:
-        def compare(both: Column) -> Column:
-            count = lambda xs, t: F.size(F.filter(xs, lambda x: x == t))
-            missing = F.transform(
-                F.array_distinct(both["s"]), lambda t: F.greatest(count(both["s"], t) - count(both["t"], t), F.lit(0))
-            )
-            return F.struct(
-                F.lit(kind).alias("kind"), F.size(both["s"]).alias("n"),
-                F.aggregate(missing, F.lit(0), lambda a, x: a + x).alias("lost"),
-            )
-
-        found = lambda c: F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-        return let(F.struct(found(before).alias("s"), found(after).alias("t")), compare)
-
-    each = df.select(*by, F.explode(F.array(*[lost(k, p) for k, p in KEPT_KINDS.items()])).alias("k"))
-    return each.groupBy(*by, F.col("k.kind").alias("kind")).agg(
-        F.sum(F.col("k.n").cast("bigint")).alias("n_pieces"), F.sum(F.col("k.lost").cast("bigint")).alias("n_lost"),
-        F.count_if(F.col("k.lost") > 0).alias("n_rows_with_loss"),
-    )
+    def pieces(kind: str, pattern: str) -> Column:
+        found = lambda c, sign: F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda x: F.struct(
+            F.lit(kind).alias("kind"), x.alias("piece"), F.lit(sign).alias("sign")))
+        # a row without pieces of a kind is a row all the same
+        none = F.array(F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("piece"), F.lit(0).alias("sign")))
+        return F.concat(none, F.coalesce(found(before, 1), none), F.coalesce(found(after, -1), none))
+
+    group = F.struct(*[F.col(c) for c in by]).alias("_by")
+    # numbered first: beside a generator the number would be that of the piece
+    rows = df.select(group, F.concat(*[pieces(k, p) for k, p in KEPT_KINDS.items()]).alias("_xs"), F.monotonically_increasing_id().alias("_row"))
+    each = rows.select("_by", "_row", F.explode("_xs").alias("_x"))
+    counted = each.groupBy("_by", "_row", F.col("_x.kind").alias("_kind"), F.col("_x.piece").alias("_piece")).agg(
+        F.count_if(F.col("_x.sign") == 1).alias("_n"), F.sum("_x.sign").alias("_more"))
+    rows = counted.groupBy("_by", "_row", "_kind").agg(F.sum("_n").alias("_n"), F.sum(F.greatest("_more", F.lit(0))).alias("_lost"))
+    return rows.groupBy("_by", "_kind").agg(
+        F.sum("_n").alias("n_pieces"), F.sum("_lost").alias("n_lost"), F.count_if(F.col("_lost") > 0).alias("n_rows_with_loss"),
+    ).select("_by.*", F.col("_kind").alias("kind"), "n_pieces", "n_lost", "n_rows_with_loss")
+
+
+def outcome_rollup(chunks: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Chunks by ``by`` and ``status`` and by every beginning of that list, with ``level``: the columns summed up, as bits.
+
+    One pass over the chunks; what meets are sums of the finest level.
+    """
+    columns = [*by, "status"]
+    finest = chunks.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    return finest.rollup(*columns).agg(F.grouping_id().cast("int").alias("level"), F.sum("n").alias("n"))
 
 
 def outcome_report(chunks: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -132,7 +144,10 @@ def outcome_causes(chunks: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def observed(chunks: DataFrame, observation: Observation) -> DataFrame:
-    """Count chunks and failures while another action runs; read them from the observation."""
+    """Count chunks and failures while another action runs; read them from the observation.
+
+    Counted is what the action runs over, once per task that succeeds.
+    """
     return chunks.observe(
         observation,
         F.count(F.lit(1)).alias("n_chunks"),

@@ -163,9 +163,7 @@ def answered(
     missing = requests if usable is None else materialise(missing_requests(requests, usable), "missing")
     buckets = max(1, -(-missing.count() // per_commit))
     run = f"{answers_at}/run-{uuid.uuid4().hex}" if answers_at else run_folder(spark, "answers")
-    for bucket in range(buckets):
-        # from the written requests: a bucket that is sent does not touch the others
-        part = missing.where(F.pmod(F.xxhash64("chunk_key"), F.lit(buckets)) == bucket) if buckets > 1 else missing
+    for bucket, part in enumerate(_bucketed(missing, buckets)):
         resolve(ask(part, translator, max_tasks)).write.parquet(f"{run}/bucket-{bucket}")
     sent = spark.read.schema(ANSWERED).option("recursiveFileLookup", "true").parquet(run)
     if usable is None:
@@ -174,6 +172,21 @@ def answered(
     return materialise(sent.unionByName(found), "answers")
 
 
+def _bucketed(requests: DataFrame, buckets: int) -> Iterator[DataFrame]:
+    """Requests in hash buckets: dealt to folders once, each of which is then read alone."""
+    if buckets == 1:
+        yield requests
+        return
+    spark = requests.sparkSession
+    folder = run_folder(spark, "buckets")
+    number = F.pmod(F.xxhash64("chunk_key"), F.lit(buckets)).cast("int")
+    requests.withColumn("bucket", number).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(folder)
+    for bucket in range(buckets):
+        at = f"{folder}/bucket={bucket}"
+        if exists(spark, at):
+            yield spark.read.schema(requests.schema).parquet(at)
+
+
 def resolve(answers: DataFrame) -> DataFrame:
     done = answers.withColumn("done", outcome(F.col("text"), F.col("answer")))
     return done.select(

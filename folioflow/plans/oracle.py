@@ -434,6 +434,34 @@ ORACLE = {
           count(*) FILTER (l.lost > 0) AS n_rows_with_loss
         FROM documents d CROSS JOIN p LEFT JOIN l ON l.doc_id = d.doc_id AND l.kind = p.kind GROUP BY d.lang, p.kind""",
     "outcome_report": f"WITH {_LANG_CHUNKS}, {_translated()} SELECT lang, status, count(*) AS n FROM done GROUP BY lang, status",
+    "outcome_rollup": f"""WITH {_LANG_CHUNKS}, {_translated()} SELECT lang, source, status,
+        CAST(grouping_id(lang, source, status) AS INT) AS level, count(*) AS n FROM done GROUP BY ROLLUP (lang, source, status)""",
+    "observed_outcomes": f"""WITH {_LANG_CHUNKS}, {_translated()} SELECT count(*) AS n_chunks,
+        count(*) FILTER (status IN ('failed', 'empty')) AS n_failed, count(*) AS n_written FROM done""",
+    "line_report": f"""WITH {_REPLACED},
+        s AS (SELECT {_BK}, string_split_regex({_strip('translated')}, '{_SPACE_RUN}') AS ws, greatest(CAST(floor((x1 - x0) / (size * 0.5::DOUBLE)) AS INT), 1) AS m,
+          greatest(CAST(floor((y1 - y0) / (size * 1.2::DOUBLE)) AS INT), 0) AS n_room FROM replaced),
+        -- every word takes its letters one by one: the line each letter of a word comes to
+        f AS (SELECT {_BK}, n_room, list_reduce(list_prepend({{'w': 0, 'line': 0, 'used': 0, 'lost': 0}}, list_transform(ws, lambda w: {{'w': length(w), 'line': 0, 'used': 0, 'lost': 0}})),
+          lambda a, x: CASE WHEN a.used + (a.used > 0)::INT + x.w <= m
+            THEN {{'w': 0, 'line': a.line, 'used': a.used + (a.used > 0)::INT + x.w, 'lost': a.lost + CASE WHEN a.line >= n_room THEN x.w ELSE 0 END}}
+            ELSE {{'w': 0, 'line': a.line + (a.used > 0)::INT + (x.w - 1) // m, 'used': (x.w - 1) % m + 1,
+              'lost': a.lost + len(list_filter(range(x.w), lambda i: a.line + (a.used > 0)::INT + i // m >= n_room))}} END) AS r FROM s)
+        SELECT {_BK}, n_room, CAST(r.line + 1 AS INT) AS n_lines, CAST(r.lost AS INT) AS n_lost FROM f""",
+    "edit_survival": f"""WITH {BLOCKS},
+        c AS (SELECT b.doc_id, b.page_num, b.block_no, greatest(b.x0, e.x0)::INT AS l, least(b.x1, e.x1)::INT AS r, greatest(b.y0, e.y0)::INT AS t, least(b.y1, e.y1)::INT AS u
+          FROM routed b JOIN routed e ON e.doc_id = b.doc_id AND e.page_num = b.page_num AND e.block_no <> b.block_no AND e.route = 'translate'
+            AND (e.block_no > b.block_no OR b.route <> 'translate') AND e.x0 < b.x1 AND b.x0 < e.x1 AND e.y0 < b.y1 AND b.y0 < e.y1),
+        rows AS (SELECT *, unnest(range(t, u)) AS y FROM c),
+        cells AS (SELECT doc_id, page_num, block_no, y, unnest(range(l, r)) AS x FROM rows),
+        covered AS (SELECT doc_id, page_num, block_no, count(DISTINCT (x, y)) AS n FROM cells GROUP BY ALL),
+        times AS (SELECT doc_id, page_num, block_no, count(*) AS k FROM c GROUP BY ALL)
+        SELECT b.doc_id, b.page_num, b.block_no, CAST(coalesce(k, 0) AS INT) AS n_clearing,
+          round(CASE WHEN (b.x1 - b.x0) * (b.y1 - b.y0) > 0 THEN coalesce(n, 0) / ((b.x1 - b.x0) * (b.y1 - b.y0)) ELSE 0 END, 6) AS cleared
+        FROM blocks b LEFT JOIN times USING ({_BK}) LEFT JOIN covered USING ({_BK})""",
+    "event_fragments": f"""WITH e AS (WITH {_DOCS}, {_events(6000)})
+        SELECT doc_id, event->>'type' AS type, CAST(event->>'page' AS INT) AS page, CAST(event->>'total' AS INT) AS total,
+          CAST(event->>'percent' AS INT) AS percent, event->>'filename' AS filename, event->>'pdf_b64' AS pdf_b64, event->>'message' AS message FROM e""",
     "size_report": f"""WITH {_LANG_CHUNKS}, {_translated()},
         outs AS (SELECT doc_id, string_agg(translated, ' ' ORDER BY chunk_no) AS o FROM done GROUP BY doc_id),
         t AS (SELECT lang, source, CAST(sum(strlen(text)) AS BIGINT) AS in_bytes, CAST(sum(strlen(o)) AS BIGINT) AS out_bytes

@@ -423,6 +423,30 @@ def outcome_report(spark, sf):
     return reports.outcome_report(pieces.select("lang", done["status"].alias("status")), ["lang"])
 
 
+def _outcomes(spark, sf):
+    docs = documents(spark, sf, "lang", "source", "text")
+    done = translation.outcome(F.col("text"), stand_in(F.col("text")))
+    return translation.chunks_of(docs, CONFIG.max_chunk_size, ["lang", "source"]).select("lang", "source", done["status"].alias("status"))
+
+
+@query
+def outcome_rollup(spark, sf):
+    return reports.outcome_rollup(_outcomes(spark, sf), ["lang", "source"])
+
+
+@query
+def observed_outcomes(spark, sf):
+    """What a job counts while it writes its result, beside what the result then holds."""
+    from pyspark.sql import Observation
+
+    seen = Observation("outcomes")
+    out = run_folder(spark, "outcomes")
+    reports.observed(_outcomes(spark, sf), seen).write.parquet(out)
+    counts = seen.get
+    rows = spark.read.parquet(out).agg(F.count(F.lit(1)).alias("n_written"))
+    return rows.select(*[F.lit(counts[c]).cast("bigint").alias(c) for c in ("n_chunks", "n_failed")], "n_written")
+
+
 @query
 def size_report(spark, sf):
     docs = documents(spark, sf, "lang", "source", "text")
@@ -476,6 +500,27 @@ def overflow_report(spark, sf):
     return edits.overflow_report(edits.translated_blocks(lay.text_blocks(inputs.layout(spark, sf)), config, stand_in))
 
 
+@query
+def line_report(spark, sf):
+    config = inputs.TranslationConfig(CONFIG.source_lang, CONFIG.target_lang, skip_pages=SKIP_PAGES)
+    return edits.line_report(edits.translated_blocks(lay.text_blocks(inputs.layout(spark, sf)), config, stand_in))
+
+
+@query
+def edit_survival(spark, sf):
+    return edits.survival(inputs.layout(spark, sf), CONFIG).withColumn("cleared", F.round("cleared", 6))
+
+
+@query
+def event_fragments(spark, sf):
+    """The events of every job as one stream of bytes, cut every 97 bytes, and put together again."""
+    lines = job_events(spark, sf).withColumn("line", F.concat("event", F.lit("\n")))
+    whole = lines.groupBy("doc_id").agg(F.encode(F.array_join(F.array_sort(F.collect_list(F.struct("seq", "line")))["line"], ""), "utf-8").alias("bytes"))
+    at = F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("bytes") - 1) / 97).cast("int"))).alias("seq")
+    cut = whole.select("doc_id", "bytes", at).select(F.col("doc_id").alias("stream"), "seq", F.substring("bytes", F.col("seq") * 97 + 1, F.lit(97)).alias("data"))
+    return sinks.events_of(cut).select(F.col("stream").alias("doc_id"), "type", "page", "total", "percent", "filename", "pdf_b64", "message")
+
+
 @query
 def job_events(spark, sf):
     """All events of every job as JSON lines, with a limit on the size of results."""

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioflow.functions.text import strip
 from folioflow.operators.reports import with_sizes
 from folioflow.operators.shared import delete, exists, file_system
 from folioflow.schemas import PROGRESS_EVENT
@@ -38,6 +39,55 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PROGRESS_EVENT).json(path)
 
 
+BLOCK_FRAGMENTS = 1000  # fragments whose ends are looked at together
+
+
+def lines_of(fragments: DataFrame) -> DataFrame:
+    """``stream, seq, line_no, line``: the lines of ``fragments(stream, seq, data)``, wherever they were cut.
+
+    ``data`` are bytes, cut at any of them, also within a character. A line belongs to the fragment it
+    begins in. What a fragment holds behind its last line end is the beginning of a line; the next
+    fragment of the stream with a line end has its end, those between its middle. Which fragment that
+    is comes from two small scans, within blocks of ``BLOCK_FRAGMENTS`` numbers and over the blocks of a
+    stream, so neither a stream's bytes nor all its fragments meet in one task; pieces then meet by
+    line. A fragment that comes twice is read once, blank lines are left out, and an unfinished last
+    line is read. Numbers need not be without gaps; fragments without stream or number are left out.
+    """
+    known = fragments.where("stream IS NOT NULL AND seq IS NOT NULL")
+    once = known.groupBy("stream", "seq").agg(F.min("data").alias("data"))
+    # bytes as characters: nothing is lost where a cut lies within a character
+    pieces = F.split(F.decode(F.coalesce("data", F.lit(b"")), "ISO-8859-1"), "\n", -1)
+    cut = once.select("stream", "seq", F.floor(F.col("seq") / BLOCK_FRAGMENTS).alias("block"), pieces.alias("pieces"))
+    ending = F.when(F.size("pieces") > 1, F.col("seq"))
+    ends = cut.select("stream", "seq", "block", ending.alias("ending"))
+    within = Window.partitionBy("stream", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("stream").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = ends.groupBy("stream", "block").agg(F.max("ending").alias("last"), F.min("seq").alias("first"))
+    far = blocks.select("stream", "block", F.max("last").over(over).alias("far"), F.min("first").over(Window.partitionBy("stream")).alias("begin"))
+    near = ends.withColumn("near", F.max("ending").over(within)).join(far, ["stream", "block"])
+    opened = near.select("stream", "seq", F.coalesce("near", "far").alias("open"), "begin")
+    each = cut.join(opened, ["stream", "seq"]).select(
+        "stream", "seq", "open", "begin", (F.size("pieces") - 1).alias("last"), F.posexplode("pieces").alias("at", "piece"))
+    inner = (F.col("at") > 0) & (F.col("at") < F.col("last"))
+    whole = each.where(inner).select("stream", "seq", F.col("at").alias("line_no"), F.col("piece").alias("line"))
+    # a first piece ends the line that is open, or the stream's first one; the last of several begins a line
+    ends_line = F.col("at") == 0
+    parts = each.where(~inner).select(
+        "stream", F.when(ends_line, F.coalesce("open", "begin")).otherwise(F.col("seq")).alias("owner"),
+        (ends_line & F.col("open").isNull()).alias("first"), F.when(~ends_line, F.col("at")).alias("no"), F.col("seq").alias("part"), "piece")
+    joined = parts.groupBy("stream", "owner", "first").agg(
+        F.coalesce(F.max("no"), F.lit(0)).alias("line_no"),
+        F.array_join(F.array_sort(F.collect_list(F.struct("part", "piece")))["piece"], "").alias("line"))
+    rest = joined.select("stream", F.col("owner").alias("seq"), "line_no", "line")
+    lines = whole.unionByName(rest).withColumn("line", strip(F.decode(F.encode("line", "ISO-8859-1"), "UTF-8")))
+    return lines.where("line <> ''")
+
+
+def events_of(fragments: DataFrame) -> DataFrame:
+    """Events of fragments, one row per line, with the place where the line begins."""
+    return lines_of(fragments).select("stream", "seq", "line_no", F.from_json("line", PROGRESS_EVENT).alias("e")).select("stream", "seq", "line_no", "e.*")
+
+
 def dataset_bytes(spark: SparkSession, path: str) -> int:
     """Size of a dataset from its file listing; the contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -388,6 +388,23 @@ ORACLE = {
         ELSE nullif({_strip('text')}, '') END AS answer FROM conversations""",
     "translate_fallback": f"WITH {_DOC_CHUNKS}, {_translated()} SELECT doc_id, chunk_no, translated, status FROM done",
     "translate_distinct": f"WITH {_DOC_CHUNKS}, {_translated()} SELECT doc_id, chunk_no, translated, status FROM done",
+    "glossary_translate": f"""WITH {_DOC_CHUNKS},
+        g AS (SELECT lower(array_to_string(list_slice(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'), 1, 1 + item_id % 4), ' ')) AS phrase,
+          min('<' || item_id || '>') AS translation FROM benchmark GROUP BY 1 HAVING phrase <> ''),
+        w AS (SELECT doc_id, chunk_no, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS ws,
+          string_split_regex(text, '[\\p{{L}}\\p{{N}}]+') AS gs FROM chunks),
+        p AS (SELECT doc_id, chunk_no, unnest(list_transform(range(1, len(ws) + 1), lambda i: {{'i': i,
+            'g': [gs[i + 1], gs[i + 2], gs[i + 3]], 'w': [lower(ws[i]), lower(ws[i + 1]), lower(ws[i + 2]), lower(ws[i + 3])]}})) AS p FROM w),
+        s AS (SELECT doc_id, chunk_no, p.i AS i, n, array_to_string(list_slice(p.w, 1, n), ' ') AS phrase FROM p, (SELECT unnest(range(1, 5)) AS n)
+          WHERE p.w[n] IS NOT NULL AND len(list_filter(list_slice(p.g, 1, n - 1), lambda x: {_strip('x')} <> '')) = 0),
+        h AS (SELECT doc_id, chunk_no, list({{'i': i, 'e': i + n, 't': translation, 'o': ''}} ORDER BY i, n DESC) AS hs FROM s JOIN g USING (phrase) GROUP BY ALL),
+        -- 'o' is what is written so far, 'e' the first word that is not
+        r AS (SELECT doc_id, chunk_no, text, ws, gs, list_reduce(list_prepend({{'i': 0, 'e': 1, 't': '0', 'o': ''}}, hs), lambda a, x:
+          CASE WHEN x.i < a.e THEN a ELSE {{'i': 0, 'e': x.e, 't': (a.t::INT + 1)::VARCHAR,
+            'o': a.o || array_to_string(list_transform(range(a.e, x.i), lambda k: gs[k] || ws[k]), '') || gs[x.i] || x.t}} END) AS f
+          FROM w JOIN h USING (doc_id, chunk_no))
+        SELECT doc_id, chunk_no, coalesce(f.o || array_to_string(list_transform(range(f.e, len(w.ws) + 1), lambda k: w.gs[k] || w.ws[k]), '') || w.gs[len(w.ws) + 1], w.text) AS answer,
+          CAST(coalesce(f.t::INT, 0) AS INT) AS n_terms FROM w LEFT JOIN r USING (doc_id, chunk_no)""",
     "memory_misses": f"""WITH {_LANG_CHUNKS} SELECT {_KEY} AS chunk_key, text, count(*) AS copies FROM chunks
         GROUP BY text HAVING count(*) FILTER (lang = 'en') = 0""",
     "rejoin_blocks": f"WITH {_BLOCK_WORK} SELECT * FROM rejoined",

@@ -9,9 +9,9 @@ from folioflow import schemas
 from folioflow.config import MODEL_LIST_QUOTAS, TRANSLATE_QUOTAS, AdmissionRules, Quota
 from folioflow.functions import chat, text
 from folioflow.functions.urls import screen_url
-from folioflow.operators import admission, assembly, edits, quota, reports, translation
+from folioflow.operators import admission, assembly, edits, glossary, quota, reports, translation
 from folioflow.operators import layout as lay
-from folioflow.operators.shared import run_folder
+from folioflow.operators.shared import materialise, run_folder
 from folioflow.plans import corpus, inputs
 from folioflow.plans.inputs import CONFIG, FONTS, JOB_RULES, SKIP_PAGES, documents, stand_in, stand_in_batch, table
 from folioflow.sources import readers, sinks
@@ -341,6 +341,16 @@ def translate_distinct(spark, sf):
     ).drop("error")
 
 
+@query
+def glossary_translate(spark, sf):
+    """Chunks with the opening words of benchmark items, one to four of them, replaced as fixed phrases."""
+    item = F.col("item_id")
+    term = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(glossary.WORD), F.lit(0)), F.lit(1), (1 + item % 4).cast("int")), " ")
+    terms = table(spark, sf, "benchmark").select(term.alias("term"), F.concat(F.lit("<"), item.cast("string"), F.lit(">")).alias("translation"))
+    pieces = materialise(_doc_chunks(spark, sf), "pieces")
+    return glossary.apply_glossary(pieces, terms, ["doc_id", "chunk_no"]).select("doc_id", "chunk_no", "answer", "n_terms")
+
+
 @query
 def memory_misses(spark, sf):
     """Requests of all documents against a memory filled by those in English."""

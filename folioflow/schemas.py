@@ -59,6 +59,11 @@ EVENTS = T.StructType([
     T.StructField("props", T.StringType()),
 ])
 
+BENCHMARK = T.StructType([
+    T.StructField("item_id", T.LongType()),
+    T.StructField("text", T.StringType()),
+])
+
 CHAT_REQUEST = T.StructType([
     T.StructField("model", T.StringType()),
     T.StructField("messages", T.ArrayType(T.StructType([

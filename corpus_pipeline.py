@@ -1,12 +1,13 @@
 """Documents through the stages of a training corpus, each written and read again.
 
-Language ID drops documents without a recognisable language, near duplicates leave one document
+Language ID drops documents without letters and those whose letters fit no language that was learnt, near duplicates leave one document
 of each group, decontamination drops documents that hold benchmark items, personal data is
 masked in the texts, and what remains is packed into sequences. The first four stages return the
 columns of ``documents``.
 
 Defined results beyond those of the operators: rows without id pass all stages that do not reject
-their text; repeated rows of an id leave the second stage once; ``n_chars`` follows the masked
+their text; rows that repeat id and text leave the second stage once, rows of one id with different
+texts are judged as different documents; ``n_chars`` follows the masked
 text; extra columns are carried along, whatever they are called.
 """
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm import decontam, langid, neardup, packing, pii
 from folioflow.llm.common import table
+from folioflow.llm.merkle import ranked
 from folioflow.operators.shared import materialise
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -30,13 +32,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each group linked by five-word shingles at 0.8."""
-    judged = materialise(neardup.near_duplicates(docs, width=5), "judged")
-    left = docs.join(judged.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    with_id = docs.where("doc_id IS NOT NULL").count()
-    if with_id == judged.where("doc_id IS NOT NULL").count():
-        return left
-    once = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return once.unionByName(left.where("doc_id IS NULL"))
+    ids = docs.where("doc_id IS NOT NULL").select("doc_id")
+    if ids.count() == ids.distinct().count():
+        judged = materialise(neardup.near_duplicates(docs, width=5), "judged")
+        return docs.join(judged.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    # rows of one id with different texts are documents of their own: each gets its place in a fixed order as its id
+    key = ["doc_id", F.xxhash64("text").alias("_text")]
+    texts = docs.where("doc_id IS NOT NULL").select(*key).distinct().withColumn("_all", F.lit(0))
+    places = materialise(ranked(texts, "_all", ["doc_id", "_text"]).select("doc_id", "_text", F.col("rank").alias("_number")), "places")
+    # of rows that repeat id and text the one whose other columns hash lowest
+    row = F.struct("*").alias("_row")
+    once = docs.where("doc_id IS NOT NULL").select(*key, row).groupBy("doc_id", "_text").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    placed = materialise(once.join(places, ["doc_id", "_text"]).select("_number", "_row"), "placed")
+    judged = neardup.near_duplicates(placed.select(F.col("_number").alias("doc_id"), "_row.text"), width=5)
+    kept = materialise(judged.where("doc_id IS NOT NULL AND kept").select(F.col("doc_id").alias("_number")), "kept")
+    rows = placed.join(kept, "_number", "left_semi").select("_row.*")
+    return rows.unionByName(docs.where("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.operators.shared import materialise
+from folioflow.operators.shared import attach, materialise
 
 EDGES = "u BIGINT, v BIGINT"
 
@@ -48,19 +48,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     Edges lead from the larger node to the smaller one. In a round the edges of a node meet by
     their larger end, every task reduces its part to trees of depth one, and nodes then follow
-    their root's own edge: a join on the root, whose other side has a single row per node, so
-    a root with very many nodes is split like any skewed join. Rounds end when nothing changes;
+    their root's own edge: a join on the root, in which a root with very many nodes is split into
+    pieces, as many as its number of nodes asks for. Rounds end when nothing changes;
     their number grows with the logarithm of a component's size. A round is a written table, so
     a lost executor costs one round at most.
     """
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     before = None
     while True:
-        trees = now.repartition(F.col("u")).mapInArrow(_local, EDGES)
+        trees = materialise(now.repartition(F.col("u")).mapInArrow(_local, EDGES), "trees")
         least = trees.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("root"))
-        jumped = trees.join(least, "v", "left").select("u", F.col("v").alias("old"), F.coalesce("root", "v").alias("v"))
+        ends = trees.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        # one row per root, with the number of its nodes: a root with very many of them is dealt to many tasks
+        lookup = materialise(ends.join(least, "v", "left"), "roots")
+        jumped = attach(trees, lookup, "v", "n").select("u", F.coalesce("root", "v").alias("v"))
         # a root that has several edges must not lose the others: its own rows carry them
-        now = materialise(jumped.select("u", "v"), "edges")
+        now = materialise(jumped, "edges")
         after = _state(now)
         if after == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

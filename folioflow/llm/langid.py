@@ -36,6 +36,8 @@ ORDER = 3
 SEED = 1
 MAX_LANGUAGES = 4096
 UNKNOWN = "und"
+FLOOR = 0.2  # cosine from which on a text speaks one of the languages; texts of sf0.1 with that evidence have 0.28 at least
+EVIDENCE = 64  # distinct n-grams from which on a low cosine says something
 ROWS = 512
 BYTES = 1 << 21
 KINDS = 2048  # n-gram vectors held at a time
@@ -188,17 +190,18 @@ def learn(documents: DataFrame, max_languages: int = MAX_LANGUAGES) -> dict[str,
     return out
 
 
-def _judged(texts: list[str | None], names: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Names and scores of texts; ``names`` has ``UNKNOWN`` after the names of the matrix' rows."""
+def _judged(texts: list[str | None], names: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names, scores and distinct n-grams of texts; ``names`` has ``UNKNOWN`` after the names of the matrix' rows."""
     rows, grams, counts, lettered = gram_counts(texts)
+    kinds = np.bincount(rows, minlength=len(texts))
     vectors = bundled(len(texts), rows, grams, counts)
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     np.divide(vectors, norm, out=vectors, where=norm > 0)
     if not len(matrix):
-        return np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        return np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), kinds
     cosine = np.round(vectors @ matrix.T, 5)  # names decide between equals
     best = np.where(lettered, cosine.argmax(axis=1), len(matrix))
-    return names[best], np.where(lettered, np.clip(cosine.max(axis=1), 0.0, 1.0), 0.0)
+    return names[best], np.where(lettered, np.clip(cosine.max(axis=1), 0.0, 1.0), 0.0), kinds
 
 
 def _arrays(prototypes: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +215,7 @@ def predict(documents: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS, "text", BYTES):
-            found, score = _judged(batch.column(1).to_pylist(), names, matrix)
+            found, score, _ = _judged(batch.column(1).to_pylist(), names, matrix)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found, pa.string()), pa.array(score, pa.float64())],
                 ["doc_id", "lang_pred", "score"],
@@ -222,15 +225,20 @@ def predict(documents: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFram
     return in_arrow(texts, run, "doc_id BIGINT, lang_pred STRING, score DOUBLE")
 
 
-def recognised(documents: DataFrame, prototypes: dict[str, np.ndarray], least: float = 0.0) -> DataFrame:
-    """The rows of ``documents`` whose language is known with a score of ``least``; all columns, no shuffle."""
+def recognised(documents: DataFrame, prototypes: dict[str, np.ndarray], least: float = FLOOR, evidence: int = EVIDENCE) -> DataFrame:
+    """The rows of ``documents`` whose language is known; all columns, no shuffle.
+
+    Left out are texts without letters, and those of at least ``evidence`` distinct n-grams whose cosine
+    with every prototype stays below ``least``: noise, and languages that were not learnt. Shorter texts
+    say too little to be rejected.
+    """
     names, matrix = _arrays(prototypes)
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS, "text", BYTES):
-            found, score = _judged(batch.column(at).to_pylist(), names, matrix)
-            yield batch.filter(pa.array((found != UNKNOWN) & (score >= least), pa.bool_()))
+            found, score, kinds = _judged(batch.column(at).to_pylist(), names, matrix)
+            yield batch.filter(pa.array((found != UNKNOWN) & ((score >= least) | (kinds < evidence)), pa.bool_()))
 
     return in_arrow(documents, run, documents.schema)
 

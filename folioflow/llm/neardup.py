@@ -46,7 +46,7 @@ SKETCH_BITS = 512
 SCREEN = 0.5
 PERCENT = 80
 BLOCK = 8000  # classes compared with each other in one task
-BLOCK_SHINGLES = 1_000_000  # and their shingles: a task sorts those of two blocks
+BLOCK_SHINGLES = 4_000_000  # and their shingles: a task sorts those of two blocks in place
 
 _seeds = mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FACTORS = (_seeds[:SAMPLES] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -164,9 +164,14 @@ def linked(sets: list[np.ndarray], sketches: np.ndarray, sides: np.ndarray, know
     _, first, label = np.unique(known, return_index=True, return_inverse=True)
     label = first[label]
     sizes = np.array([len(s) for s in sets])
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    kinds, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    # sorted in place, and numbers of half the width beside it: nothing else of that size is held
+    flat = np.concatenate(sets)
+    flat.sort()
+    kinds = flat[np.concatenate([[True], flat[1:] != flat[:-1]])]
+    del flat
+    ids = [np.searchsorted(kinds, s).astype(np.uint32) for s in sets]
     flag = np.zeros(len(kinds), bool)
+    del kinds
     limit = most_different()
     single = not sides.any()
     for i in range(n - 1):
@@ -180,26 +185,37 @@ def linked(sets: list[np.ndarray], sketches: np.ndarray, sides: np.ndarray, know
             rest = rest[np.bitwise_count(sketches[rest] ^ sketches[i]).sum(axis=1) <= limit]
         if not len(rest):
             continue
-        flag[ids[starts[i]:starts[i + 1]]] = True
+        flag[ids[i]] = True
         for part in np.array_split(rest, int(sizes[rest].sum()) // 2_000_000 + 1):
-            hits = flag[np.concatenate([ids[starts[j]:starts[j + 1]] for j in part])]
+            hits = flag[np.concatenate([ids[j] for j in part])]
             both = np.add.reduceat(hits.astype(np.int64), np.concatenate([[0], np.cumsum(sizes[part])[:-1]]))
             met = part[100 * both >= percent * (sizes[part] + sizes[i] - both)]
             if len(met):
                 joined = np.unique(np.append(label[met], label[i]))
                 label[np.isin(label, joined)] = joined[0]
-        flag[ids[starts[i]:starts[i + 1]]] = False
+        flag[ids[i]] = False
     return label
 
 
+def _numbers(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The 64-bit numbers of each row of a binary column, without a copy."""
+    out = []
+    for chunk in column.chunks:
+        ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset:chunk.offset + len(chunk) + 1].tolist() if len(chunk) else [0]
+        data = chunk.buffers()[2]
+        out += [np.frombuffer(data, np.uint64, (b - a) // 8, a) for a, b in zip(ends, ends[1:])]
+    return out
+
+
 def _compare(percent: int):
     """Every member of a group that is connected to a smaller one, and the smallest one."""
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("doc_id").combine_chunks()
         ids = group.column("doc_id").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
-        sketches = np.stack([np.frombuffer(x, np.uint64) for x in group.column("sketch").to_pylist()])
-        label = linked(sets, sketches, group.column("side").to_numpy(), group.column("known").to_numpy(), percent)
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        every, wide = _numbers(group.column("shingles")), _numbers(group.column("sketch"))
+        sets = [every[i] for i in order.tolist()]
+        label = linked(sets, np.stack(wide)[order], group.column("side").to_numpy()[order], group.column("known").to_numpy()[order], percent)
         found = ids[label]
         # members of several rows may have several labels: all of them are kept
         return pa.table({"u": pa.array(ids[found != ids]), "v": pa.array(found[found != ids])})

@@ -48,6 +48,31 @@ def test_stages_take_effect_and_keep_the_columns(stages):
     assert {r["doc_id"] for r in pieces} == set(masked) and sum(r["length"] for r in pieces) <= 2048 * len({r["sequence_id"] for r in pieces})
 
 
+def test_noise_and_unknown_languages_are_rejected(spark, sf_dir):
+    known = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    noise = " ".join(chr(97 + i * 7 % 26) + "qxz"[i % 3] + chr(97 + i * 11 % 26) + "wkvj"[i % 4] for i in range(400))
+    other = " ".join("".join(chr(0x3041 + (i * j * 7 + j) % 80) for j in range(1, 9)) for i in range(60))
+    odd = spark.createDataFrame([(-1, noise, None, "s", 1), (-2, other, None, "s", 1), (-3, "Ja.", None, "s", 1)], known.schema)
+    left = corpus_pipeline.language(spark, known.unionByName(odd), sf_dir)
+    assert {r["doc_id"] for r in left.where("doc_id < 0").collect()} == {-3}
+    lettered = known.where("text RLIKE '\\\\p{L}'")
+    assert left.where("doc_id >= 0").count() == lettered.count()
+
+
+def test_different_texts_of_one_id_stay(spark, sf_dir):
+    rows = [(1, SENTENCE.format("one"), "a"), (1, SENTENCE.format("two") + " with an end of its own that nothing else has", "b"),
+            (1, SENTENCE.format("one"), "c"), (2, SENTENCE.format("one") + " x", "d"), (3, "something else altogether stands in this short text", "e"), (None, "no id", "f"), (None, "no id", "g")]
+    got = set()
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id BIGINT, text STRING, _place STRING")
+        out = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        got.add(tuple(sorted((str(r["doc_id"]), r["text"], r["_place"]) for r in out.collect())))
+    assert len(got) == 1
+    kept = [(i, t) for i, t, _ in got.pop()]
+    assert len(kept) == 5 and [i for i, _ in kept] == ["1", "1", "3", "None", "None"]
+
+
 def test_empty_documents(spark, sf_dir):
     docs = documents(spark, sf_dir).limit(0)
     for _, stage in corpus_pipeline.STAGES:

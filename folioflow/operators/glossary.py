@@ -90,9 +90,10 @@ def apply_glossary(texts: DataFrame, glossary: DataFrame, on: Sequence[str]) ->
     cut = F.struct(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("words"), F.split(low, WORD, -1).alias("gaps"))
     found = let(cut, lambda c: _stretches(c["words"], c["gaps"], lengths))
     each = texts.where("text IS NOT NULL").select(*on, F.explode(found).alias("s")).select(*on, "s.*")
-    counts = each.groupBy("phrase").agg(F.count(F.lit(1)).alias("copies"))
+    # stretches are made once and leave at once unless they are terms; what is frequent among the rest is known then
+    known = materialise(each.join(terms.select("phrase"), "phrase", "left_semi"), "stretches")
+    counts = known.groupBy("phrase").agg(F.count(F.lit(1)).alias("copies"))
     lookup = materialise(terms.join(counts, "phrase").select("phrase", "translation", "copies"), "lookup")
-    known = each.join(lookup.select("phrase"), "phrase", "left_semi")
     found = attach(known, lookup, "phrase", "copies")
     hit = F.struct("at", (-F.col("n")).alias("shorter"), "n", "translation")
     hits = found.groupBy(*on).agg(_settled(F.array_sort(F.collect_list(hit))).alias("taken"))

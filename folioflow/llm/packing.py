@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,12 +38,13 @@ from folioflow.operators.shared import materialise
 
 LIMIT = 2048
 PIECES = "doc_id BIGINT, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT"
-CACHED_WORDS = 300_000  # memory of a worker, not of the result
-KEPT_WORDS = 60_000  # of these, between tasks: the ones met first, so the frequent ones
+CACHED_WORDS = 400_000  # memory of a worker, not of the result
+KEPT_WORDS = 100_000  # of these, between tasks: the ones met first, so the frequent ones
 MAX_STEPS = 20_000
 SETTLED = 1e-5  # the fit ends when no step gains that share of the histogram
 SHARES = (1.0, 0.9, 0.75, 0.5, 0.25)  # of the fitted repeats
 ROWS_PER_BUCKET = 20_000
+MARKS = b".,;:!?"  # may close a plain word
 
 
 class Tokens:
@@ -68,12 +70,12 @@ class Tokens:
         self.cores: dict[str, bytes] = {}
 
     def _learn_cores(self, cores: set[str]) -> None:
-        new = []
+        new, tokenize = [], self.whole.model.tokenize
         for core in cores:
             if core in self.cores:
                 continue
             if core.isascii():  # its letters are the bytes' own names
-                self.cores[core] = np.array([t.id for t in self.whole.model.tokenize(core)], np.uint32).tobytes()
+                self.cores[core] = array("I", [t.id for t in tokenize(core)]).tobytes()
             else:
                 new.append(core)
         for at in range(0, len(new), 5000):
@@ -90,8 +92,16 @@ class Tokens:
     def learn(self, new: set[bytes]) -> None:
         plain, other = [], []
         for word in new:
+            if word.isascii():
+                mark = word[-1:] if word[-1] in MARKS else b""
+                core = word[:-1] if mark else word
+                if core.isalpha():
+                    plain.append((word, core.lower().decode(), mark.decode()))
+                else:
+                    other.append((word, word.decode()))
+                continue
             text = word.decode("utf-8", "surrogatepass")
-            mark = text[-1] if text[-1] in ".,;:!?" else ""
+            mark = text[-1] if text[-1] in MARKS.decode() else ""
             core = text[:-1] if mark else text
             # below U+0100 lower case is one letter for one and composed already
             if core.isalpha() and max(core) < "Ā":

@@ -10,7 +10,7 @@ blocks send their distinct n-grams with local counts to buckets, where counts ar
 answered; a block that has the answers of all shorter orders can compute, token by token, the
 probabilities that the next order backs off to. Each n-gram crosses the network once per block
 and order, however often it occurs: contexts as their rank within the bucket that counted them, words
-by frequency, both as differences of ascending numbers. A context of more than a quarter of a bucket
+by frequency, both as differences of ascending numbers; answers name n-grams by rank within the bucket. A context of more than a quarter of a bucket
 is split over several buckets by the following word; fewer than four times as many contexts as there
 are buckets can be that frequent, and a row of sums of each is added on the driver. Counts are kept
 as tables partitioned by kind.
@@ -32,6 +32,7 @@ known by exact ids of their words.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import hashed_words, mix, packed, slices, unpacked
+from folioflow.llm.common import hashed_words, mix, slices
 from folioflow.operators.shared import materialise, run_folder
 
 ORDER = 2
@@ -53,6 +54,36 @@ START = -1  # id of the start symbol
 ANSWERS = "kind STRING, block BIGINT, bucket INT, payload ARRAY<BINARY>, context BIGINT, sums ARRAY<DOUBLE>"
 
 
+def packed(values: np.ndarray) -> bytes:
+    """An integer or float array, its bytes by significance, each significance with a code of its own.
+
+    Planes of different kinds do not share a code, so that messages of a few thousand numbers stay
+    as compact as those of millions.
+    """
+    values = np.ascontiguousarray(values).ravel()
+    planes = values.view(np.uint8).reshape(-1, values.dtype.itemsize).T
+    held, parts = 0, []
+    for i, plane in enumerate(planes):
+        if plane.any():
+            held |= 1 << i
+            code = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_RLE)
+            parts.append(code.compress(plane.tobytes()) + code.flush())
+    sizes = np.array([len(values), *map(len, parts)], np.uint32)
+    return b"".join([bytes([held]), sizes.tobytes(), *parts])
+
+
+def unpacked(data: bytes, dtype) -> np.ndarray:
+    dtype = np.dtype(dtype)
+    held = [i for i in range(dtype.itemsize) if data[0] >> i & 1]
+    at = 1 + 4 * (1 + len(held))
+    n, *sizes = np.frombuffer(data, np.uint32, 1 + len(held), 1).tolist()
+    out = np.zeros((n, dtype.itemsize), np.uint8)
+    for i, size in zip(held, sizes):
+        out[:, i] = np.frombuffer(zlib.decompress(data[at:at + size], -15), np.uint8)
+        at += size
+    return out.view(dtype).ravel()
+
+
 # --- blocks ------------------------------------------------------------------------------------
 
 
@@ -212,7 +243,7 @@ def evaluated(block: Block, answers: dict[int, dict[int, list[bytes]]], levels:
     counts, ids, at = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64), 0
     for bucket in sorted(answers[1]):
         c, g = (unpacked(x, np.int64) for x in answers[1][bucket])
-        counts[order[at:at + len(c)]], ids[order[at:at + len(c)]] = c, g
+        counts[order[at:at + len(c)]], ids[order[at:at + len(c)]] = c, g * buckets + bucket
         at += len(c)
     p = word_probabilities(counts, levels[0], mass)[block.places]
     words = ids[block.places]
@@ -233,7 +264,7 @@ def evaluated(block: Block, answers: dict[int, dict[int, list[bytes]]], levels:
         shorter[place[usable]] = p[usable]
         if k not in answers:
             return counts, p, grams, shorter
-        c, g, sums = _answered(grams, answers[k], levels[k - 1])
+        c, g, sums = _answered(grams, answers[k], levels[k - 1], buckets)
         p = p.copy()
         p[usable] = conditional(c, shorter, sums, levels[k - 1])[place[usable]]
         grams_before = np.full(len(words), START, np.int64)
@@ -253,7 +284,9 @@ def _distinct(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[new], by[new], inverse
 
 
-def _answered(grams: Order, answers: dict[int, list[bytes]], level: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _answered(
+    grams: Order, answers: dict[int, list[bytes]], level: Level, buckets: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts, ids and context sums of a block's n-grams."""
     n = len(grams.context)
     counts, ids = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -263,7 +296,7 @@ def _answered(grams: Order, answers: dict[int, list[bytes]], level: Level) -> tu
         c, g, *context = answers[int(grams.buckets[a])]
         counts[a:b], own = unpacked(c, np.int64), unpacked(g, np.int64)
         if len(own):
-            ids[a:b] = own
+            ids[a:b] = own * buckets + grams.buckets[a]
         new = np.ones(b - a, bool)
         new[1:] = grams.context[a + 1:b] != grams.context[a:b - 1]
         which = np.cumsum(new) - 1
@@ -311,14 +344,14 @@ def _count_words(group: pa.Table, buckets: int) -> pa.Table:
     for block, key in zip(group.column("block").to_pylist(), keys):
         own = which[at:at + len(key)]
         at += len(key)
-        rows.append(_row("answer", block, bucket, [packed(totals[own]), packed(ids[own])]))
+        rows.append(_row("answer", block, bucket, [packed(totals[own]), packed(ids[own] // buckets)]))
     seen = totals > 0
     rows.append(_row("model", 0, bucket, [packed(kinds[seen]), packed(ids[seen]), packed(totals[seen])]))
     rows.append(_row("sums", 0, bucket, None, None, _of_counts(totals).tolist()))
     return _table(rows)
 
 
-def _count_grams(group: pa.Table, buckets: int, hot: tuple[np.ndarray, np.ndarray], last: bool) -> pa.Table:
+def _count_grams(group: pa.Table, buckets: int, hot: tuple[np.ndarray, np.ndarray], last: bool, words_model=None) -> pa.Table:
     bucket = group.column("bucket")[0].as_py()
     parts = group.column("payload").to_pylist()
     contexts, words, counts, lower = [], [], [], []
@@ -327,7 +360,7 @@ def _count_grams(group: pa.Table, buckets: int, hot: tuple[np.ndarray, np.ndarra
         contexts.append(context)
         words.append(word)
         counts.append(unpacked(p[2], np.int64))
-        lower.append(unpacked(p[3], np.float64)[unpacked(p[4], np.uint32)])
+        lower.append(_lower_read(p[3:], word, words_model))
     pair = np.stack([np.concatenate(contexts), np.concatenate(words)], 1)
     kinds, first, which = _distinct(pair)
     totals = np.bincount(which, np.concatenate(counts), len(kinds)).astype(np.int64)
@@ -354,7 +387,7 @@ def _count_grams(group: pa.Table, buckets: int, hot: tuple[np.ndarray, np.ndarra
         # what a context leaves over is asked for only where one of its words was not seen
         open_ = np.bincount(np.cumsum(head) - 1, totals[own] == 0) > 0
         rows.append(_row("answer", block, bucket, [
-            packed(totals[own]), packed(ids if last else ids[own]), packed(total[context]),
+            packed(totals[own]), packed(ids if last else ids[own] // buckets), packed(total[context]),
             packed((small[context].sum(axis=1) > 0).astype(np.uint8)),
             packed(mass[context[open_]]), packed(small[context[open_]].ravel()),
         ]))
@@ -429,12 +462,16 @@ class Katz:
                 if not left.num_rows:
                     return _requests([])
                 block = Block(left.column("payload")[0].as_py())
-                _, _, grams, shorter = evaluated(block, _by_order(right), levels, mass, buckets)
-                return _gram_requests(left.column("block")[0].as_py(), block, grams, shorter, buckets)
+                counts, _, grams, shorter = evaluated(block, _by_order(right), levels, mass, buckets)
+                tally = None
+                if k == 2:
+                    tally = np.zeros(len(grams.word), np.int64)
+                    tally[grams.place] = counts[block.places]
+                return _gram_requests(left.column("block")[0].as_py(), block, grams, shorter, tally, buckets)
 
             asked = self._with_answers(ask_grams, request)
-            last = k == self.order
-            done = asked.groupBy("bucket").applyInArrow(lambda g: _count_grams(g, buckets, hot, last), ANSWERS)
+            last, words_model = k == self.order, (levels[0], mass) if k == 2 else None
+            done = asked.groupBy("bucket").applyInArrow(lambda g: _count_grams(g, buckets, hot, last, words_model), ANSWERS)
         folder = run_folder(self.spark, f"ngrams-{k}")
         done.write.partitionBy("kind").parquet(folder)
         self.tables[k] = folder
@@ -565,16 +602,32 @@ def _opened(payload: list[bytes], bucket: int, buckets: int) -> tuple[np.ndarray
     return np.repeat(context, runs), words - np.repeat(before, runs)
 
 
-def _gram_requests(name: int, block: Block, grams: Order, shorter: np.ndarray, buckets: int) -> pa.Table:
+def _lower_sent(words: np.ndarray, shorter: np.ndarray, tally: np.ndarray | None) -> list[bytes]:
+    """What a message's n-grams back off to: for pairs, the counts of its distinct words, which fall nearly evenly with their ids."""
+    if tally is None:
+        values, which = np.unique(shorter, return_inverse=True)
+        return [packed(values), packed(which.astype(np.uint32))]
+    steps = np.diff(tally[np.unique(words, return_index=True)[1]], prepend=0)
+    return [packed((steps << 1) ^ (steps >> 63))]  # the sign as the lowest bit
+
+
+def _lower_read(payload: list[bytes], words: np.ndarray, words_model: tuple[Level, float] | None) -> np.ndarray:
+    if words_model is None:
+        return unpacked(payload[0], np.float64)[unpacked(payload[1], np.uint32)]
+    folded = unpacked(payload[0], np.int64)
+    tally = np.cumsum((folded >> 1) ^ -(folded & 1))
+    return word_probabilities(tally, *words_model)[np.unique(words, return_inverse=True)[1]]
+
+
+def _gram_requests(name: int, block: Block, grams: Order, shorter: np.ndarray, tally: np.ndarray | None, buckets: int) -> pa.Table:
     place = grams.place
     counted = np.bincount(place[block.learnt & (place >= 0)], minlength=len(grams.context)).astype(np.int64)
     rows = []
     bounds = np.flatnonzero(np.concatenate([[True], grams.buckets[1:] != grams.buckets[:-1], [True]])) if len(grams.context) else [0]
     for a, b in zip(bounds[:-1], bounds[1:]):
-        values, which = np.unique(shorter[a:b], return_inverse=True)
         rows.append((int(grams.buckets[a]), name, [
             *_closed(grams.context[a:b], grams.word[a:b], int(grams.buckets[a]), buckets), packed(counted[a:b]),
-            packed(values), packed(which.astype(np.uint32)),
+            *_lower_sent(grams.word[a:b], shorter[a:b], None if tally is None else tally[a:b]),
         ]))
     return _requests(rows)
 

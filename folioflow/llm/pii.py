@@ -5,11 +5,13 @@ Base spans (e-mail, IP, card, phone by exact rules) always stay. Looser patterns
 spans. Five labelers vote yes, no or nothing on every span: the strict shape (regex), lists of
 known parts (gazetteer), words before it that speak for it and against it (context), and what
 touches it. Expectation-maximisation over the counts of vote patterns estimates how reliable
-each labeler is; its posteriors train a naive Bayes classifier over plain features of a span,
-and proposals that it accepts are added.
+each labeler is; its posteriors train a naive Bayes classifier over kind, size and votes of a span,
+and proposals that it accepts are added: obfuscated addresses, national phone numbers, social security
+numbers, titled names and secrets (keys of known services, values assigned to a token, key or password,
+long hexadecimal strings). Proposals behind a word such as serial, order or ISBN are refused.
 
 All work on texts is column expressions. The driver receives counts of (votes, features)
-patterns: at most ``3**5 * kinds * features`` rows, whatever the corpus.
+patterns: at most ``3**5 * kinds * sizes`` rows, whatever the corpus.
 
 Defined results:
 
@@ -37,9 +39,13 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "ssn", "person")
+KINDS = (*BASE, "ssn", "person", "secret")
 SPAN = "kind STRING, start INT, end INT"
 
+# How common services begin their keys.
+ISSUED = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}"
+NAMED = r"(?i:token|secret|key|password|passwd|pwd)"
+
 # Proposals: kind, pattern, and a cheaper pattern that every text with a match has.
 PROPOSALS = (
     ("email", r"\b[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}"
@@ -48,6 +54,9 @@ PROPOSALS = (
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]"),
     ("person", r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
      r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame)\b"),
+    ("secret", rf"(?<=[^A-Za-z0-9]|^)(?:{ISSUED})(?![A-Za-z0-9])|(?<={NAMED}[\"']? ?[=:] ?[\"']?)[A-Za-z0-9][A-Za-z0-9_+/.=-]{{7,}}+"
+               r"|(?<![A-Za-z0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])",
+     rf"{NAMED}[\"']? ?[=:]|AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk-|[0-9a-f]{{32}}"),
 )
 # Lists of the gazetteer labeler.
 TOP_DOMAINS = "com org net edu gov io info biz de fr es it nl uk us ca eu ch at".split()
@@ -55,12 +64,14 @@ GIVEN_NAMES = (
     "James Mary John Linda Robert Patricia Michael Jennifer William Elizabeth David Susan Thomas Anna Peter Paul "
     "Hans Klaus Petra Pierre Marie Jean Claire Carlos Maria Juan Carmen Jose Lucia"
 ).split()
-FOR_IT = r"(?i)(?:e-?mails?|contact|write to|reach|tel|phone|call|fax|mobile|ssn|social security|card|visa|address|host|server|name|dear|signed)\b[^\n]{0,12}$"
+FOR_IT = r"(?i)(?:e-?mails?|contact|write to|reach|tel|phone|call|fax|mobile|ssn|social security|card|visa|address|host|server|name|dear|signed|token|secret|(?:api|access|private)[_ -]?key|password|passwd|pwd)\b[^\n]{0,12}$"
 AGAINST_IT = r"(?i)(?:version|release|isbn|issn|order|invoice|serial|section|chapter|page|figure|part no|ref)\b[^\n]{0,8}$"
 LABELERS = ("shape", "known", "context", "counter", "edges")
 ITERATIONS = 25
 ACCEPT = 0.5
 PRIOR = 5.0  # spans
+RIGHT = 10.0  # spans; a word before a span that speaks against it weighs more than its looks
+WRONG = {"shape": 1.0, "known": 2.0, "context": 1.0, "counter": 0.05, "edges": 4.0}
 BLOCK = 256
 
 
@@ -193,7 +204,7 @@ def voted(text: Column, span: Column) -> Column:
 
     number = digits(hit)
     last = F.lower(F.regexp_extract(hit, "([A-Za-z]+)[^A-Za-z]*$", 1))
-    odd = F.lit(False)
+    odd, against = F.lit(False), before.rlike(AGAINST_IT)
     shape = by_kind(
         email=vote(hit.rlike(r"^[A-Za-z0-9._%+-]+(?:@| ?[(\[{]at[)\]}] ?)[A-Za-z0-9-]+(?:(?:\.| ?[(\[{]dot[)\]}] ?)[A-Za-z0-9-]+)+$"), hit.rlike(r"[.] |\.\.")),
         ip=vote(hit.rlike(r"^(?:[1-9]?[0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.(?:[1-9]?[0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"), hit.rlike(r"(?:^|\.)0[0-9]")),
@@ -201,6 +212,9 @@ def voted(text: Column, span: Column) -> Column:
         phone=vote(hit.rlike(r"^(?:\+[0-9]|\([0-9]{3}\) )|^([0-9]{3})([ .-])[0-9]{3}\2[0-9]{4}$"), F.length(number) < 8),
         ssn=vote(hit.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"), hit.rlike("^(?:000|666|9)")),
         person=vote(hit.rlike(r"^[^ ]+ \p{Lu}\p{Ll}{2,}(?: \p{Lu}\p{Ll}{2,})?$"), odd),
+        # letters and digits change often in what a machine made; words and numbers are not secrets
+        secret=vote(hit.rlike(rf"^(?:{ISSUED}|(?=.*[A-Za-z].*[0-9])(?=.*[0-9].*[A-Za-z]).{{12,}})$"),
+                    ~hit.rlike(f"^(?:{ISSUED})$") & (~hit.rlike("[0-9]") | ~hit.rlike("[A-Za-z]"))),
     )
     known = by_kind(
         email=vote(last.isin(*TOP_DOMAINS), F.length(last) < 2),
@@ -209,19 +223,19 @@ def voted(text: Column, span: Column) -> Column:
         phone=vote(hit.rlike(r"^\+[1-9]|^\(?[2-9][0-9]{2}\)?[ .-][2-9]"), hit.rlike(r"^\+0|^\(?[01]")),
         ssn=F.lit(0),
         person=vote(F.arrays_overlap(F.split(hit, " "), F.array(*map(F.lit, GIVEN_NAMES))), odd),
+        secret=vote(hit.rlike(f"^(?:{ISSUED})$"), hit.rlike("(?i)example|changeme|placeholder|xxxx")),
     )
     return F.struct(
-        shape.alias("shape"), known.alias("known"),
+        # how numbers look is no evidence where a word before them says what else they are
+        F.when(against & (shape > 0), 0).otherwise(shape).alias("shape"), F.when(against & (known > 0), 0).otherwise(known).alias("known"),
         F.when(before.rlike(FOR_IT), 1).otherwise(0).alias("context"),
-        F.when(before.rlike(AGAINST_IT), -1).otherwise(0).alias("counter"),
-        vote((before == "") | before.rlike(r"[\s(<\[:;,\"']$"), before.rlike(r"[\p{L}0-9.-]$") | after.rlike(r"[\p{L}0-9]")).alias("edges"),
+        F.when(against, -1).otherwise(0).alias("counter"),
+        vote((before == "") | before.rlike(r"[\s(<\[:;,=\"']$"), before.rlike(r"[\p{L}0-9.-]$") | after.rlike(r"[\p{L}0-9]")).alias("edges"),
         F.least(F.floor(F.length(hit) / 6), F.lit(7)).cast("int").alias("size"),
-        F.floor(4 * F.length(number) / F.length(hit)).cast("int").alias("digits"),
-        F.when(hit.rlike("[({\\[]"), 2).when(hit.contains(" "), 1).otherwise(0).alias("spaces"),
     )
 
 
-FEATURES = ("kind", "size", "digits", "spaces", "context", "counter", "edges")
+FEATURES = ("kind", "size", *LABELERS)
 
 
 def spans_of(documents: DataFrame, *keep: str) -> DataFrame:
@@ -241,55 +255,64 @@ def spans_of(documents: DataFrame, *keep: str) -> DataFrame:
     return documents.select(*keep, let(text, both).alias("_s")).select(*keep, "_s.base", "_s.proposed")
 
 
-def pattern_counts(spans: DataFrame) -> list[tuple[tuple[int, ...], tuple, int]]:
-    """``(votes, features, count)`` over all spans."""
-    each = spans.select(F.explode(F.concat("base", "proposed")).alias("s"))
+def pattern_counts(spans: DataFrame) -> list[tuple[tuple[int, ...], tuple, int, int]]:
+    """``(votes, features, count, count of proposals)`` over all spans."""
+    def marked(name: str) -> Column:
+        return F.transform(name, lambda s: F.struct(s["kind"].alias("kind"), s["v"].alias("v"), F.lit(int(name == "proposed")).alias("p")))
+
+    each = spans.select(F.explode(F.concat(marked("base"), marked("proposed"))).alias("s"))
     columns = [F.col(f"s.v.{x}").alias(f"l_{x}") for x in LABELERS]
     columns += [(F.col("s.kind") if x == "kind" else F.col(f"s.v.{x}")).alias(f"f_{x}") for x in FEATURES]
     names = [f"l_{x}" for x in LABELERS] + [f"f_{x}" for x in FEATURES]
-    rows = each.select(*columns).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).orderBy(*names).collect()
+    grouped = each.select(*columns, "s.p").groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("p"))
     k = len(LABELERS)
-    return [(tuple(r[:k]), tuple(r[k:-1]), r[-1]) for r in rows]
+    return [(tuple(r[:k]), tuple(r[k:-2]), r[-2], r[-1]) for r in grouped.orderBy(*names).collect()]
 
 
 def reliabilities(counts, iterations: int = ITERATIONS) -> tuple[list[float], dict]:
     """Posterior of every pattern, and ``{labeler: {class: {vote: probability}}}``, by EM.
 
-    Begins with the majority of votes; labelers are independent given the class. One count is
-    added to every cell, ten to the cells where a labeler is right, so that classes keep their names.
+    Labelers are independent given the class, both classes are as likely before any vote, and a
+    labeler that does not vote says nothing: probabilities are among the spans it votes on. ``RIGHT``
+    counts are added to the cells where a labeler is right and ``WRONG`` to those where it errs;
+    the first beliefs follow from these alone.
     """
-    belief = [1 / (1 + math.exp(-1.5 * sum(votes))) for votes, _, _ in counts]
-    table: dict = {}
-    for _ in range(iterations):
-        prior = (1 + sum(b * n for b, (_, _, n) in zip(belief, counts))) / (2 + sum(n for _, _, n in counts))
+    def estimated(belief: list[float]) -> dict:
         table = {}
         for at, name in enumerate(LABELERS):
-            cells = {y: {v: 1.0 + (10.0 if v == (1 if y else -1) else 0.0) for v in (-1, 0, 1)} for y in (0, 1)}
-            for b, (votes, _, n) in zip(belief, counts):
-                cells[1][votes[at]] += b * n
-                cells[0][votes[at]] += (1 - b) * n
+            cells = {y: {v: RIGHT if v == (1 if y else -1) else WRONG[name] for v in (-1, 1)} for y in (0, 1)}
+            for b, (votes, _, n, *_) in zip(belief, counts):
+                if votes[at]:
+                    cells[1][votes[at]] += b * n
+                    cells[0][votes[at]] += (1 - b) * n
             table[name] = {y: {v: c / sum(cells[y].values()) for v, c in cells[y].items()} for y in (0, 1)}
-        belief = []
-        for votes, _, _ in counts:
-            odds = math.log(prior / (1 - prior)) + sum(
-                math.log(table[x][1][v] / table[x][0][v]) for x, v in zip(LABELERS, votes)
-            )
-            belief.append(1 / (1 + math.exp(-max(min(odds, 50.0), -50.0))))
-    return belief, table
+        return table
+
+    def believed(table: dict) -> list[float]:
+        odds = (sum(math.log(table[x][1][v] / table[x][0][v]) for x, v in zip(LABELERS, votes) if v) for votes, *_ in counts)
+        return [1 / (1 + math.exp(-max(min(o, 50.0), -50.0))) for o in odds]
+
+    table = estimated([])
+    for _ in range(iterations):
+        table = estimated(believed(table))
+    return believed(table), table
 
 
 def train(counts) -> tuple[float, dict[str, dict]]:
-    """Bias and log-odds of feature values: naive Bayes on the estimated labels."""
-    if not counts:
+    """Bias and log-odds of feature values: naive Bayes on the estimated labels of proposals, both classes as likely.
+
+    Base spans help to estimate labelers, but as they stay anyway they would only teach their own kinds.
+    """
+    proposed = [(b, features, n) for b, (_, features, _, n) in zip(reliabilities(counts)[0], counts) if n]
+    if not proposed:
         return -1.0, {}
-    belief, _ = reliabilities(counts)
-    yes = sum(b * n for b, (_, _, n) in zip(belief, counts))
-    total = sum(n for _, _, n in counts)
+    total = sum(n for _, _, n in proposed)
+    yes = sum(b * n for b, _, n in proposed)
     no = total - yes
     weights: dict[str, dict] = {}
     for at, name in enumerate(FEATURES):
         cells = defaultdict(lambda: [0.0, 0.0])
-        for b, (_, features, n) in zip(belief, counts):
+        for b, features, n in proposed:
             cells[features[at]][1] += b * n
             cells[features[at]][0] += (1 - b) * n
         # smoothed by what all spans look like: a rare value alone speaks for neither class
@@ -297,7 +320,7 @@ def train(counts) -> tuple[float, dict[str, dict]]:
             v: math.log((c[1] + PRIOR * sum(c) / total) / (yes + PRIOR)) - math.log((c[0] + PRIOR * sum(c) / total) / (no + PRIOR))
             for v, c in cells.items()
         }
-    return math.log((yes + 1) / (no + 1)), weights
+    return 0.0, weights
 
 
 def fit(spans: DataFrame) -> tuple[float, dict[str, dict]]:

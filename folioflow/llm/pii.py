@@ -213,7 +213,7 @@ def voted(text: Column, span: Column) -> Column:
         ssn=vote(hit.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"), hit.rlike("^(?:000|666|9)")),
         person=vote(hit.rlike(r"^[^ ]+ \p{Lu}\p{Ll}{2,}(?: \p{Lu}\p{Ll}{2,})?$"), odd),
         # letters and digits change often in what a machine made; words and numbers are not secrets
-        secret=vote(hit.rlike(rf"^(?:{ISSUED}|(?=.*[A-Za-z].*[0-9])(?=.*[0-9].*[A-Za-z]).{{12,}})$"),
+        secret=vote(hit.rlike(rf"^(?:{ISSUED}|(?=[^A-Za-z]*+[A-Za-z][^0-9]*+[0-9])(?=[^0-9]*+[0-9][^A-Za-z]*+[A-Za-z]).{{12,}})$"),
                     ~hit.rlike(f"^(?:{ISSUED})$") & (~hit.rlike("[0-9]") | ~hit.rlike("[A-Za-z]"))),
     )
     known = by_kind(

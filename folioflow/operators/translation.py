@@ -115,11 +115,13 @@ def ask(
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            got = pd.Series([None] * len(frame), index=frame.index, dtype=object)
-            sent = frame.index[frame["text"].str.strip() != ""]
+            texts = frame["text"].tolist()
+            got: list = [None] * len(texts)
+            sent = [i for i, t in enumerate(texts) if t is None or t.strip() != ""]
             for at in range(0, len(sent), per_call):
                 part = sent[at:at + per_call]
-                got[part] = pd.Series(call(frame.loc[part, "text"].tolist()), index=part, dtype=object)
+                for i, reply in zip(part, call([texts[i] for i in part])):
+                    got[i] = reply
             yield frame.assign(
                 answer=[g if isinstance(g, str) else None for g in got],
                 error=[repr(g) if isinstance(g, Exception) else None for g in got],
@@ -147,9 +149,10 @@ def answered(
     """A written table ``(chunk_key, copies, translated, status, error)``, one row per distinct text.
 
     Only what has no answer yet is sent: neither in ``memory(chunk_key, translated, status)`` nor
-    in ``answers_at``, a folder where answers are kept. Requests go out in hash buckets of about
-    ``per_commit`` texts, each written as soon as it is complete, so a job that breaks off loses
-    at most one bucket: run again with the same folder, it sends only what is missing.
+    in ``answers_at``, a folder where answers are kept. For that folder requests go out in hash
+    buckets of about ``per_commit`` texts, each written as soon as it is complete, so a job that
+    breaks off loses at most one bucket: run again with the same folder, it sends only what is
+    missing. Without it nothing could be taken up again, and all requests go out at once.
     ``max_tasks`` limits how many tasks call the service at the same time.
     """
     spark = requests.sparkSession
@@ -161,7 +164,7 @@ def answered(
         known = kept if known is None else known.unionByName(kept)
     usable = None if known is None else usable_answers(known)
     missing = requests if usable is None else materialise(missing_requests(requests, usable), "missing")
-    buckets = max(1, -(-missing.count() // per_commit))
+    buckets = max(1, -(-missing.count() // per_commit)) if answers_at else 1
     run = f"{answers_at}/run-{uuid.uuid4().hex}" if answers_at else run_folder(spark, "answers")
     for bucket, part in enumerate(_bucketed(missing, buckets)):
         resolve(ask(part, translator, max_tasks)).write.parquet(f"{run}/bucket-{bucket}")
@@ -173,14 +176,21 @@ def answered(
 
 
 def _bucketed(requests: DataFrame, buckets: int) -> Iterator[DataFrame]:
-    """Requests in hash buckets: dealt to folders once, each of which is then read alone."""
+    """Requests in hash buckets: dealt to folders once, each of which is then read alone.
+
+    Buckets go one after the other, so each is written as a file per core: no core waits for another's.
+    """
     if buckets == 1:
         yield requests
         return
     spark = requests.sparkSession
     folder = run_folder(spark, "buckets")
+    cores = spark.sparkContext.defaultParallelism
     number = F.pmod(F.xxhash64("chunk_key"), F.lit(buckets)).cast("int")
-    requests.withColumn("bucket", number).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(folder)
+    # of another hash than the bucket, or a bucket would have few of the slots
+    slot = F.pmod(F.hash("chunk_key"), F.lit(cores))
+    dealt = requests.withColumn("bucket", number).repartition(max(cores, buckets), "bucket", slot)
+    dealt.write.partitionBy("bucket").parquet(folder)
     for bucket in range(buckets):
         at = f"{folder}/bucket={bucket}"
         if exists(spark, at):

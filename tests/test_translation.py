@@ -209,3 +209,17 @@ def test_causes_of_failures_are_reported(spark):
     done = tr.translate_once(pieces, stand_in_batch, "English", "Spanish")
     found = {(r.status, r.cause): r.n for r in reports.outcome_causes(done, []).collect()}
     assert found == {("translated", None): 2, ("failed", "RuntimeError"): 1, ("empty", None): 1, ("blank", None): 1}
+
+
+def test_requests_wait_for_buckets_only_where_answers_are_kept(spark, tmp_path, monkeypatch):
+    calls = []
+    ask = tr.ask
+    monkeypatch.setattr(tr, "ask", lambda part, *a: calls.append(len(part.inputFiles())) or ask(part, *a))
+    requests = tr.distinct_requests(texts_df(spark, [f"text {i}" for i in range(400)]), tr.chunk_key(F.col("text"), "a", "b", None))
+    upper = lambda texts: [t.upper() for t in texts]
+    assert tr.answered(requests, upper, per_commit=100).where("status = 'translated'").count() == 400
+    assert len(calls) == 1, "nothing could be taken up again: one job on all cores"
+    calls.clear()
+    assert tr.answered(requests, upper, per_commit=100, answers_at=str(tmp_path / "answers")).count() == 400
+    cores = spark.sparkContext.defaultParallelism
+    assert len(calls) == 4 and all(n == cores for n in calls), "every core has its part of a bucket"

@@ -178,18 +178,18 @@ def answered(
 def _bucketed(requests: DataFrame, buckets: int) -> Iterator[DataFrame]:
     """Requests in hash buckets: dealt to folders once, each of which is then read alone.
 
-    Buckets go one after the other, so each is written as a file per core: no core waits for another's.
+    Buckets go one after the other, so each is written as several files per core: no core waits for another's.
     """
     if buckets == 1:
         yield requests
         return
     spark = requests.sparkSession
     folder = run_folder(spark, "buckets")
-    cores = spark.sparkContext.defaultParallelism
+    slots = 4 * spark.sparkContext.defaultParallelism
     number = F.pmod(F.xxhash64("chunk_key"), F.lit(buckets)).cast("int")
     # of another hash than the bucket, or a bucket would have few of the slots
-    slot = F.pmod(F.hash("chunk_key"), F.lit(cores))
-    dealt = requests.withColumn("bucket", number).repartition(max(cores, buckets), "bucket", slot)
+    slot = F.pmod(F.hash("chunk_key"), F.lit(slots))
+    dealt = requests.withColumn("bucket", number).repartition(max(slots, buckets), "bucket", slot)
     dealt.write.partitionBy("bucket").parquet(folder)
     for bucket in range(buckets):
         at = f"{folder}/bucket={bucket}"

@@ -51,3 +51,20 @@ def test_terms_that_are_left_out_and_empty_tables(spark):
     pairs = [("x", "2"), ("X ", "1"), ("", "e"), (None, "n"), ("y", None), ("...", "p"), ("w " * 9, "long")]
     assert answers(spark, ["x y w w w w w w w w w"], pairs) == [("1 y w w w w w w w w w", 1)]
     assert answers(spark, ["x"], []) == [("x", 0)] and answers(spark, [], pairs) == []
+
+
+def test_large_glossaries_are_left_to_the_join(spark, monkeypatch):
+    terms = {"a b": "<1>", "b c": "<2>", "c": "<3>", "a b c d": "<4>", "é": "<5>"}
+    texts = ["a b c d", "A  b-c d", "b c a b", "É, c", "d", "", " ", "a b\tc d c", "-a b-"]
+    monkeypatch.setattr(glossary, "MOST_TERMS", len(terms))
+    small = answers(spark, texts, list(terms.items()))
+    monkeypatch.setattr(glossary, "MOST_TERMS", len(terms) - 1)
+    assert small == answers(spark, texts, list(terms.items())) == [replaced(t, terms) for t in texts]
+
+
+def test_only_stretches_that_may_be_terms_are_made(spark):
+    from pyspark.sql import functions as F
+
+    made = spark.createDataFrame([("a x a b y c d",)], "text STRING").select(
+        glossary._stretches(glossary._pieces(F.col("text")), [1, 2], ["x y", "a b", "c e", "q"]).alias("s")).first()["s"]
+    assert [(s["at"], s["n"], s["phrase"]) for s in made] == [(2, 2, "a b")]

@@ -118,11 +118,15 @@ def with_originals(pages: DataFrame, least: int = 0) -> DataFrame:
     first = F.max(F.struct("page_id", "name")).alias("first")
     largest = names.where("long AND page_id IS NOT NULL").groupBy("digest").agg(first, F.min("page_id").alias("least_id")).where("least_id < first.page_id")
     revisits = names.where("long").join(largest, "digest").where("page_id < first.page_id").select("name", F.concat(F.col("first.name"), F.lit(":0")).alias("original"))
-    notes = names.where("n > 1").select("name", "n").join(revisits, "name", "full")
-    noted = keyed.join(notes, "name", "left")
     columns = ["page_id", "url", "html", "original"]
-    single = noted.where("n IS NULL").select(F.concat("name", F.lit(":0")).alias("name"), *columns)
-    equal = noted.where("n > 1").groupBy("name").agg(*[F.first(c).alias(c) for c in [*columns, "n"]])
+    repeated = materialise(names.where("n > 1").select("name", "n"), "repeated")
+    if repeated.isEmpty():
+        # payloads cross the network once, to meet their answer
+        return keyed.join(revisits, "name", "left").select(F.concat("name", F.lit(":0")).alias("name"), *columns)
+    alone = keyed.join(repeated, "name", "left_anti").join(revisits, "name", "left")
+    single = alone.select(F.concat("name", F.lit(":0")).alias("name"), *columns)
+    firsts = [F.first(c).alias(c) for c in ("page_id", "url", "html", "n")]
+    equal = keyed.join(repeated, "name").groupBy("name").agg(*firsts).join(revisits, "name", "left")
     portions = equal.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {REPEATS}"))))
     dealt = portions.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     number = F.explode(F.sequence(F.col("part") * REPEATS, F.least(F.col("n"), (F.col("part") + 1) * REPEATS) - 1))

@@ -72,3 +72,15 @@ def test_files_are_bounded_by_bytes(spark):
     assert sum(s > 110_000 for s in sizes) == 1 and len(sizes) > 4
     got = warc.captures_report(warc.assemble(warc.read_archives(spark, folder, with_content=False)))
     assert got.count() == 201 and got.where("page_id = 900").first()["payload_bytes"] == 50_000_000
+
+
+def test_payloads_are_dealt_once_where_no_row_repeats(spark):
+    rows = [(i, f"u{i}", f"<p>{i % 7}</p>") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")
+    found = warc.with_originals(pages)
+    # a second branch for repeats would shuffle all payloads again, to find none
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["page_id"], r["original"] is None) for r in found.collect()} == {(i, i + 7 >= 40) for i, *_ in rows}
+    again = warc.with_originals(pages.union(pages.where("page_id = 3"))).collect()
+    assert len(again) == 41 and len({r["name"] for r in again}) == 41
+    assert len({r["original"] for r in again if r["page_id"] == 3}) == 1

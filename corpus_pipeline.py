@@ -22,6 +22,8 @@ from folioflow.llm.common import table
 from folioflow.llm.merkle import ranked
 from folioflow.operators.shared import materialise
 
+MOST_BROADCAST = 4_000_000  # ids of dropped documents that go to all executors; with more of them texts are joined
+
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -34,8 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document, the smallest id, of each group linked by five-word shingles at 0.8."""
     ids = docs.where("doc_id IS NOT NULL").select("doc_id")
     if ids.count() == ids.distinct().count():
-        judged = materialise(neardup.near_duplicates(docs, width=5), "judged")
-        return docs.join(judged.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+        judged = neardup.near_duplicates(docs, width=5)
+        return _without(docs, materialise(judged.where(~F.col("kept")).select("doc_id"), "dropped"), "doc_id")
     # rows of one id with different texts are documents of their own: each gets its place in a fixed order as its id
     key = ["doc_id", F.xxhash64("text").alias("_text")]
     texts = docs.where("doc_id IS NOT NULL").select(*key).distinct().withColumn("_all", F.lit(0))
@@ -50,13 +52,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.unionByName(docs.where("doc_id IS NULL"))
 
 
+def _without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not in ``dropped``, a written table: texts stay where they are, its keys travel."""
+    keys = F.broadcast(dropped) if dropped.count() <= MOST_BROADCAST else dropped
+    return docs.join(keys, key, "left_anti").select(*docs.columns)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     # the row itself is the key: rows without id, or with a repeated one, are judged by their text
     key = F.xxhash64("doc_id", "text")
     found = decontam.contaminated(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     bad = materialise(found.select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
-    return docs.withColumn("_key", key).join(bad, "_key", "left_anti").select(*docs.columns)
+    return _without(docs.withColumn("_key", key), bad, "_key").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,3 +95,19 @@ def test_entry_works_without_the_optional_operators(monkeypatch):
     spec.loader.exec_module(entry)
     names = entry.queries()
     assert "translate_corpus" in names and "pipeline" not in names and not [n for n in names if n.startswith("op1_")]
+
+
+def test_texts_stay_where_they_are_when_documents_are_dropped(spark):
+    import corpus_pipeline
+    from folioflow.operators.shared import materialise
+
+    docs = materialise(spark.range(50).selectExpr("id AS doc_id", "concat('text ', id) AS text"), "docs")
+    dropped = materialise(spark.range(0, 50, 7).selectExpr("id AS doc_id"), "dropped")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = corpus_pipeline._without(docs, dropped, "doc_id")
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(50) if i % 7]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

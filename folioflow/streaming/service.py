@@ -197,14 +197,22 @@ def arriving_files(spark: SparkSession, path: str, pattern: str = "*.pdf", files
     )
 
 
-def first_copies(files: DataFrame, rules: AdmissionRules, within: str = "1 day") -> DataFrame:
+HASHED_BYTES = 512 << 20  # of a file beyond the size limit; a row could not hold one of 2 GB at all
+
+
+def first_copies(files: DataFrame, rules: AdmissionRules, within: str = "1 day", hashed_bytes: int = HASHED_BYTES) -> DataFrame:
     """Files with ``content_key``; of equal contents within ``within`` of file time the first one to arrive.
 
     The state holds one hash per content. Contents beyond the size limit are told apart by their hash but
-    not carried along: they will be refused, and nothing else needs them.
+    not carried along: they will be refused, and nothing else needs them. Of those also beyond ``hashed_bytes``
+    not a byte is read: each such file is refused as itself, its key that of its path, time and length.
     """
-    kept = files.withColumns({
+    most = max(rules.max_bytes, hashed_bytes)
+    read = files.where(F.col("length") <= most).withColumns({
         "content_key": F.sha2("content", 256), "content": F.when(F.col("length") <= rules.max_bytes, F.col("content"))})
+    itself = F.sha2(F.concat_ws("\n", "path", F.col("modificationTime").cast("string"), F.col("length").cast("string")), 256)
+    unread = files.where(F.col("length") > most).withColumns({"content_key": itself, "content": F.lit(None).cast("binary")})
+    kept = read.unionByName(unread)
     return kept.withWatermark("modificationTime", within).dropDuplicatesWithinWatermark(["content_key"])
 
 

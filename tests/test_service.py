@@ -226,3 +226,14 @@ def test_files_too_large_for_a_row_are_refused_unread(spark, tmp_path):
         spark.conf.set("spark.sql.sources.binaryFile.maxLength", limit)
     got = [(r["length"], r["verdict"]) for r in spark.read.parquet(str(tmp_path / "out/out")).collect()]
     assert len(got) == 3 and got.count((302, "size")) == 2
+
+
+def test_new_pages_are_written_once(spark, tmp_path, monkeypatch):
+    made, write = [], service.materialise
+    monkeypatch.setattr(service, "materialise", lambda df, label: made.append(label) or write(df, label))
+    jobs_ = spark.createDataFrame([(1, b"a\nb"), (2, b"c")], "doc_id BIGINT, content BINARY")
+    layout = write(service.decode_layout(jobs_, _strict_decoder), "layout")
+    folder = str(tmp_path / "out")
+    translate = lambda p: corpus.translate_pages(p, inputs.CONFIG, column=inputs.stand_in)
+    service._settle(layout, 0, translate, F.lit("x.pdf"), folder, timedelta(hours=1), service._utc_now(), 10_000)
+    assert "fresh" not in made and spark.read.parquet(f"{folder}/documents").count() == 2

@@ -38,8 +38,8 @@ from folioflow.operators.shared import materialise
 
 LIMIT = 2048
 PIECES = "doc_id BIGINT, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT"
-CACHED_WORDS = 400_000  # memory of a worker, not of the result
-KEPT_WORDS = 100_000  # of these, between tasks: the ones met first, so the frequent ones
+CACHED_WORDS = 500_000  # memory of a worker, not of the result
+KEPT_WORDS = 200_000  # of these, between tasks: the ones met first, so the frequent ones
 MAX_STEPS = 20_000
 SETTLED = 1e-5  # the fit ends when no step gains that share of the histogram
 SHARES = (1.0, 0.9, 0.75, 0.5, 0.25)  # of the fitted repeats
@@ -51,79 +51,65 @@ class Tokens:
     """Ids of whole texts as bytes, word by word.
 
     No rule of the vocabulary looks across ASCII white space, so a word has the same ids in
-    every text, and words are kept for reuse. Plain Latin words are looked up without the
-    normaliser: their lower-case letters and their closing mark are units of their own.
+    every text, and words are kept for reuse, A-Z in lower case as the normaliser has them. Plain
+    Latin words go to the model without normaliser: their letters are a unit of their own, which
+    is kept as a word too, and so is their closing mark.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.units = Tokenizer(self.whole.model)
-        self.units.pre_tokenizer = pre_tokenizers.Sequence([
-            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
-        ])
-        vocab = self.whole.get_vocab()
-        self.last = np.zeros(max(vocab.values()) + 1, bool)
-        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.model = self.whole.model
+        self.named = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tails = {mark: self._unit(chr(mark)) for mark in MARKS}
         self.words: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def _learn_cores(self, cores: set[str]) -> None:
-        new, tokenize = [], self.whole.model.tokenize
-        for core in cores:
-            if core in self.cores:
-                continue
-            if core.isascii():  # its letters are the bytes' own names
-                self.cores[core] = array("I", [t.id for t in tokenize(core)]).tobytes()
-            else:
-                new.append(core)
-        for at in range(0, len(new), 5000):
-            part = new[at:at + 5000]
-            ids = np.array(self.units.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(part):
-                raise ValueError("a unit must end with exactly one closing token")
-            start = 0
-            for core, end in zip(part, ends.tolist(), strict=True):
-                self.cores[core] = ids[start:end].tobytes()
-                start = end
+
+    def _unit(self, name: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(name)]).tobytes()
 
     def learn(self, new: set[bytes]) -> None:
-        plain, other = [], []
+        words, tails, unit, named = self.words, self.tails, self._unit, self.named.pre_tokenize_str
+        other = []
         for word in new:
-            if word.isascii():
-                mark = word[-1:] if word[-1] in MARKS else b""
-                core = word[:-1] if mark else word
-                if core.isalpha():
-                    plain.append((word, core.lower().decode(), mark.decode()))
-                else:
-                    other.append((word, word.decode()))
-                continue
-            text = word.decode("utf-8", "surrogatepass")
-            mark = text[-1] if text[-1] in MARKS.decode() else ""
-            core = text[:-1] if mark else text
-            # below U+0100 lower case is one letter for one and composed already
-            if core.isalpha() and max(core) < "Ā":
-                plain.append((word, core.lower(), mark))
+            tail = tails.get(word[-1], b"")
+            core = word[:-1] if tail else word
+            if core.isascii():
+                if not core.isalpha():
+                    other.append(word)
+                    continue
+                low = core.lower()
+                ids = words.get(low)
+                if ids is None:
+                    ids = words[low] = unit(low.decode())  # its letters are the bytes' own names
             else:
-                other.append((word, text))
-        self._learn_cores({c for _, c, _ in plain} | {m for _, _, m in plain if m})
-        for word, core, mark in plain:
-            self.words[word] = self.cores[core] + (self.cores[mark] if mark else b"")
+                text = core.decode("utf-8", "surrogatepass")
+                # below U+0100 lower case is one letter for one and composed already
+                if not text.isalpha() or max(text) >= "Ā":
+                    other.append(word)
+                    continue
+                text = text.lower()
+                low = text.encode()
+                ids = words.get(low)
+                if ids is None:
+                    ids = words[low] = unit(named(text)[0][0])
+            words[word] = ids + tail if tail else ids
         for at in range(0, len(other), 2000):
             part = other[at:at + 2000]
-            done = self.whole.encode_batch_fast([t for _, t in part], add_special_tokens=False)
-            for (word, _), got in zip(part, done, strict=True):
-                self.words[word] = np.array(got.ids, np.uint32).tobytes()
+            done = self.whole.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)
+            for word, got in zip(part, done, strict=True):
+                words[word] = array("I", got.ids).tobytes()
 
     def forget(self) -> None:
         """Keep the words that were met first."""
         self.words = dict(islice(self.words.items(), KEPT_WORDS))
-        self.cores = dict(islice(self.cores.items(), KEPT_WORDS))
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+        split = []
+        for text in texts:
+            data = text.encode("utf-8", "surrogatepass") if text else b""
+            # marks of the vocabulary such as <|endoftext|> are found before anything is put in lower case
+            split.append((data if b"<|" in data else data.lower()).split())
         wanted: set[bytes] = set()
         for ws in split:
             wanted.update(ws)

@@ -85,3 +85,11 @@ def test_fit_is_a_least_squares_solution():
             used[x] += r
     assert (repeats >= 0).all()
     assert ((used - histogram)[1:] ** 2).sum() < 0.2 * (histogram[1:] ** 2).sum()
+
+
+def test_words_in_any_case_are_kept_once_and_marks_of_the_vocabulary_as_written():
+    model, whole = packing.Tokens(PATH), Tokenizer.from_file(PATH)
+    texts = ["Dog dog DOG, dog,", "École école ÉCOLE. ß ẞ ŸŸ", "A$$$ a$$$ x<|ENDOFTEXT|>Y X<|endoftext|>y", "ÇPA!! don't DON'T 'S K å"]
+    got = [np.frombuffer(b, np.uint32).tolist() for b in model.ids(texts)]
+    assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {w for w in model.words if b"dog" in w.lower()} == {b"dog", b"dog,"}

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,27 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str, key, make: Callable):
+    """A value that the tasks of a worker share, made at first use, until other work comes to that worker."""
+    mine = _kept.setdefault(owner, {})
+    if key not in mine:
+        mine[key] = make()
+    return mine[key]
+
+
+def make_room(owner: str) -> None:
+    """Drop what work of other owners left in this worker: workers live on from job to job."""
+    others = [o for o in _kept if o != owner]
+    for other in others:
+        del _kept[other]
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 BATCH_ROWS = 1_000
 
 
@@ -68,13 +90,19 @@ def in_arrow(rows: DataFrame, work, schema) -> DataFrame:
     """``rows.mapInArrow(work, schema)`` in batches of at most ``BATCH_ROWS`` rows.
 
     Spark bounds a batch by rows only, and both sides hold whole batches of texts: the session's setting
-    is lowered, never raised.
+    is lowered, never raised. Before ``work`` a worker drops what work of other modules has ``kept``.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = rows.sparkSession.conf
     if not 0 < int(conf.get(name)) <= BATCH_ROWS:
         conf.set(name, str(BATCH_ROWS))
-    return rows.mapInArrow(work, schema)
+    owner = work.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(owner)
+        yield from work(batches)
+
+    return rows.mapInArrow(run, schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int, weight: str, most: int) -> Iterator[pa.RecordBatch]:

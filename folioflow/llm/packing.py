@@ -25,7 +25,6 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -33,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import in_arrow, slices
+from folioflow.llm.common import in_arrow, kept, slices
 from folioflow.operators.shared import materialise
 
 LIMIT = 2048
@@ -123,9 +122,8 @@ class Tokens:
             yield b"".join(map(self.words.__getitem__, ws))
 
 
-@lru_cache(2)
 def tokens(path: str) -> Tokens:
-    return Tokens(path)
+    return kept(__name__, path, lambda: Tokens(path))
 
 
 def token_pieces(documents: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:

@@ -3,10 +3,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from folioflow.llm import packing
+from folioflow.llm import common, packing
 from folioflow.operators.shared import materialise
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -93,3 +94,14 @@ def test_words_in_any_case_are_kept_once_and_marks_of_the_vocabulary_as_written(
     got = [np.frombuffer(b, np.uint32).tolist() for b in model.ids(texts)]
     assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
     assert {w for w in model.words if b"dog" in w.lower()} == {b"dog", b"dog,"}
+
+
+def test_other_work_finds_workers_without_the_vocabulary(spark):
+    docs = spark.range(64).selectExpr("id AS doc_id", "concat('some words ', id) AS text").repartition(4)
+
+    def look(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"owners": pa.array([",".join(common._kept)] * batch.num_rows)})
+
+    assert packing.token_pieces(docs, PATH).count() == 64
+    assert {r["owners"] for r in common.in_arrow(docs, look, "owners STRING").collect()} == {""}

@@ -18,6 +18,9 @@ from folioflow.schemas import LAYOUT
 # A decoder turns the bytes of one document into its pages, one list of layout blocks each.
 Decoder = Callable[[bytes], Iterable[list[dict]]]
 
+PAGES_AT_ONCE = 256  # that leave a worker together, whatever else holds
+BYTES_AT_ONCE = 1 << 20  # of the contents they were decoded from
+
 
 def scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Parquet scan with a declared schema; filters and columns reach the file reader."""
@@ -92,7 +95,7 @@ def decode_layout(documents: DataFrame, decoder: Decoder) -> DataFrame:
 
     A document the decoder cannot read yields one row without page number and page count,
     which the intake reports as ``unreadable``; one without pages yields a row with 0 pages.
-    Pages leave the worker document by document.
+    Pages leave the worker with every ``PAGES_AT_ONCE`` of them or ``BYTES_AT_ONCE`` of content, after a whole document.
     """
     out = to_arrow_schema(LAYOUT)
 
@@ -110,7 +113,15 @@ def decode_layout(documents: DataFrame, decoder: Decoder) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, held = [], 0
             for doc_id, content in zip(batch["doc_id"], batch["content"]):
-                yield pa.RecordBatch.from_pylist(pages_of(doc_id.as_py(), content.as_py()), schema=out)
+                data = content.as_py()
+                rows += pages_of(doc_id.as_py(), data)
+                held += len(data or b"")
+                if len(rows) >= PAGES_AT_ONCE or held >= BYTES_AT_ONCE:
+                    yield pa.RecordBatch.from_pylist(rows, schema=out)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=out)
 
     return documents.select("doc_id", "content").mapInArrow(run, LAYOUT)

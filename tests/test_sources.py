@@ -225,3 +225,23 @@ def test_html_blocks_take_all_text(spark, sf_dir):
     given = {r.page_id: r.html for r in pages.where("page_id >= 0").collect()}
     cut = re.compile(r"</?[a-zA-Z][^>]*\Z")
     assert {k: got.get(k, []) for k in given} == {k: parsed(cut.sub("", v)) for k, v in given.items()}
+
+
+def test_pages_of_several_documents_leave_the_worker_together(spark, monkeypatch):
+    monkeypatch.setattr(readers, "PAGES_AT_ONCE", 3)
+
+    def decoder(content):
+        if content == b"bad":
+            raise ValueError
+        return [[] for _ in range(len(content))]
+
+    contents = [b"a", b"", b"bad", b"abcdef", b"ab", b"a", None]
+    docs = spark.createDataFrame(list(enumerate(contents)), "doc_id BIGINT, content BINARY").coalesce(1)
+    rows = readers.decode_layout(docs, decoder).select("doc_id", "page_num", "n_pages").collect()
+    want = []
+    for i, c in enumerate(contents):
+        if c is None or c == b"bad":
+            want.append((i, None, None))
+        else:
+            want += [(i, n, len(c)) for n in range(len(c))] or [(i, None, 0)]
+    assert [tuple(r) for r in rows] == want

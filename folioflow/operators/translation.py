@@ -14,9 +14,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from folioflow.functions.chunking import chunk_text
 from folioflow.functions.text import let, strip
@@ -113,23 +114,24 @@ def ask(
             failure = raised
         return [failure] * len(texts)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = frame["text"].tolist()
+    out = to_arrow_schema(ANSWERS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
             got: list = [None] * len(texts)
             sent = [i for i, t in enumerate(texts) if t is None or t.strip() != ""]
             for at in range(0, len(sent), per_call):
                 part = sent[at:at + per_call]
                 for i, reply in zip(part, call([texts[i] for i in part])):
                     got[i] = reply
-            yield frame.assign(
-                answer=[g if isinstance(g, str) else None for g in got],
-                error=[repr(g) if isinstance(g, Exception) else None for g in got],
-            )
+            answers = pa.array([g if isinstance(g, str) else None for g in got], pa.string())
+            errors = pa.array([repr(g) if isinstance(g, Exception) else None for g in got], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, answers, errors], schema=out)
 
     if max_tasks:
         requests = requests.repartition(max_tasks, "chunk_key")
-    return requests.select("chunk_key", "text", "copies").mapInPandas(run, ANSWERS)
+    return requests.select("chunk_key", "text", "copies").mapInArrow(run, ANSWERS)
 
 
 def usable_answers(memory: DataFrame) -> DataFrame:
@@ -152,10 +154,14 @@ def answered(
     in ``answers_at``, a folder where answers are kept. For that folder requests go out in hash
     buckets of about ``per_commit`` texts, each written as soon as it is complete, so a job that
     breaks off loses at most one bucket: run again with the same folder, it sends only what is
-    missing. Without it nothing could be taken up again, and all requests go out at once.
+    missing. Without it nothing could be taken up again, and all requests go out at once; without
+    ``memory`` either, they go out as they are made and are not written before.
     ``max_tasks`` limits how many tasks call the service at the same time.
     """
     spark = requests.sparkSession
+    if memory is None and answers_at is None:
+        # read once: nothing is looked up or counted
+        return materialise(resolve(ask(requests, translator, max_tasks)), "answers")
     requests = materialise(requests, "requests")
     known = None if memory is None else memory.select("chunk_key", "translated", "status")
     if answers_at is not None and exists(spark, answers_at):

@@ -109,12 +109,13 @@ def stand_in(text: Column) -> Column:
 
 def stand_in_batch(texts: list[str]) -> list:
     """The same translator as a batch function, as a service would be called."""
-    swap = str.maketrans("aeiou0", "eioua1")
+    swap = bytes.maketrans(b"aeiou0", b"eioua1")
 
     def one(text: str):
         if len(text) % 17 == 0:
             return RuntimeError("no answer")
-        return " " if len(text) % 17 == 1 else "[es] " + text.translate(swap)
+        # ASCII letters for ASCII letters: the bytes of no other letter are touched
+        return " " if len(text) % 17 == 1 else "[es] " + text.encode().translate(swap).decode()
 
     return [one(t) for t in texts]
 

@@ -223,3 +223,19 @@ def test_requests_wait_for_buckets_only_where_answers_are_kept(spark, tmp_path,
     assert tr.answered(requests, upper, per_commit=100, answers_at=str(tmp_path / "answers")).count() == 400
     cores = spark.sparkContext.defaultParallelism
     assert len(calls) == 4 and all(n >= cores for n in calls), "every core has its part of a bucket"
+
+
+def test_requests_that_go_out_once_are_not_written_before(spark, monkeypatch):
+    labels, write = [], tr.materialise
+    monkeypatch.setattr(tr, "materialise", lambda df, label: labels.append(label) or write(df, label))
+    chunks = spark.createDataFrame([(i, 0, f"text {i % 3}") for i in range(9)], "doc_id LONG, chunk_no INT, text STRING")
+    done = tr.translate_once(chunks, lambda texts: [t.upper() for t in texts], "English", "Spanish")
+    assert {(r.doc_id, r.translated, r.status) for r in done.collect()} == {(i, f"TEXT {i % 3}", "translated") for i in range(9)}
+    assert labels == ["chunks", "answers"]
+
+
+def test_stand_in_as_a_service_answers_like_the_column(spark):
+    texts = ["", "aeiou0 AEIOU", "über ñandú 0 a\u0301", "e" * 17, "o" * 18, "漢字 a 😀", " i "]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, text STRING")
+    column = [r.a for r in rows.select("i", stand_in(F.col("text")).alias("a")).orderBy("i").collect()]
+    assert [a if isinstance(a, str) else None for a in stand_in_batch(texts)] == column

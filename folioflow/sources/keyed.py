@@ -64,26 +64,36 @@ class KeyedTable:
     def holds(self, batch_id: int) -> bool:
         return any(first <= batch_id <= last for _, first, last, _, _ in self.segments())
 
-    def _write(self, rows: DataFrame, tier: int, first: int, last: int) -> None:
-        n = rows.count()
-        digits = min(self.most_digits, max(0, math.ceil(math.log(max(n, 1) / self.rows_per_folder, 16)))) if n else 0
+    def digits_for(self, n: int) -> int:
+        """Digits of the folders of a segment of ``n`` rows."""
+        return min(self.most_digits, max(0, math.ceil(math.log(max(n, 1) / self.rows_per_folder, 16)))) if n else 0
+
+    def dealt(self, rows: DataFrame, n: int) -> DataFrame:
+        """``rows`` as a segment of ``n`` rows wants them: those of a folder in one task."""
+        return rows.repartition(self._prefix(self.digits_for(n)))
+
+    def _write(self, rows: DataFrame, tier: int, first: int, last: int, n: int | None = None) -> None:
+        whole = n is None
+        n = rows.count() if whole else n
+        digits = self.digits_for(n)
         path = f"{self.folder}/t{tier}-{first}-{last}-d{digits}"
         named = rows.select(*self.schema.names, self._prefix(digits).alias("prefix")) if digits else rows.select(*self.schema.names)
         if digits:
-            named.repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(path)
+            (named.repartition("prefix") if whole else named).write.mode("overwrite").partitionBy("prefix").parquet(path)
         else:
             named.coalesce(1).write.mode("overwrite").parquet(path)  # about a folder's worth of rows
         fs, at = file_system(self.spark, f"{path}/{MARKER}")
         fs.create(at, True).close()
 
-    def write(self, rows: DataFrame, batch_id: int) -> None:
+    def write(self, rows: DataFrame, batch_id: int, n: int | None = None) -> None:
         """Add a batch's rows, which are written once before they are counted and dealt to folders.
 
-        A batch that is there already is left alone. Afterwards older segments may be merged.
+        With ``n``, the number of rows, they have been ``dealt`` and go to their folders at once. A batch
+        that is there already is left alone. Afterwards older segments may be merged.
         """
         if not self.holds(batch_id):
             stamped = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            self._write(materialise(stamped, "segment"), 0, batch_id, batch_id)
+            self._write(materialise(stamped, "segment") if n is None else stamped, 0, batch_id, batch_id, n)
         self._merge(batch_id)
 
     def _merge(self, batch_id: int) -> None:

@@ -116,10 +116,17 @@ def start_translation(
             requests = materialise(distinct_requests(chunks_of(spread(batch), size, []), key), "requests")
             known = materialise(memory.lookup(requests.select("chunk_key")), "known")
             settled = known.where(~F.col("status").isin(FAILED, EMPTY)).select("chunk_key")
-            answers = resolve(ask(requests.join(settled, "chunk_key", "left_anti"), translator, max_tasks)).drop("error")
+            some = not settled.isEmpty()
+            new = requests.join(settled, "chunk_key", "left_anti") if some else requests
             again = requests.join(settled, "chunk_key", "left_semi").select(
                 "chunk_key", "copies", *[F.lit(None).cast("string").alias(c) for c in ("translated", "status")])
-            memory.write(answers.select(MEMORY.names).unionByName(again), batch_id)
+            n = requests.count()
+            # dealt before they are asked, answers go straight to their folders; few rows, or few tasks that may ask, are not
+            straight = max_tasks is None and memory.digits_for(n) > 0
+            if straight:
+                new, again = memory.dealt(new, n), memory.dealt(again, n)
+            rows = resolve(ask(new, translator, max_tasks)).select(MEMORY.names)
+            memory.write(rows.unionByName(again) if some else rows, batch_id, n if straight else None)
 
     return _each_batch(texts, folder, work, trigger)
 

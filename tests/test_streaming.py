@@ -165,3 +165,21 @@ def test_over_limit_periods(spark, parts, tmp_path):
     assert days.count() > 5 and same(got.select("period", "n"), days)
 
 
+
+
+def test_answers_go_straight_to_the_folders_of_the_memory(spark, tmp_path, monkeypatch):
+    from folioflow.sources import keyed
+
+    labels, write = [], keyed.materialise
+    monkeypatch.setattr(keyed, "materialise", lambda df, label: labels.append(label) or write(df, label))
+    folder = str(tmp_path / "memory")
+    schema = "doc_id BIGINT, text STRING"
+    for part, texts in enumerate([[f"text {i}" for i in range(1500)], [f"text {i}" for i in range(1000, 2600)]]):
+        spark.createDataFrame(list(enumerate(texts)), schema).write.parquet(str(tmp_path / "in" / f"part-{part}"))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        jobs.start_translation(stream, lambda ts: [t.upper() for t in ts], "English", "Spanish", 100, folder).awaitTermination()
+    rows = {r.translated: r.copies for r in jobs.read_memory(spark, folder).collect()}
+    assert rows == {f"TEXT {i}": 2 if 1000 <= i < 1500 else 1 for i in range(2600)}
+    assert labels == []
+    files = [p.parent for p in (tmp_path / "memory" / "memory").rglob("*.parquet")]
+    assert len(files) <= 2 * len(set(files)), "answers and copies, a file of each in a folder"

@@ -43,7 +43,7 @@ MAX_STEPS = 20_000
 SETTLED = 1e-5  # the fit ends when no step gains that share of the histogram
 SHARES = (1.0, 0.9, 0.75, 0.5, 0.25)  # of the fitted repeats
 ROWS_PER_BUCKET = 20_000
-MARKS = b".,;:!?"  # may close a plain word
+MARKS = bytes(set(range(0x21, 0x7F)) - set(b"'") - set(range(0x30, 0x3A)) - set(range(0x41, 0x5B)) - set(range(0x61, 0x7B)))
 
 
 class Tokens:
@@ -52,7 +52,8 @@ class Tokens:
     No rule of the vocabulary looks across ASCII white space, so a word has the same ids in
     every text, and words are kept for reuse, A-Z in lower case as the normaliser has them. Plain
     Latin words go to the model without normaliser: their letters are a unit of their own, which
-    is kept as a word too, and so is their closing mark.
+    is kept as a word too, and so are the marks that close them. Only an apostrophe may begin a unit
+    with letters in it, so it is none of these ``MARKS``.
     """
 
     def __init__(self, path: str) -> None:
@@ -60,21 +61,20 @@ class Tokens:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.named = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.tails = {mark: self._unit(chr(mark)) for mark in MARKS}
+        named = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.names = {code: named(chr(code))[0][0] for code in range(0x80, 0x100)}
         self.words: dict[bytes, bytes] = {}
 
     def _unit(self, name: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(name)]).tobytes()
 
     def learn(self, new: set[bytes]) -> None:
-        words, tails, unit, named = self.words, self.tails, self._unit, self.named.pre_tokenize_str
+        words, unit, names = self.words, self._unit, self.names
         other = []
         for word in new:
-            tail = tails.get(word[-1], b"")
-            core = word[:-1] if tail else word
+            core = word.rstrip(MARKS)
             if core.isascii():
-                if not core.isalpha():
+                if core and not core.isalpha():
                     other.append(word)
                     continue
                 low = core.lower()
@@ -91,8 +91,14 @@ class Tokens:
                 low = text.encode()
                 ids = words.get(low)
                 if ids is None:
-                    ids = words[low] = unit(named(text)[0][0])
-            words[word] = ids + tail if tail else ids
+                    ids = words[low] = unit(text.translate(names))
+            if len(core) < len(word):
+                marks = word[len(core):]
+                tail = words.get(marks)
+                if tail is None:
+                    tail = words[marks] = unit(marks.decode())
+                ids += tail
+            words[word] = ids
         for at in range(0, len(other), 2000):
             part = other[at:at + 2000]
             done = self.whole.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)
@@ -315,9 +321,9 @@ def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     runs = runs_of(plan(histogram, limit))
     # pieces of a cell that fall into a run: cells and runs meet per length, then pieces per cell
-    places = spark.createDataFrame(
-        runs or [(0, 0, 0, 0, 0)], "length BIGINT, _first BIGINT, _count BIGINT, _sequence BIGINT, offset BIGINT"
-    )
+    # as Arrow: rows of Python objects would start workers of another kind on the executors, beside those there are
+    names = ["length", "_first", "_count", "_sequence", "offset"]
+    places = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in zip(*(runs or [(0, 0, 0, 0, 0)]))], names))
     spans = F.broadcast(places.groupBy("length").agg(F.sort_array(F.collect_list(
         F.struct("_first", "_count", "_sequence", "offset"))).alias("_runs")))
     cut = (

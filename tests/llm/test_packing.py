@@ -96,6 +96,22 @@ def test_words_in_any_case_are_kept_once_and_marks_of_the_vocabulary_as_written(
     assert {w for w in model.words if b"dog" in w.lower()} == {b"dog", b"dog,"}
 
 
+def test_words_closed_by_runs_of_marks_go_to_the_model_unit_by_unit(monkeypatch):
+    texts = ["again&&& Größe.## word... ### _-_ end)\"", "öl$$$ a<|> b|. don't' x'.s y.'s 1, a.b ＡＢ. größe\u0308! <|endoftext|>..."]
+    model, whole = packing.Tokens(PATH), Tokenizer.from_file(PATH)
+    sent = []
+
+    class Counted:
+        def encode_batch_fast(self, words, **more):
+            sent.extend(words)
+            return whole.encode_batch_fast(words, **more)
+
+    monkeypatch.setattr(model, "whole", Counted())
+    got = [np.frombuffer(b, np.uint32).tolist() for b in model.ids(texts)]
+    assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert sorted(sent) == sorted(["don't'", "x'.s", "y.'s", "1,", "a.b", "ＡＢ.", "größe\u0308!", "<|endoftext|>..."])
+
+
 def test_other_work_finds_workers_without_the_vocabulary(spark):
     docs = spark.range(64).selectExpr("id AS doc_id", "concat('some words ', id) AS text").repartition(4)
 

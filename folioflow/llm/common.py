@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import zlib
 from collections.abc import Callable, Iterator
@@ -80,7 +81,15 @@ def make_room(owner: str) -> None:
         del _kept[other]
     if others:
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
+
+
+def give_back() -> None:
+    """Hand memory that is free within this worker to the system: workers wait for other jobs, or beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; others do so by themselves
+    if trim is not None:
+        trim(0)
 
 
 BATCH_ROWS = 1_000
@@ -90,7 +99,8 @@ def in_arrow(rows: DataFrame, work, schema) -> DataFrame:
     """``rows.mapInArrow(work, schema)`` in batches of at most ``BATCH_ROWS`` rows.
 
     Spark bounds a batch by rows only, and both sides hold whole batches of texts: the session's setting
-    is lowered, never raised. Before ``work`` a worker drops what work of other modules has ``kept``.
+    is lowered, never raised. Before ``work`` a worker drops what work of other modules has ``kept``, after it
+    the worker gives back what is free.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = rows.sparkSession.conf
@@ -100,7 +110,10 @@ def in_arrow(rows: DataFrame, work, schema) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room(owner)
-        yield from work(batches)
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
 
     return rows.mapInArrow(run, schema)
 

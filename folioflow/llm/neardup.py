@@ -254,7 +254,9 @@ def links(documents: DataFrame, reps: DataFrame, width: int, percent: int, block
     groups = found.select(F.col("node").alias("doc_id"), "root").unionByName(found.select(F.col("root").alias("doc_id"), "root").distinct())
     # the texts of candidates only
     groups = materialise(groups, "groups")
-    sets = materialise(sets_of(_possible(documents, groups).join(groups, "doc_id"), width), "sets")
+    # dealt by id before they meet, as a large join does anyway: one task would else keep two Python workers busy
+    texts = _possible(documents, groups).repartition("doc_id")
+    sets = materialise(sets_of(texts.join(groups, "doc_id"), width), "sets")
     sizes = sets.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum(F.length("shingles") / 8).alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("members") / block, F.least(F.col("members").cast("double"), F.col("shingles") / BLOCK_SHINGLES)))
     large = materialise(sizes.select("root", blocks.cast("int").alias("blocks")).where("blocks > 1"), "large")

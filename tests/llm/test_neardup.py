@@ -4,6 +4,7 @@ import pytest
 
 from folioflow.llm import neardup
 from folioflow.llm.graph import components
+from folioflow.operators.shared import materialise
 
 
 def shingle_set(text, width):
@@ -91,3 +92,20 @@ def test_sketch_estimates_similarity():
         y = np.concatenate([x[:common], rng.integers(0, 1 << 63, 4000 - common, dtype=np.uint64)])
         diff = int(np.bitwise_count(neardup.odd_sketch(neardup.samples(x)) ^ neardup.odd_sketch(neardup.samples(y))).sum())
         assert abs(diff - neardup.most_different(share)) < 45
+
+
+def test_texts_of_candidates_are_dealt_before_their_sets_are_made(spark, monkeypatch):
+    """Two Python nodes in one stage would keep two workers per core."""
+    plans = {}
+
+    def seen(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return materialise(df, label)
+
+    monkeypatch.setattr(neardup, "materialise", seen)
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "of its own kind")], "doc_id BIGINT, text STRING")
+    assert sorted((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()) == [(1, 1), (2, 1), (3, 3)]
+    lines = plans["sets"].splitlines()
+    above, below = (i for i, line in enumerate(lines) if "MapInArrow" in line)
+    assert any("Exchange hashpartitioning" in line for line in lines[above:below])

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.config import ROUTE, TranslationConfig
-from folioflow.operators.layout import page_blocks, page_status, route
+from folioflow.functions.chunking import chunk_text
+from folioflow.functions.text import let
+from folioflow.operators.layout import block_texts, page_blocks, page_status, route
 from folioflow.operators.translation import EMPTY, FAILED, ColumnTranslator, translate_inline
 
 
@@ -30,6 +32,55 @@ def rejoin(chunks: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def page_pieces(layout: DataFrame, config: TranslationConfig) -> DataFrame:
+    """All text of a page in pieces ``(doc_id, page_num, n_pages, block_no, chunk_no, text, sent)``.
+
+    Blocks that are ``sent`` to a translator come in chunks, others whole. Every page also has a
+    piece without block, so that pages without any text stay in. No shuffle.
+    """
+    piece = "struct<block_no: int, chunk_no: int, text: string, sent: boolean>"
+    page_only = F.array(F.struct(*[F.lit(None).alias(c) for c in ("block_no", "chunk_no", "text", "sent")]).cast(piece))
+
+    def cut(block: Column) -> Column:
+        chunks = F.when(block["sent"], chunk_text(block["text"], config.max_chunk_size)).otherwise(F.array(block["text"]))
+        return F.transform(chunks, lambda c, i: F.struct(block["block_no"], i.alias("chunk_no"), c.alias("text"), block["sent"]))
+
+    def routed(block: Column) -> Column:
+        sent = route(F.col("page_num"), block["text"], config.skip_pages) == ROUTE.translate
+        return F.struct(block["block_no"].alias("block_no"), block["text"].alias("text"), sent.alias("sent"))
+
+    # a document without pages has no blocks at all
+    texts = F.coalesce(F.flatten(F.transform(F.transform(block_texts(), routed), cut)), F.array()).cast(f"array<{piece}>")
+    pieces = layout.select("doc_id", "page_num", "n_pages", F.explode(F.concat(page_only, texts)).alias("p"))
+    return pieces.select("doc_id", "page_num", "n_pages", "p.*")
+
+
+def pages_of(pieces: DataFrame) -> DataFrame:
+    """Translated pieces ``(doc_id, page_num, page_status, block_no, chunk_no, translated, status)`` to pages, in one shuffle.
+
+    Chunks of a block are joined with a space, blocks with a line break. ``status`` is null for what was
+    not sent. A group is the text of one page.
+    """
+    def joined(ordered: Column) -> Column:
+        same = lambda p, i: F.get(ordered, i - 1)["block_no"] == p["block_no"]
+        between = lambda p, i: F.when(i == 0, "").when(same(p, i), " ").otherwise("\n")
+        return F.array_join(F.transform(ordered, lambda p, i: F.concat(between(p, i), p["translated"])), "")
+
+    in_block = F.when(F.col("block_no").isNotNull(), F.struct("block_no", "chunk_no", "translated"))
+    pages = pieces.groupBy("doc_id", "page_num").agg(
+        F.max("page_status").alias("page_status"),
+        F.array_sort(F.collect_list(in_block)).alias("parts"),
+        F.count("status").cast("int").alias("n_chunks"),
+        F.count_if(F.col("status").isin(FAILED, EMPTY)).cast("int").alias("n_failed"),
+    )
+    return pages.select(
+        "doc_id", "page_num", F.col("page_status").alias("status"),
+        F.when(F.col("page_num").isNotNull(), let(F.col("parts"), joined)).alias("translated"),
+        F.size(F.array_distinct(F.col("parts.block_no"))).alias("n_blocks"),
+        "n_chunks", "n_failed",
+    )
+
+
 def translated_pages(layout: DataFrame, config: TranslationConfig, translator: ColumnTranslator) -> DataFrame:
     """One row per page with its blocks translated in place; no shuffle.
 

@@ -98,6 +98,14 @@ def page_blocks(layout: DataFrame) -> DataFrame:
     return layout.select("doc_id", "page_num", "n_pages", _kept_blocks().alias("text_blocks"))
 
 
+def block_texts() -> Column:
+    """Number and text of the blocks that ``page_blocks`` keeps, without their boxes and fonts."""
+    numbered = F.transform("blocks", lambda b, i: F.struct(
+        i.alias("block_no"),
+        F.when(b["type"] == 0, strip(F.array_join(F.flatten(F.transform(b["lines"], lambda line: line["spans"]["text"])), " "))).alias("text")))
+    return F.filter(numbered, lambda b: b["text"] != "")
+
+
 def text_blocks(layout: DataFrame) -> DataFrame:
     """One row per text block. ``block_seq`` counts only the blocks that were kept."""
     # The array goes straight into the generator: exploding a column of an earlier select

@@ -227,6 +227,11 @@ def translate_once(
     """
     key = chunk_key(F.col("text"), source_lang, target_lang, model)
     cut = materialise(chunks.withColumn("chunk_key", key), "chunks")
+    return with_answers(cut, translator, **service)
+
+
+def with_answers(cut: DataFrame, translator: BatchTranslator, **service) -> DataFrame:
+    """The second half of ``translate_once``, for chunks that are written with their ``chunk_key``."""
     answers = answered(distinct_requests(cut, F.col("chunk_key")), translator, **service)
     keyed = cut.drop("text", "over_limit")
     return attach(keyed, answers, "chunk_key", "copies").drop("chunk_key")

@@ -11,7 +11,7 @@ from folioflow.config import ROUTE, TranslationConfig
 from folioflow.operators import assembly, edits
 from folioflow.operators import layout as lay
 from folioflow.operators.shared import materialise
-from folioflow.operators.translation import BatchTranslator, ColumnTranslator, chunks_of, translate_once
+from folioflow.operators.translation import BatchTranslator, ColumnTranslator, chunk_key, chunks_of, translate_once, with_answers
 
 
 def translate_pages(
@@ -26,35 +26,22 @@ def translate_pages(
 
     Give either a ``column`` translator, which stays within each page's row, or a ``batch``
     translator, which is called once per distinct chunk of the corpus; ``service`` are the
-    settings of ``translation.answered``. For the latter the layout is read once: folded pages
-    are written before anything else looks at them. A document without pages, or one that could
+    settings of ``translation.answered``. For the latter the layout is read once: its text is
+    cut and written before anything else looks at it. A document without pages, or one that could
     not be read, has one row without page number; ``status`` says which.
     """
     if (column is None) == (batch is None):
         raise ValueError("give either a column or a batch translator")
     if column is not None:
         return assembly.translated_pages(layout, config, column).drop("n_pages")
-    pages = folded(layout)
-    blocks = lay.routed_blocks(lay.blocks_of(pages), config.skip_pages)
-    done = translate_blocks(blocks, config, batch, **service)
-    shape = [*lay.BLOCK_KEY, "translated", "n_chunks", "n_failed"]
-    none = F.lit(0)
-    untouched = blocks.where(F.col("route") != ROUTE.translate).select(
-        *lay.BLOCK_KEY, F.col("text").alias("translated"), none.alias("n_chunks"), none.alias("n_failed")
-    )
-    # every page once, so that pages without any text stay in
-    frames = pages.select(
-        "doc_id", "page_num", F.lit(None).cast("int").alias("block_no"), F.lit(None).cast("string").alias("translated"),
-        none.alias("n_chunks"), none.alias("n_failed"), lay.page_status().alias("status"),
-    )
-    parts = done.select(shape).unionByName(untouched).unionByName(frames, allowMissingColumns=True)
-    return parts.groupBy("doc_id", "page_num").agg(
-        F.max("status").alias("status"),
-        F.when(F.col("page_num").isNotNull(), assembly.ordered_text("block_no", "translated", "\n")).alias("translated"),
-        F.count("block_no").cast("int").alias("n_blocks"),
-        F.sum("n_chunks").cast("int").alias("n_chunks"),
-        F.sum("n_failed").cast("int").alias("n_failed"),
-    )
+    pieces = assembly.page_pieces(layout, config)
+    key = chunk_key(F.col("text"), config.source_lang, config.target_lang, config.model)
+    cut = materialise(pieces.withColumn("chunk_key", F.when(F.col("sent"), key)).drop("sent"), "chunks")
+    sent = cut.where("chunk_key IS NOT NULL")
+    done = with_answers(sent.drop("n_pages"), batch, **service)
+    place = ["doc_id", "page_num", "block_no", "chunk_no"]
+    kept = cut.where("chunk_key IS NULL").select(*place, F.col("text").alias("translated"), lay.page_status().alias("page_status"))
+    return assembly.pages_of(done.select(*place, "translated", "status").unionByName(kept, allowMissingColumns=True))
 
 
 def folded(layout: DataFrame) -> DataFrame:

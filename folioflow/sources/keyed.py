@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.operators.shared import delete, exists, file_system, materialise
+from folioflow.operators.shared import delete, exists, file_system, materialise, no_rows
 
 _NAME = re.compile(r"t(\d+)-(\d+)-(\d+)-d(\d+)$")
 MARKER = "_COMPLETE"
@@ -70,7 +70,14 @@ class KeyedTable:
 
     def dealt(self, rows: DataFrame, n: int) -> DataFrame:
         """``rows`` as a segment of ``n`` rows wants them: those of a folder in one task."""
-        return rows.repartition(self._prefix(self.digits_for(n)))
+        digits = self.digits_for(n)
+        return rows.repartition(self._slots(digits), self._prefix(digits))
+
+    def _slots(self, digits: int) -> int:
+        """Tasks that write the folders of a segment. What they cost is files, not bytes: a number that is
+        not given would be merged by bytes, and a single task would open thousands of small files."""
+        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return min(16 ** digits, max(4 * self.spark.sparkContext.defaultParallelism, partitions))
 
     def _write(self, rows: DataFrame, tier: int, first: int, last: int, n: int | None = None) -> None:
         whole = n is None
@@ -79,7 +86,7 @@ class KeyedTable:
         path = f"{self.folder}/t{tier}-{first}-{last}-d{digits}"
         named = rows.select(*self.schema.names, self._prefix(digits).alias("prefix")) if digits else rows.select(*self.schema.names)
         if digits:
-            (named.repartition("prefix") if whole else named).write.mode("overwrite").partitionBy("prefix").parquet(path)
+            (named.repartition(self._slots(digits), "prefix") if whole else named).write.mode("overwrite").partitionBy("prefix").parquet(path)
         else:
             named.coalesce(1).write.mode("overwrite").parquet(path)  # about a folder's worth of rows
         fs, at = file_system(self.spark, f"{path}/{MARKER}")
@@ -93,7 +100,10 @@ class KeyedTable:
         """
         if not self.holds(batch_id):
             stamped = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            self._write(materialise(stamped, "segment") if n is None else stamped, 0, batch_id, batch_id, n)
+            if n is None:
+                self._write(materialise(stamped, "segment"), 0, batch_id, batch_id)
+            else:
+                self._write(stamped, 0, batch_id, batch_id, n)
         self._merge(batch_id)
 
     def _merge(self, batch_id: int) -> None:
@@ -117,7 +127,7 @@ class KeyedTable:
 
     def _read(self, paths: Sequence[str]) -> DataFrame:
         frames = [self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(p) for p in paths]
-        return reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], self.schema)
+        return reduce(DataFrame.unionByName, frames) if frames else no_rows(self.spark, self.schema)
 
     def _combined(self, rows: DataFrame) -> DataFrame:
         if not self.values:
@@ -139,7 +149,9 @@ class KeyedTable:
         At most ``16 ** most_digits`` prefixes reach the driver, whatever the number of keys.
         """
         segments = self.segments()
-        longest = max((s[3] for s in segments), default=0)
+        if not segments:
+            return []
+        longest = max(s[3] for s in segments)
         asked = {r[0] for r in keys.where(F.col(self.key).isNotNull()).select(self._prefix(longest).alias("p")).distinct().collect()}
         out = []
         for *_, digits, path in segments:
@@ -155,7 +167,7 @@ class KeyedTable:
         """The rows of ``keys(key)``, one per key that is there; ``keys`` should be a written table."""
         paths = self.folders_of(keys)
         if not paths:
-            return self.spark.createDataFrame([], self.schema).drop("batch_id")
+            return no_rows(self.spark, self.schema).drop("batch_id")
         rows = self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(*paths)
         wanted = rows.join(keys.select(self.key).distinct(), self.key, "left_semi")
         return self._combined(wanted).drop("batch_id")

@@ -27,7 +27,7 @@ from folioflow.functions.urls import screen_url
 from folioflow.operators.admission import ADMITTED, with_verdict
 from folioflow.operators.assembly import documents_of
 from folioflow.operators.reports import error_event, final_event, page_progress, progress_event
-from folioflow.operators.shared import delete, materialise, scratch
+from folioflow.operators.shared import delete, materialise, no_rows, scratch
 from folioflow.schemas import RAW_FILE
 from folioflow.sources.keyed import KeyedTable
 from folioflow.sources.readers import Decoder, decode_layout
@@ -51,7 +51,8 @@ ENDED = T.StructType([T.StructField("doc", T.StringType())])
 
 
 def ended_table(spark: SparkSession, folder: str) -> KeyedTable:
-    return KeyedTable(spark, f"{folder}/ended", ENDED, "doc")
+    """Ids alone: a folder of 16,000 holds no more bytes than one of 1,000 answers."""
+    return KeyedTable(spark, f"{folder}/ended", ENDED, "doc", rows_per_folder=16_000)
 
 
 def _once(pages: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def _settle(
     spark = layout.sparkSession
     ended = ended_table(spark, folder)
     text_id = F.col("doc_id").cast("string").alias("doc")
-    before = spark.read.schema(OPEN).parquet(f"{folder}/open/batch_id={batch_id - 1}") if batch_id else spark.createDataFrame([], OPEN)
+    before = spark.read.schema(OPEN).parquet(f"{folder}/open/batch_id={batch_id - 1}") if batch_id else no_rows(spark, OPEN)
     known = materialise(ended.lookup(layout.select(text_id).distinct()), "known").select(F.col("doc").cast("bigint").alias("doc_id"))
     held = before.select("doc_id", F.coalesce("page_num", F.lit(-1)).alias("page"))
     paged = layout.withColumn("page", F.coalesce("page_num", F.lit(-1)))
@@ -89,31 +90,38 @@ def _settle(
         fresh = paged.where("doc_id IS NOT NULL").join(known, "doc_id", "left_anti").join(held, ["doc_id", "page"], "left_anti")
         fresh = materialise(_once(fresh.drop("page").select(layout.columns)), "fresh")
     shown = materialise(page_progress(fresh), "progress")
-    sizes = fresh.select("doc_id", F.coalesce("page_num", F.lit(-1)).alias("page"), "n_pages")
-    done = translate(fresh).withColumn("page", F.coalesce("page_num", F.lit(-1))).join(sizes, ["doc_id", "page"])
-    pool = materialise(done.withColumn("since", F.lit(now).cast("timestamp")).select(OPEN.names).unionByName(before), "pool")
-    state = pool.groupBy("doc_id").agg(
-        F.count("page_num").alias("here"), F.max("n_pages").alias("announced"), F.min("since").alias("since"),
-        F.bool_or(F.col("status") == STATUS.unreadable).alias("unreadable"))
-    whole = F.col("unreadable") | (F.col("here") >= F.coalesce("announced", F.lit(0)))
+    done = translate(fresh).withColumn("since", F.lit(now).cast("timestamp"))
+    page = [c for c in OPEN.names if c != "n_pages"]
+    pool = materialise(done.select(page).unionByName(before.select(page)), "pool")
+    # who ends is found from numbers alone; texts are only joined where some documents wait, or end without all pages
+    numbers = fresh.select("doc_id", "n_pages").unionByName(before.select("doc_id", "n_pages"))
+    state = pool.select("doc_id", "page_num", "status", "since").unionByName(numbers, allowMissingColumns=True).groupBy("doc_id").agg(
+        F.count("page_num").alias("here"), F.coalesce(F.max("n_pages"), F.lit(0)).alias("announced"), F.min("since").alias("since"),
+        F.coalesce(F.bool_or(F.col("status") == STATUS.unreadable), F.lit(False)).alias("unreadable"))
+    whole = F.col("unreadable") | (F.col("here") >= F.col("announced"))
     overdue = F.col("since") < F.lit(now - wait).cast("timestamp")
-    state = materialise(state.withColumn("whole", whole).where(whole | overdue), "state")
-    finished = documents_of(pool.join(state.where("whole"), "doc_id", "left_semi"))
-    partial = documents_of(pool.join(state.where("NOT whole"), "doc_id", "left_semi")).withColumns(
-        {"translated": F.lit(None).cast("string"), "status": F.lit(STATUS.incomplete)})
-    documents = finished.unionByName(partial)
+    state = materialise(state.withColumn("whole", whole).withColumn("ends", F.col("whole") | overdue), "state")
+    waiting, cut, short = state.where("NOT ends"), state.where("ends AND NOT whole"), state.where("ends AND announced > here")
+    some = state.agg(*[F.count_if(F.expr(c)).alias(n) for n, c in (("wait", "NOT ends"), ("cut", "ends AND NOT whole"), ("short", "ends AND announced > here"))]).first()
+    documents = documents_of(pool.join(waiting, "doc_id", "left_anti") if some["wait"] else pool)
+    if some["cut"]:
+        partial = F.col("partial").isNotNull()
+        documents = documents.join(cut.select("doc_id", F.lit(True).alias("partial")), "doc_id", "left").withColumns({
+            "translated": F.when(~partial, F.col("translated")), "status": F.when(partial, STATUS.incomplete).otherwise(F.col("status"))}).drop("partial")
     _write_batch(documents, f"{folder}/documents", batch_id)
     documents = spark.read.schema(documents.schema).parquet(f"{folder}/documents/batch_id={batch_id}")
-    announced = F.coalesce("announced", F.lit(0))
-    last = documents.join(state.select("doc_id", announced.alias("announced")), "doc_id").select(
-        "doc_id", (F.greatest("announced", "n_pages") + 1).alias("seq"), final_event(name, max_output_bytes).alias("event"))
+    numbered = documents.withColumn("seq", F.col("n_pages") + 1)
+    if some["short"]:
+        numbered = documents.join(short.select("doc_id", "announced"), "doc_id", "left").withColumn("seq", F.coalesce("announced", "n_pages") + 1)
+    last = numbered.select("doc_id", "seq", final_event(name, max_output_bytes).alias("event"))
     events = shown.select("doc_id", F.col("page").alias("seq"), progress_event().alias("event")).unionByName(last)
     ends = documents.select(text_id)
     if refused is not None:
         ends = ends.unionByName(refused.select(text_id))
         events = events.unionByName(refused.select("doc_id", F.lit(1).alias("seq"), "event"))
     _write_batch(events, f"{folder}/events", batch_id)
-    _write_batch(pool.join(state, "doc_id", "left_anti"), f"{folder}/open", batch_id)
+    still = pool.join(waiting.select("doc_id", F.col("announced").alias("n_pages")), "doc_id") if some["wait"] else no_rows(spark, OPEN)
+    _write_batch(still.select(OPEN.names), f"{folder}/open", batch_id)
     ended.write(ends, batch_id)
     if batch_id > 1:
         delete(spark, f"{folder}/open/batch_id={batch_id - 2}")

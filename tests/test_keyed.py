@@ -106,3 +106,21 @@ def test_scratch_tables_go_also_after_a_failure(spark):
     assert not exists(spark, paths[0])
     kept = materialise(spark.range(3), "kept")
     assert exists(spark, kept.inputFiles()[0])
+
+
+def test_folders_of_a_segment_are_written_by_several_tasks(spark, tmp_path):
+    """Small rows in many folders: merged by bytes, one task would write all files."""
+    memory = table(spark, tmp_path, rows_per_folder=8, most_digits=2)
+    memory.write(rows(spark, 0, 2_000), 0)
+    n = memory.digits_for(2_000)
+    memory.write(memory.dealt(rows(spark, 2_000, 4_000), 2_000), 1, 2_000)
+    for batch in (0, 1):
+        files = list((tmp_path / f"t0-{batch}-{batch}-d{n}").rglob("part-*.parquet"))
+        assert len({f.parent for f in files}) == len(files) == 256, "a folder is one file"
+        assert len({f.name.split("-")[1] for f in files}) >= spark.sparkContext.defaultParallelism
+    assert memory.read().count() == 4_000
+
+
+def test_no_python_worker_for_an_empty_lookup(spark, tmp_path):
+    found = table(spark, tmp_path).lookup(rows(spark, 0, 9).select("chunk_key"))
+    assert found.count() == 0 and "LocalTableScan <empty>" in found._jdf.queryExecution().toString()

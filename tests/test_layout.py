@@ -5,6 +5,7 @@ import pytest
 from folioflow.config import TranslationConfig
 from folioflow.operators import assembly, edits
 from folioflow.operators import layout as lay
+from folioflow.plans import corpus
 from folioflow.plans.corpus import translate_blocks, translate_documents, translate_pages
 from folioflow.plans.inputs import stand_in, stand_in_batch
 from folioflow.schemas import LAYOUT
@@ -125,3 +126,20 @@ def test_null_span_texts_and_missing_parts(spark):
     layout = spark.createDataFrame(rows, LAYOUT)
     assert [r.text for r in lay.text_blocks(layout).collect()] == ["kept text"]
     assert lay.blank_pages(layout).count() == 0
+
+
+def test_pages_of_a_service_are_put_together_in_one_shuffle(spark, monkeypatch):
+    """Only text in pieces is written on the way; blocks of several chunks come back as by the inline job."""
+    long = " ".join(f"Sentence number {i} of a long block." for i in range(20))
+    rows = [(d, n, 2, [block([span(long)]), block([span("ab")]), block([span(f"words {d} {n}")]), block([span("no text")], type=1)]) for d in range(5) for n in range(2)]
+    rows += [(7, None, 0, None), (8, None, None, None), (9, 0, 1, [])]
+    layout = spark.createDataFrame(rows, LAYOUT)
+    config = TranslationConfig("English", "Spanish", skip_pages=[1], max_chunk_size=100)
+    made, write = [], corpus.materialise
+    monkeypatch.setattr(corpus, "materialise", lambda df, label: made.append((label, df.columns)) or write(df, label))
+    done = translate_pages(layout, config, batch=stand_in_batch)
+    assert made == [("chunks", ["doc_id", "page_num", "n_pages", "block_no", "chunk_no", "text", "chunk_key"])]
+    want = translate_pages(layout, config, column=stand_in).select(done.columns)
+    assert sorted(map(str, done.collect())) == sorted(map(str, want.collect()))
+    pieces = spark.createDataFrame([], "doc_id BIGINT, page_num INT, block_no INT, chunk_no INT, translated STRING, status STRING, page_status STRING")
+    assert assembly.pages_of(pieces)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1

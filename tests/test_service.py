@@ -237,3 +237,20 @@ def test_new_pages_are_written_once(spark, tmp_path, monkeypatch):
     translate = lambda p: corpus.translate_pages(p, inputs.CONFIG, column=inputs.stand_in)
     service._settle(layout, 0, translate, F.lit("x.pdf"), folder, timedelta(hours=1), service._utc_now(), 10_000)
     assert "fresh" not in made and spark.read.parquet(f"{folder}/documents").count() == 2
+
+
+def test_texts_are_not_joined_where_all_documents_end(spark, tmp_path, monkeypatch):
+    plans, write = {}, service._write_batch
+
+    def seen(df, path, batch_id):
+        plans[path.rsplit("/", 1)[1], batch_id] = df._jdf.queryExecution().executedPlan().toString()
+        write(df, path, batch_id)
+
+    monkeypatch.setattr(service, "_write_batch", seen)
+    desk = Desk(spark, tmp_path)
+    desk.deliver([page(d, n, 2) for d in range(6) for n in range(2)])
+    assert not any("Join" in plans[name, 0] for name in ("documents", "events", "open"))
+    desk.deliver([page(7, 0, 2), page(8, 0, 1)])
+    assert desk.statuses() == dict.fromkeys((0, 1, 2, 3, 4, 5, 8), "translated")
+    kept = [(r["doc_id"], r["page_num"], r["n_pages"]) for r in desk.read("open").collect()]
+    assert kept == [(7, 0, 2)]
